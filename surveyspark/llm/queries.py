@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language, mixing, pii, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_language": language.op3_language,
+    "op4_pii": pii.op4_pii,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op8_mixing": mixing.OP8_SQL,
 }
