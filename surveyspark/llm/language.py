@@ -1,6 +1,6 @@
 """Language identification by nearest centroid: TF-IDF n-gram vectors against several clustered centroids a language.
 
-A text's vector counts its hashed byte trigrams (lower case), damped by log(1 + count), weighted by inverse document
+A text's vector counts its hashed byte trigrams (lower case, all but letters as single blanks), damped by log(1 + count), weighted by inverse document
 frequency and normalised. Training documents of each language are clustered by spherical k-means; a text gets the language
 of the centroid with the largest cosine. A text further from its centroid than the radius of that cluster is ``rejected``.
 
@@ -25,10 +25,14 @@ CENTROIDS = 4
 SAMPLE = 400
 #: Share of a cluster's members inside its radius.
 INSIDE = 0.99
+_LETTERS = np.arange(256, dtype=np.uint8)
+_LETTERS[[c for c in range(128) if not 97 <= c <= 122]] = 32
 
 
 def counts(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    raw = _LETTERS[np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)].astype(np.uint32)
+    if len(raw):  # a run of blanks counts as one
+        raw = raw[np.append(True, (raw[1:] != 32) | (raw[:-1] != 32))]
     if len(raw) < 3:
         raw = np.concatenate((raw, np.full(3 - len(raw), 32, np.uint32)))
     cells = (raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
