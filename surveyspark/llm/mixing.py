@@ -29,7 +29,7 @@ WEIGHTS = (3, 1, 2)
 RAMPS = (0.0, 0.5, -0.5)
 BUDGET, REPEATS = 1.5, 2
 #: Documents of one window, about.
-SLICE = 20_000
+SLICE = 1_000
 
 
 def words(text: str = "text") -> Column:
