@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, language, mixing, pii, quality, warc
+from . import decontaminate, embeddings, jaccard, language, mixing, pii, quality, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_language": language.op3_language,
     "op4_pii": pii.op4_pii,
     "op5_warc": warc.op5_warc,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddings.op10_embeddings,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op7_jaccard": jaccard.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_embeddings": embeddings.OP10_SQL,
 }
