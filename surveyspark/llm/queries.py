@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, language, mixing, pii, quality, warc
+from . import decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, tokens, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_tokens": tokens.op2_tokens,
     "op3_language": language.op3_language,
     "op4_pii": pii.op4_pii,
     "op5_warc": warc.op5_warc,
+    "op6_repeats": repeats.op6_repeats,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
