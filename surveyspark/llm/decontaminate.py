@@ -86,8 +86,8 @@ class Scanner:
         raw = encode(text)
         flat = raw.translate(_NORMAL)
         words = flat.split()
-        if not words:
-            return 0, [], []
+        if not words or not self.block:
+            return len(words), [], []
         found = list(self.automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
         if not found:
             return len(words), [], []
