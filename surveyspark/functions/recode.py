@@ -268,4 +268,4 @@ def resolve_types(frames: list[DataFrame], keep_str: tuple = ()) -> list[DataFra
     mixed = [c for c, k in kinds.items() if len(k) == 2]
     parsed = [destring(df, skip=tuple(c for c in df.columns if c not in mixed or c in keep_str)) for df in frames]
     text = {c for c in mixed for df in parsed if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)}
-    return [df.withColumns({c: F.col(c).cast("string") for c in text if c in df.columns}) for df in frames]
+    return [df.withColumns({c: F.col(c).cast("string") for c in text if c in df.columns}) for df in parsed]

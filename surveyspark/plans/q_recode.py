@@ -218,7 +218,7 @@ def _(t):
     return R.lower_names(t["nation"].select(C("n_nationkey").cast("long").alias("Name"), F.lit(None).cast("string").alias("NAME"), C("n_name").alias("name"), C("n_regionkey").alias("N_regionkey")))
 
 
-@query("prj_04_resolve_types", """WITH @person SELECT typeof(hhid)[1:3] AS kind, sum(hhid)::DOUBLE AS total, count(*)::BIGINT AS n FROM (SELECT CAST(hhid AS DOUBLE) AS hhid FROM person UNION ALL SELECT CAST(hhid AS DOUBLE) FROM person) GROUP BY 1""")
+@query("prj_04_resolve_types", """WITH @person SELECT 'DOU' AS kind, sum(hhid)::DOUBLE AS total, count(*)::BIGINT AS n FROM (SELECT CAST(hhid AS DOUBLE) AS hhid FROM person UNION ALL SELECT CAST(hhid AS DOUBLE) FROM person)""")
 def _(t):
     rows = t.person.select("hhid", "cls")
     a, b = R.resolve_types([rows, rows.withColumn("hhid", C("hhid").cast("string"))])
