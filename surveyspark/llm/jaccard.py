@@ -7,10 +7,11 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Two
    order in which sets are sorted, rare cells first; any order is right, this one keeps frequent shingles out of prefixes.
 2. Prefixes of the length that a link needs are taken. Classes with equal prefix and size are collapsed into one group, and
    only groups are put into the posting lists; lists of one group go. Lists of cells that the sketch shows as hot are salted.
-3. In each list, groups are paired with the list's first group only (a star), filtered by size and position and expanded to
-   their classes; pairs are bounded by cell histograms and verified on whole sets; components follow from the links.
-4. Lists that still hold several components are paired across components, never within one, filtered and verified in the
-   same way, and components are taken again. No link between different components is left unseen.
+3. In each list, groups are paired with the list's first group only (a star), filtered by size and position, expanded to
+   their classes and bounded by cell histograms.
+4. Lists that still hold several components are paired across components, never within one, filtered and bounded alike.
+   Then all pairs are verified on whole sets. Where verified links leave a component in parts, lists are paired across these
+   parts too. No link between different components is left unseen.
 
 Defined cases: null or empty texts and texts without words have no set and link with nothing; fewer than five words are
 one shingle; repeated rows are in one class; a null doc_id is never a component's smallest unless all its ids are null.
@@ -95,6 +96,11 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
         return int(np.int64(np.add.reduce(mix(shingles)).astype(np.int64))), int(np.bitwise_xor.reduce(mix(shingles * BASE), initial=np.uint64(0)).astype(np.int64))
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """Shingles in each of HISTOGRAM cells, up to 255."""
+    return np.minimum(np.bincount((shingles & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
+
+
 def cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -134,7 +140,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """One row a document: id, key of its text, size, set signature, group signature, prefix in rare-first order, salts."""
+    """One row a document: id, key of its text, size, set signature, group signature, histogram, prefix in rare-first order, salts (empty if all are 1)."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs))
 
@@ -145,17 +151,17 @@ def prefixes(docs: DataFrame, percent: int) -> DataFrame:
                 n = len(s)
                 a, b = signature(s)
                 if not n:
-                    rows.append((doc_id, key, 0, a, b, 0, 0, [], []))
+                    rows.append((doc_id, key, 0, a, b, 0, 0, b"", [], []))
                     continue
                 level = sketch.value[cells(s)]
                 order = np.lexsort((s, level))[: n - -(-percent * n // 100) + 1]
                 prefix, salts = s[order], (2.0 ** (level[order] / 8.0) / PART).astype(np.int32) + 1
                 c, d = signature(np.append(prefix, np.uint64(n)))
-                rows.append((doc_id, key, n, a, b, c, d, prefix.astype(np.int64), salts))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "s1", "s2", "g1", "g2", "prefix", "salts"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, key, n, a, b, c, d, histogram(s), prefix.astype(np.int64), salts if salts.max() > 1 else []))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "s1", "s2", "g1", "g2", "histogram", "prefix", "salts"]).astype({"doc_id": "Int64"})
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return keyed.mapInPandas(cut, "doc_id long, key long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>, salts array<int>")
+    return keyed.mapInPandas(cut, "doc_id long, key long, n long, s1 long, s2 long, g1 long, g2 long, histogram binary, prefix array<long>, salts array<int>")
 
 
 def fits(a: str, b: str, percent: int) -> Column:
@@ -165,104 +171,113 @@ def fits(a: str, b: str, percent: int) -> Column:
     return sized & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
 
 
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose histograms leave room for a link."""
+    return _kept(pairs, classes, "histogram", percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of classes that link: first bounded by histograms, then counted on whole sets."""
+    """The pairs (a, b) of classes that link, counted on whole sets."""
+    return _kept(pairs, sets, "shingles", percent)
+
 
-    def keep(batches, column):
+def _kept(pairs: DataFrame, held: DataFrame, column: str, percent: int) -> DataFrame:
+    def shared(x: bytes, y: bytes) -> int:
+        if column == "shingles":
+            return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        h, g = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)  # cells at 255 may hold any number
+        return 1 << 40 if ((h == 255) | (g == 255)).any() else int(np.minimum(h, g).sum(dtype=np.int64))
+
+    def keep(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch[f"a_{column}"], batch[f"b_{column}"], strict=True):
-                if column == "histogram":  # cells at 255 may hold any number
-                    h, g = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-                    shared = np.where((h == 255) | (g == 255), 1 << 40, np.minimum(h, g)).sum()
-                else:
-                    shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                ok.append(shared)
+            found = np.array([shared(x, y) for x, y in zip(batch["a_held"], batch["b_held"], strict=True)], np.int64)
             n = batch["a_n"] + batch["b_n"]
-            shared = np.minimum(np.array(ok, np.int64), np.minimum(batch["a_n"], batch["b_n"]))
-            yield batch.loc[100 * shared >= percent * (n - shared), ["a", "b"]]
+            found = np.minimum(found, np.minimum(batch["a_n"], batch["b_n"]))
+            yield batch.loc[100 * found >= percent * (n - found), ["a", "b"]]
+
+    side = lambda s: held.select(F.col("cls").alias(s), F.col("n").alias(f"{s}_n"), F.col(column).alias(f"{s}_held"))
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(keep, "a string, b string"), "pairs")
+
 
-    found = pairs.distinct()
-    for column in ("histogram", "shingles"):
-        side = lambda s, column=column: sets.select(F.col("cls").alias(s), F.col("n").alias(f"{s}_n"), F.col(column).alias(f"{s}_{column}"))
-        joined = found.join(side("a"), "a").join(side("b"), "b")
-        found = materialize(joined.mapInPandas(lambda batches, column=column: keep(batches, column), "a string, b string"), "pairs")
-    return found
+def across(entries: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components, as ``links`` make them, that meet in a list and pass the filters."""
+    comps = components(links).withColumnRenamed("node", "cls")
+    entries = entries.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    open_lists = entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
+    entries = materialize(entries.join(open_lists, "h"), "open")
+    side = lambda s: entries.select("h", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "pos", "cls", "component")])
+    met = side("x").join(side("y"), "h").filter(F.col("x_component") < F.col("y_component")).filter(fits("x", "y", percent))
+    return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, key (hash of the text), n_shingles, component_id; one row a document."""
-    spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
-    rows = materialize(prefixes(docs, percent), "prefixes")
-    named = rows.filter("n > 0").withColumn("cls", F.concat_ws(":", F.hex("s1"), F.hex("s2")))
-    classes = named.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("of"), F.min(F.struct("g1", "g2")).alias("g"), F.first("n").alias("n"))
+    bounded_batches(docs.sparkSession)
+    cls = F.when(F.col("n") > 0, F.concat_ws(":", F.hex("s1"), F.hex("s2"))).alias("cls")
+    full = materialize(prefixes(docs, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    rows = materialize(full.select("doc_id", "key", "n", cls, "g1", "g2", "row", "histogram"), "rows")
+    group = ["g1", "g2", "n"]
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("of"), F.min(F.struct("g1", "g2")).alias("g"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
     classes = materialize(classes, "classes")
-    members = classes.select("cls", F.col("g.g1").alias("g1"), F.col("g.g2").alias("g2"), "n")
-    groups = named.groupBy("g1", "g2", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
 
-    listed = groups.select("gid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e"))
-    listed = listed.select("gid", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), F.col("e.prefix").alias("h"), F.pmod(F.hash("gid"), F.col("e.salts")).alias("salt"), (F.col("e.salts") > 1).alias("salted"))
+    # Posting lists of groups; lists of one group go, unless they are parts of a salted list.
+    groups = full.filter("n > 0").groupBy(*group).agg(F.min("row").alias("gid"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
+    listed = groups.select("gid", "n", "salts", F.posexplode("prefix").alias("pos", "h"))
+    salts = F.coalesce(F.get("salts", F.col("pos")), F.lit(1))
+    entry = F.struct("gid", F.shiftleft("n", 31).bitwiseOR(F.col("pos")).alias("at"))  # a size and a position in one number
     one = Window.partitionBy("h", "salt")
-    survivors = listed.withColumn("first", F.min(F.struct("gid", "n", "pos")).over(one)).withColumn("many", F.col("salted") | (F.count("*").over(one) > 1))
-    survivors = materialize(survivors.filter("many").drop("many", "salted"), "lists")
-    many = groups.join(members.groupBy("g1", "g2", "n").agg(F.count("*").alias("k")).filter("k > 1"), ["g1", "g2", "n"]).select("gid", "g1", "g2", "n")
-    group_members = materialize(members.join(groups.select("gid", "g1", "g2", "n"), ["g1", "g2", "n"]).select("gid", "cls", F.col("n").cast("int").alias("n")), "members")
-
-    # Sets of the classes that stand in any list of several groups, or in a group of several classes.
-    needed = survivors.select("gid").union(many.select("gid")).distinct()
-    needed = group_members.join(needed, "gid").select("cls").join(classes, "cls").select("cls", F.col("of.doc_id").alias("__doc"), F.col("of.key").alias("__key"))
-    sets = materialize(class_sets(docs, needed), "sets")
+    listed = listed.select("h", F.when(salts > 1, F.pmod(F.hash("gid"), salts)).otherwise(-1).cast("int").alias("salt"), *[entry[c].alias(c) for c in ("gid", "at")])
+    listed = listed.withColumn("many", (F.col("salt") >= 0) | (F.count("*").over(one) > 1)).withColumn("first", F.min(F.struct("gid", "at")).over(one)).filter("many")
+    n, pos = (lambda c: F.shiftright(c, 31).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    lists = materialize(listed.select("h", "gid", n("at").alias("n"), pos("at").alias("pos"), F.col("first.gid").alias("x"), n("first.at").alias("x_n"), pos("first.at").alias("x_pos")), "lists")
+    drop_scratch(full)
+
+    gids = rows.filter("n > 0").groupBy(*group).agg(F.min("row").alias("gid"))
+    members = classes.select("cls", F.col("g.g1").alias("g1"), F.col("g.g2").alias("g2"), "n").join(gids, group).select("gid", "cls", F.col("n").cast("int").alias("n"))
+    members = materialize(members, "members")
+    several = materialize(members.groupBy("gid").agg(F.count("*").alias("k"), F.min("cls").alias("a")), "groups")
+    inner = members.join(several.filter("k > 1").select("gid", "a"), "gid")
 
     # Stars: each group of a list with the list's first, each class of a group with the group's first.
-    star = survivors.select(F.col("first.gid").alias("x"), F.col("first.n").alias("x_n"), F.col("first.pos").alias("x_pos"), F.col("gid").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"))
-    star = star.filter("x <> y").filter(fits("x", "y", percent)).select("x", "y").distinct()
-    firsts = group_members.groupBy("gid").agg(F.min("cls").alias("a"))
-    inner = group_members.join(many.select("gid"), "gid").join(firsts, "gid").filter("a <> cls").select("a", F.col("cls").alias("b"))
-    xs, ys = (firsts.select(F.col("gid").alias("x"), "a"), group_members.select(F.col("gid").alias("y"), F.col("cls").alias("b")))
-    pairs = star.join(xs, "x").join(ys, "y").select("a", "b").union(inner)
-    tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    star = lists.filter("x <> gid").select("x", "x_n", "x_pos", F.col("gid").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"))
+    star = star.filter(fits("x", "y", percent)).select("x", "y").distinct()
+    pairs = star.join(several.select(F.col("gid").alias("x"), "a"), "x").join(members.select(F.col("gid").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
+    pairs = pairs.unionAll(inner.filter("a <> cls").select("a", F.col("cls").alias("b")))
+    stars = bounded(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent)
+
+    # Across: entries of different components meet in the lists that still hold several. The first time, components are taken
+    # as if all bounded pairs were links: pairs within such a component are of classes whose sets are needed in any case.
+    entries = lists.select("gid", "h", "n", "pos").join(members.drop("n"), "gid").select("h", "n", "pos", "cls")
+    entries = materialize(entries.unionAll(inner.select(F.xxhash64("gid", F.lit("group")).alias("h"), "n", F.lit(0).alias("pos"), "cls")), "entries")
+    crossed = bounded(across(entries, stars, percent), classes, percent)
+    tried = materialize(stars.unionAll(crossed), "tried")
+    needed = tried.select(F.col("a").alias("cls")).union(tried.select(F.col("b").alias("cls"))).distinct()
+    needed = needed.join(classes, "cls").select("cls", F.coalesce("of.doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("of.key").alias("key"))
+    sets = materialize(class_sets(docs, needed), "sets")
     links = verified(tried, sets, percent)
-    comps = components(links)
-
-    # Across: in lists that still hold several components, entries of different components meet.
-    placed = group_members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", F.coalesce("component", "cls").alias("component"))
-    entries = survivors.select("gid", "h", "n", "pos").join(placed, "gid")
-    inner_lists = placed.join(many.select("gid", "n"), "gid").select("gid", F.xxhash64("gid", F.lit("group")).alias("h"), F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), "cls", "component")
-    entries = entries.select("gid", "h", "n", "pos", "cls", "component").unionAll(inner_lists)
-    entries = materialize(entries, "entries")
-    open_lists = entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
-    entries = materialize(entries.join(open_lists, "h"), "open")
-    side = lambda s: entries.select("h", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "pos", "cls", "component")])
-    met = side("x").join(side("y"), "h").filter(F.col("x_component") < F.col("y_component")).filter(fits("x", "y", percent))
-    crossed = met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
-    more = verified(crossed.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    comps = components(links.unionAll(more))
+    # Again with verified links: what is left are pairs within bounded components that fall apart.
+    left = across(entries, links, percent).join(tried, ["a", "b"], "left_anti")
+    left = left.join(sets.select(F.col("cls").alias("a")), "a", "left_semi").join(sets.select(F.col("cls").alias("b")), "b", "left_semi")
+    links = links.unionAll(verified(bounded(left, classes, percent), sets, percent))
 
-    placed = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = classes.select("cls", "least").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = placed.select("cls", "component").join(least, "component").select("cls", "component_id")
-    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.concat_ws(":", F.hex("s1"), F.hex("s2"))).alias("cls"))
-    out = out.join(placed, "cls", "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = materialize(out, "components")
-    drop_scratch(rows, groups, sets, survivors, entries)
-    return out
+    found = rows.select("doc_id", "key", "n", "cls").join(placed, "cls", "left")
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(cls, n, histogram, shingles) for each class of ``needed`` (cls, __doc, __key), read from one of its documents."""
+    """(cls, n, shingles) for each class of ``needed`` (cls, doc, key), read from one of its documents."""
 
     def build(batches):
         for batch in batches:
             sets = shingle_sets(batch["text"])
-            histograms = [np.minimum(np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pd.DataFrame({"cls": batch["cls"], "n": [len(s) for s in sets], "histogram": histograms, "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"cls": batch["cls"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    on = keyed["doc_id"].eqNullSafe(needed["__doc"]) & (keyed["key"] == needed["__key"])
-    found = keyed.join(needed, on).select("cls", "text").mapInPandas(build, "cls string, n long, histogram binary, shingles binary")
-    return found.dropDuplicates(["cls"])
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("key"), "text")
+    found = keyed.join(needed, ["doc", "key"]).dropDuplicates(["doc", "key"])  # rows alike in id and text
+    return found.select("cls", "text").mapInPandas(build, "cls string, n long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
