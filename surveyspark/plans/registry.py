@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_agg, q_quality, q_recode  # noqa: F401
+from . import q_agg, q_econ, q_quality, q_recode  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
