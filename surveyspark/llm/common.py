@@ -1,54 +1,14 @@
-"""Shared helpers of the text-corpus operators: scratch tables, row keys, byte-level word splitting."""
+"""Shared helpers of the text-corpus operators: Arrow batches, id hashes, byte offsets and rolling hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may go without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _OWN[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(*frames: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            target = jvm.org.apache.hadoop.fs.Path(file)
-            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from surveyspark.sources.scratch import drop_scratch, materialize, scratch_path
 
+__all__ = ["BASE", "bounded_batches", "char_offsets", "crc_remainder", "drop_scratch", "encode", "materialize", "mix", "prefix_hash", "range_hash", "scratch_path"]
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a bounded number of rows and bytes, since single texts may be very long."""
