@@ -6,6 +6,7 @@ from surveyspark.operators import align as V
 from surveyspark.operators import harmonise as H
 from surveyspark.operators import quality as Q
 from surveyspark.sources import io as IO
+from surveyspark.sources.scratch import scratch_path
 
 from .base import query
 from .q_agg import r, rounded
@@ -16,10 +17,7 @@ CHECK = "SELECT '{0}' AS section, unnest([{1}]) AS name, unnest([{2}])::DOUBLE A
 
 @query("src_01_extract", "SELECT l_orderkey AS hhid, l_quantity AS wt, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2")
 def _(t):
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-extract-')}"
-    out = IO.extract(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], f"{base}/extract-{t.spark.sparkContext.applicationId}-{abs(hash(t.sf_dir))}", {"l_orderkey": "hhid", "l_quantity": "wt"}, redo=True)
+    out = IO.extract(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], scratch_path(t.spark, "extract"), {"l_orderkey": "hhid", "l_quantity": "wt"}, redo=True)
     return out.groupBy("hhid", "wt").agg(F.count("*").alias("n"))
 
 
@@ -36,10 +34,7 @@ def _(t):
 
 @query("src_07_by_wave", """WITH @person SELECT wave, count(*)::BIGINT AS n, count(CASE WHEN wave = 1996 THEN disc END)::BIGINT AS n_disc FROM person WHERE wave IN (1996, 1998) GROUP BY wave""")
 def _(t):
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-waves-')}"
-    path = f"{base}/waves-{t.spark.sparkContext.applicationId}-{abs(hash(t.sf_dir))}"
+    path = scratch_path(t.spark, "waves")
     df = t.person.filter("wave IN (1996, 1998)").select("hhid", "wave", F.when(C("wave") == 1996, C("disc")).alias("disc"), "tax")
     IO.write_by_wave(df, path, "wave", ["hhid"])
     back = t.spark.read.option("mergeSchema", True).parquet(path)
@@ -53,20 +48,14 @@ def _(t):
 
 @query("src_03_panel_csv", """WITH @panel SELECT sector, wave, round(y, 3) AS y FROM panel""")
 def _(t):
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-panel-')}"
-    path = f"{base}/panel-{t.spark.sparkContext.applicationId}-{abs(hash(t.sf_dir))}"
+    path = scratch_path(t.spark, "panel")
     IO.write_panel(t.panel.select("sector", "wave", F.round("y", 3).alias("y")), path)
     return IO.read_panel(t.spark, path, "sector int, wave int, y double")
 
 
 @query("src_04_labelled", "SELECT n_nationkey AS code, n_name AS text, 'nation key' AS label FROM nation")
 def _(t):
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-labelled-')}"
-    path = f"{base}/labelled-{t.spark.sparkContext.applicationId}-{abs(hash(t.sf_dir))}"
+    path = scratch_path(t.spark, "labelled")
     names = t.spark.createDataFrame([("n_nationkey", "nation key")], "variable string, label string")
     values = t["nation"].select(F.lit("n_nationkey").alias("variable"), C("n_nationkey").alias("code"), C("n_name").alias("text"))
     IO.LabelledTable(t["nation"], names, values).write(path)
