@@ -8,13 +8,14 @@ never cross documents). The work is cut into independent shards by anchors that
    under one anchor hash.
 2. Segments are counted by anchor and content. Content that occurs twice is repeated as a whole. Content that occurs once
    under an anchor that has other content too may be repeated in part; only these segments, and one of each content beside
-   them, go on.
-3. They are indexed in shards of bounded size: the suffixes of a shard give its Burrows-Wheeler transform, which is kept as
-   runs with suffix positions and common prefixes sampled at the runs' ends. Matching statistics of every segment against
-   all others are streamed from these samples, for inside a run the common prefix of the next text position is one less.
-   Windows with a match of ``length`` are repeated.
-4. Anchors with very many contents (a passage that stands in many texts) do not fit a shard. Their windows are hashed one by
-   one and counted by hash instead, which any number of tasks can share.
+   them, go on. They are cut into ranges of at most 32 windows, aligned by the distance to the anchor, and counted again in
+   the same way by what all windows of a range have in common: repeats shorter than a window go here.
+3. Ranges that are left are indexed in shards of bounded size: the suffixes of a shard give its Burrows-Wheeler transform,
+   which is kept as runs with suffix positions and common prefixes sampled at the runs' ends. Matching statistics of every
+   range against all others are streamed from these samples, for inside a run the common prefix of the next text position is
+   one less. Windows with a match of ``length`` are repeated.
+4. Ranges that have very many contents (at the edge of a passage that stands in many texts) do not fit a shard. They are cut
+   and counted again down to single windows, which any number of tasks can share.
 
 Runs of repeated windows are joined to their documents, merged and cut out.
 
@@ -31,13 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, encode, materialize, mix, prefix_hash, range_hash
+from .common import bounded_batches, encode, materialize, prefix_hash, range_hash
 
 LENGTH = 400
 GRAM = 64
 #: Bytes hashed at once; positions in such a piece fit the low bits of a key.
 PIECE_BITS = 20
-#: Contents of an anchor beyond which windows are counted one by one.
+#: Windows of a range, and of the ranges of those with more than CONTENTS contents.
+RANGE, NARROW = 32, (8, 2, 1)
 CONTENTS = 1000
 #: Bytes of a shard, about.
 SHARD = 1 << 20
@@ -55,8 +57,8 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor hash, content hash) of all segments in a buffer of documents that begin at ``bounds[:-1]``."""
-    none = (np.zeros(0, np.int64),) * 5
+    """(document, first window, windows, anchor's place in the first window, anchor hash, content hash) of all segments in a buffer of documents that begin at ``bounds[:-1]``."""
+    none = (np.zeros(0, np.int64),) * 6
     if len(raw) < length:
         return none
     prefix = prefix_hash(raw)
@@ -74,7 +76,7 @@ def segments(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
         return none
     last = np.append(np.flatnonzero(turn)[1:], len(anchor))[np.searchsorted(np.flatnonzero(turn), first)]
     last = np.minimum(last, bounds[doc[first] + 1] - length + 1)
-    return doc[first], first - bounds[doc[first]], last - first, grams[anchor[first]].astype(np.int64), range_hash(prefix, first, last - 1 + length).astype(np.int64)
+    return doc[first], first - bounds[doc[first]], last - first, anchor[first] - first, grams[anchor[first]].astype(np.int64), range_hash(prefix, first, last - 1 + length).astype(np.int64)
 
 
 def pieces(texts, length: int):
@@ -100,17 +102,62 @@ def pieces(texts, length: int):
         yield out()
 
 
+ROWS = "doc long, key long, at long, n int, lead int, once boolean, up long, anchor long, content long"
+
+
 def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, key, at, n, anchor, content): ``n`` windows from byte ``at`` of the text with id ``doc`` and hash ``key``."""
+    """Rows of ``n`` windows from byte ``at`` of the text with id ``doc`` and hash ``key``; the anchor stands ``lead`` bytes further."""
 
     def scan(batches):
         for batch in batches:
             ids, keys = batch["doc"].to_numpy(), batch["key"].to_numpy()
             for raw, bounds, which, offset in pieces(batch["text"], length):
-                doc, at, n, anchor, content = segments(raw, bounds, length, gram)
-                yield pd.DataFrame({"doc": ids[which[doc]], "key": keys[which[doc]], "at": at + offset[doc] if len(doc) else at, "n": n.astype(np.int32), "anchor": anchor, "content": content})
+                doc, at, n, lead, anchor, content = segments(raw, bounds, length, gram)
+                at = at + offset[doc] if len(doc) else at
+                yield pd.DataFrame({"doc": ids[which[doc]], "key": keys[which[doc]], "at": at, "n": n.astype(np.int32), "lead": lead.astype(np.int32), "once": True, "up": at, "anchor": anchor, "content": content})
+
+    return docs.mapInPandas(scan, ROWS)
+
+
+def ranges(parts: DataFrame, width: int, length: int) -> DataFrame:
+    """Rows of at most ``width`` windows cut from ``parts``; the anchor hash is that of the bytes that all windows of a full range hold, ``up`` the part's place."""
+
+    def cut(batches):
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch["bytes"]), np.uint8)
+            sizes, n, lead = batch["bytes"].map(len).to_numpy(), batch["n"].to_numpy(np.int64), batch["lead"].to_numpy(np.int64)
+            base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            row = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            group = (lead[row] - j) // width
+            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (group[1:] != group[:-1]))))
+            count = np.diff(np.append(first, len(row)))
+            row, j, group = row[first], j[first], group[first]
+            start, prefix = base[row] + j, prefix_hash(raw)
+            inner = base[row] + lead[row] - group * width  # the same bytes whether or not the range is cut short
+            core, content = range_hash(prefix, inner, inner - width + 1 + length), range_hash(prefix, start, start + count - 1 + length)
+            pick = lambda c: batch[c].to_numpy()[row]
+            yield pd.DataFrame({"doc": pick("doc"), "key": pick("key"), "at": pick("at") + j, "n": count.astype(np.int32), "lead": (lead[row] - j).astype(np.int32), "once": pick("once"), "up": pick("at"), "anchor": core.astype(np.int64), "content": content.astype(np.int64)})
+
+    return parts.select("doc", "key", "at", "n", "lead", "once", "bytes").mapInPandas(cut, ROWS)
+
+
+def sort_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs repeated as a whole, rows that may be repeated in part): the second with one row of each content beside them, and how many contents their anchor has."""
+    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "at", "n", "lead", "once", "up")).alias("of"))
+    contents = materialize(contents, "contents")
+    whole = rows.filter("once").join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc", "key", "at", "n")
+    alone = (F.col("c") == 1) & F.col("of.once")
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.max(alone).alias("open")).filter("contents > 1 AND open").drop("open")
+    open_ = contents.join(anchors, "anchor").select("of.doc", "of.key", "of.at", "of.n", "of.lead", "of.up", "anchor", "content", alone.alias("once"), "contents")
+    return whole, materialize(open_, "open")
 
-    return docs.mapInPandas(scan, "doc long, key long, at long, n int, anchor long, content long")
+
+def with_bytes(rows: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """``rows`` with their bytes, from the ``parts`` that they were cut from."""
+    held = parts.select("doc", "key", F.col("at").alias("up"), F.col("bytes").alias("__held"))
+    at = (F.col("at") - F.col("up") + 1).cast("int")
+    return rows.join(held, ["doc", "key", "up"]).withColumn("bytes", F.substring("__held", at, F.col("n") + length - 1)).drop("__held")
 
 
 def suffixes(text: np.ndarray) -> np.ndarray:
@@ -192,57 +239,40 @@ def repeated_parts(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments ``wanted`` (doc, key, list of at, n, ...): one row a segment."""
+    """``wanted`` rows with their bytes, from whole texts."""
+    fields = ("at", "n", "lead", "once")
 
     def cut(batches):
         for batch in batches:
             rows = []
             for doc, key, text, wants in zip(batch["doc"], batch["key"], batch["text"], batch["wants"], strict=True):
                 raw = encode(text)
-                rows += [(doc, key, w["at"], w["n"], w["anchor"], w["content"], w["once"], w["contents"], raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in wants]
-            yield pd.DataFrame(rows, columns=["doc", "key", "at", "n", "anchor", "content", "once", "contents", "bytes"])
-
-    by_doc = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("at", "n", "anchor", "content", "once", "contents")).alias("wants"))  # at most a text's segments
-    joined = docs.join(by_doc, ["doc", "key"]).select("doc", "key", "text", "wants")
-    found = joined.mapInPandas(cut, "doc long, key long, at long, n int, anchor long, content long, once boolean, contents long, bytes binary")
-    return found.dropDuplicates(["doc", "key", "at"])  # rows alike in id and text
-
+                rows += [(doc, key, *[w[f] for f in fields], raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in wants]
+            yield pd.DataFrame(rows, columns=["doc", "key", *fields, "bytes"])
 
-def window_rows(wide: DataFrame, length: int) -> DataFrame:
-    """(doc, key, at, w): hashes of the single windows of segments."""
-
-    def spread(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                raw = np.frombuffer(row.bytes, np.uint8)
-                at = np.arange(row.n)
-                yield pd.DataFrame({"doc": row.doc, "key": row.key, "at": row.at + at, "w": mix(range_hash(prefix_hash(raw), at, at + length)).astype(np.int64)})
-
-    return wide.mapInPandas(spread, "doc long, key long, at long, w long")
+    by_doc = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct(*fields)).alias("wants"))  # at most a text's segments
+    joined = docs.join(by_doc, ["doc", "key"]).dropDuplicates(["doc", "key"])  # rows alike in id and text
+    return joined.select("doc", "key", "text", "wants").mapInPandas(cut, "doc long, key long, at long, n int, lead int, once boolean, bytes binary")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc, key, text) -> (doc, key, at, n): runs of windows that start at bytes at .. at + n - 1 and occur elsewhere too."""
-    found = materialize(find_segments(docs, length, gram), "segments")
-    place = F.struct("doc", "key", "at", "n")
-    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(place).alias("of"))
-    contents = materialize(contents, "contents")
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("c").alias("least")).filter("contents > 1 AND least = 1")
-    wanted = contents.join(anchors.drop("least"), "anchor").select("of.*", "anchor", "content", (F.col("c") == 1).alias("once"), "contents")
+    out, wanted = sort_out(materialize(find_segments(docs, length, gram), "segments"))
     parts = materialize(cut_out(docs, wanted, length), "parts")
+    whole, open_ = sort_out(materialize(ranges(parts, RANGE, length), "ranges"))
+    out = out.unionAll(whole)
 
-    whole = found.join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc", "key", "at", "n")
-
-    narrow = parts.filter(F.col("contents") <= CONTENTS)
+    narrow = materialize(with_bytes(open_.filter(F.col("contents") <= CONTENTS), parts, length), "shards")
     size = narrow.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = narrow.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(int(size // SHARD) + 1)))
-    shape = "doc long, key long, at long, n int"
-    partial = shards.select("doc", "key", "at", "n", "once", "bytes", "shard").groupBy("shard").applyInPandas(lambda rows: repeated_parts(rows, length), shape)
-
-    single = window_rows(parts.filter(F.col("contents") > CONTENTS), length)
-    twice = single.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    single = single.join(twice, "w", "left_semi").select("doc", "key", "at", F.lit(1).alias("n"))
-    return whole.unionAll(partial).unionAll(single)
+    shards = narrow.select("doc", "key", "at", "n", "once", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(int(size // SHARD) + 1)).alias("shard"))
+    out = out.unionAll(shards.groupBy("shard").applyInPandas(lambda rows: repeated_parts(rows, length), "doc long, key long, at long, n int"))
+
+    wide = open_.filter(F.col("contents") > CONTENTS)
+    for width in NARROW:
+        parts = materialize(with_bytes(wide, parts, length), "parts")
+        whole, wide = sort_out(materialize(ranges(parts, width, length), "ranges"))
+        out = out.unionAll(whole)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kept_bytes: bool = True) -> DataFrame:
