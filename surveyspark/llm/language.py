@@ -96,9 +96,11 @@ def learn(train: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) ->
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "radius": radii})
 
     sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
-    hashed = train.withColumn("h", F.xxhash64("doc_id")).join(sizes, "lang")
-    share = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)  # about one and a half times the bound; the rest goes in fit
-    few = hashed.filter(share * F.col("n") < 1.5 * sample + 50).select("lang", "h", vector("text").alias("vector"))
+    ids = train.select("doc_id", "lang").join(sizes, "lang")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)  # about one and a half times the bound; the rest goes in fit
+    picked = ids.filter(share * F.col("n") < 1.5 * sample + 50).select("doc_id", "lang").distinct()
+    # So many ids a language at most, texts do not move.
+    few = train.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), vector("text").alias("vector"))
     found = few.groupBy("lang").applyInPandas(fit, "lang string, centre binary, radius double").orderBy("lang", "radius").collect()
     centres = np.stack([np.frombuffer(r.centre, np.float32) for r in found]) if found else np.zeros((0, CELLS), np.float32)
     return {"idf": idf, "centres": centres, "langs": [r.lang for r in found], "radii": [r.radius for r in found]}
