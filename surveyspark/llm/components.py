@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,34 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
+#: Links that one task takes to its forest.
+FOREST = 200_000
+
+
+def forests(edges: DataFrame, n: int) -> DataFrame:
+    """A spanning forest of each part of ``n`` links in all: what dense groups have beyond it is not handed around."""
+
+    def reduce(batches):
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch["u"], batch["v"], strict=True):
+                a, b = root(u), root(v)
+                keep.append(a != b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            yield pd.DataFrame(batch[keep])
+
+    return edges.repartition(n // FOREST + 1).mapInPandas(reduce, edges.schema)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``links`` (a, b); nodes are of any orderable type.
 
@@ -26,6 +55,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), (F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).alias("ok"))
     edges = materialize(edges.filter("ok").select("u", "v").distinct(), "edges")
+    whole, edges = edges, materialize(forests(edges, edges.count()), "edges")
+    drop_scratch(whole)
     before = None
     for _ in range(most_rounds):
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

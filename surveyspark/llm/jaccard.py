@@ -31,8 +31,8 @@ from .components import components
 WORDS = 5
 PERCENT = 80
 #: Cells of the sketch, which is broadcast with a byte a cell.
-SKETCH_BITS = 20
-BLOCK = 1 << 14
+SKETCH_BITS = 22
+BLOCK = 1 << 17
 PIECE = 1 << 20
 #: Expected rows of a posting list's salted part.
 PART = 20_000
