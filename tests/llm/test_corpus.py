@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from surveyspark.llm import decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, tokens, warc
@@ -340,3 +341,16 @@ def test_embeddings(spark):
         expected.append((r[0], min(ids, default=None)))
     wrong = Counter(expected) - Counter((r[0], r[2]) for r in got)
     assert sum(wrong.values()) <= 0.1 * len(rows)
+
+
+def test_embeddings_find_single_pairs_of_a_large_table(spark):
+    rnd = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(rnd.standard_normal((6000, 64)))
+    aside = rnd.standard_normal(a.shape)
+    b = 0.81 * a + (1 - 0.81**2) ** 0.5 * unit(aside - (aside * a).sum(axis=1)[:, None] * a)
+    table = pd.DataFrame({"vec_id": np.arange(12000), "embedding": np.concatenate([a, b]).tolist(), "label": 0})
+    rows = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    # Few of the pairs have both ends among the vectors that make the codebooks.
+    found = embeddings.near_vectors(rows, cosine=0.8, sample=200).filter("n_links > 0").count()
+    assert found >= 0.97 * 12000
