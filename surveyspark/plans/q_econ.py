@@ -182,12 +182,20 @@ def _(t):
     return terms(E.shift_share_reg(t.panel, "sector", "wave", "y", "x", [], "dist"))
 
 
+def order_components(o):
+    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), C("o_orderkey") % 5000 + (C("o_orderkey") % 7) * 100000).alias("b"))
+    return E.components(edges, "a", "b")
+
+
 @query("eco_22_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || (o_orderkey % 5000 + (o_orderkey % 7) * 100000) AS b FROM orders WHERE o_orderkey % 11 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, a AS x FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON u.a = reach.x) SELECT node, min(x) AS component FROM reach GROUP BY node""")
 def _(t):
-    o = t["orders"].filter("o_orderkey % 11 = 0")
-    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), C("o_orderkey") % 5000 + (C("o_orderkey") % 7) * 100000).alias("b"))
-    return E.components(edges, "a", "b")
+    return order_components(t["orders"].filter("o_orderkey % 11 = 0"))
+
+
+@query("eco_22_components_all")
+def _(t):
+    return order_components(t["orders"])
 
 
 @query("eco_23_pds_lasso")

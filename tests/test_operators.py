@@ -21,6 +21,7 @@ from surveyspark.operators import sensor as N
 from surveyspark.operators import sets as S
 from surveyspark.operators import spatial as G
 from surveyspark.operators import window as W
+from surveyspark.plans import registry
 from surveyspark.sources import io as IO
 
 C = F.col
@@ -259,3 +260,21 @@ def test_selection(spark):
     weighted = E.overlap_weights(df.withColumn("treat", (C("d") > 0).cast("int")), ["c0", "c1"], "treat")
     mean = weighted.groupBy("treat").agg((F.sum(C("c0") * C("overlap_weight")) / F.sum("overlap_weight")).alias("m")).collect()
     assert abs(mean[0].m - mean[1].m) < 1e-4
+
+
+def test_components_of_all_orders(spark, tmp_path):
+    keys = [(o, o * o % 97) for o in range(1, 200)] + [(200, None)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o, c in keys:
+        if c is not None:
+            a, b = sorted((root(f"c{c}"), root(f"o{o % 5000 + o % 7 * 100000}")))
+            parent[b] = a
+    got = registry.QUERIES["eco_22_components_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent)
