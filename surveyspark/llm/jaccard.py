@@ -210,14 +210,14 @@ def across(entries: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, key (hash of the text), n_shingles, component_id; one row a document."""
+def placed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, key, n, cls) and classes (cls, component, least, of): ``of`` is the class's first (no id, id, key)."""
     bounded_batches(docs.sparkSession)
     cls = F.when(F.col("n") > 0, F.concat_ws(":", F.hex("s1"), F.hex("s2"))).alias("cls")
     full = materialize(prefixes(docs, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
     rows = materialize(full.select("doc_id", "key", "n", cls, "g1", "g2", "row", "histogram"), "rows")
     group = ["g1", "g2", "n"]
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("of"), F.min(F.struct("g1", "g2")).alias("g"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("of"), F.min(F.struct("g1", "g2")).alias("g"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
     classes = materialize(classes, "classes")
 
     # Posting lists of groups; lists of one group go, unless they are parts of a salted list.
@@ -260,10 +260,16 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     left = left.join(sets.select(F.col("cls").alias("a")), "a", "left_semi").join(sets.select(F.col("cls").alias("b")), "b", "left_semi")
     links = links.unionAll(verified(bounded(left, classes, percent), sets, percent))
 
-    placed = classes.select("cls", "least").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = classes.select("cls", "least", "of").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return rows.select("doc_id", "key", "n", "cls"), placed
+
+
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, key (hash of the text), n_shingles, component_id; one row a document."""
+    rows, placed = placed_classes(docs, percent)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = placed.select("cls", "component").join(least, "component").select("cls", "component_id")
-    found = rows.select("doc_id", "key", "n", "cls").join(placed, "cls", "left")
+    found = rows.join(placed, "cls", "left")
     return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -281,13 +287,22 @@ def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id; rows that repeat it stay only once. All columns stay."""
-    found = jaccard_classes(docs.select("doc_id", "text"), percent)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
-    # Ids are not always unique: of several texts with a component's smallest id, that with the smallest hash stays; null ids stay.
-    first = kept.filter("__doc IS NOT NULL").groupBy("__doc").agg(F.min("__key").alias("__key")).unionAll(kept.filter("__doc IS NULL"))
+    """``docs`` with one row of each component: that with the smallest (id, text hash), null ids last. All columns stay.
+
+    Rows without words link with nothing and all stay. Of rows alike in id and text any one stays.
+    """
+    rows, placed = placed_classes(docs.select("doc_id", "text"), percent)
+    alike = lambda df: df["doc_id"].eqNullSafe(F.col("__doc")) & (df["key"] == F.col("__key"))
+    first = placed.groupBy("component").agg(F.min("of").alias("of")).select(F.col("of.doc_id").alias("__doc"), F.col("of.key").alias("__key"))
+    kept = rows.join(first, alike(rows)).groupBy("__doc", "__key").agg((F.count("*") > 1).alias("__repeated"))
+    wordless = rows.filter("n = 0").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.lit(False).alias("__repeated")).distinct()
+    kept = materialize(kept.unionAll(wordless), "kept")
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    return keyed.join(first, keyed["doc_id"].eqNullSafe(first["__doc"]) & (keyed["__text_key"] == first["__key"]), "left_semi").drop("__text_key")
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__doc"]) & (keyed["__text_key"] == kept["__key"]))
+    out = found.filter(~F.col("__repeated"))
+    if kept.filter("__repeated").limit(1).count():
+        out = out.unionAll(found.filter("__repeated").dropDuplicates(["__doc", "__key"]))
+    return out.drop("__text_key", "__doc", "__key", "__repeated")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,3 +354,13 @@ def test_embeddings_find_single_pairs_of_a_large_table(spark):
     # Few of the pairs have both ends among the vectors that make the codebooks.
     found = embeddings.near_vectors(rows, cosine=0.8, sample=200).filter("n_links > 0").count()
     assert found >= 0.97 * 12000
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    rnd = random.Random(11)
+    a, b, c, d, e = (text(rnd, 120) for _ in range(5))
+    rows = [(5, a), (5, b), (6, a), (7, c), (7, c), (7, c + " more"), (None, d), (None, d), (None, d + " more"), (None, e), (9, e), (8, ""), (8, ""), (5, None)]
+    got = [tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by_text = Counter(t for _, t in got)
+    assert len(got) == 8 and (5, a) in got and (5, b) in got and (9, e) in got and by_text[""] == 2 and by_text[None] == 1
+    assert by_text[c] + by_text[c + " more"] == 1 and by_text[d] + by_text[d + " more"] == 1
