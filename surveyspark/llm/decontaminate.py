@@ -10,13 +10,16 @@ ignored; equal items share their windows and are all reported; repeated document
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, char_offsets, encode
+from .common import bounded_batches, char_offsets, encode, materialize
 
 WINDOW = 10
 #: Bytes of window text in one automaton; a larger benchmark is scanned in several blocks.
@@ -118,25 +121,47 @@ def scan_udf(scanner: Scanner, schema: str):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text", out: str = "contamination") -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, spans (first_word, last_word, start, end), items.
 
-    All columns of ``docs`` stay as they are. Spans of one block are merged; those of several blocks may overlap.
+    All other columns of ``docs`` stay as they are. Spans are merged. A benchmark of more than one block is scanned block by block, each
+    held once at a time; the hits of each are written to the shared folder.
     """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     schema = "n_words long, spans array<struct<first_word:long,last_word:long,start:long,end:long>>, items array<string>"
-    blocks = list(window_blocks(item_windows(benchmark, window), block_bytes)) or [[]]
-    parts = []
-    for block in blocks:
-        parts.append(scan_udf(Scanner(block), schema)(F.col(text)))
-    held = [f"__block_{i}" for i in range(len(parts))]
-    found = docs.withColumns(dict(zip(held, parts, strict=True)))
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"{h}.spans") for h in held])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{h}.items") for h in held]))))
-    start = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    step = lambda acc, s: F.struct(  # noqa: E731  words of a span that no earlier span has
-        F.greatest(acc["last"], s["last_word"]).alias("last"), (acc["n"] + F.greatest(s["last_word"] - F.greatest(s["first_word"] - 1, acc["last"]), F.lit(0))).alias("n")
-    )
-    whole = F.struct(F.col(f"{held[0]}.n_words").alias("n_words"), F.aggregate(spans, start, step)["n"].alias("n_hit"), spans.alias("spans"), items.alias("items"))
-    return found.withColumn(out, whole).drop(*held)
+    blocks = window_blocks(item_windows(benchmark, window), block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.withColumn("__f", scan_udf(Scanner(first), schema)(F.col(text))).withColumn(out, _counted("__f", "__f")).drop("__f")
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    hits = []
+    for block in chain((first, second), blocks):
+        found = rows.select("__row", scan_udf(Scanner(block), schema)(F.col(text)).alias("f")).filter(F.size("f.spans") > 0)
+        hits.append(materialize(found.select("__row", "f.spans", "f.items"), "hits"))
+    by_row = reduce(DataFrame.unionAll, hits).groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merge = F.pandas_udf(merged, "array<struct<first_word:long,last_word:long,start:long,end:long>>")
+    by_row = by_row.select("__row", F.struct(merge("spans").alias("spans"), "items").alias("__f"))
+    words = scan_udf(Scanner([]), schema)(F.col(text))
+    found = rows.withColumn("__words", words).join(by_row, "__row", "left").withColumn("__f", F.coalesce("__f", F.struct(F.col("__words.spans").alias("spans"), F.col("__words.items").alias("items"))))
+    return found.withColumn(out, _counted("__words", "__f")).drop("__row", "__words", "__f")
+
+
+def _counted(words: str, found: str):
+    n_hit = F.aggregate(f"{found}.spans", F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
+    return F.struct(F.col(f"{words}.n_words").alias("n_words"), n_hit.alias("n_hit"), F.col(f"{found}.spans").alias("spans"), F.col(f"{found}.items").alias("items"))
+
+
+def merged(all_spans: pd.Series) -> pd.Series:
+    """Spans of several blocks as the scan of one would give them: runs of hit words."""
+    out = []
+    for spans in all_spans:
+        runs: list[dict] = []
+        for s in sorted(spans, key=lambda s: (s["first_word"], s["last_word"])):
+            if runs and s["first_word"] <= runs[-1]["last_word"] + 1:
+                if s["last_word"] > runs[-1]["last_word"]:
+                    runs[-1] |= {"last_word": s["last_word"], "end": s["end"]}
+            else:
+                runs.append(dict(s))
+        out.append(runs)
+    return pd.Series(out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
