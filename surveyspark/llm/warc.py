@@ -42,7 +42,9 @@ def page_roles(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     firsts = sized.filter(F.col("payload_bytes") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    joined = sized.join(firsts.drop("n"), "digest", "left")
+    # Short payloads have no first page: they do not meet under one digest.
+    key = F.when(F.col("payload_bytes") >= LEAST, F.col("digest")).otherwise(F.concat_ws(":", "digest", F.pmod(F.xxhash64("page_id", "url"), F.lit(4096))))
+    joined = sized.withColumn("key", key).join(firsts.select(F.col("digest").alias("key"), "first"), "key", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", "digest", "payload_bytes", refers.alias("refers_to"))
 
