@@ -5,7 +5,7 @@ attention gives each passage a weight within its document, and the weighted sum
 attention and scorer are learned together from document labels.
 
 The sample to learn from is bounded by parameters: ``per_class`` labelled documents of each class, those with the smallest
-hash of the id among texts of up to ``TRAIN_CHARS`` characters. Scores cover whole texts, all passages.
+hash of the id, and of each at most ``TRAIN_PASSAGES`` evenly spread passages. Scores cover whole texts, all passages.
 
 Defined cases: a null or empty text is one passage without content and gets a score; labels that are null are not learned
 from; of several labels of one id the smallest holds; with no labels of both classes every score is the share of label 1
@@ -24,7 +24,7 @@ from .common import bounded_batches, crc_remainder, encode
 PASSAGE_BYTES = 600
 CELLS, WIDTH, GATE = 512, 32, 16
 PER_CLASS = 1500
-TRAIN_CHARS = 200_000
+TRAIN_PASSAGES = 48
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE = 30, 64, 0.01
 
@@ -122,7 +122,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
     @F.pandas_udf("binary")
     def bag(texts: pd.Series) -> pd.Series:
-        return pd.Series([passages(t).astype(np.float16).tobytes() for t in texts])
+        out = []
+        for t in texts:
+            rows = passages(t)
+            out.append(rows[np.linspace(0, len(rows) - 1, min(len(rows), TRAIN_PASSAGES)).astype(int)].astype(np.float16).tobytes())
+        return pd.Series(out)
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "bag"], kind="stable")
@@ -131,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         return pd.DataFrame({"name": list(p), "value": [np.asarray(x, np.float32).tobytes() for x in p.values()]})
 
     # The picked labels are at most twice per_class rows.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     found = sample.select("doc_id", "y", bag("text").alias("bag")).groupBy().applyInPandas(train, "name string, value binary").collect()
     shapes = {"E": (FEATURES, WIDTH), "V": (WIDTH, GATE), "U": (WIDTH, GATE), "b": ()}
     p = {r.name: np.frombuffer(r.value, np.float32).reshape(shapes.get(r.name, (-1,))) for r in found}
