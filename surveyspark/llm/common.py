@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.sources.scratch import drop_scratch, materialize, scratch_path
 
-__all__ = ["BASE", "bounded_batches", "char_offsets", "crc_remainder", "drop_scratch", "encode", "materialize", "mix", "prefix_hash", "range_hash", "scratch_path"]
+__all__ = ["BASE", "bounded_batches", "char_offsets", "crc_remainder", "drop_scratch", "encode", "materialize", "mix", "prefix_hash", "range_hash", "scratch_path", "spread_join"]
+
+#: Keys of ``spread_join`` that are broadcast, at most.
+HOT = 20_000
+
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a bounded number of rows and bytes, since single texts may be very long."""
@@ -21,6 +25,19 @@ def crc_remainder(column: str, divisor: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(0))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and in ``__n`` the key's number of rows, ``total`` over all keys.
+
+    Keys with more than total / HOT rows are at most HOT: they are broadcast, so that no task gathers a hot key. All others
+    meet in an ordinary join. ``__n`` goes.
+    """
+    cut = max(100, total // HOT)
+    hot, rest = table.filter(F.col("__n") > cut), table.filter(F.col("__n") <= cut)
+    spread = rows.join(F.broadcast(hot), key)
+    plain = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rest, key)
+    return spread.unionByName(plain).drop("__n")
+
+
 def encode(text: str | None) -> bytes:
     return text.encode("utf-8", "replace") if text else b""
 

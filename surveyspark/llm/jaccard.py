@@ -7,11 +7,13 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Two
    order in which sets are sorted, rare cells first; any order is right, this one keeps frequent shingles out of prefixes.
 2. Prefixes of the length that a link needs are taken. Classes with equal prefix and size are collapsed into one group, and
    only groups are put into the posting lists; lists of one group go. Lists of cells that the sketch shows as hot are salted.
-3. In each list, groups are paired with the list's first group only (a star), filtered by size and position, expanded to
-   their classes and bounded by cell histograms.
-4. Lists that still hold several components are paired across components, never within one, filtered and bounded alike.
-   Then all pairs are verified on whole sets. Where verified links leave a component in parts, lists are paired across these
-   parts too. No link between different components is left unseen.
+3. In each list, groups are paired with the list's first group only (a star), filtered by size and position and bounded by
+   cell histograms.
+4. Lists that still hold several components are worked on in rounds: their groups are paired with a few hashed ones of the list
+   (pivots; filtered by size, position and the parities of 512 cells), which joins most of what links, until an estimate says that pairs in proportion to the entries are left. Then
+   groups meet across components, never within one, and are expanded to their members and bounded. Then all pairs are
+   verified on whole sets. Where verified links leave a component in parts, lists are worked on again across these parts. No
+   link between different components is left unseen.
 
 Defined cases: null or empty texts and texts without words have no set and link with nothing; fewer than five words are
 one shingle; repeated rows are in one class; a null doc_id is never a component's smallest unless all its ids are null.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BASE, bounded_batches, drop_scratch, encode, materialize, mix, prefix_hash, range_hash
+from .common import BASE, bounded_batches, drop_scratch, encode, materialize, mix, prefix_hash, range_hash, spread_join
 from .components import components
 
 WORDS = 5
@@ -37,6 +39,9 @@ PIECE = 1 << 20
 #: Expected rows of a posting list's salted part.
 PART = 20_000
 HISTOGRAM = 256
+PARITY = 512
+#: Hashed entries of an open list with which all others are paired in a round, and rounds at most.
+PIVOTS, ROUNDS = 4, 6
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
 
@@ -101,6 +106,12 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITY cells whether its number of shingles is odd, as signed 64-bit words: sets differ in as many shingles at least as in bits."""
+    counts = np.bincount((shingles >> np.uint64(16) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -140,7 +151,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """One row a document: id, key of its text, size, set signature, group signature, histogram, prefix in rare-first order, salts (empty if all are 1)."""
+    """One row a document: id, key of its text, size, set signature, group signature, histogram, parities, prefix in rare-first order, salts (empty if all are 1)."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs))
 
@@ -151,26 +162,32 @@ def prefixes(docs: DataFrame, percent: int) -> DataFrame:
                 n = len(s)
                 a, b = signature(s)
                 if not n:
-                    rows.append((doc_id, key, 0, a, b, 0, 0, b"", [], []))
+                    rows.append((doc_id, key, 0, a, b, 0, 0, b"", [], [], []))
                     continue
                 level = sketch.value[cells(s)]
                 order = np.lexsort((s, level))[: n - -(-percent * n // 100) + 1]
                 prefix, salts = s[order], (2.0 ** (level[order] / 8.0) / PART).astype(np.int32) + 1
                 c, d = signature(np.append(prefix, np.uint64(n)))
-                rows.append((doc_id, key, n, a, b, c, d, histogram(s), prefix.astype(np.int64), salts if salts.max() > 1 else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "s1", "s2", "g1", "g2", "histogram", "prefix", "salts"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, key, n, a, b, c, d, histogram(s), parity(s), prefix.astype(np.int64), salts if salts.max() > 1 else []))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "n", "s1", "s2", "g1", "g2", "histogram", "parity", "prefix", "salts"]).astype({"doc_id": "Int64"})
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return keyed.mapInPandas(cut, "doc_id long, key long, n long, s1 long, s2 long, g1 long, g2 long, histogram binary, prefix array<long>, salts array<int>")
+    return keyed.mapInPandas(cut, "doc_id long, key long, n long, s1 long, s2 long, g1 long, g2 long, histogram binary, parity array<long>, prefix array<long>, salts array<int>")
 
 
-def fits(a: str, b: str, percent: int) -> Column:
-    """Size filter and position filter of two list entries: sizes, and what both still can share from here on."""
-    n, m, p, q = F.col(f"{a}_n"), F.col(f"{b}_n"), F.col(f"{a}_pos"), F.col(f"{b}_pos")
+def fits(percent: int) -> Column:
+    """Size filter and position filter of two list entries x and y: sizes, and what both still can share from here on."""
+    n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
     sized = (100 * F.least(n, m) >= percent * F.greatest(n, m))
     return sized & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
 
 
+def near(percent: int) -> Column:
+    """Parity filter of two list entries x and y: sets that link differ in few shingles. Groups of several classes have no parities and pass."""
+    differ = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get("x.parity", F.lit(0)).bitwiseXOR(F.get("y.parity", F.lit(0)))))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n")), F.lit(True))
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose histograms leave room for a link."""
     return _kept(pairs, classes, "histogram", percent)
@@ -196,31 +213,87 @@ def _kept(pairs: DataFrame, held: DataFrame, column: str, percent: int) -> DataF
             yield batch.loc[100 * found >= percent * (n - found), ["a", "b"]]
 
     side = lambda s: held.select(F.col("cls").alias(s), F.col("n").alias(f"{s}_n"), F.col(column).alias(f"{s}_held"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(keep, "a string, b string"), "pairs")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(keep, "a long, b long"), "pairs")
+
 
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+class Lists:
+    """Posting lists of groups, and for each group of several classes a list of these.
+
+    ``entries``: (h, unit, n, pos, inner); a unit is a group, whose id is that of its first class, or within a group (``inner``) a
+    class. ``members``: (gid, cls, several, parity); ``several`` says that the group has other classes too.
+    """
 
-def across(entries: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components, as ``links`` make them, that meet in a list and pass the filters."""
-    comps = components(links).withColumnRenamed("node", "cls")
-    entries = entries.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_lists = entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
-    entries = materialize(entries.join(open_lists, "h"), "open")
-    side = lambda s: entries.select("h", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "pos", "cls", "component")])
-    met = side("x").join(side("y"), "h").filter(F.col("x_component") < F.col("y_component")).filter(fits("x", "y", percent))
-    return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+    def __init__(self, entries: DataFrame, members: DataFrame, percent: int) -> None:
+        self.entries, self.members, self.percent = entries, members, percent
+
+    def still_open(self, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries, with the range of their components, of the lists that hold several components as ``links`` make them; and the members with their components."""
+        comps = components(links).withColumnRenamed("node", "cls")
+        placed = materialize(self.members.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls")).drop("node"), "placed")
+        units = placed.filter("several").groupBy(F.col("gid").alias("unit")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).withColumns({"parity": F.lit(None).cast("array<bigint>"), "inner": F.lit(False)})
+        units = units.unionByName(placed.select(F.col("cls").alias("unit"), F.col("component").alias("lo"), F.col("component").alias("hi"), "parity", F.col("several").alias("inner")))
+        entries = materialize(self.entries.join(units, ["unit", "inner"]), "ranges")
+        lists = entries.groupBy("h").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("__n")).filter("least <> most").drop("least", "most")
+        out = materialize(spread_join(entries, lists, "h", entries.count()), "open")
+        drop_scratch(entries)
+        return out, placed
+
+    def by_pivots(self, entries: DataFrame, more: int) -> tuple[DataFrame, float]:
+        """Pairs (a, b) of the open entries with PIVOTS hashed entries of their list, and an estimate of how many pairs all entries would make."""
+        entry = ("unit", "n", "pos", "lo", "hi", "parity")
+        pivots = F.array(*[F.min(F.struct(F.xxhash64("unit", F.lit(PIVOTS * more + i)).alias("rank"), *entry)) for i in range(PIVOTS)])
+        lists = entries.groupBy("h").agg(F.array_distinct(pivots).alias("y"), F.count("*").alias("__n")).withColumn("size", F.col("__n"))
+        met = spread_join(entries.select("h", F.struct(*entry).alias("x")), lists, "h", entries.count()).withColumn("made", F.col("size") / (2 * F.size("y"))).withColumn("y", F.explode("y"))
+        met = met.filter((F.col("x.unit") != F.col("y.unit")) & self._apart() & fits(self.percent) & near(self.percent))
+        met = materialize(met.select(*ordered("x.unit", "y.unit"), "made"), "met")
+        return met.select("a", "b").distinct(), met.agg(F.sum("made")).first()[0] or 0.0
+
+    def across(self, entries: DataFrame, placed: DataFrame) -> DataFrame:
+        """All pairs (a, b) of classes of different components that meet in a list and pass the filters: groups meet, then their members."""
+        side = lambda s: entries.select("h", "inner", F.struct("unit", "n", "pos", "lo", "hi", "parity").alias(s))
+        met = side("x").join(side("y"), ["h", "inner"]).filter((F.col("x.unit") < F.col("y.unit")) & self._apart() & fits(self.percent) & near(self.percent))
+        met = materialize(met.select("inner", F.col("x.unit").alias("x"), F.col("y.unit").alias("y")).distinct(), "met")
+        of = lambda s: placed.select(F.col("gid").alias(s), F.col("cls").alias(f"{s}_cls"), F.col("component").alias(f"{s}_component"))
+        members = met.filter("NOT inner").join(of("x"), "x").join(of("y"), "y").filter("x_component <> y_component").select(*ordered("x_cls", "y_cls"))
+        return members.unionAll(met.filter("inner").select(*ordered("x", "y"))).distinct()
+
+    @staticmethod
+    def _apart() -> Column:
+        """Not all that the two units hold is of one component."""
+        return ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
+
+    def joined(self, links: DataFrame, check) -> tuple[DataFrame, DataFrame]:
+        """``links`` with what ``check`` keeps of the pairs with pivots, in rounds until few pairs are left to meet or nothing is kept; and all of these."""
+        for more in reversed(range(ROUNDS)):
+            entries, placed = self.still_open(links)
+            n = entries.count()
+            if not n:
+                return links, links.limit(0)
+            pairs, left = self.by_pivots(entries, more)
+            if left <= n or not more:
+                return links, self.across(entries, placed)
+            found = check(pairs)
+            if found.isEmpty():
+                return links, self.across(entries, placed)
+            links = materialize(links.unionAll(found), "links")
+            drop_scratch(entries, placed)
 
 
 def placed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, key, n, cls) and classes (cls, component, least, of): ``of`` is the class's first (no id, id, key)."""
+    """Documents (doc_id, key, n, s1, s2) and classes (s1, s2, __n, least, of, component): ``of`` is the class's first (no id, id, key), ``__n`` its documents."""
     bounded_batches(docs.sparkSession)
-    cls = F.when(F.col("n") > 0, F.concat_ws(":", F.hex("s1"), F.hex("s2"))).alias("cls")
     full = materialize(prefixes(docs, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    rows = materialize(full.select("doc_id", "key", "n", cls, "g1", "g2", "row", "histogram"), "rows")
+    rows = materialize(full.select("doc_id", "key", "n", "s1", "s2", "g1", "g2", "row", "histogram", "parity"), "rows")
     group = ["g1", "g2", "n"]
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("of"), F.min(F.struct("g1", "g2")).alias("g"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+    classes = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("cls"), F.count("*").alias("__n"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("of"), F.min(F.struct("g1", "g2")).alias("g"), F.first("n").alias("n"), F.first("histogram").alias("histogram"), F.first("parity").alias("parity"))
     classes = materialize(classes, "classes")
 
-    # Posting lists of groups; lists of one group go, unless they are parts of a salted list.
+    # Posting lists of groups; lists of one group go, unless they are parts of a salted list. A group's id is its first row, as a
+    # class's is: a group has the id of its first class.
     groups = full.filter("n > 0").groupBy(*group).agg(F.min("row").alias("gid"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
     listed = groups.select("gid", "n", "salts", F.posexplode("prefix").alias("pos", "h"))
     salts = F.coalesce(F.get("salts", F.col("pos")), F.lit(1))
@@ -232,45 +305,51 @@ def placed_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     lists = materialize(listed.select("h", "gid", n("at").alias("n"), pos("at").alias("pos"), F.col("first.gid").alias("x"), n("first.at").alias("x_n"), pos("first.at").alias("x_pos")), "lists")
     drop_scratch(full)
 
-    gids = rows.filter("n > 0").groupBy(*group).agg(F.min("row").alias("gid"))
-    members = classes.select("cls", F.col("g.g1").alias("g1"), F.col("g.g2").alias("g2"), "n").join(gids, group).select("gid", "cls", F.col("n").cast("int").alias("n"))
-    members = materialize(members, "members")
-    several = materialize(members.groupBy("gid").agg(F.count("*").alias("k"), F.min("cls").alias("a")), "groups")
-    inner = members.join(several.filter("k > 1").select("gid", "a"), "gid")
+    gids = rows.filter("n > 0").groupBy(*group).agg(F.min("row").alias("gid"), F.count("*").alias("__n"))
+    members = spread_join(classes.select("cls", F.col("g.g1").alias("g1"), F.col("g.g2").alias("g2"), "n", "parity"), gids, group, rows.count())
+    inner = members.filter("gid <> cls")
+    members = members.join(inner.select("gid", F.lit(True).alias("several")).distinct(), "gid", "left")
+    members = materialize(members.select("gid", "cls", F.col("n").cast("int").alias("n"), F.col("several").isNotNull().alias("several"), "parity"), "members")
+    inner = members.filter("gid <> cls")
 
     # Stars: each group of a list with the list's first, each class of a group with the group's first.
-    star = lists.filter("x <> gid").select("x", "x_n", "x_pos", F.col("gid").alias("y"), F.col("n").alias("y_n"), F.col("pos").alias("y_pos"))
-    star = star.filter(fits("x", "y", percent)).select("x", "y").distinct()
-    pairs = star.join(several.select(F.col("gid").alias("x"), "a"), "x").join(members.select(F.col("gid").alias("y"), F.col("cls").alias("b")), "y").select("a", "b")
-    pairs = pairs.unionAll(inner.filter("a <> cls").select("a", F.col("cls").alias("b")))
-    stars = bounded(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent)
+    star = lists.filter("x <> gid").select(F.struct(F.col("x").alias("unit"), F.col("x_n").alias("n"), F.col("x_pos").alias("pos")).alias("x"), F.struct(F.col("gid").alias("unit"), "n", "pos").alias("y"))
+    pairs = star.filter(fits(percent)).select(*ordered("x.unit", "y.unit")).unionAll(inner.select(*ordered("gid", "cls")))
+    stars = bounded(pairs.distinct(), classes, percent)
 
-    # Across: entries of different components meet in the lists that still hold several. The first time, components are taken
+    # Lists that still hold several components: more stars, then all pairs across components. The first time, components are taken
     # as if all bounded pairs were links: pairs within such a component are of classes whose sets are needed in any case.
-    entries = lists.select("gid", "h", "n", "pos").join(members.drop("n"), "gid").select("h", "n", "pos", "cls")
-    entries = materialize(entries.unionAll(inner.select(F.xxhash64("gid", F.lit("group")).alias("h"), "n", F.lit(0).alias("pos"), "cls")), "entries")
-    crossed = bounded(across(entries, stars, percent), classes, percent)
-    tried = materialize(stars.unionAll(crossed), "tried")
+    within = members.filter("several").select(F.xxhash64("gid", F.lit("group")).alias("h"), F.col("cls").alias("unit"), "n", F.lit(0).alias("pos"), F.lit(True).alias("inner"))
+    entries = materialize(lists.select("h", F.col("gid").alias("unit"), "n", "pos", F.lit(False).alias("inner")).unionByName(within), "entries")
+    drop_scratch(lists)
+    held = Lists(entries, members.drop("n"), percent)
+    found, left = held.joined(stars, lambda pairs: bounded(pairs, classes, percent))
+    tried = materialize(found.unionAll(bounded(left, classes, percent)).distinct(), "tried")
     needed = tried.select(F.col("a").alias("cls")).union(tried.select(F.col("b").alias("cls"))).distinct()
     needed = needed.join(classes, "cls").select("cls", F.coalesce("of.doc_id", F.lit(-(1 << 63))).alias("doc"), F.col("of.key").alias("key"))
     sets = materialize(class_sets(docs, needed), "sets")
-    links = verified(tried, sets, percent)
     # Again with verified links: what is left are pairs within bounded components that fall apart.
-    left = across(entries, links, percent).join(tried, ["a", "b"], "left_anti")
-    left = left.join(sets.select(F.col("cls").alias("a")), "a", "left_semi").join(sets.select(F.col("cls").alias("b")), "b", "left_semi")
-    links = links.unionAll(verified(bounded(left, classes, percent), sets, percent))
+    known = lambda pairs: pairs.join(tried, ["a", "b"], "left_anti").join(sets.select(F.col("cls").alias("a")), "a", "left_semi").join(sets.select(F.col("cls").alias("b")), "b", "left_semi")
+    check = lambda pairs: verified(bounded(known(pairs), classes, percent), sets, percent)
+    links, left = held.joined(verified(tried, sets, percent), check)
+    links = links.unionAll(check(left))
 
-    placed = classes.select("cls", "least", "of").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    return rows.select("doc_id", "key", "n", "cls"), placed
+    placed = classes.select("s1", "s2", "__n", "cls", "least", "of").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = materialize(placed.drop("cls"), "placed")
+    drop_scratch(entries, members, tried, sets, classes)
+    return rows.select("doc_id", "key", "n", "s1", "s2"), placed
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, key (hash of the text), n_shingles, component_id; one row a document."""
     rows, placed = placed_classes(docs, percent)
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.select("cls", "component").join(least, "component").select("cls", "component_id")
-    found = rows.join(placed, "cls", "left")
-    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    n = placed.count()
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("__n"))
+    placed = spread_join(placed.select("s1", "s2", F.col("__n").alias("copies"), "component"), least, "component", n)
+    placed = materialize(placed.select("s1", "s2", F.col("copies").alias("__n"), "component_id"), "least")
+    found = spread_join(rows.filter("n > 0"), placed, ["s1", "s2"], rows.count())
+    found = found.unionByName(rows.filter("n = 0").withColumn("component_id", F.col("doc_id")))
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
 
 
 def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -283,7 +362,7 @@ def class_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("key"), "text")
     found = keyed.join(needed, ["doc", "key"]).dropDuplicates(["doc", "key"])  # rows alike in id and text
-    return found.select("cls", "text").mapInPandas(build, "cls string, n long, shingles binary")
+    return found.select("cls", "text").mapInPandas(build, "cls long, n long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
