@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_remainder
+from .common import bounded_batches, crc_remainder, spread_join
 
 CELLS = 4096
 CENTROIDS = 4
@@ -95,8 +95,8 @@ def learn(train: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) ->
         centres, radii = clusters(rows, centroids)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "radius": radii})
 
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
-    ids = train.select("doc_id", "lang").join(sizes, "lang")
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).withColumn("__n", F.col("n"))
+    ids = spread_join(train.select("doc_id", "lang"), sizes, "lang", n)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)  # about one and a half times the bound; the rest goes in fit
     picked = ids.filter(share * F.col("n") < 1.5 * sample + 50).select("doc_id", "lang").distinct()
     # So many ids a language at most, texts do not move.
