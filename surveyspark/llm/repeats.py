@@ -6,21 +6,21 @@ never cross documents). The work is cut into independent shards by anchors that
 1. The anchor of a window of ``length`` bytes is its first k-gram of least hash. Windows that follow each other share anchors,
    so an anchor owns a run of windows, its segment. Equal windows have equal anchors at equal offsets, and so always meet
    under one anchor hash.
-2. Segments are counted by anchor and content. Content that occurs twice is repeated as a whole. Content that occurs once
-   under an anchor that has other content too may be repeated in part; only these segments, and one of each content beside
-   them, go on. They are cut into ranges of at most 32 windows, aligned by the distance to the anchor, and counted again in
-   the same way by what all windows of a range have in common: repeats shorter than a window go here.
-3. Ranges that are left are indexed in shards of bounded size: the suffixes of a shard give its Burrows-Wheeler transform,
-   which is kept as runs with suffix positions and common prefixes sampled at the runs' ends. Matching statistics of every
-   range against all others are streamed from these samples, for inside a run the common prefix of the next text position is
-   one less. Windows with a match of ``length`` are repeated.
-4. Ranges that have very many contents (at the edge of a passage that stands in many texts) do not fit a shard. They are cut
-   and counted again down to single windows, which any number of tasks can share.
+2. Copies of a segment are one content with a count; a content that occurs twice is repeated as a whole. Content that occurs
+   once under an anchor that has other content too may be repeated in part; these segments, and one of each content beside
+   them, go on. Nothing else has a second place.
+3. They are indexed in shards, into which anchors are packed by bytes: the suffixes of a shard give its Burrows-Wheeler
+   transform, which is kept as runs with suffix positions and common prefixes sampled at the runs' ends. Matching statistics of
+   every text against all others are streamed from these samples, for inside a run the common prefix of the next text position
+   is one less. Windows with a match of ``length`` are repeated.
+4. An anchor with more contents than a shard takes (at the edge of a passage that stands in many texts) is cut into ranges of at
+   most 32 windows; what all windows of a range have in common is their anchor. They are counted and indexed in the same way,
+   and what still does not fit is cut again, down to single windows, which need no index: equal ones are copies.
 
 Runs of repeated windows are joined to their documents, merged and cut out.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows count as different documents,
-so that both lose all their windows; an empty table gives no rows. Exact but for collisions of 64-bit hashes.
+so that both lose all their windows; an empty table gives no rows. Exact but for collisions of 64-bit hashes of anchors and contents.
 """
 
 from __future__ import annotations
@@ -31,18 +31,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded_batches, encode, materialize, prefix_hash, range_hash
+from .common import bounded_batches, encode, materialize, prefix_hash, range_hash, spread_join
 
 LENGTH = 400
 GRAM = 64
 #: Bytes hashed at once; positions in such a piece fit the low bits of a key.
 PIECE_BITS = 20
-#: Windows of a range, and of the ranges of those with more than CONTENTS contents.
-RANGE, NARROW = 32, (8, 2, 1)
-CONTENTS = 1000
-#: Bytes of a shard, about.
-SHARD = 1 << 20
+#: Windows of a range of an anchor that does not fit a shard, and of ranges of such ranges. The last are single windows.
+RANGES = (32, 8, 2, 1)
+#: Bytes of a shard, of which no more than twice as many meet in a task, and shards of a bin.
+SHARD, BIN = 1 << 20, 64
+#: Byte at the end of a part, which UTF-8 does not have, and the bytes of the first ranks.
+END, FIRST = 255, 6
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -103,6 +105,7 @@ def pieces(texts, length: int):
 
 
 ROWS = "doc long, key long, at long, n int, lead int, once boolean, up long, anchor long, content long"
+PART = ("doc", "key", "at", "n", "lead", "once", "anchor", "size", "bytes")
 
 
 def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -142,75 +145,85 @@ def ranges(parts: DataFrame, width: int, length: int) -> DataFrame:
     return parts.select("doc", "key", "at", "n", "lead", "once", "bytes").mapInPandas(cut, ROWS)
 
 
-def sort_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs repeated as a whole, rows that may be repeated in part): the second with one row of each content beside them, and how many contents their anchor has."""
-    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "at", "n", "lead", "once", "up")).alias("of"))
+def sort_out(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(runs repeated as a whole, rows that may be repeated in part): the second with one row of each content beside them, and the bytes of all contents of their anchor."""
+    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("__n"), F.min(F.struct("doc", "key", "at", "n", "lead", "once", "up")).alias("of"))
     contents = materialize(contents, "contents")
-    whole = rows.filter("once").join(contents.filter("c > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc", "key", "at", "n")
-    alone = (F.col("c") == 1) & F.col("of.once")
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.max(alone).alias("open")).filter("contents > 1 AND open").drop("open")
-    open_ = contents.join(anchors, "anchor").select("of.doc", "of.key", "of.at", "of.n", "of.lead", "of.up", "anchor", "content", alone.alias("once"), "contents")
-    return whole, materialize(open_, "open")
+    copies = contents.filter("__n > 1").select("anchor", "content", "__n")
+    whole = spread_join(rows.filter("once"), copies, ["anchor", "content"], rows.count()).select("doc", "key", "at", "n")
+    alone = (F.col("__n") == 1) & F.col("of.once")
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("__n"), F.sum(F.col("of.n") + length - 1).alias("size"), F.max(alone).alias("open")).filter("__n > 1 AND open").drop("open")
+    open_ = spread_join(contents.select("of.*", "anchor", alone.alias("alone")), anchors, "anchor", contents.count())
+    return whole, materialize(open_.drop("once").withColumnRenamed("alone", "once"), "open")
 
 
 def with_bytes(rows: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     """``rows`` with their bytes, from the ``parts`` that they were cut from."""
     held = parts.select("doc", "key", F.col("at").alias("up"), F.col("bytes").alias("__held"))
     at = (F.col("at") - F.col("up") + 1).cast("int")
-    return rows.join(held, ["doc", "key", "up"]).withColumn("bytes", F.substring("__held", at, F.col("n") + length - 1)).drop("__held")
+    return rows.join(held, ["doc", "key", "up"]).withColumn("bytes", F.substring("__held", at, F.col("n") + length - 1)).select(*PART)
 
 
-def suffixes(text: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; only suffixes not yet told apart are sorted again."""
+def sort_suffixes(text: np.ndarray, end: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffix array by doubling, and for each doubled length the ranks of all suffixes by that many bytes.
+
+    ``text`` are parts that end with END, ``end`` the place of each position's END and ``part`` the number of its part. Suffixes end
+    with their part; ends of different parts differ. The first ranks are of six bytes and, if these hold an end, the part.
+    """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.zeros(n + 1, np.int64)
-    heads = np.concatenate(([True], text[order][1:] != text[order][:-1]))
+    rest, key = end - np.arange(n), np.zeros(n, np.uint64)
+    padded = np.concatenate((text, np.zeros(FIRST, np.uint8)))
+    for j in range(FIRST):
+        key = key << np.uint64(8) | np.where(rest < j, 0, padded[j : n + j]).astype(np.uint64)
+    key = key << np.uint64(16) | np.where(rest < FIRST, part + 1, 0).astype(np.uint64)
+    order = np.argsort(key)
+    heads = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    rank = np.zeros(n + 1, np.int32)
     rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0)) + 1
-    step = 1
-    while True:
-        group = rank[order]
-        size = np.bincount(group, minlength=n + 2)
-        loose = np.flatnonzero(size[group] > 1)
-        if not len(loose):
-            return order
+    step, levels = FIRST, []
+    loose = np.flatnonzero(np.bincount(rank[order], minlength=n + 2)[rank[order]] > 1)
+    while len(loose):
+        levels.append((step, rank.copy()))
         mine = order[loose]
-        follow = rank[np.minimum(mine + step, n)]
-        again = np.argsort(rank[mine] * (n + 2) + follow, kind="stable")
-        mine, follow = mine[again], follow[again]
+        both = rank[mine].astype(np.int64) * (n + 2) + rank[np.minimum(mine + step, n)]
+        again = np.argsort(both)
+        mine, both = mine[again], both[again]
         order[loose] = mine
-        base = rank[mine]
-        same = np.concatenate(([False], (base[1:] == base[:-1]) & (follow[1:] == follow[:-1])))
-        place = loose + 1
-        rank[mine] = np.maximum.accumulate(np.where(same, 0, place))
+        new = np.concatenate(([True], both[1:] != both[:-1]))
+        rank[mine] = np.maximum.accumulate(np.where(new, loose + 1, 0))
+        single = new & np.concatenate((new[1:], [True]))
+        loose = loose[~single]
         step *= 2
+    return order, levels
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of suffixes, up to ``most``."""
-    padded = np.concatenate((text, -1 - np.arange(most)))
-    view = np.lib.stride_tricks.sliding_window_view(padded, most)
+def common_prefix(text: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``a`` and ``b``, which differ."""
     out = np.zeros(len(a), np.int64)
-    for at in range(0, len(a), 2048):
-        differ = view[a[at : at + 2048]] != view[b[at : at + 2048]]
-        out[at : at + 2048] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    for step, rank in reversed(levels):
+        out += step * (rank[np.minimum(a + out, len(text))] == rank[np.minimum(b + out, len(text))])
+    going = np.ones(len(a), bool)
+    for _ in range(FIRST):
+        x, y = text[np.minimum(a + out, len(text) - 1)], text[np.minimum(b + out, len(text) - 1)]
+        going &= (x == y) & (x != END)
+        out += going
     return out
 
 
 class RunLengthIndex:
-    """Burrows-Wheeler transform of a text as runs, with positions and common prefixes sampled at both ends of each run."""
+    """Burrows-Wheeler transform of texts as runs, with positions and common prefixes sampled at both ends of each run."""
 
-    def __init__(self, text: np.ndarray, most: int) -> None:
-        order = suffixes(text)
+    def __init__(self, parts: list[bytes]) -> None:
+        text = np.frombuffer(b"".join(p + bytes([END]) for p in parts), np.uint8)
+        sizes = np.array([len(p) + 1 for p in parts], np.int64)
+        self.starts, self.n = np.cumsum(sizes) - sizes, len(text)
+        order, levels = sort_suffixes(text, np.repeat(self.starts + sizes - 1, sizes), np.repeat(np.arange(len(parts)), sizes))
         bwt = text[order - 1]
-        turn = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
-        self.n, self.symbols = len(text), bwt[turn]
-        self.sizes = np.diff(np.append(turn, len(text)))
-        end = np.append(turn[1:], len(text)) - 1
-        self.heads, self.tails = order[turn], order[end]
-        above, below = order[np.maximum(turn - 1, 0)], order[np.minimum(end + 1, len(order) - 1)]
-        self.head_match = np.where(turn > 0, common_prefix(text, self.heads, above, most), 0)
-        self.tail_match = np.where(end + 1 < len(order), common_prefix(text, self.tails, below, most), 0)
+        turn = np.flatnonzero(np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == END))))  # ends of parts are all different
+        end = np.append(turn[1:], self.n) - 1
+        self.symbols, self.sizes, self.heads, self.tails = bwt[turn], end - turn + 1, order[turn], order[end]
+        self.head_match = np.append([0], common_prefix(text, levels, self.heads[1:], self.tails[:-1]))
+        self.tail_match = np.append(self.head_match[1:], 0)
 
     def matching_statistics(self) -> np.ndarray:
         """For each text position the longest match that starts elsewhere, streamed from the samples in text order."""
@@ -218,29 +231,26 @@ class RunLengthIndex:
         for places, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
             by_place = np.argsort(places)
             places, match = places[by_place], match[by_place]
-            last = np.searchsorted(places, np.arange(self.n), "right") - 1
-            value = np.where(last >= 0, match[last] - (np.arange(self.n) - places[last]), 0)
-            np.maximum(best, value, out=best)
+            reach = np.repeat(match + places, np.diff(np.append(places, self.n)))  # the first position is a sample: its symbol is an end
+            np.maximum(best[places[0] :], reach - np.arange(places[0], self.n), out=best[places[0] :])
         return best
 
 
 def repeated_parts(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Runs of repeated windows (doc, key, at, n) in the segments of a shard that occur once."""
-    parts = [np.frombuffer(b, np.uint8).astype(np.int32) for b in rows["bytes"]]
-    starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-    text = np.concatenate([x for i, p in enumerate(parts) for x in (p, np.array([256 + i], np.int32))])
-    matches = RunLengthIndex(text, max(map(len, parts)) + 1).matching_statistics() >= length
+    index = RunLengthIndex(list(rows["bytes"]))
+    matches = index.matching_statistics() >= length
     out = []
-    for i, (doc, key, at, n, once) in enumerate(zip(rows["doc"], rows["key"], rows["at"], rows["n"], rows["once"], strict=True)):
+    for start, doc, key, at, n, once in zip(index.starts, rows["doc"], rows["key"], rows["at"], rows["n"], rows["once"], strict=True):
         if once:
-            edge = np.diff(np.concatenate(([0], matches[starts[i] : starts[i] + n], [0])).astype(np.int8))
+            edge = np.diff(np.concatenate(([0], matches[start : start + n], [0])).astype(np.int8))
             out += [(doc, key, at + a, b - a) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
     return pd.DataFrame(out, columns=["doc", "key", "at", "n"])
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``wanted`` rows with their bytes, from whole texts."""
-    fields = ("at", "n", "lead", "once")
+    fields = ("at", "n", "lead", "once", "anchor", "size")
 
     def cut(batches):
         for batch in batches:
@@ -252,27 +262,34 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     by_doc = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct(*fields)).alias("wants"))  # at most a text's segments
     joined = docs.join(by_doc, ["doc", "key"]).dropDuplicates(["doc", "key"])  # rows alike in id and text
-    return joined.select("doc", "key", "text", "wants").mapInPandas(cut, "doc long, key long, at long, n int, lead int, once boolean, bytes binary")
+    return joined.select("doc", "key", "text", "wants").mapInPandas(cut, "doc long, key long, at long, n int, lead int, once boolean, anchor long, size long, bytes binary").select(*PART)
+
+
+def shards(parts: DataFrame) -> DataFrame:
+    """``parts`` with the number of their ``shard`` (bin, place): anchors stay together and are packed by bytes, in bins of many shards each."""
+    sizes = parts.groupBy("anchor").agg(F.first("size").alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    binned = sizes.withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(total // (BIN * SHARD) + 1)))
+    ahead = F.sum("size").over(Window.partitionBy("bin").orderBy("anchor").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = binned.select("anchor", F.struct("bin", F.floor(ahead / SHARD).alias("place")).alias("shard"))
+    return parts.join(placed, "anchor")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc, key, text) -> (doc, key, at, n): runs of windows that start at bytes at .. at + n - 1 and occur elsewhere too."""
-    out, wanted = sort_out(materialize(find_segments(docs, length, gram), "segments"))
+    out, wanted = sort_out(materialize(find_segments(docs, length, gram), "segments"), length)
     parts = materialize(cut_out(docs, wanted, length), "parts")
-    whole, open_ = sort_out(materialize(ranges(parts, RANGE, length), "ranges"))
-    out = out.unionAll(whole)
-
-    narrow = materialize(with_bytes(open_.filter(F.col("contents") <= CONTENTS), parts, length), "shards")
-    size = narrow.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = narrow.select("doc", "key", "at", "n", "once", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(int(size // SHARD) + 1)).alias("shard"))
-    out = out.unionAll(shards.groupBy("shard").applyInPandas(lambda rows: repeated_parts(rows, length), "doc long, key long, at long, n int"))
-
-    wide = open_.filter(F.col("contents") > CONTENTS)
-    for width in NARROW:
-        parts = materialize(with_bytes(wide, parts, length), "parts")
-        whole, wide = sort_out(materialize(ranges(parts, width, length), "ranges"))
+    fit = parts.filter(F.col("size") <= SHARD)
+    for width in RANGES:
+        wide = parts.filter(F.col("size") > SHARD)
+        if wide.isEmpty():
+            break
+        whole, open_ = sort_out(materialize(ranges(wide, width, length), "ranges"), length)
         out = out.unionAll(whole)
-    return out
+        parts = materialize(with_bytes(open_, wide, length), "parts")
+        fit = fit.unionAll(parts.filter(F.col("size") <= SHARD))
+    dealt = shards(fit).select("doc", "key", "at", "n", "once", "bytes", "shard")
+    return out.unionAll(dealt.groupBy("shard").applyInPandas(lambda rows: repeated_parts(rows, length), "doc long, key long, at long, n int"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kept_bytes: bool = True) -> DataFrame:

@@ -92,6 +92,8 @@ def test_contamination(spark, docs, rows):
     assert spans and all(rows[long][1][s.start : s.end] == " ".join(rows[long][1].split()[s.first_word : s.last_word + 1]) for s in spans)
     blocks = decontaminate.contamination(docs, bench, block_bytes=200, out="f").select("doc_id", "f.n_words", "f.n_hit", "f.items").collect()
     same([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in blocks], expected)
+    whole = decontaminate.contamination(docs, bench, out="f").select("doc_id", "f.spans").collect()
+    same(decontaminate.contamination(docs, bench, block_bytes=200, out="f").select("doc_id", "f.spans").collect(), whole)
 
 
 def test_token_counts(docs, rows):
@@ -186,9 +188,9 @@ def brute_repeats(texts, length):
         yield len(r), [bool(g) for g in gone], np.frombuffer(r, np.uint8)[~gone].tobytes()
 
 
-@pytest.mark.parametrize("contents", [1000, 1])
-def test_repeats(spark, docs, rows, contents, monkeypatch):
-    monkeypatch.setattr(repeats, "CONTENTS", contents)
+@pytest.mark.parametrize("shard", [1 << 20, 300])
+def test_repeats(spark, docs, rows, shard, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", shard)
     monkeypatch.setattr(repeats, "PIECE_BITS", 13)
     got = repeats.remove_repeats(docs.select("doc_id", "text"), length=120).collect()
     expected = [(r[0], n, kept) for r, (n, _, kept) in zip(rows, brute_repeats([r[1] for r in rows], 120), strict=True)]
@@ -199,21 +201,22 @@ def test_repeats(spark, docs, rows, contents, monkeypatch):
 def test_run_length_index():
     rnd = np.random.default_rng(3)
     for _ in range(20):
-        s = rnd.integers(0, 3, 200).astype(np.int32)
-        s[100:150] = s[20:70]
-        s = np.append(s, 99).astype(np.int32)
-        order = repeats.suffixes(s)
-        assert sorted(range(len(s)), key=lambda i: tuple(s[i:])) == order.tolist()
-        found = repeats.RunLengthIndex(s, 201).matching_statistics()
-        for i in range(len(s)):
+        parts = [rnd.integers(97, 100, n).astype(np.uint8) for n in (120, 0, 90, 7)]
+        parts[2][20:70] = parts[0][20:70]
+        parts = [p.tobytes() for p in parts] + [b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+        index = repeats.RunLengthIndex(parts)
+        found = index.matching_statistics()
+        at = [(i, k) for i, p in enumerate(parts) for k in range(len(p) + 1)]
+        for place, (i, k) in enumerate(at):
             best = 0
-            for j in range(len(s)):
-                if i != j:
-                    k = 0
-                    while max(i, j) + k < len(s) and s[i + k] == s[j + k]:
-                        k += 1
-                    best = max(best, k)
-            assert found[i] == best
+            for j, m in at:
+                if (i, k) != (j, m):
+                    n = 0
+                    while max(k + n - len(parts[i]), m + n - len(parts[j])) < 0 and parts[i][k + n] == parts[j][m + n]:
+                        n += 1
+                    best = max(best, n)
+            assert max(0, found[place]) == best
+        assert index.sizes.sum() == len(at)
 
 
 def brute_jaccard(rows, percent=80):
@@ -364,3 +367,29 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     by_text = Counter(t for _, t in got)
     assert len(got) == 8 and (5, a) in got and (5, b) in got and (9, e) in got and by_text[""] == 2 and by_text[None] == 1
     assert by_text[c] + by_text[c + " more"] == 1 and by_text[d] + by_text[d + " more"] == 1
+
+
+def test_components_in_parts(spark, monkeypatch):
+    """A star, a chain and dense groups, cut into many parts, with hot nodes."""
+    from surveyspark.llm import common
+    from surveyspark.llm import components as module
+
+    monkeypatch.setattr(module, "FOREST", 300)
+    monkeypatch.setattr(common, "HOT", 50)
+    pairs = [(0, i) for i in range(1, 1200)] + [(i, i + 1) for i in range(2000, 2060)] + [(a, b) for a in range(3000, 3025) for b in range(a) if b >= 3000]
+    found = {r.node: r.component for r in module.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(found[i] == (0 if i < 1200 else 2000 if i < 3000 else 3000) for p in pairs for i in p)
+
+
+def test_near_copies_that_do_not_link_do_not_meet_in_all_pairs(spark, monkeypatch):
+    """One posting list holds many documents: a large group that links, and many others that link with nothing."""
+    rnd = random.Random(13)
+    rare, base = text(rnd, 5).upper().replace(" ", "Q "), text(rnd, 100).split()
+    rows = [(i, f"{rare} " + " ".join(w if rnd.random() > 0.004 else f"w{rnd.randrange(10**9)}" for w in base)) for i in range(150)]
+    rows += [(1000 + i, f"{rare} " + text(rnd, 100)) for i in range(150)]
+    made = []
+    across = jaccard.Lists.across
+    monkeypatch.setattr(jaccard.Lists, "across", lambda self, *a: (made.append((out := across(self, *a)).count()), out)[1])
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).drop("key").collect()
+    same([tuple(r) for r in got], brute_jaccard(rows))
+    assert sum(made) < 2000
