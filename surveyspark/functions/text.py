@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-STOP_WORDS = ("the", "of", "in", "a", "an", "and", "or", "to", "for", "is", "on", "by", "with", "at")
+#: Words that say nothing about what a label means.
+STOP_WORDS = (
+    "the", "a", "an", "of", "in", "to", "for", "is", "are", "was", "were", "do", "does", "did",
+    "name", "names", "you", "your", "he", "she", "his", "her", "and", "or", "at", "on", "by", "with",
+)
+
+
+def _plain_forms() -> tuple[str, str]:
+    """Letters and digits whose compatibility decomposition is one ASCII letter or digit and marks; and these."""
+    pairs = []
+    for code in range(0x80, 0x10000):
+        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0].isascii() and base[0].isalnum():
+            pairs.append((chr(code), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _plain_forms()
 
 
 def name_key(col: Column) -> Column:
-    """A name without accents, leading code, punctuation and case."""
-    plain = F.translate(F.lower(col), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"^\s*[0-9]+[\s.\-]*", ""), r"[^a-z0-9]+", " "))
+    """The key of a place's name: without accents, leading code and case, and only its letters and digits. Null has the key ''."""
+    plain = F.translate(F.coalesce(col, F.lit("")), MARKED, PLAIN)
+    return F.regexp_replace(F.lower(F.regexp_replace(plain, r"^\s*\d+\s*[-\u2013\u2014.]?\s*", "")), r"[^a-z0-9]", "")
 
 
 def tokens(col: Column, stop: tuple = STOP_WORDS) -> Column:
-    """Distinct lower-case words of a label, without stop words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^a-z0-9]+", " ")), " ")
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*stop)))
+    """Distinct lower-case words of a label of two letters at least, without stop words."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^a-z0-9]+", " "), " ")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -32,21 +47,35 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-MISSING_LIKE = ("", "not stated", "missing", "dont know", "na", "n a", "none")
+#: Category texts that stand for a missing answer, and words with another form.
+MISSING_LIKE = ("not stated", "missing", "dont know", "dk", "unknown", "not known", "non determine", "nd", "ns", "not applicable", "na")
+SYNONYMS = {"others": "other", "yego": "yes", "oya": "no", "specify": "", "please": "", "specified": ""}
+
+
+def category_words(col: Column, synonyms: dict[str, str] = SYNONYMS) -> Column:
+    """The words of a category's text in order, lower-case, each in its common form; those whose form is empty go."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^a-z0-9]+", " "), " ")
+    forms = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
+    return F.filter(F.transform(words, lambda w: F.coalesce(F.element_at(forms, w), w)), lambda w: w != "")
+
+
+def block_ratio(x: str | None, y: str | None) -> float:
+    """Share of two texts that stands in matching blocks."""
+    return SequenceMatcher(None, x or "", y or "").ratio()
 
 
 def same_category(pairs: DataFrame, a: str, b: str, out: str = "same", cut: float = 0.6) -> DataFrame:
-    """Whether two category texts mean the same: equal keys, both missing-like, one's tokens inside the other's, or an edit ratio of ``cut``.
+    """Whether two category texts mean the same: equal words, both missing-like, one's words inside the other's, or a ratio of ``cut``.
 
     The ratio (on longest matching blocks) is taken on distinct pairs that the other rules leave open.
     """
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([block_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    x, y = name_key(F.coalesce(F.col(a), F.lit(""))), name_key(F.coalesce(F.col(b), F.lit("")))
-    tx, ty = tokens(F.col(a)), tokens(F.col(b))
+    tx, ty = category_words(F.col(a)), category_words(F.col(b))
+    x, y = F.array_join(tx, " "), F.array_join(ty, " ")
     inside = (F.size(tx) > 0) & (F.size(ty) > 0) & ((F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0))
     plain = (x == y) | (x.isin(*MISSING_LIKE) & y.isin(*MISSING_LIKE)) | inside
     held = pairs.withColumns({"__x": x, "__y": y, "__plain": plain})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyspark.sources.scratch import materialize
+
 
 def weighted_pivot(df: DataFrame, by: list[str], on: str, values: list, w: str) -> DataFrame:
     """Weighted counts by group, a column for each of ``values``, zero where there is none."""
@@ -60,14 +62,16 @@ def collapse_constant(df: DataFrame, by: list[str], head: Column, head_cols: lis
     ``head`` orders the members; the first is the head. Nulls count as a value of their own.
     """
     others = [c for c in df.columns if c not in by]
-    kinds = df.groupBy(*by).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in others])
-    varying = kinds.agg(*[F.count_if(F.col(c) > 1).alias(c) for c in others])
-    row = varying.first().asDict()  # a number a column decides which columns stay
-    constant = [c for c in others if not row[c]]
-    fields = [F.first(c, ignorenulls=True).alias(c) for c in constant] + [F.count("*").alias("size")]
-    fields += [F.min_by(c, head).alias(f"head_{c}") for c in head_cols]
-    report = varying.unpivot([], others, "column", "n_varying").filter("n_varying > 0") if others else varying
-    return df.groupBy(*by).agg(*fields), report
+    # A column is constant where its least and greatest values agree and it is null in all rows or in none: one pass of partial sums.
+    sums = [f(c).alias(f"__{name}_{i}") for i, c in enumerate(others) for name, f in (("low", F.min), ("high", F.max), ("n", F.count))]
+    # The head's fields stand after the order in one struct, which is compared from its start.
+    first = F.min(F.struct(head.alias("__order"), *[F.col(c).alias(f"head_{c}") for c in head_cols])).alias("__head")
+    groups = materialize(df.groupBy(*by).agg(F.count("*").alias("__size"), first, *sums), "groups")
+    varies = [~F.col(f"__low_{i}").eqNullSafe(F.col(f"__high_{i}")) | ((F.col(f"__n_{i}") > 0) & (F.col(f"__n_{i}") < F.col("__size"))) for i in range(len(others))]
+    row = groups.agg(*[F.count_if(v).alias(f"n_{i}") for i, v in enumerate(varies)], F.count("*").alias("all")).first()  # a number a column decides which columns stay
+    fields = [F.col(f"__low_{i}").alias(c) for i, c in enumerate(others) if not row[f"n_{i}"]]
+    report = df.sparkSession.createDataFrame([(c, row[f"n_{i}"]) for i, c in enumerate(others) if row[f"n_{i}"]], "column string, n_varying long")
+    return groups.select(*by, *fields, F.col("__size").alias("size"), *[F.col(f"__head.head_{c}") for c in head_cols]), report
 
 
 def member_counts(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from surveyspark.functions.text import name_key
@@ -86,30 +88,42 @@ def join_on_name(a: DataFrame, b: DataFrame, a_name: str, b_name: str, how: str
     return left.join(right, "__name", how).drop("__name")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float, one_to_one: bool = True) -> DataFrame:
-    """(block, left_name, right_name, score): names matched within a parent, exact ones first, then the most similar at or above ``cutoff``.
+def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0.6, one_to_one: bool = True) -> DataFrame:
+    """(block, left_name, right_name, score): names matched within a parent, equal ones first, then the closest by matching blocks at or above ``cutoff``.
 
-    ``left`` (block, name) and ``right`` (block, name). Similarity is 1 - edit distance / longer length of normalised names.
-    With ``one_to_one`` the best pairs are taken in turn within each parent and no name is used twice.
+    ``left`` (block, name) and ``right`` (block, name), compared without case and outer blanks. With ``one_to_one`` no name is used twice:
+    equal names are taken by a join, then each other left name, in order, takes the closest name that is left in its parent. Else every left
+    name gets its closest right name. Of equally close names the last in order is taken.
     """
-    a = left.select(block, F.col("name").alias("left_name"), name_key(F.col("name")).alias("__a")).distinct()
-    b = right.select(block, F.col("name").alias("right_name"), name_key(F.col("name")).alias("__b")).distinct()
-    score = 1 - F.levenshtein("__a", "__b") / F.greatest(F.length("__a"), F.length("__b"), F.lit(1))
-    pairs = a.join(b, block).withColumn("score", score).filter(F.col("score") >= cutoff).select(block, "left_name", "right_name", "score")
-    if not one_to_one:
-        best = Window.partitionBy(block, "left_name").orderBy(F.desc("score"), "right_name")
-        return pairs.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r")
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, kept = set(), set(), []
-        for i, r in rows.sort_values(["score", "left_name", "right_name"], ascending=[False, True, True]).iterrows():
-            if r.left_name not in used_left and r.right_name not in used_right:
-                used_left.add(r.left_name)
-                used_right.add(r.right_name)
-                kept.append(i)
-        return rows.loc[kept]
-
-    return pairs.groupBy(block).applyInPandas(take, pairs.schema)
+    key = F.upper(F.trim("name"))
+    a = left.filter("name IS NOT NULL").groupBy(block, key.alias("__a")).agg(F.min("name").alias("left_name"))
+    b = right.filter("name IS NOT NULL").groupBy(block, key.alias("__b")).agg(F.min("name").alias("right_name"))
+    equal = a.join(b.withColumnRenamed("__b", "__a"), [block, "__a"])
+    schema = T.StructType([a.schema[block], a.schema["left_name"], b.schema["right_name"], T.StructField("score", T.DoubleType())])
+    exact = equal.select(block, "left_name", "right_name", F.lit(1.0).alias("score"))
+    rest_a = a.join(equal.select(block, "__a"), [block, "__a"], "left_anti")
+    rest_b = b.join(equal.select(block, F.col("__a").alias("__b")), [block, "__b"], "left_anti") if one_to_one else b
+
+    def take(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        names, rows = dict(zip(theirs["__b"], theirs["right_name"], strict=True)), []
+        for r in mine.sort_values("__a").itertuples(index=False):
+            matcher = SequenceMatcher()
+            matcher.set_seq2(r[1])
+            best = None
+            for other in names:
+                matcher.set_seq1(other)
+                if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= max(cutoff, best[0] if best else 0):
+                    found = (matcher.ratio(), other)
+                    best = found if found[0] >= cutoff and (best is None or found > best) else best
+            if best:
+                rows.append((r[0], r[2], names[best[1]], best[0]))
+                if one_to_one:
+                    del names[best[1]]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    theirs = rest_b.select(F.col(block).alias("__block"), "__b", "right_name").groupBy("__block")
+    near = rest_a.select(block, "__a", "left_name").groupBy(block).cogroup(theirs).applyInPandas(take, schema)
+    return exact.unionAll(near)
 
 
 def match_period(df: DataFrame, period: str, mapping: dict, out: str) -> DataFrame:

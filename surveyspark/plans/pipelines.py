@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions import recode as R
@@ -32,82 +34,83 @@ def cell_master(cells: DataFrame, points: DataFrame, inside: DataFrame, losses:
     return out.withColumns({"density": C("n_buildings") / C("km2"), "loss_rate": rate, "usable": usable})
 
 
-def jobs_panel(people: DataFrame, classes: list, bands: tuple = (10.0, 20.0, 1e12)) -> DataFrame:
-    """Weighted workers by unit, wave and class, shares, and the unit's band by size. One shuffle on (unit, wave)."""
-    wide = A.weighted_pivot(people, ["sector", "wave"], "cls", classes, "wt")
+def jobs_panel(people: DataFrame, classes: list, unit: str, period: str, cls: str, wt: str, cuts: tuple, names: tuple, per: float = 1000.0) -> DataFrame:
+    """Weighted workers by unit, period and class, shares, and the unit's band by workers / ``per`` (``cuts`` between ``names``). One shuffle on (unit, period)."""
+    wide = A.weighted_pivot(people, [unit, period], cls, classes, wt)
     total = sum((C(c) for c in classes[1:]), C(classes[0]))
     shares = {f"share_{c}": R.guarded_ratio(C(c), total)[0] for c in classes}
-    return wide.withColumns({**shares, "workers": total, "band": R.band(total / 1000, [0.0, *bands], ["small", "medium", "large"])})
+    return wide.withColumns({**shares, "workers": total, "band": R.band(total / per, [0.0, *cuts, 1e12], list(names))})
+
 
+def output_by_district(crops: DataFrame, firms: DataFrame, district: str, item: str, price: Column, quantity: Column, weight: Column, price_window: Column, turnover: Column, least_share: float = 0.8) -> DataFrame:
+    """Fixed-price output of ``crops`` and the turnover of ``firms``, blank where under ``least_share`` of a district's firms report it."""
+    prices = A.fixed_price_value(crops, item, price, quantity, weight, price_window, [district])
+    services = firms.groupBy(district).agg(A.sum_if_covered(turnover, least_share).alias("turnover"))
+    return J.join_panels([prices, services], [district], "left")
 
-def output_by_district(people: DataFrame, price_window) -> DataFrame:
-    """Fixed-price output and services turnover, blank where under 80 % of rows have a price."""
-    prices = A.fixed_price_value(people, "type", C("value") / C("wt"), C("wt"), F.lit(1.0), price_window, ["dist"])
-    services = people.filter("segment <> 'BUILDING'").groupBy("dist").agg(A.sum_if_covered(F.when(C("size") < 48, C("value")), 0.8).alias("turnover"))
-    return J.join_panels([prices, services], ["dist"], "left")
 
+def sector_panel(panel: DataFrame, mapping: dict, unit: str, period: str, workers: str, land: str, farm_share: str, people: str) -> DataFrame:
+    """Unified panel with model objects: employment share (lam), land per worker, capital of farms and services, crowding, elasticity (eps)."""
+    timed = J.match_period(panel, period, mapping, "follows")
+    share = A.share_of(timed, workers, [period], "lam")
+    trend = A.trend(panel.withColumns({"__y": F.log(workers), "__x": F.log(land)}), [unit], "__y", "__x").select(unit, C("slope").alias("eps"))
+    objects = share.select(unit, period, "follows", "lam", (C(land) / C(workers)).alias("land"), (C(farm_share) * C(land)).alias("k_a"), ((1 - C(farm_share)) * C(land)).alias("k_s"), (C(workers) / C(people)).alias("crowd"))
+    return J.join_panels([objects, trend], [unit])
 
-def sector_panel(panel: DataFrame, mapping: dict) -> DataFrame:
-    """Unified panel with model objects: employment share, land per worker, capital ratios, crowding, elasticity."""
-    timed = J.match_period(panel, "wave", mapping, "follows")
-    share = A.share_of(timed, "y", ["wave"], "lam")
-    trend = A.trend(panel.withColumns({"ly": F.log("y"), "lx": F.log("x")}), ["sector"], "ly", "lx").select("sector", C("slope").alias("eps"))
-    return J.join_panels([share.select("sector", "wave", "follows", "lam", (C("x") / C("y")).alias("land"), (C("z") * C("x")).alias("k_a"), ((1 - C("z")) * C("x")).alias("k_s"), (C("y") / C("n")).alias("crowd")), trend], ["sector"])
 
+def district_rent(plots: DataFrame, index: DataFrame, base: int, district: str, period: str, rent: list[Column], area: Column, area_unit: Column, hectares: dict, wt: str, sentinels: tuple = (), tails: tuple = (0.01, 0.99)) -> DataFrame:
+    """Weighted median of real rent a hectare by district and period.
 
-def district_rent(people: DataFrame, index: DataFrame, base: int) -> DataFrame:
-    """Median real rent by district and wave: sentinels out, units converted, winsorised, deflated, weighted median."""
-    rent = people.filter("size < 48").withColumn("rent", F.when(C("wave") < 1997, C("value") / C("wt")).otherwise(C("value") / C("wt") * F.lit(1.0)))
-    real = R.deflate(W.winsorise(rent, "rent", ["wave"]), "rent", "wave", index, base, "real")
-    return A.wquantile(real.withColumn("real", F.round("real", 2)), ["dist", "wave"], "real", "wt")
+    Rent is the first of ``rent`` that is there and no sentinel; areas are converted by ``hectares`` (unit: hectares), units that it does not
+    list are missing. Values are winsorised within the period, then deflated by ``index`` (year, price) to ``base``.
+    """
+    paid = F.coalesce(*[F.when(~c.isin(*sentinels), c) if sentinels else c for c in rent])
+    size = area * F.coalesce(*[F.when(area_unit == F.lit(u), F.lit(float(h))) for u, h in hectares.items()])
+    rate = R.guarded_ratio(paid, size, 0.0)[0]
+    known = plots.withColumn("rent", rate).filter("rent IS NOT NULL")
+    real = R.deflate(W.winsorise(known, "rent", [period], *tails), "rent", period, index, base, "real")
+    return A.wquantile(real.withColumn("real", F.round("real", 2)), [district, period], "real", wt)
 
 
-def density(people: DataFrame, area: DataFrame) -> DataFrame:
-    """Population density and urban share by unit and wave."""
-    pop = people.groupBy("sector", "wave").agg(F.sum("wt").alias("value"), A.wshare(C("cls") == "R", C("wt")).alias("urban"))
-    base = pop.select("sector", "wave").join(area, "sector").select("sector", "wave", C("km2").alias("base"))
-    per = A.rate(pop.select("sector", "wave", "value"), base, ["sector", "wave"], 1.0)
-    return per.join(pop.select("sector", "wave", "urban"), ["sector", "wave"])
+def density(people: DataFrame, area: DataFrame, unit: str, period: str, wt: str, urban: Column) -> DataFrame:
+    """Population density and urban share by unit and period; ``area`` (unit, km2)."""
+    pop = people.groupBy(unit, period).agg(F.sum(wt).alias("value"), A.wshare(urban, C(wt)).alias("urban"))
+    base = pop.select(unit, period).join(area, unit).select(unit, period, C("km2").alias("base"))
+    per = A.rate(pop.select(unit, period, "value"), base, [unit, period], 1.0)
+    return per.join(pop.select(unit, period, "urban"), [unit, period])
 
 
-def controls(people: DataFrame, shapes: DataFrame, climate: DataFrame) -> DataFrame:
-    """Baseline control block by unit: demography, schooling, work, dwelling shares, shape and climate."""
-    w = C("wt")
-    block = people.groupBy(C("sector").alias("unit")).agg(
-        A.wshare(C("age") < 15, w).alias("young"), A.wshare(C("age") >= 45, w).alias("old"), A.wshare(C("sex") == "F", w).alias("female"), A.wmean(R.share(C("size"), [1, 2, 3], [48, 49, 50]), w).alias("small"),
-        A.wratio(C("value") * C("disc"), C("value"), w).alias("rate"), A.wmean(C("tax"), w).alias("tax"), A.wshare(C("cls") == "R", w).alias("returned"), A.wshare(C("segment") == "BUILDING", w).alias("building"),
-    )
-    return J.join_panels([block, shapes, climate], ["unit"], "left")
+def controls(people: DataFrame, unit: str, wt: str, shares: dict[str, Column], means: dict[str, Column], ratios: dict[str, tuple[Column, Column]], blocks: list[DataFrame]) -> DataFrame:
+    """Baseline control block by unit in one pass over persons: weighted shares, means and ratios of sums; ``blocks`` (unit, ...) stand beside them."""
+    w = C(wt)
+    sums = [A.wshare(c, w).alias(n) for n, c in shares.items()] + [A.wmean(c, w).alias(n) for n, c in means.items()] + [A.wratio(a, b, w).alias(n) for n, (a, b) in ratios.items()]
+    return J.join_panels([people.groupBy(C(unit).alias("unit")).agg(*sums), *blocks], ["unit"], "left")
 
 
-def housing_panel(people: DataFrame) -> DataFrame:
-    """Housing, education and cohort outcomes by unit and wave."""
-    good = R.by_wave(C("wave"), {1996: R.share(C("cls"), ["R"]), 1998: R.share(C("sex"), ["F"]), 2000: R.share(C("size"), [1, 2, 3, 4])})
-    years = R.schooling_years(F.least(C("pid"), F.lit(4)), C("size"), {1: 0, 2: 6, 3: 9, 4: 12}, {1: 6, 2: 3, 3: 3, 4: 4})
-    rows = people.filter(C("wave").isin(1996, 1998, 2000)).withColumns({"good": good, "years": years, "owns": R.any_of([C("disc") > 0.05, C("tax") > 0.04]).cast("double"), "ramp": R.exposure(C("age"), 10, 12)})
-    w = C("wt")
-    return rows.groupBy("sector", "wave").agg(*[A.wmean(C(c), w).alias(c) for c in ("good", "years", "owns", "ramp")])
+def housing_panel(people: DataFrame, unit: str, period: str, wt: str, outcomes: dict[str, Column]) -> DataFrame:
+    """Weighted means of housing, education, cohort and marriage outcomes by unit and period; an outcome may differ by wave (``by_wave``)."""
+    rows = people.withColumns(outcomes)
+    return rows.groupBy(unit, period).agg(*[A.wmean(C(c), C(wt)).alias(c) for c in outcomes])
 
 
-def three_sectors(people: DataFrame, rate: float) -> DataFrame:
-    """Three-sector jobs with candidates added back, and their upper bound."""
-    w = lambda c: F.coalesce(F.sum(F.when(c, C("wt"))), F.lit(0.0))
-    added, upper = A.addback(w(C("cls") == "A"), w((C("cls") == "R") & (C("size") > 25)), w(C("age").between(15, 45)), rate)
-    return people.groupBy("sector", "wave").agg(added.alias("farm"), upper.alias("farm_upper"), w(C("segment").isin("BUILDING", "MACHINERY")).alias("industry"), w(~C("segment").isin("BUILDING", "MACHINERY")).alias("services"))
+def three_sectors(people: DataFrame, unit: str, period: str, wt: str, farm: Column, candidate: Column, adult: Column, industry: Column, services: Column, rate: float) -> DataFrame:
+    """Jobs of three sectors, with farm candidates beyond ``rate`` of the adults added back, and the upper bound of farm jobs."""
+    w = lambda c: F.coalesce(F.sum(F.when(c, C(wt))), F.lit(0.0))
+    added, upper = A.addback(w(farm), w(candidate), w(adult), rate)
+    return people.groupBy(unit, period).agg(added.alias("farm"), upper.alias("farm_upper"), w(industry).alias("industry"), w(services).alias("services"))
 
 
-def labour_tables(people: DataFrame) -> DataFrame:
+def labour_tables(people: DataFrame, district: str, section: str, wt: str, tourism: Column) -> DataFrame:
     """District by section counts and shares, and each district's tourism share."""
-    counts = people.groupBy("dist", C("segment").alias("section")).agg(F.sum("wt").alias("workers"))
-    tourism = people.groupBy("dist").agg(A.wshare(C("brand").contains("#1"), C("wt")).alias("tourism"))
-    return A.share_of(counts, "workers", ["dist"]).join(tourism, "dist")
+    counts = people.groupBy(district, C(section).alias("section")).agg(F.sum(wt).alias("workers"))
+    of_all = people.groupBy(district).agg(A.wshare(tourism, C(wt)).alias("tourism"))
+    return A.share_of(counts, "workers", [district]).join(of_all, district)
 
 
-def tourism(people: DataFrame) -> DataFrame:
-    """Tourism employment under three definitions, by district and in total."""
-    w = lambda c: F.round(F.sum(F.when(c, C("wt")).otherwise(0.0)), 4)
-    narrow, medium = C("brand").contains("#1") & (C("size") <= 10), C("brand").contains("#1")
-    return A.with_total(people, "dist", [w(narrow).alias("narrow"), w(medium).alias("medium"), w(medium | (C("segment") == "FURNITURE")).alias("wide")])
+def tourism(people: DataFrame, district: str, wt: str, definitions: dict[str, Column]) -> DataFrame:
+    """Tourism employment under each definition, by district and in total."""
+    w = lambda c: F.round(F.sum(F.when(c, C(wt)).otherwise(0.0)), 4)
+    return A.with_total(people, district, [w(c).alias(name) for name, c in definitions.items()])
 
 
 def nightlights(long: DataFrame, pop: DataFrame, layers: list[str]) -> DataFrame:
@@ -119,52 +122,49 @@ def nightlights(long: DataFrame, pop: DataFrame, layers: list[str]) -> DataFrame
     return N.derive_series(joined, f"{layers[0]}_total", "people", 100.0)
 
 
-def rainfall(monthly: DataFrame) -> DataFrame:
+def rainfall(monthly: DataFrame, unit: str, year: str, month: str, rain: str) -> DataFrame:
     """District rainfall: complete years only, anomalies, and the nation's mean beside them."""
-    whole = W.complete_periods(monthly, ["sector", "wave"], "month")
-    years = W.anomaly(whole.groupBy("sector", "wave").agg(F.sum("rain").alias("rain")), ["sector"], "rain")
-    nation = years.groupBy("wave").agg(F.avg("rain").alias("nation"), F.avg(C("drought").cast("double")).alias("drought_share"))
-    return years.join(nation, "wave")
+    whole = W.complete_periods(monthly, [unit, year], month)
+    years = W.anomaly(whole.groupBy(unit, year).agg(F.sum(rain).alias(rain)), [unit], rain)
+    nation = years.groupBy(year).agg(F.avg(rain).alias("nation"), F.avg(C("drought").cast("double")).alias("drought_share"))
+    return years.join(nation, year)
 
 
-def park_gap(people: DataFrame) -> DataFrame:
-    """Treated less control share of returns by wave, with the effect of treatment on it."""
-    panel = people.groupBy("sector", "wave").agg(A.wshare(C("cls") == "R", C("wt")).alias("share")).withColumn("treat", (C("sector") < 8).cast("double"))
-    gap = panel.groupBy("wave").agg((F.avg(F.when(C("treat") == 1, C("share"))) - F.avg(F.when(C("treat") == 0, C("share")))).alias("gap"))
-    effect = E.did(panel.filter(C("wave").between(1995, 2000)), "share", "treat", "sector", "wave", 1998, "sector").select(C("coef").alias("did"), "p")
+def park_gap(people: DataFrame, unit: str, period: str, wt: str, outcome: Column, treated: Column, event: int, span: tuple) -> DataFrame:
+    """Treated less control share of the outcome by period, with the effect of treatment on it from ``event`` on within ``span``."""
+    panel = people.groupBy(unit, period).agg(A.wshare(outcome, C(wt)).alias("share")).withColumn("treat", treated.cast("double"))
+    gap = panel.groupBy(period).agg((F.avg(F.when(C("treat") == 1, C("share"))) - F.avg(F.when(C("treat") == 0, C("share")))).alias("gap"))
+    effect = E.did(panel.filter(C(period).between(*span)), "share", "treat", unit, period, event, unit).select(C("coef").alias("did"), "p")
     return gap.crossJoin(F.broadcast(effect))  # one row
 
 
-def survey_wave(people: DataFrame, households: DataFrame) -> DataFrame:
-    """Wave assembly: keys attached, members counted, households collapsed with their head."""
-    keyed = J.attach_keys(people.select("hhid", "wave", "sector", "pid", "partkey", "value", "cls", "age", "wt"), households, ["hhid"])
-    counted = A.member_counts(keyed, ["hhid"], {"young": C("age") < 15})
-    homes, _ = A.collapse_constant(counted.drop("cls", "age").join(counted.select("hhid", "pid", "partkey", "value", "age").distinct(), ["hhid", "pid", "partkey", "value"]), ["hhid"], F.struct("pid", "partkey", "value"), ["age"])
+def survey_wave(people: DataFrame, households: DataFrame, key: list[str], order: list[str], flags: dict[str, Column], head: list[str]) -> DataFrame:
+    """Wave assembly: household keys attached, members counted by ``flags``, households collapsed with their head's fields; the first member by ``order`` is the head."""
+    counted = A.member_counts(J.attach_keys(people, households, key), key, flags)
+    homes, _ = A.collapse_constant(counted, key, F.struct(*order), head)
     return homes
 
 
-def gate_gradient(panel: DataFrame) -> DataFrame:
-    """Outcome by distance band and the gradient of its growth in log distance."""
-    rows = panel.withColumns({"km": 1.0 + C("sector"), "lk": F.log(1.0 + C("sector")), "ly": F.log("y")})
-    rows = rows.withColumn("band", R.band(C("km"), [0, 5, 12, 100], ["near", "mid", "far"]))
-    slope = E.fe_ols(rows.withColumn("lk_t", C("lk") * (C("wave") >= 1998).cast("double")), "ly", ["lk_t"], ["sector", "wave"], "sector").select(C("coef").alias("gradient"), "p")
-    return rows.groupBy("band", "wave").agg(F.avg("y").alias("y")).crossJoin(F.broadcast(slope))  # one row
+def gate_gradient(panel: DataFrame, outcome: str, unit: str, period: str, km: Column, event: int, cuts: list, names: list) -> DataFrame:
+    """Outcome by distance band and the gradient of its growth from ``event`` on in log distance."""
+    rows = panel.withColumns({"__km": km, "__ly": F.log(outcome)}).withColumn("band", R.band(C("__km"), cuts, names))
+    slope = E.fe_ols(rows.withColumn("__lk", F.log("__km") * (C(period) >= event).cast("double")), "__ly", ["__lk"], [unit, period], unit).select(C("coef").alias("gradient"), "p")
+    return rows.groupBy("band", period).agg(F.avg(outcome).alias("y")).crossJoin(F.broadcast(slope))  # one row
 
 
-def forest_event_study(panel: DataFrame) -> DataFrame:
-    """Event study with overlap weights on a grid's cells."""
-    rows = panel.withColumn("treat", (C("sector") % 3 == 0).cast("int"))
-    weights = E.overlap_weights(rows.filter("wave = 1995").select("sector", "x", "z", "treat"), ["x", "z"], "treat").select("sector", "overlap_weight")
-    joined = rows.join(weights, "sector")
-    terms = {f"treat_{p}": C("treat").cast("double") * (C("wave") == p).cast("double") for p in range(1995, 2001) if p != 1997}
-    return E.fe_ols(joined.withColumns(terms), "y", list(terms), ["sector", "wave"], "sector", "overlap_weight")
+def forest_event_study(panel: DataFrame, outcome: str, unit: str, period: str, treated: Column, covariates: list[str], baseline: int, omitted: int, periods: list[int]) -> DataFrame:
+    """Event study with overlap weights from the covariates of the ``baseline`` period, on a grid's cells."""
+    rows = panel.withColumn("treat", treated.cast("int"))
+    weights = E.overlap_weights(rows.filter(C(period) == baseline).select(unit, *covariates, "treat"), covariates, "treat").select(unit, "overlap_weight")
+    terms = {f"treat_{p}": C("treat").cast("double") * (C(period) == p).cast("double") for p in periods if p != omitted}
+    return E.fe_ols(rows.join(weights, unit).withColumns(terms), outcome, list(terms), [unit, period], unit, "overlap_weight")
 
 
-def land_summaries(moves: DataFrame, panel: DataFrame) -> DataFrame:
+def land_summaries(moves: DataFrame, panel: DataFrame, district: str, period: str, unit: str, along: str, outcome: str, bins: int) -> DataFrame:
     """Net flows by class and binned means along one outcome, in one long table."""
-    net = A.gross_flows(moves, "dist").select(F.concat_ws(" ", F.lit("net"), "class", C("dist").cast("string")).alias("name"), C("net").alias("value"))
-    bins = A.binscatter(panel.drop("n"), "x", ["y"], 4, ["wave"], ["sector"]).select(F.concat_ws(" ", F.lit("bin"), C("wave").cast("string"), C("bin").cast("string")).alias("name"), C("y").alias("value"))
-    return net.unionAll(bins)
+    net = A.gross_flows(moves, district).select(F.concat_ws(" ", F.lit("net"), "class", C(district).cast("string")).alias("name"), C("net").alias("value"))
+    binned = A.binscatter(panel, along, [outcome], bins, [period], [unit]).select(F.concat_ws(" ", F.lit("bin"), C(period).cast("string"), C("bin").cast("string")).alias("name"), C(outcome).alias("value"))
+    return net.unionAll(binned)
 
 
 def recode_file(df: DataFrame, kind: str) -> DataFrame:
@@ -175,12 +175,8 @@ def recode_file(df: DataFrame, kind: str) -> DataFrame:
     return df.select(C(unit).cast("string").alias("unit"), (C(weight) / 1e6).alias("wt"), C(cluster).alias("cluster"), F.when(place, x).alias("x"), F.when(place, y).alias("y"))
 
 
-def district_models(panel: DataFrame) -> DataFrame:
-    """District by year frame and its four clustered models."""
-    d = panel.groupBy("dist", "wave").agg(A.wratio(C("y"), C("n"), F.lit(1.0)).alias("rate"), F.sum("x").alias("x"), F.avg("z").alias("z"), F.sum("n").alias("n"))
-    d = d.withColumn("log_n", F.log("n"))
-    out = None
-    for name, (xs, fes) in {"pooled": (["x"], []), "district": (["x"], ["dist"]), "two-way": (["x"], ["dist", "wave"]), "controls": (["x", "z", "log_n"], ["dist"])}.items():
-        one = E.fe_ols(d, "rate", xs, fes, "dist").withColumn("model", F.lit(name))
-        out = one if out is None else out.unionAll(one)
-    return out
+def district_models(panel: DataFrame, district: str, period: str, outcome: tuple[Column, Column], sums: list[str], means: list[str], models: dict[str, tuple[list, list]], logs: tuple = ()) -> DataFrame:
+    """District by period frame (``rate`` is the ratio of the outcome's sums; logs of ``logs`` beside it) and its clustered ``models`` {name: (regressors, fixed effects)}."""
+    d = panel.groupBy(district, period).agg(A.wratio(*outcome, F.lit(1.0)).alias("rate"), *[F.sum(c).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means])
+    d = d.withColumns({f"log_{c}": F.log(c) for c in logs}) if logs else d
+    return reduce(DataFrame.unionAll, [E.fe_ols(d, "rate", xs, fes, district).withColumn("model", F.lit(name)) for name, (xs, fes) in models.items()])

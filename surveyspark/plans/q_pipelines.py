@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from surveyspark.functions import recode as R
 from surveyspark.operators import spatial as G
 
 from . import pipelines as P
@@ -33,34 +34,37 @@ def _(t):
 @query("pip_03_jobs_panel", """WITH @person, g AS (SELECT sector, wave, coalesce(sum(wt) FILTER (cls = 'A'), 0) AS a, coalesce(sum(wt) FILTER (cls = 'N'), 0) AS n, coalesce(sum(wt) FILTER (cls = 'R'), 0) AS r FROM person GROUP BY 1, 2)
 SELECT sector, wave, round(a, 4) AS "A", round(n, 4) AS "N", round(r, 4) AS "R", round(a / (a + n + r), 8) AS "share_A", round(n / (a + n + r), 8) AS "share_N", round(r / (a + n + r), 8) AS "share_R", round(a + n + r, 4) AS workers, CASE WHEN a + n + r <= 10000 THEN 'small' WHEN a + n + r <= 20000 THEN 'medium' ELSE 'large' END AS band FROM g""")
 def _(t):
-    df = P.jobs_panel(t.person, ["A", "N", "R"])
+    df = P.jobs_panel(t.person, ["A", "N", "R"], "sector", "wave", "cls", "wt", (10.0, 20.0), ("small", "medium", "large"))
     return rounded(rounded(df, 4, "A", "N", "R", "workers"), 8, "share_A", "share_N", "share_R")
 
 
 @query("pip_04_output", """WITH @person, p AS (SELECT type, quantile_cont(value / wt, 0.5) AS price FROM person WHERE wave BETWEEN 1996 AND 1998 GROUP BY type), v AS (SELECT dist, sum(wt * price) AS value, avg((price IS NOT NULL)::INT) AS covered FROM person LEFT JOIN p USING (type) GROUP BY dist),
 s AS (SELECT dist, CASE WHEN count(CASE WHEN size < 48 THEN 1 END) >= 0.8 * count(*) THEN sum(value) FILTER (size < 48) END AS turnover FROM person WHERE segment <> 'BUILDING' GROUP BY dist) SELECT dist, round(value, 1) AS value, round(covered, 6) AS covered, round(turnover, 0) AS turnover FROM v LEFT JOIN s USING (dist)""")
 def _(t):
-    df = P.output_by_district(t.person, C("wave").between(1996, 1998))
+    firms = t.person.filter("segment <> 'BUILDING'")
+    df = P.output_by_district(t.person, firms, "dist", "type", C("value") / C("wt"), C("wt"), F.lit(1.0), C("wave").between(1996, 1998), F.when(C("size") < 48, C("value")))
     return df.select("dist", r("value", 1).alias("value"), r("covered").alias("covered"), r("turnover", 0).alias("turnover"))
 
 
 @query("pip_05_sector_panel", """WITH @panel, e AS (SELECT sector, regr_slope(ln(y), ln(x)) AS eps FROM panel GROUP BY sector), s AS (SELECT *, y / sum(y) OVER (PARTITION BY wave) AS lam FROM panel WHERE wave > 1995)
 SELECT sector, wave, CASE WHEN wave < 1998 THEN 1995 ELSE 1998 END AS follows, round(lam, 8) AS lam, round(x / y, 6) AS land, round(z * x, 6) AS k_a, round((1 - z) * x, 6) AS k_s, round(y / n, 8) AS crowd, round(eps, 5) AS eps FROM s JOIN e USING (sector)""")
 def _(t):
-    df = P.sector_panel(t.panel, {1996: 1995, 1997: 1995, 1998: 1998, 1999: 1998, 2000: 1998})
+    df = P.sector_panel(t.panel, {1996: 1995, 1997: 1995, 1998: 1998, 1999: 1998, 2000: 1998}, "sector", "wave", "y", "x", "z", "n")
     return rounded(rounded(rounded(df, 8, "lam", "crowd"), 6, "land", "k_a", "k_s"), 5, "eps")
 
 
 @query("pip_06_district_rent")
 def _(t):
     index = t["orders"].groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice") / 1000, 2).alias("price"))
-    return P.district_rent(t.person, index, 1997)
+    # Areas of the first flag are in tenths of a hectare; a rent of 98 or 99 and the last flag's units are not known.
+    rent = [F.when(C("wave") < 1997, C("value")), C("value")]
+    return P.district_rent(t.person, index, 1997, "dist", "wave", rent, C("wt"), C("cls"), {"A": 0.1, "N": 1.0}, "wt", (98, 99))
 
 
 @query("pip_07_density", """WITH @person SELECT sector, wave, round(sum(wt) / (400.0 + sector), 6) AS rate, round(sum(wt) FILTER (cls = 'R') / sum(wt), 8) AS urban FROM person GROUP BY 1, 2""")
 def _(t):
     area = t["nation"].select(C("n_nationkey").alias("sector"), (400.0 + C("n_nationkey")).alias("km2"))
-    df = P.density(t.person, area)
+    df = P.density(t.person, area, "sector", "wave", "wt", C("cls") == "R")
     return df.select("sector", "wave", r("rate").alias("rate"), r("urban", 8).alias("urban"))
 
 
@@ -68,30 +72,37 @@ def _(t):
  round(sum(wt) FILTER (cls = 'R') / sum(wt), 8) AS returned, round(sum(wt) FILTER (segment = 'BUILDING') / sum(wt), 8) AS building, 400.0::DOUBLE AS area FROM person GROUP BY sector""")
 def _(t):
     climate = G.rain_climate(monthly(t), "sector", "wave", "month", "rain", 150, 0.95).select(C("sector").alias("unit"), C("cv").alias("rain_cv"))
-    df = P.controls(t.person, G.shape_stats(S.edges(t), "unit").select("unit", "area"), climate).drop("rain_cv")
+    shares = {"young": C("age") < 15, "old": C("age") >= 45, "female": C("sex") == "F", "returned": C("cls") == "R", "building": C("segment") == "BUILDING"}
+    means = {"small": R.share(C("size"), [1, 2, 3], [48, 49, 50]), "tax": C("tax")}
+    df = P.controls(t.person, "sector", "wt", shares, means, {"rate": (C("value") * C("disc"), C("value"))}, [G.shape_stats(S.edges(t), "unit").select("unit", "area"), climate]).drop("rain_cv")
     return rounded(df, 8, "young", "old", "female", "small", "rate", "tax", "returned", "building")
 
 
 @query("pip_09_housing", """WITH @person, p AS (SELECT sector, wave, wt, (CASE wave WHEN 1996 THEN (cls = 'R') WHEN 1998 THEN (sex = 'F') ELSE size <= 4 END)::INT AS good, CASE least(pid, 4) WHEN 1 THEN least(size, 6) WHEN 2 THEN 6 + least(size, 3) WHEN 3 THEN 9 + least(size, 3) ELSE 12 + least(size, 4) END AS years, (disc > 0.05 OR tax > 0.04)::INT AS owns, least(greatest(age - 10, 0), 12) / 12.0 AS ramp FROM person WHERE wave IN (1996, 1998, 2000))
 SELECT sector, wave, round(sum(good * wt) / sum(wt), 8) AS good, round(sum(years * wt) / sum(wt), 8) AS years, round(sum(owns * wt) / sum(wt), 8) AS owns, round(sum(ramp * wt) / sum(wt), 8) AS ramp FROM p GROUP BY 1, 2""")
 def _(t):
-    return rounded(P.housing_panel(t.person), 8, "good", "years", "owns", "ramp")
+    good = R.by_wave(C("wave"), {1996: R.share(C("cls"), ["R"]), 1998: R.share(C("sex"), ["F"]), 2000: R.share(C("size"), [1, 2, 3, 4])})
+    years = R.schooling_years(F.least(C("pid"), F.lit(4)), C("size"), {1: 0, 2: 6, 3: 9, 4: 12}, {1: 6, 2: 3, 3: 3, 4: 4})
+    outcomes = {"good": good, "years": years, "owns": R.any_of([C("disc") > 0.05, C("tax") > 0.04]).cast("double"), "ramp": R.exposure(C("age"), 10, 12)}
+    return rounded(P.housing_panel(t.person.filter(C("wave").isin(1996, 1998, 2000)), "sector", "wave", "wt", outcomes), 8, *outcomes)
 
 
 @query("pip_10_three_sectors", """WITH @person, g AS (SELECT sector, wave, coalesce(sum(wt) FILTER (cls = 'A'), 0) AS rec, coalesce(sum(wt) FILTER (cls = 'R' AND size > 25), 0) AS cand, coalesce(sum(wt) FILTER (age BETWEEN 15 AND 45), 0) AS ad, coalesce(sum(wt) FILTER (segment IN ('BUILDING', 'MACHINERY')), 0) AS i, coalesce(sum(wt) FILTER (segment NOT IN ('BUILDING', 'MACHINERY')), 0) AS s FROM person GROUP BY 1, 2)
 SELECT sector, wave, round(rec + greatest(cand - 0.2 * ad, 0), 4) AS farm, round(rec + cand, 4) AS farm_upper, round(i, 4) AS industry, round(s, 4) AS services FROM g""")
 def _(t):
-    return rounded(P.three_sectors(t.person, 0.2), 4, "farm", "farm_upper", "industry", "services")
+    industry = C("segment").isin("BUILDING", "MACHINERY")
+    return rounded(P.three_sectors(t.person, "sector", "wave", "wt", C("cls") == "A", (C("cls") == "R") & (C("size") > 25), C("age").between(15, 45), industry, ~industry, 0.2), 4, "farm", "farm_upper", "industry", "services")
 
 
 @query("pip_11_labour_tables", """WITH @person, c AS (SELECT dist, segment AS section, sum(wt) AS workers FROM person GROUP BY 1, 2), t AS (SELECT dist, sum(wt) FILTER (brand LIKE '%#1%') / sum(wt) AS tourism FROM person GROUP BY 1) SELECT dist, section, round(workers, 4) AS workers, round(workers / sum(workers) OVER (PARTITION BY dist), 8) AS share, round(tourism, 8) AS tourism FROM c JOIN t USING (dist)""")
 def _(t):
-    return rounded(rounded(P.labour_tables(t.person), 4, "workers"), 8, "share", "tourism")
+    return rounded(rounded(P.labour_tables(t.person, "dist", "segment", "wt", C("brand").contains("#1")), 4, "workers"), 8, "share", "tourism")
 
 
 @query("pip_12_tourism", """WITH @person SELECT coalesce(dist::VARCHAR, 'total') AS dist, round(sum(CASE WHEN brand LIKE '%#1%' AND size <= 10 THEN wt ELSE 0 END), 4) AS narrow, round(sum(CASE WHEN brand LIKE '%#1%' THEN wt ELSE 0 END), 4) AS medium, round(sum(CASE WHEN brand LIKE '%#1%' OR segment = 'FURNITURE' THEN wt ELSE 0 END), 4) AS wide FROM person GROUP BY ROLLUP (dist)""")
 def _(t):
-    return P.tourism(t.person)
+    hotel = C("brand").contains("#1")
+    return P.tourism(t.person, "dist", "wt", {"narrow": hotel & (C("size") <= 10), "medium": hotel, "wide": hotel | (C("segment") == "FURNITURE")})
 
 
 @query("pip_13_nightlights")
@@ -104,34 +115,35 @@ def _(t):
 k AS (SELECT *, (rain - avg(rain) OVER u) / nullif(stddev_samp(rain) OVER u, 0) AS z, (rank() OVER (PARTITION BY sector ORDER BY rain) + (count(*) OVER (PARTITION BY sector, rain) - 1) / 2.0) / count(*) OVER u <= 0.2 AS drought FROM y WINDOW u AS (PARTITION BY sector)), n AS (SELECT wave, avg(rain) AS nation, avg(drought::INT) AS ds FROM k GROUP BY wave)
 SELECT sector, wave, round(rain, 4) AS rain, round(z, 6) AS z, drought, round(nation, 4) AS nation, round(ds, 6) AS drought_share FROM k JOIN n USING (wave)""")
 def _(t):
-    df = P.rainfall(monthly(t))
+    df = P.rainfall(monthly(t), "sector", "wave", "month", "rain")
     return df.select("sector", "wave", r("rain", 4).alias("rain"), r("z").alias("z"), "drought", r("nation", 4).alias("nation"), r("drought_share").alias("drought_share"))
 
 
 @query("pip_15_park_gap", """WITH @person, p AS (SELECT sector, wave, sum(CASE WHEN cls = 'R' THEN wt ELSE 0 END) / sum(wt) AS s FROM person GROUP BY 1, 2), g AS (SELECT wave, avg(s) FILTER (sector < 8) - avg(s) FILTER (sector >= 8) AS gap FROM p GROUP BY wave) SELECT wave, round(gap, 8) AS gap, round((SELECT avg(gap) FILTER (wave >= 1998) - avg(gap) FILTER (wave < 1998) FROM g WHERE wave BETWEEN 1995 AND 2000), 6) AS did FROM g""")
 def _(t):
-    return P.park_gap(t.person).select("wave", r("gap", 8).alias("gap"), r("did").alias("did"))
+    return P.park_gap(t.person, "sector", "wave", "wt", C("cls") == "R", C("sector") < 8, 1998, (1995, 2000)).select("wave", r("gap", 8).alias("gap"), r("did").alias("did"))
 
 
 @query("pip_16_survey_wave", """SELECT l_orderkey AS hhid, count(*)::BIGINT AS size FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(t):
     households = t["orders"].select(C("o_orderkey").alias("hhid"), C("o_custkey").alias("custkey"))
-    return P.survey_wave(t.person, households).select("hhid", "size")
+    people = t.person.select("hhid", "wave", "sector", "pid", "partkey", "value", "suppkey", "wt", "age", "cls").distinct()
+    return P.survey_wave(people, households, ["hhid"], ["pid", "partkey", "value"], {"young": C("age") < 15}, ["age", "cls"]).select("hhid", "size")
 
 
 @query("pip_17_gate_gradient")
 def _(t):
-    return P.gate_gradient(t.panel)
+    return P.gate_gradient(t.panel, "y", "sector", "wave", 1.0 + C("sector"), 1998, [0, 5, 12, 100], ["near", "mid", "far"])
 
 
 @query("pip_18_forest_event_study")
 def _(t):
-    return P.forest_event_study(t.panel)
+    return P.forest_event_study(t.panel, "y", "sector", "wave", C("sector") % 3 == 0, ["x", "z"], 1995, 1997, list(range(1995, 2001)))
 
 
 @query("pip_19_land_summaries")
 def _(t):
-    return P.land_summaries(moves(t), t.panel)
+    return P.land_summaries(moves(t), t.panel, "dist", "wave", "sector", "x", "y", 4)
 
 
 @query("pip_20_recode_file", """SELECT o_orderkey::VARCHAR AS unit, o_custkey * 100 / 1e6 AS wt, (o_custkey % 50)::BIGINT AS cluster, CASE WHEN o_orderkey % 4 > 0 OR o_custkey % 3 > 0 THEN (o_orderkey % 4)::DOUBLE END AS x, CASE WHEN o_orderkey % 4 > 0 OR o_custkey % 3 > 0 THEN (o_custkey % 3)::DOUBLE END AS y FROM orders""")
@@ -142,4 +154,5 @@ def _(t):
 
 @query("pip_21_district_models")
 def _(t):
-    return P.district_models(t.panel)
+    models = {"pooled": (["x"], []), "district": (["x"], ["dist"]), "two-way": (["x"], ["dist", "wave"]), "controls": (["x", "z", "log_n"], ["dist"])}
+    return P.district_models(t.panel, "dist", "wave", (C("y"), C("n")), ["x", "n"], ["z"], models, ("n",))

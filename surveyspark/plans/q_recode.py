@@ -237,7 +237,7 @@ def _(t):
     return R.stamp(t.person.select("wave"), "survey", 1996, "w96").groupBy("survey", "year", "wave", "wave_native").agg(F.count("*").alias("n"))
 
 
-_KEY = "trim(regexp_replace(regexp_replace(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '^\\s*[0-9]+[\\s.\\-]*', ''), '[^a-z0-9]+', ' ', 'g'))"
+_KEY = "regexp_replace(lower(regexp_replace(strip_accents(x), '^\\s*\\d+\\s*[-–—.]?\\s*', '')), '[^a-z0-9]', '', 'g')"
 
 
 @query("str_01_name_key", f"""SELECT key, count(*)::BIGINT AS n FROM (SELECT {_KEY} AS key FROM (SELECT p_brand || ' 12. ' || p_type AS x FROM part UNION ALL SELECT '07 - É' || p_type FROM part)) GROUP BY key""")
@@ -246,7 +246,7 @@ def _(t):
     return names.groupBy(X.name_key(C("x")).alias("key")).agg(F.count("*").alias("n"))
 
 
-_TOK = "list_distinct([w for w in string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ') if w <> '' AND w NOT IN ('the', 'of', 'in', 'a', 'an', 'and', 'or', 'to', 'for', 'is', 'on', 'by', 'with', 'at')])"
+_TOK = "list_distinct([w for w in string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' ') if length(w) > 1 AND w NOT IN ('the', 'a', 'an', 'of', 'in', 'to', 'for', 'is', 'are', 'was', 'were', 'do', 'does', 'did', 'name', 'names', 'you', 'your', 'he', 'she', 'his', 'her', 'and', 'or', 'at', 'on', 'by', 'with')])"
 
 
 @query("str_02_jaccard", f"""WITH p AS (SELECT p_partkey, {_TOK.format('p_type')} AS a, {_TOK.format("p_name || ' of ' || p_type")} AS b FROM part)

@@ -52,14 +52,18 @@ def test_recodes(spark):
 
 
 def test_texts(spark):
-    df = spark.createDataFrame([("07 - Égypte (Nord)",), (None,)], "s string")
-    assert df.select(X.name_key(C("s"))).first()[0] == "egypte nord"
-    pairs = spark.createDataFrame([("Yes", "yes "), ("not stated", None), ("private firm", "firm"), ("farmer", "farmers"), ("cat", "dog")], "a string, b string")
-    assert {r.a: r.same for r in X.same_category(pairs, "a", "b").collect()} == {"Yes": True, "not stated": True, "private firm": True, "farmer": True, "cat": False}
+    names = ["07 - Égypte (Nord)", "egypte-nord", " EGYPTE NORD ", "11 -Egypte–Nord", None, "Ｋigali ①", "21- Nyanza", "Nyanza"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "i int, s string")
+    assert [r[0] for r in df.orderBy("i").select(X.name_key(C("s"))).collect()] == ["egyptenord"] * 4 + ["", "kigali1", "nyanza", "nyanza"]
+    cases = {("Yes", "yes "): True, ("Yego", "YES"): True, ("Others (specify)", "Other"): True, ("DK", "not stated"): True, ("na", "Unknown"): True, ("not stated", None): False, ("private firm", "firm"): True, ("farmer", "farmers"): True, ("cat", "dog"): False}
+    pairs = spark.createDataFrame(list(cases), "a string, b string")
+    assert {(r.a, r.b): r.same for r in X.same_category(pairs, "a", "b").collect()} == cases
     one = spark.createDataFrame([("q12. Total ict workers [sum]",)], "s string")
     assert one.select(X.clean_label(C("s"), {"workers": "staff"}, ("ict",))).first()[0] == "Total ICT staff"
     empty = spark.createDataFrame([("the", "")], "a string, b string")
     assert empty.select(X.jaccard(X.tokens(C("a")), X.tokens(C("b")))).first()[0] == 1.0
+    label = spark.createDataFrame([("What is the name of your AGE-group x 5?",)], "s string")
+    assert sorted(label.select(X.tokens(C("s"))).first()[0]) == ["age", "group", "what"]
     assert X.invert_names({"a": "b"}) == {"b": "a"}
     with pytest.raises(ValueError):
         X.invert_names({"a": "c", "b": "c"})
@@ -89,6 +93,10 @@ def test_joins(spark):
     left = spark.createDataFrame([("p", "Kigali"), ("p", "Kigaly"), ("q", "Huye")], "b string, name string")
     right = spark.createDataFrame([("p", "KIGALI"), ("p", "Kigale"), ("r", "Huye")], "b string, name string")
     assert rows(J.fuzzy_match(left, right, "b", 0.6), "left_name", "right_name") == [("Kigali", "KIGALI"), ("Kigaly", "Kigale")]
+    left = spark.createDataFrame([("p", "Gasaka"), ("p", "Gasake"), ("p", "Zz"), ("p", None)], "b string, name string")
+    right = spark.createDataFrame([("p", "Gasakx"), ("p", "Gasabo")], "b string, name string")
+    assert rows(J.fuzzy_match(left, right, "b"), "left_name", "right_name") == [("Gasaka", "Gasakx"), ("Gasake", "Gasabo")]
+    assert rows(J.fuzzy_match(left, right, "b", one_to_one=False), "left_name", "right_name") == [("Gasaka", "Gasakx"), ("Gasake", "Gasakx")]
     knots = spark.createDataFrame([("u", 2, 10.0), ("u", 6, 20.0)], "u string, t int, v double")
     got = J.bracket_join(spark.createDataFrame([("u", i) for i in (1, 2, 4, 7)], "u string, t int"), knots, ["u"], "t", "v")
     assert rows(got, "t", "t0", "t1") == [(1, None, 2), (2, 2, 2), (4, 2, 6), (7, 6, None)]
