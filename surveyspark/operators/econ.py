@@ -282,6 +282,16 @@ def cohort_design(df: DataFrame, y: str, cohort: str, last_unexposed: int, years
     return fe_ols(df.withColumn("exposed", exposure(F.col(cohort), last_unexposed, years) * F.col(treat).cast("double")), y, ["exposed"], fes, cluster, w)
 
 
+def cohort_event_study(df: DataFrame, y: str, cohort: str, edges: list, ref: int, treat: str, fes: list[str], cluster: str, controls: list[str] = (), w: str | None = None) -> DataFrame:
+    """Effect of treatment in each bin of cohorts (from edge to edge, the first ``ref``-th bin omitted); ``controls`` interact with every bin too."""
+    inside = lambda i: ((F.col(cohort) >= edges[i]) & (F.col(cohort) < edges[i + 1])).cast("double")
+    bins = [i for i in range(len(edges) - 1) if i != ref]
+    rows = df.filter((F.col(cohort) >= edges[0]) & (F.col(cohort) < edges[-1]))
+    terms = {f"bin_{edges[i]}": inside(i) * F.col(treat).cast("double") for i in bins}
+    terms |= {f"{c}_{edges[i]}": inside(i) * F.col(c).cast("double") for c in controls for i in bins}
+    return fe_ols(rows.withColumns(terms), y, list(terms), fes, cluster, w)
+
+
 def wage_gaps(df: DataFrame, wage: str, group: str, base, cell: list[str], cluster: str, w: str | None = None) -> DataFrame:
     """Log wage gaps of groups against ``base`` with effects for cells."""
     values = [r[0] for r in df.select(group).distinct().orderBy(group).collect() if r[0] not in (None, base)]  # groups are few
@@ -345,6 +355,14 @@ def wild_p(m: DataFrame, names: list[str], terms: list[str], draws: int = 9999,
     b = inverse @ c.sum(axis=0)
     observed = {x: t_of(b, c - a @ b, names.index(x)) for x in terms}
 
+    fits = {}  # the model without the term, in cluster moments
+    for x in terms:
+        rest = [i for i in range(k) if i != names.index(x)]
+        br = np.zeros(k)
+        if rest:
+            br[rest] = np.linalg.solve(total[np.ix_(rest, rest)], c.sum(axis=0)[rest])
+        fits[x] = a @ br
+
     def run(batches):
         for batch in batches:
             out = []
@@ -357,12 +375,7 @@ def wild_p(m: DataFrame, names: list[str], terms: list[str], draws: int = 9999,
                 else:
                     wt = WEBB[[hash_draw(seed, d, x) % 6 for x in ids]]
                 for x in terms:
-                    j = names.index(x)
-                    rest = [i for i in range(k) if i != j]
-                    br = np.zeros(k)
-                    if rest:
-                        br[rest] = np.linalg.solve(total[np.ix_(rest, rest)], c.sum(axis=0)[rest])
-                    fit = a @ br
+                    j, fit = names.index(x), fits[x]
                     xy = fit + wt[:, None] * (c - fit)
                     bs = inverse @ xy.sum(axis=0)
                     out.append((x, abs(t_of(bs, xy - a @ bs, j)) >= abs(observed[x]) * (1 - 1e-12)))
@@ -373,19 +386,29 @@ def wild_p(m: DataFrame, names: list[str], terms: list[str], draws: int = 9999,
     return hits.join(m.sparkSession.createDataFrame([(x, float(v)) for x, v in observed.items()], "term string, t double"), "term").select("term", "t", "p", "draws")
 
 
+def relabelled(units: DataFrame, unit: str, draws: int, k: int, seed: int) -> DataFrame:
+    """The ``k`` units of least hash of each draw, with the ``draw``. Only hashes small enough to be among them are sorted; if a draw has too few of these, all are."""
+    n = units.count()
+    every = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__h", draw(seed, F.col("draw"), F.col(unit)))
+    near = every.filter(F.col("__h") < int(min(1.0, (k + 6 * math.sqrt(k) + 20) / max(n, 1)) * 2**32))
+    enough = near.groupBy("draw").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") >= k)).first()[0]
+    order = Window.partitionBy("draw").orderBy("__h", unit)
+    rows = near if enough == draws else every
+    return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).drop("__r", "__h")
+
+
 def ri_p(df: DataFrame, y: str, unit: str, treat: str, draws: int, seed: int = 1) -> DataFrame:
     """(statistic, p, draws): difference of means of unit averages, treated units relabelled at random.
 
-    Units are ranked within each draw by their hash; the first as many as are treated take the label. p = (1 + hits) / (1 + draws).
+    Units are ranked within each draw by their hash; the first as many as are treated take the label, and the others' sums are what is left of all. p = (1 + hits) / (1 + draws).
     """
-    units = df.groupBy(unit).agg(F.avg(y).alias("__y"), F.max(F.col(treat).cast("int")).alias("__d"))
-    k = units.agg(F.sum("__d")).first()[0]
-    gap = lambda d: F.avg(F.when(d == 1, F.col("__y"))) - F.avg(F.when(d == 0, F.col("__y")))
-    observed = units.agg(gap(F.col("__d")).alias("statistic"))
-    labels = df.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(units))  # draws by units
-    order = Window.partitionBy("draw").orderBy(draw(seed, F.col("draw"), F.col(unit)), unit)
-    stats = labels.withColumn("__l", (F.row_number().over(order) <= k).cast("int")).groupBy("draw").agg(gap(F.col("__l")).alias("s"))
-    hits = stats.crossJoin(F.broadcast(observed)).agg(F.first("statistic").alias("statistic"), F.count_if(F.abs("s") >= F.abs("statistic") - 1e-12).alias("hits"), F.count("*").alias("draws"))
+    units = materialize(df.groupBy(unit).agg(F.avg(y).alias("__y"), F.max(F.col(treat).cast("int")).alias("__d")), "units")
+    k = units.agg(F.sum("__d")).first()[0] or 0
+    on = F.col("__d") == 1
+    observed = units.agg((F.avg(F.when(on, F.col("__y"))) - F.avg(F.when(~on, F.col("__y")))).alias("statistic"), F.sum("__y").alias("__sum"), F.count("__y").alias("__n"))  # one row
+    picked = relabelled(units, unit, draws, int(k), seed).groupBy("draw").agg(F.sum("__y").alias("s1"), F.count("__y").alias("n1"))
+    stats = picked.crossJoin(F.broadcast(observed)).withColumn("s", F.col("s1") / F.col("n1") - (F.col("__sum") - F.col("s1")) / (F.col("__n") - F.col("n1")))
+    hits = stats.agg(F.first("statistic").alias("statistic"), F.count_if(F.abs("s") >= F.abs("statistic") - 1e-12).alias("hits"), F.count("*").alias("draws"))
     return hits.select("statistic", ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws")
 
 
@@ -414,22 +437,65 @@ def pretrend(df: DataFrame, y: str, treat: str, unit: str, t: str, periods: list
     return df.sparkSession.createDataFrame([(stat, len(at), chi2_tail(stat, len(at)))], "chi2 double, df int, p double")
 
 
-def conley(df: DataFrame, y: str, xs: list[str], px: str, py: str, cutoff: float) -> DataFrame:
-    """Spatial covariance with a Bartlett kernel: pairs within ``cutoff`` meet through a grid of that size."""
-    k = len(xs)
-    rows = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate([y, *xs])], F.col(px).alias("px"), F.col(py).alias("py")).withColumn("__all", F.lit(1)).na.drop()
+def pretrend_ri(df: DataFrame, y: str, treat: str, unit: str, t: str, ref, before, draws: int, seed: int = 1) -> DataFrame:
+    """(chi2, df, p, draws): the pre-trend statistic against its distribution under relabelled units.
+
+    On a balanced panel the coefficient of a period is the treated less the control mean of the unit's change from ``ref``, and the
+    statistic is that vector's quadratic form in its covariance over units (the two groups' covariances added). Units are relabelled by
+    the rank of their hash within a draw; sums of changes and of their products by draw are all that is gathered.
+    """
+    periods = [r[0] for r in df.select(t).distinct().orderBy(t).collect() if r[0] < before and r[0] != ref]  # a row a period
+    at = lambda p: F.max(F.when(F.col(t) == p, F.col(y)))
+    units = df.groupBy(unit).agg(*[(at(p) - at(ref)).cast("double").alias(f"__c{i}") for i, p in enumerate(periods)], F.max(F.col(treat).cast("int")).alias("__d")).na.drop()
+    units = materialize(units, "units")
+    k = len(periods)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = lambda on, tag: [F.sum(F.when(on, v)).alias(f"{tag}_{n}") for n, v in [("n", F.lit(1.0)), *[(f"s{i}", F.col(f"__c{i}")) for i in range(k)], *[(f"q{i}_{j}", F.col(f"__c{i}") * F.col(f"__c{j}")) for i, j in pairs]]]
+    all_ = units.agg(*sums(F.lit(True), "a"), F.sum("__d").alias("__k")).first()  # a number a pair of periods
+
+    def statistic(one: dict) -> float:
+        gap, v = np.zeros(k), np.zeros((k, k))
+        for sign, part in ((1, {n: one[f"t_{n}"] for n in ("n", *[f"s{i}" for i in range(k)], *[f"q{i}_{j}" for i, j in pairs])}), (-1, None)):
+            part = part or {n[2:]: all_[n] - one[f"t_{n[2:]}"] for n in all_.asDict() if n.startswith("a_")}
+            n, m = part["n"], np.array([part[f"s{i}"] / part["n"] for i in range(k)])
+            q = np.zeros((k, k))
+            for i, j in pairs:
+                q[i, j] = q[j, i] = part[f"q{i}_{j}"] / n - m[i] * m[j]
+            gap, v = gap + sign * m, v + q / max(1.0, n - 1)
+        return float(gap @ np.linalg.pinv(v) @ gap)
+
+    observed = statistic(units.agg(*sums(F.col("__d") == 1, "t")).first().asDict())
+    by_draw = relabelled(units, unit, draws, int(all_["__k"]), seed).groupBy("draw").agg(*sums(F.lit(True), "t"))
+
+    def exceeds(batches):
+        for batch in batches:
+            yield pd.DataFrame({"hit": [statistic(r) >= observed * (1 - 1e-12) for r in batch.to_dict("records")]})
+
+    hits = by_draw.mapInPandas(exceeds, "hit boolean").agg(F.count_if("hit").alias("hits"), F.count("*").alias("draws"))
+    return hits.select(F.lit(observed).alias("chi2"), F.lit(k).alias("df"), ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws")
+
+
+def conley(df: DataFrame, y: str, xs: list[str], px: str, py: str, cutoffs: float | list[float], fes: list[str] = ()) -> DataFrame:
+    """Spatial covariance with a Bartlett kernel at one or several cut-offs, with absorbed effects: pairs within the largest cut-off meet through a grid of that size."""
+    k, cutoffs = len(xs), [float(c) for c in (cutoffs if isinstance(cutoffs, (list, tuple)) else [cutoffs])]
+    most = max(cutoffs)
+    rows = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate([y, *xs])], F.col(px).alias("px"), F.col(py).alias("py"), *fes).withColumn("__all", F.lit(1)).na.drop()
     cols = [f"__v{i}" for i in range(k + 1)]
-    flat = absorb(rows, cols, ["__all"])
+    flat = absorb(rows, cols, list(fes) or ["__all"])
     m = moments(flat.withColumn("one", F.lit(1)), cols[0], cols[1:], "one")
     inverse, b, n, _ = solve(m, k)
     e = F.col(cols[0]) - reduce(lambda p, q: p + q, [F.col(c) * float(v) for c, v in zip(cols[1:], b, strict=True)])
-    s = flat.select("px", "py", *[(F.col(c) * e).alias(f"u_{i}") for i, c in enumerate(cols[1:])], F.floor(F.col("px") / cutoff).alias("gx"), F.floor(F.col("py") / cutoff).alias("gy"))
-    s = materialize(s, "scores")
+    s = flat.select("px", "py", *[(F.col(c) * e).alias(f"u_{i}") for i, c in enumerate(cols[1:])])
+    # Rows at one place meet others as one: scores add up, for the kernel depends on places alone.
+    s = s.groupBy("px", "py").agg(*[F.sum(f"u_{i}").alias(f"u_{i}") for i in range(k)])
+    s = materialize(s.withColumns({"gx": F.floor(F.col("px") / most), "gy": F.floor(F.col("py") / most)}), "scores")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = s.select("*", around.alias("d")).select(*[F.col(c).alias(f"l_{c}") for c in ("px", "py", *[f"u_{i}" for i in range(k)])], (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
-    pairs = left.join(s, ["gx", "gy"]).withColumn("w", F.greatest(1 - F.hypot(F.col("px") - F.col("l_px"), F.col("py") - F.col("l_py")) / cutoff, F.lit(0.0))).filter("w > 0")
-    row = pairs.agg(*[F.sum(F.col("w") * F.col(f"l_u_{i}") * F.col(f"u_{j}")).alias(f"m_{i}_{j}") for i in range(k) for j in range(k) if i <= j]).first()
-    return table(df, xs, b, inverse @ _square(row, k, "m") @ inverse, n, n)
+    pairs = left.join(s, ["gx", "gy"]).withColumn("far", F.hypot(F.col("px") - F.col("l_px"), F.col("py") - F.col("l_py"))).filter(F.col("far") < most)
+    w = lambda c: F.greatest(1 - F.col("far") / c, F.lit(0.0))
+    row = pairs.agg(*[F.sum(w(c) * F.col(f"l_u_{i}") * F.col(f"u_{j}")).alias(f"m{at}_{i}_{j}") for at, c in enumerate(cutoffs) for i in range(k) for j in range(k) if i <= j]).first()
+    out = [table(df, xs, b, inverse @ _square(row, k, f"m{at}") @ inverse, n, n) for at in range(len(cutoffs))]
+    return out[0] if len(cutoffs) == 1 else reduce(DataFrame.unionAll, [o.withColumn("cutoff", F.lit(c)) for o, c in zip(out, cutoffs, strict=True)])
 
 
 # ---- weighting and selection ------------------------------------------------------------------------------------------
@@ -453,18 +519,31 @@ def logit_irls(df: DataFrame, y: str, xs: list[str], ridge: float = 1e-6, steps:
     return b
 
 
-def overlap_weights(df: DataFrame, features: list[str], treat: str, out: str = "overlap_weight") -> DataFrame:
-    """1 - propensity for treated rows, propensity for others; features are standardised inside."""
+def overlap_weights(df: DataFrame, features: list[str], treat: str, out: str = "overlap_weight", group: str | None = None, ridge: float = 1e-6) -> DataFrame:
+    """1 - propensity for treated rows, propensity for others; features are standardised inside, each value of ``group`` but the first has its own level."""
     from surveyspark.functions.recode import zscore
 
     rows = zscore(df.withColumn("__d", F.col(treat).cast("double")), features)
-    b = logit_irls(rows, "__d", [f"{c}_z" for c in features])
-    eta = reduce(lambda p, q: p + q, [F.lit(float(b[0])), *[F.col(f"{c}_z") * float(v) for c, v in zip(features, b[1:], strict=True)]])
+    levels = [r[0] for r in df.select(group).na.drop().distinct().orderBy(group).collect()][1:] if group else []  # a coefficient each
+    rows = rows.withColumns({f"__g{i}": F.coalesce((F.col(group) == v).cast("double"), F.lit(0.0)) for i, v in enumerate(levels)}) if levels else rows
+    xs = [f"{c}_z" for c in features] + [f"__g{i}" for i in range(len(levels))]
+    b = logit_irls(rows, "__d", xs, ridge)
+    eta = reduce(lambda p, q: p + q, [F.lit(float(b[0])), *[F.col(c) * float(v) for c, v in zip(xs, b[1:], strict=True)]])
     p = 1 / (1 + F.exp(-eta))
-    return rows.withColumn(out, F.when(F.col("__d") == 1, 1 - p).otherwise(p)).drop("__d", *[f"{c}_z" for c in features])
+    return rows.withColumn(out, F.when(F.col("__d") == 1, 1 - p).otherwise(p)).drop("__d", *xs)
+
 
+def overlap_report(df: DataFrame, features: list[str], treat: str, w: str = "overlap_weight") -> DataFrame:
+    """(feature, raw_gap, weighted_gap, ess_treated, ess_control): gaps of means in standard deviations of all rows, and Kish's effective sizes."""
+    on = lambda d: F.col(treat).cast("int") == d
+    part = lambda c, d, v: F.sum(F.when(on(d), F.col(c) * v)) / F.sum(F.when(on(d), v))
+    ess = lambda d: F.pow(F.sum(F.when(on(d), F.col(w))), 2) / F.sum(F.when(on(d), F.col(w) * F.col(w)))
+    gap = lambda c, v: (part(c, 1, v) - part(c, 0, v)) / F.stddev_samp(c)
+    row = df.agg(*[F.struct(F.lit(c).alias("feature"), gap(c, F.lit(1.0)).alias("raw_gap"), gap(c, F.col(w)).alias("weighted_gap")).alias(f"f{i}") for i, c in enumerate(features)], ess(1).alias("ess_treated"), ess(0).alias("ess_control"))
+    return row.select(F.inline(F.array(*[f"f{i}" for i in range(len(features))])), "ess_treated", "ess_control")
 
-def gram(df: DataFrame, cols: list[str], cluster: str) -> tuple[np.ndarray, int]:
+
+def gram(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
     """X'X of many columns: each batch adds its product, each task ships one matrix in pieces, pieces are summed by row."""
     k = len(cols)
 
@@ -501,19 +580,21 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, steps: int = 2000)
     return b
 
 
-def _select(g: np.ndarray, n: int, target: int, candidates: list[int]) -> set[int]:
-    """Candidates with a coefficient under the plug-in penalty, loadings refined by the residual variance."""
+def _select(flat: DataFrame, cols: list[str], g: np.ndarray, n: int, target: int, candidates: list[int], cluster: str) -> set[int]:
+    """Candidates with a coefficient under the plug-in penalty; a candidate's loading is the root of the mean square of its clusters' scores, refined with the residuals."""
     q = len(candidates)
     level = 2.2 * math.sqrt(n) * _normal_quantile(1 - 0.1 / math.log(max(n, 3)) / (2 * max(q, 1)))
     gg, c = g[np.ix_(candidates, candidates)], g[candidates, target]
-    sigma = math.sqrt(g[target, target] / n)
     b = np.zeros(q)
-    for _ in range(10):
-        b = lasso(gg, c, level / 2 * sigma * np.sqrt(np.maximum(np.diag(gg), 1e-300) / n))
-        after = math.sqrt(max((g[target, target] - 2 * b @ c + b @ gg @ b) / n, 1e-300))
-        if abs(after - sigma) < 1e-8 * sigma:
+    for _ in range(5):
+        e = reduce(lambda p, r: p + r, [F.col(cols[target]), *[F.col(cols[i]) * float(-v) for i, v in zip(candidates, b, strict=True) if v]])
+        scores = flat.groupBy(cluster).agg(*[F.sum(F.col(cols[i]) * e).alias(f"s{i}") for i in candidates])
+        row = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"s{i}") for i in candidates]).first()  # a number a candidate
+        after = lasso(gg, c, level / 2 * np.sqrt(np.maximum([row[f"s{i}"] for i in candidates], 1e-300) / n))
+        settled = ((after != 0) == (b != 0)).all() and np.abs(after - b).max() < 1e-6 * max(1.0, np.abs(after).max())
+        b = after
+        if settled:
             break
-        sigma = after
     return {candidates[i] for i in range(q) if b[i] != 0}
 
 
@@ -528,37 +609,51 @@ def _normal_quantile(p: float) -> float:
 def pds_lasso(df: DataFrame, y: str, d: str, candidates: list[str], fe: str, cluster: str) -> DataFrame:
     """Post-double-selection: candidates picked for the outcome or for the treatment, then least squares with both."""
     cols = [y, d, *candidates]
-    flat = absorb(df.select(fe, *cols).na.drop().withColumns({c: F.col(c).cast("double") for c in cols}), cols, [fe])
-    g, n = gram(flat, cols, cluster)
+    used = df.select(*dict.fromkeys([fe, cluster]), *cols).na.drop().withColumns({c: F.col(c).cast("double") for c in cols})
+    flat = materialize(absorb(used, cols, [fe]), "flat")
+    g, n = gram(flat, cols)
     every = list(range(2, len(cols)))
-    picked = sorted(_select(g, n, 0, every) | _select(g, n, 1, every))
+    picked = sorted(_select(flat, cols, g, n, 0, every, cluster) | _select(flat, cols, g, n, 1, every, cluster))
     return fe_ols(df, y, [d, *[cols[i] for i in picked]], [fe], cluster).withColumn("selected", F.lit(len(picked)))
 
 
-def l1_logit_cv(df: DataFrame, y: str, xs: list[str], group: str, penalties: tuple = (0.001, 0.01, 0.1), folds: int = 5, w: str | None = None) -> DataFrame:
-    """(penalty, auc): L1 logit by grouped cross-validation; folds are hashes of ``group``."""
+#: Scale of columns that are not to be penalised.
+FORCE = 1000.0
+
+
+def l1_logit_cv(df: DataFrame, y: str, xs: list[str], group: str, penalties: tuple = (0.001, 0.01, 0.1), folds: int = 5, w: str | None = None, forced: list[str] = ()) -> DataFrame:
+    """(penalty, auc, pr_auc): L1 logit by grouped cross-validation, both areas out of fold; folds are hashes of ``group``.
+
+    Columns are standardised before the fit. Those of ``forced`` are then scaled up by FORCE, which takes the penalty off their coefficients.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=xs, outputCol="__x").transform(df.withColumn("__y", F.col(y).cast("double")).na.drop(subset=[y, *xs]))
+    known = df.withColumn("__y", F.col(y).cast("double")).na.drop(subset=[y, *xs, *forced])
+    each = [*xs, *forced]
+    m = known.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(each)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(each)]).first()
+    known = known.withColumns({f"__x{i}": (F.col(c) - float(m[f"m{i}"] or 0)) / float(m[f"s{i}"] or 1) * (FORCE if i >= len(xs) else 1.0) for i, c in enumerate(each)})
+    rows = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(each))], outputCol="__x").transform(known)
     rows = materialize(rows.select("__x", "__y", *([w] if w else []), F.pmod(F.xxhash64(group), F.lit(folds)).alias("__fold")), "folds")
     score = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="rawPrediction")
     out = []
     for penalty in penalties:
-        model = LogisticRegression(featuresCol="__x", labelCol="__y", elasticNetParam=1.0, regParam=penalty, **({"weightCol": w} if w else {}))
+        model = LogisticRegression(featuresCol="__x", labelCol="__y", elasticNetParam=1.0, regParam=penalty, standardization=False, **({"weightCol": w} if w else {}))
         held = [model.fit(rows.filter(F.col("__fold") != f)).transform(rows.filter(F.col("__fold") == f)) for f in range(folds)]
-        both = reduce(lambda a, b: a.unionAll(b), held)
-        out.append((penalty, float(score.evaluate(both))))
-    return df.sparkSession.createDataFrame(out, "penalty double, auc double")
+        both = materialize(reduce(lambda a, b: a.unionAll(b), held).select("__y", "rawPrediction"), "held")
+        out.append((penalty, float(score.evaluate(both)), float(score.evaluate(both, {score.metricName: "areaUnderPR"}))))
+        drop_scratch(both)
+    return df.sparkSession.createDataFrame(out, "penalty double, auc double, pr_auc double")
 
 
 def post_lasso(df: DataFrame, y: str, candidates: list[str], cluster: str) -> DataFrame:
     """Linear model on the columns that lasso keeps."""
     cols = [y, *candidates]
-    flat = absorb(df.select(*cols).na.drop().withColumn("__all", F.lit(1)).withColumns({c: F.col(c).cast("double") for c in cols}), cols, ["__all"])
-    g, n = gram(flat, cols, cluster)
-    picked = sorted(_select(g, n, 0, list(range(1, len(cols))))) or [1]
+    used = df.select(cluster, *cols).na.drop().withColumn("__all", F.lit(1)).withColumns({c: F.col(c).cast("double") for c in cols})
+    flat = materialize(absorb(used, cols, ["__all"]), "flat")
+    g, n = gram(flat, cols)
+    picked = sorted(_select(flat, cols, g, n, 0, list(range(1, len(cols))), cluster)) or [1]
     return fe_ols(df, y, [cols[i] for i in picked], [], cluster)
 
 
@@ -569,13 +664,34 @@ def average_effects(df: DataFrame, y: str, d: str, by: str, cluster: str) -> Dat
     return fe_ols(rows, y, [d, by, "d_by"], [], cluster).filter(F.col("term") == d)
 
 
+def poisson_count(seed: int, number: Column, key: Column) -> Column:
+    """How often a key is taken in a draw: Poisson(1) from its hash."""
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)]) * 2**32
+    u = draw(seed, number, key)
+    return reduce(lambda acc, i: F.when(u < float(cuts[i]), i).otherwise(acc), range(6, -1, -1), F.lit(7))
+
+
+def boot_did(df: DataFrame, key: str, before: str, after: str, treat: str, draws: int, seed: int = 1, w: str | None = None) -> DataFrame:
+    """(what, change, low, high, p): weighted mean change of treated and control units and the difference of both, with percentile intervals.
+
+    Units (``key``) are taken Poisson(1) times from their hash; p is twice the smaller share of draws on either side of 0.
+    """
+    weight = F.col(w) if w else F.lit(1.0)
+    units = df.select(F.col(key).alias("__k"), (F.col(after) - F.col(before)).cast("double").alias("__c"), F.col(treat).cast("int").alias("__d"), weight.cast("double").alias("__w")).na.drop()
+    mean = lambda d, c: F.sum(F.when(F.col("__d") == d, F.col("__c") * F.col("__w") * c)) / F.nullif(F.sum(F.when(F.col("__d") == d, F.col("__w") * c)), F.lit(0.0))
+    parts = lambda c: [mean(1, c).alias("treated"), mean(0, c).alias("control"), (mean(1, c) - mean(0, c)).alias("difference")]
+    names = ["treated", "control", "difference"]
+    observed = units.agg(*parts(F.lit(1.0))).unpivot([], names, "what", "change")
+    drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__n", poisson_count(seed, F.col("draw"), F.col("__k")).cast("double"))
+    long = drawn.groupBy("draw").agg(*parts(F.col("__n"))).unpivot([], names, "what", "m").filter("m IS NOT NULL")
+    ends = long.groupBy("what").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p"))
+    return observed.join(ends, "what")
+
+
 def boot_mean(df: DataFrame, key: str, x: str, draws: int, seed: int = 1) -> DataFrame:
     """(mean, low, high): percentile interval; in each draw a row's count is Poisson(1) from its hash, so that rows never move."""
-    table_ = [math.exp(-1) / math.factorial(i) for i in range(8)]
-    cuts = np.cumsum(table_) * 2**32
-    u = draw(seed, F.col("draw"), F.col(key))
-    count = reduce(lambda acc, i: F.when(u < float(cuts[i]), i).otherwise(acc), range(6, -1, -1), F.lit(7))
-    rows = df.select(key, x).join(F.broadcast(df.sparkSession.range(draws).withColumnRenamed("id", "draw"))).withColumn("c", count)
+    count = poisson_count(seed, F.col("draw"), F.col(key))
+    rows = df.select(key, x).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("c", count)
     means = rows.groupBy("draw").agg((F.sum(F.col("c") * F.col(x)) / F.sum("c")).alias("m"))
     ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return df.agg(F.avg(x).alias("mean")).crossJoin(ends)

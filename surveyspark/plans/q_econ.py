@@ -121,6 +121,11 @@ def _(t):
     return E.pretrend(treated(t), "y", "treat", "sector", "wave", list(range(1995, 2001)), 1997, 1997, "sector")
 
 
+@query("eco_13_pretrend_ri")
+def _(t):
+    return E.pretrend_ri(treated(t), "y", "treat", "sector", "wave", 1997, 1997, 199)
+
+
 _RI = """WITH @panel, u AS (SELECT sector, avg(y) AS y, (sector < 8)::INT AS d FROM panel GROUP BY sector), o AS (SELECT avg(y) FILTER (d = 1) - avg(y) FILTER (d = 0) AS s FROM u),
 r AS (SELECT i, y, row_number() OVER (PARTITION BY i ORDER BY ('0x' || substr(md5(concat_ws('|', 1, i, sector)), 1, 8))::BIGINT, sector) <= (SELECT sum(d) FROM u) AS l FROM u, range(0, 199) t(i)), g AS (SELECT i, avg(y) FILTER (l) - avg(y) FILTER (NOT l) AS g FROM r GROUP BY i)
 SELECT round(max(s), 6) AS statistic, round((1 + count(*) FILTER (abs(g) >= abs(s) - 1e-12)) / (1.0 + count(*)), 8)::DOUBLE AS p, count(*)::BIGINT AS draws FROM g, o"""
@@ -153,6 +158,17 @@ def _(t):
     return E.conley(df, "y", ["x"], "px", "py", 30.0).select("term", r("coef", 5).alias("coef"), r("se", 5).alias("se"))
 
 
+_CON_FE = """WITH @panel, p AS (SELECT y - avg(y) OVER d AS y, x - avg(x) OVER d AS x, (sector * 37 % 100)::DOUBLE AS px, (sector * 61 % 100)::DOUBLE AS py FROM panel WINDOW d AS (PARTITION BY dist)), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx FROM p),
+u AS (SELECT px, py, x * (y - b * x) AS u FROM p, b), k AS (SELECT c.cutoff, a.u * e.u * greatest(1 - sqrt((a.px - e.px) * (a.px - e.px) + (a.py - e.py) * (a.py - e.py)) / c.cutoff, 0) AS v FROM u a, u e, (VALUES (20.0::DOUBLE), (40.0::DOUBLE)) AS c(cutoff))
+SELECT cutoff, 'x' AS term, round(max(b), 5) AS coef, round(sqrt(greatest(sum(v), 0)) / max(sxx), 5) AS se FROM k, b GROUP BY cutoff"""
+
+
+@query("eco_16_conley_effects", _CON_FE)
+def _(t):
+    df = t.panel.withColumns({"px": (C("sector") * 37 % 100).cast("double"), "py": (C("sector") * 61 % 100).cast("double")})
+    return E.conley(df, "y", ["x"], "px", "py", [20.0, 40.0], ["dist"]).select("cutoff", "term", r("coef", 5).alias("coef"), r("se", 5).alias("se"))
+
+
 @query("eco_17_overlap_weights", """WITH @panel SELECT 'x' AS feature, true AS balanced UNION ALL SELECT 'z', true""")
 def _(t):
     df = E.overlap_weights(t.panel.withColumn("treat", (C("sector") % 3 == 0).cast("int")), ["x", "z"], "treat")
@@ -161,6 +177,12 @@ def _(t):
     return gaps.unpivot([], ["x", "z"], "feature", "balanced")
 
 
+@query("eco_17_overlap_report")
+def _(t):
+    df = E.overlap_weights(t.panel.withColumn("treat", (C("sector") % 3 == 0).cast("int")), ["x", "z"], "treat", group="wave")
+    return E.overlap_report(df, ["x", "z"], "treat")
+
+
 @query("eco_18_ancova")
 def _(t):
     return E.ancova(treated(t), "y", "sector", "wave", 1995, "treat", "wave", "sector")
@@ -177,6 +199,17 @@ def _(t):
     return terms(E.cohort_design(df, "lv", "age", 10, 12, "treat", ["sector"], "sector"))
 
 
+_COHORTS = """WITH @person, p AS (SELECT ln(value) AS y, CASE WHEN age < 20 THEN 0 WHEN age < 35 THEN 1 ELSE 2 END AS b, sector < 8 AS d FROM person WHERE age < 60), m AS (SELECT b, d, avg(y) AS m FROM p GROUP BY 1, 2), g AS (SELECT b, max(m) FILTER (d) - max(m) FILTER (NOT d) AS g FROM m GROUP BY b)
+SELECT 'bin_' || (CASE b WHEN 1 THEN 20 ELSE 35 END) AS term, round(g - (SELECT g FROM g WHERE b = 0), 5) AS coef FROM g WHERE b > 0"""
+
+
+@query("eco_20_cohort_bins", _COHORTS)
+def _(t):
+    bin_ = F.when(C("age") < 20, 0).when(C("age") < 35, 1).otherwise(2)
+    df = t.person.withColumns({"lv": F.log("value"), "treat": C("sector") < 8, "bin": bin_, "side": C("sector") < 8})
+    return E.cohort_event_study(df, "lv", "age", [0, 20, 35, 60], 0, "treat", ["bin", "side"], "sector").select("term", r("coef", 5).alias("coef"))
+
+
 @query("eco_21_shift_share", """WITH @panel, d AS (SELECT wave, dist, y - lag(y) OVER s AS y, x - lag(x) OVER s AS x FROM panel WINDOW s AS (PARTITION BY sector ORDER BY wave)), res AS (SELECT y - avg(y) OVER (PARTITION BY wave) AS y, x - avg(x) OVER (PARTITION BY wave) AS x, dist AS g FROM d WHERE y IS NOT NULL)""" + _ONE.format("d_exposure", "5"))
 def _(t):
     return terms(E.shift_share_reg(t.panel, "sector", "wave", "y", "x", [], "dist"))
@@ -211,7 +244,7 @@ def _(t):
 @query("eco_24_l1_logit_cv")
 def _(t):
     df = t.person.select("hhid", (C("cls") == "R").cast("int").alias("y"), C("wt"), (C("age") / 50).alias("a"), C("disc"), C("tax"), (C("wave") - 1995).alias("w"))
-    return E.l1_logit_cv(df, "y", ["a", "disc", "tax", "w"], "hhid", penalties=(0.001, 0.1), folds=3)
+    return E.l1_logit_cv(df, "y", ["a", "disc", "tax"], "hhid", penalties=(0.001, 0.1), folds=3, forced=["w"])
 
 
 @query("eco_25_post_lasso")
@@ -233,6 +266,13 @@ def _(t):
     return rounded(E.boot_mean(units, "sector", "y", 200), 6, "mean", "low", "high")
 
 
+@query("eco_26_boot_did")
+def _(t):
+    at = lambda p: F.max(F.when(C("wave") == p, C("y")))
+    units = t.panel.groupBy("sector").agg(at(1995).alias("before"), at(2000).alias("after"), F.max((C("sector") < 8).cast("int")).alias("treat"))
+    return E.boot_did(units, "sector", "before", "after", "treat", 200)
+
+
 @query("eco_27_holm", """WITH @panel, p AS (SELECT wave, sector, (('0x' || substr(md5(concat_ws('|', sector, wave)), 1, 8))::BIGINT / 4294967296.0)::DOUBLE AS p, count(*) OVER (PARTITION BY wave) AS m FROM panel), a AS (SELECT *, least(1, (m - row_number() OVER (PARTITION BY wave ORDER BY p) + 1) * p) AS a FROM p)
 SELECT wave, sector, round(max(a) OVER (PARTITION BY wave ORDER BY p ROWS UNBOUNDED PRECEDING), 8) AS p_holm FROM a""")
 def _(t):

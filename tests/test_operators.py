@@ -286,3 +286,32 @@ def test_components_of_all_orders(spark, tmp_path):
             parent[b] = a
     got = registry.QUERIES["eco_22_components_all"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent)
+
+
+def test_draws_and_selection(spark):
+    import random
+
+    rnd = random.Random(3)
+    panel = []
+    for u in range(60):
+        level = rnd.gauss(0, 1)
+        panel += [(u, p, level + 0.1 * p + rnd.gauss(0, 1) + (1.5 if u < 20 and p >= 3 else 0), int(u < 20), rnd.gauss(0, 1)) for p in range(6)]
+    df = spark.createDataFrame(panel, "u int, t int, y double, d int, z double")
+    ri = E.pretrend_ri(df, "y", "d", "u", "t", 2, 2, 99).first()
+    wald = E.pretrend(df, "y", "d", "u", "t", list(range(6)), 2, 2, "u").first()
+    assert ri.df == wald.df == 2 and ri.draws == 99 and ri.chi2 == pytest.approx(wald.chi2 * 359 / 290, rel=0.05)  # the factor of the clustered form
+    at = lambda p: F.max(F.when(C("t") == p, C("y")))
+    units = df.groupBy("u").agg(at(0).alias("a"), at(5).alias("b"), F.max("d").alias("d"))
+    boot = {r.what: r for r in E.boot_did(units, "u", "a", "b", "d", 199).collect()}
+    change = {k: [r.b - r.a for r in units.filter(f"d = {k}").collect()] for k in (0, 1)}
+    gap = sum(change[1]) / 20 - sum(change[0]) / 40
+    assert boot["difference"].change == pytest.approx(gap) and boot["difference"].low < gap < boot["difference"].high and boot["difference"].p < 0.1
+    picked = E.relabelled(units, "u", 7, 20, 1).groupBy("draw").count().collect()
+    assert len(picked) == 7 and {r["count"] for r in picked} == {20}
+    wide = df.withColumns({"x": 2 * C("y") + 0.1 * C("z"), "noise": F.sin(C("u") * 7.0 + C("t") * 13.0)})
+    assert E.pds_lasso(wide, "x", "z", ["y", "noise"], "t", "u").first().selected >= 1
+    weights = E.overlap_weights(df, ["z"], "d", group="t")
+    report = E.overlap_report(weights, ["z"], "d").first()
+    assert abs(report.weighted_gap) < 1e-3 and 0 < report.ess_treated <= 120 and report.ess_control <= 240
+    areas = E.l1_logit_cv(df, "d", ["z"], "u", (0.5,), 3, forced=["y"]).first()
+    assert areas.auc > 0.5 and 0 < areas.pr_auc <= 1
