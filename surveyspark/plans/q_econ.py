@@ -183,9 +183,17 @@ def _(t):
     return E.overlap_report(df, ["x", "z"], "treat")
 
 
-@query("eco_18_ancova")
+_ANC = """WITH @panel, q AS (SELECT sector, wave, y, (sector < 8)::INT AS d, max(CASE WHEN wave = 1995 THEN y END) OVER (PARTITION BY sector) AS b FROM panel), r AS (SELECT sector, y - avg(y) OVER w AS y, d - avg(d) OVER w AS d, b - avg(b) OVER w AS b FROM q WHERE wave > 1995 WINDOW w AS (PARTITION BY wave)),
+s AS (SELECT sum(d * d) AS dd, sum(d * b) AS db, sum(b * b) AS bb, sum(d * y) AS dy, sum(b * y) AS ky, count(*) AS n, count(DISTINCT sector) AS g, 5 AS k FROM r), c AS (SELECT *, (bb * dy - db * ky) / (dd * bb - db * db) AS c1, (dd * ky - db * dy) / (dd * bb - db * db) AS c2, dd * bb - db * db AS det FROM s),
+u AS (SELECT sector, sum(r.d * (y - c1 * r.d - c2 * r.b)) AS u1, sum(r.b * (y - c1 * r.d - c2 * r.b)) AS u2 FROM r, c GROUP BY sector), m AS (SELECT sum(u1 * u1) AS m11, sum(u1 * u2) AS m12, sum(u2 * u2) AS m22 FROM u),
+f AS (SELECT *, g / (g - 1.0) * (n - 1.0) / (n - k - 2) AS f FROM c, m)
+SELECT 'treated' AS term, round(c1, 5) AS coef, round(sqrt(f * (bb * bb * m11 - 2 * bb * db * m12 + db * db * m22)) / det, 5) AS se, n::BIGINT AS n, g::BIGINT AS clusters FROM f
+UNION ALL SELECT 'baseline', round(c2, 5), round(sqrt(f * (db * db * m11 - 2 * db * dd * m12 + dd * dd * m22)) / det, 5), n::BIGINT, g::BIGINT FROM f"""
+
+
+@query("eco_18_ancova", _ANC)
 def _(t):
-    return E.ancova(treated(t), "y", "sector", "wave", 1995, "treat", "wave", "sector")
+    return terms(E.ancova(treated(t), "y", "sector", "wave", 1995, "treat", "wave", "sector"))
 
 
 @query("eco_19_long_diff", """WITH @panel, d AS (SELECT a.sector, a.dist, b.y - a.y AS dy, b.x - a.x AS dx FROM panel a JOIN panel b USING (sector) WHERE a.wave = 1995 AND b.wave = 2000), res AS (SELECT dy - avg(dy) OVER (PARTITION BY dist) AS y, dx - avg(dx) OVER (PARTITION BY dist) AS x, dist AS g FROM d)""" + _ONE.format("d_x", "5"))
@@ -266,11 +274,18 @@ def _(t):
     return rounded(E.boot_mean(units, "sector", "y", 200), 6, "mean", "low", "high")
 
 
-@query("eco_26_boot_did")
+_BOOT = """WITH @panel, u AS (SELECT sector, max(CASE WHEN wave = 2000 THEN y END) - max(CASE WHEN wave = 1995 THEN y END) AS c, (sector < 8)::INT AS d FROM panel GROUP BY sector), h AS (SELECT i, c, d, ('0x' || substr(md5(concat_ws('|', 1, i, sector)), 1, 8))::BIGINT / 4294967296.0 AS q FROM u, range(0, 200) t(i)),
+k AS (SELECT i, c, d, CASE WHEN q < exp(-1) THEN 0 WHEN q < exp(-1) * 2 THEN 1 WHEN q < exp(-1) * 2.5 THEN 2 WHEN q < exp(-1) * (2.5 + 1 / 6.0) THEN 3 WHEN q < exp(-1) * (2.5 + 1 / 6.0 + 1 / 24.0) THEN 4 WHEN q < exp(-1) * (2.5 + 1 / 6.0 + 1 / 24.0 + 1 / 120.0) THEN 5 WHEN q < exp(-1) * (2.5 + 1 / 6.0 + 1 / 24.0 + 1 / 120.0 + 1 / 720.0) THEN 6 ELSE 7 END AS n FROM h),
+m AS (SELECT i, sum(n * c) FILTER (d = 1) / sum(n) FILTER (d = 1) AS treated, sum(n * c) FILTER (d = 0) / sum(n) FILTER (d = 0) AS control FROM k GROUP BY i), l AS (SELECT 'treated' AS what, treated AS m FROM m UNION ALL SELECT 'control', control FROM m UNION ALL SELECT 'difference', treated - control FROM m),
+o AS (SELECT avg(c) FILTER (d = 1) AS t, avg(c) FILTER (d = 0) AS k FROM u)
+SELECT what, round(max(CASE what WHEN 'treated' THEN t WHEN 'control' THEN k ELSE t - k END), 5) AS change, round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high, round(least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6)::DOUBLE AS p FROM l, o WHERE m IS NOT NULL GROUP BY what"""
+
+
+@query("eco_26_boot_did", _BOOT)
 def _(t):
     at = lambda p: F.max(F.when(C("wave") == p, C("y")))
     units = t.panel.groupBy("sector").agg(at(1995).alias("before"), at(2000).alias("after"), F.max((C("sector") < 8).cast("int")).alias("treat"))
-    return E.boot_did(units, "sector", "before", "after", "treat", 200)
+    return rounded(rounded(E.boot_did(units, "sector", "before", "after", "treat", 200), 5, "change", "low", "high"), 6, "p")
 
 
 @query("eco_27_holm", """WITH @panel, p AS (SELECT wave, sector, (('0x' || substr(md5(concat_ws('|', sector, wave)), 1, 8))::BIGINT / 4294967296.0)::DOUBLE AS p, count(*) OVER (PARTITION BY wave) AS m FROM panel), a AS (SELECT *, least(1, (m - row_number() OVER (PARTITION BY wave ORDER BY p) + 1) * p) AS a FROM p)

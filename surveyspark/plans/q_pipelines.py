@@ -8,7 +8,7 @@ from surveyspark.operators import spatial as G
 from . import pipelines as P
 from . import q_spatial as S
 from .base import query
-from .q_agg import monthly, moves, r, rounded
+from .q_agg import _LAYERS, monthly, moves, r, rounded
 
 C = F.col
 
@@ -53,7 +53,10 @@ def _(t):
     return rounded(rounded(rounded(df, 8, "lam", "crowd"), 6, "land", "k_a", "k_s"), 5, "eps")
 
 
-@query("pip_06_district_rent")
+@query("pip_06_district_rent", """WITH @person, p AS (SELECT dist, wave, wt, value / (wt * CASE cls WHEN 'A' THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END) AS rent FROM person WHERE cls IN ('A', 'N') AND value NOT IN (98, 99) AND wt > 0),
+q AS (SELECT wave, quantile_cont(rent, 0.01) AS lo, quantile_cont(rent, 0.99) AS hi FROM p GROUP BY wave), i AS (SELECT year(o_orderdate)::INTEGER AS year, round(avg(o_totalprice) / 1000, 2) AS price FROM orders GROUP BY 1),
+v AS (SELECT dist, wave, round(least(greatest(rent, lo), hi) * (SELECT price FROM i WHERE year = 1997) / price, 2) AS real, wt FROM p JOIN q USING (wave) JOIN i ON year = wave), g AS (SELECT dist, wave, real, sum(wt) AS w FROM v GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(w) OVER (PARTITION BY dist, wave ORDER BY real) AS cum, sum(w) OVER (PARTITION BY dist, wave) AS whole FROM g) SELECT dist, wave, min(real) AS wquantile FROM c WHERE cum >= 0.5 * whole GROUP BY 1, 2""")
 def _(t):
     index = t["orders"].groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice") / 1000, 2).alias("price"))
     # Areas of the first flag are in tenths of a hectare; a rent of 98 or 99 and the last flag's units are not known.
@@ -141,9 +144,11 @@ def _(t):
     return P.forest_event_study(t.panel, "y", "sector", "wave", C("sector") % 3 == 0, ["x", "z"], 1995, 1997, list(range(1995, 2001)))
 
 
-@query("pip_19_land_summaries")
+@query("pip_19_land_summaries", f"""WITH @person{_LAYERS}, moved AS (SELECT dist, f AS class, ha AS loss, 0 AS gain FROM tr WHERE f <> t UNION ALL SELECT dist, t, 0, ha FROM tr WHERE f <> t), panel AS (SELECT sector, wave, round(sum(wt), 4) / 1000 AS y, round(sum(value), 2) / 1e6 AS x FROM person WHERE wave BETWEEN 1995 AND 2000 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY wave ORDER BY x, sector) AS r, count(*) OVER (PARTITION BY wave) AS m FROM panel), binned AS (SELECT *, greatest(1, ceil((r - 1) * 4 / (m - 1)))::INTEGER AS bin FROM ranked)
+SELECT concat_ws(' ', 'net', class, dist) AS name, round(sum(gain) - sum(loss), 4) AS value FROM moved GROUP BY class, dist UNION ALL SELECT concat_ws(' ', 'bin', wave, bin), round(avg(y), 4) FROM binned GROUP BY wave, bin""")
 def _(t):
-    return P.land_summaries(moves(t), t.panel, "dist", "wave", "sector", "x", "y", 4)
+    return rounded(P.land_summaries(moves(t), t.panel, "dist", "wave", "sector", "x", "y", 4), 4, "value")
 
 
 @query("pip_20_recode_file", """SELECT o_orderkey::VARCHAR AS unit, o_custkey * 100 / 1e6 AS wt, (o_custkey % 50)::BIGINT AS cluster, CASE WHEN o_orderkey % 4 > 0 OR o_custkey % 3 > 0 THEN (o_orderkey % 4)::DOUBLE END AS x, CASE WHEN o_orderkey % 4 > 0 OR o_custkey % 3 > 0 THEN (o_custkey % 3)::DOUBLE END AS y FROM orders""")

@@ -19,7 +19,7 @@ def _(t):
     return df.agg(F.count("*").alias("n"), F.sum("brand").alias("total"), F.count("type").alias("n_text"))
 
 
-@query("prj_03_compress")
+@query("prj_03_compress", """WITH @person SELECT wave::SMALLINT AS wave, max(age)::TINYINT AS age, sum(wt) AS wt FROM person GROUP BY wave""")
 def _(t):
     return R.compress(t.person.select("hhid", "pid", "wt", "age", "wave", "disc"), keep_double=("wt",)).groupBy("wave").agg(F.max("age").alias("age"), F.sum("wt").alias("wt"))
 
@@ -132,9 +132,9 @@ def _(t):
     return df.groupBy("wave").agg(F.sum(C("cls_A") * (C("sex") == "F").cast("double")).alias("af"), *[F.sum(c).alias(c) for c in df.columns if c.startswith("cls_")])
 
 
-@query("prj_21_expand_candidates")
+@query("prj_21_expand_candidates", """WITH @panel, l AS (SELECT sector, wave, unnest([y * y * n, y * x * n, y * z * n, x * x * n, x * z * n, z * z * n]) AS term, generate_subscripts([1, 2, 3, 4, 5, 6], 1) - 1 AS i FROM panel) SELECT sector, wave, i::INTEGER AS i, round(term, 2) AS term FROM l""")
 def _(t):
-    return t.panel.select("sector", "wave", R.expand_candidates(["y", "x", "z"], by="n").alias("terms"))
+    return t.panel.select("sector", "wave", F.posexplode(R.expand_candidates(["y", "x", "z"], by="n")).alias("i", "term")).withColumn("term", F.round("term", 2))
 
 
 @query("prj_22_zscore", """WITH @panel SELECT sector, wave, round((y - m) / s, 6) AS y_z, round((y - mb) / sb, 6) AS y_base FROM panel,
@@ -263,7 +263,7 @@ def _(t):
     return X.same_category(pairs, "a", "b")
 
 
-@query("str_04_clean_label")
+@query("str_04_clean_label", """WITH p AS (SELECT DISTINCT p_type, replace(p_type, 'STANDARD', 'usual') AS x FROM part) SELECT 'q12. ' || p_type || ' (total)' AS raw, regexp_replace(upper(substr(x, 1, 1)) || lower(substr(x, 2)), '\\btin\\b', 'TIN', 'gi') AS label FROM p""")
 def _(t):
     return t["part"].select(F.concat(F.lit("q12. "), "p_type", F.lit(" (total)")).alias("raw")).distinct().withColumn("label", X.clean_label(C("raw"), {"standard": "usual"}, ("tin",)))
 
@@ -280,7 +280,7 @@ def _(t):
     return X.translate_values(labels, words)
 
 
-@query("str_06_apply_names")
+@query("str_06_apply_names", "SELECT n_nationkey AS sector, n_name AS name, n_regionkey, 'n_regionkey' AS unlisted FROM nation")
 def _(t):
     df, unlisted = X.apply_names(t["nation"], {"n_nationkey": "sector", "n_name": "name"})
     return df.withColumn("unlisted", F.lit(",".join(unlisted)))
