@@ -581,15 +581,18 @@ def lasso(g: np.ndarray, c: np.ndarray, penalty: np.ndarray, steps: int = 2000)
 
 
 def _select(flat: DataFrame, cols: list[str], g: np.ndarray, n: int, target: int, candidates: list[int], cluster: str) -> set[int]:
-    """Candidates with a coefficient under the plug-in penalty; a candidate's loading is the root of the mean square of its clusters' scores, refined with the residuals."""
+    """Candidates with a coefficient under the plug-in penalty.
+
+    A candidate's loading is the root of the mean square of its clusters' scores, refined with the residuals; the level goes by the number of clusters.
+    """
     q = len(candidates)
-    level = 2.2 * math.sqrt(n) * _normal_quantile(1 - 0.1 / math.log(max(n, 3)) / (2 * max(q, 1)))
     gg, c = g[np.ix_(candidates, candidates)], g[candidates, target]
     b = np.zeros(q)
     for _ in range(5):
         e = reduce(lambda p, r: p + r, [F.col(cols[target]), *[F.col(cols[i]) * float(-v) for i, v in zip(candidates, b, strict=True) if v]])
         scores = flat.groupBy(cluster).agg(*[F.sum(F.col(cols[i]) * e).alias(f"s{i}") for i in candidates])
-        row = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"s{i}") for i in candidates]).first()  # a number a candidate
+        row = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"s{i}") for i in candidates], F.count("*").alias("g")).first()  # a number a candidate
+        level = 2.2 * math.sqrt(n) * _normal_quantile(1 - 0.1 / math.log(max(row["g"], 3)) / (2 * max(q, 1)))
         after = lasso(gg, c, level / 2 * np.sqrt(np.maximum([row[f"s{i}"] for i in candidates], 1e-300) / n))
         settled = ((after != 0) == (b != 0)).all() and np.abs(after - b).max() < 1e-6 * max(1.0, np.abs(after).max())
         b = after
