@@ -6,8 +6,13 @@ an odd number of times. The half-open rule (y1 <= y < y2) puts a point on a shar
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from surveyspark.sources.scratch import materialize
 from pyspark.sql.window import Window
 
 
@@ -66,13 +71,46 @@ def segment_distance(px: Column, py: Column) -> Column:
 
 
 def dist_to(points: DataFrame, segments: DataFrame, id_: str, most: int = 20_000) -> DataFrame:
-    """Distance to the nearest of a small set of segments, such as gates or one boundary; more than ``most`` raise."""
+    """Distance to the nearest segment. Up to ``most`` segments, such as gates or one boundary, meet every point; more go through grids."""
+    segments = segments.select(*[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     if segments.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} segments: join them through a grid instead")
-    met = points.select(id_, "x", "y").join(F.broadcast(segments.select("x1", "y1", "x2", "y2")))
+        return dist_by_grids(points, segments, id_)
+    met = points.select(id_, "x", "y").join(F.broadcast(segments))
     return met.groupBy(id_).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))
 
 
+def dist_by_grids(points: DataFrame, segments: DataFrame, id_: str) -> DataFrame:
+    """Distance to the nearest of any number of segments, by grids whose cells double from level to level.
+
+    A point meets the segments in the cells around its own. All segments within a cell's size of it are among these, so that a nearest one
+    within that size is the nearest of all; other points go on to the next level. Segments are placed by pieces no longer than a cell of the
+    first level. Points whose coordinates are null or not finite have no distance.
+    """
+    ends = segments.agg(F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("x1", "x2")).alias("x9"), F.max(F.greatest("y1", "y2")).alias("y9"), F.avg(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("mean"), F.count("*").alias("n")).first()
+    wide = max(ends["x9"] - ends["x0"], ends["y9"] - ends["y0"], 1e-9)
+    size = max(float(ends["mean"]), wide / math.sqrt(ends["n"]), wide / 1e6)
+    # Pieces of a segment are no longer than a cell of the first level, so that each lies in four cells at most; all are kept whole for the distance.
+    parts = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / size)).cast("int")
+    cut = segments.withColumn("n", parts).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda u, v, k: F.col(u) + (F.col(v) - F.col(u)) * k / F.col("n")
+    pieces = materialize(cut.select("x1", "y1", "x2", "y2", *[at(f"{c}1", f"{c}2", F.col("k") + d).alias(f"{c}{n}") for c in "xy" for n, d in (("a", 0), ("b", 1))]), "pieces")
+    known = points.select(id_, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    finite = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))  # NaN is above infinity here
+    left, done = materialize(known.filter(finite), "points"), [known.filter(~finite).select(id_, F.lit(None).cast("double").alias("distance"))]
+    while True:
+        cell = lambda c: F.floor(c / size)
+        span = lambda c: F.sequence(cell(F.least(f"{c}a", f"{c}b")), cell(F.greatest(f"{c}a", f"{c}b")))
+        here = pieces.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y"))).select("x1", "y1", "x2", "y2", "gx", "gy").distinct()
+        around = left.withColumn("gx", F.explode(F.sequence(cell(F.col("x")) - 1, cell(F.col("x")) + 1))).withColumn("gy", F.explode(F.sequence(cell(F.col("y")) - 1, cell(F.col("y")) + 1)))
+        met = around.join(here, ["gx", "gy"]).groupBy(id_).agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("distance"))
+        found = materialize(met.filter(F.col("distance") <= size), "found")
+        done.append(found)
+        left = materialize(left.join(found, id_, "left_anti"), "points")
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        size *= 2
+
+
 def adjacency(edges: DataFrame, unit: str, digits: int = 6) -> DataFrame:
     """(src, dst) of units that share a boundary point (queen), both ways."""
     corners = edges.select(F.col(unit).alias("u"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
@@ -101,6 +139,29 @@ def treatment_groups(units: DataFrame, near: float) -> DataFrame:
     return out.withColumn("clean_control", (F.col("group") == "control") & ~F.col("near_settled"))
 
 
+def treatment_flags(pixels: DataFrame, unit: str, park: Column, old_park: Column, gate_units: DataFrame, gates: DataFrame, size: float) -> DataFrame:
+    """(unit, border, gate, near_settled, gate_km) from pixels (row, col, unit), for ``treatment_groups``.
+
+    ``park`` marks pixels inside any park, ``old_park`` those inside a long-standing one. A unit borders if a pixel of it lies in or beside
+    an old park. Settled land is what lies outside parks: a unit is near if its settled land touches that of a unit in ``gate_units``
+    (unit), itself included; ``gate_km`` is the distance of its settled land to the nearest of ``gates`` (x, y), in ``size`` a pixel. A unit
+    without settled land is not near and has no distance.
+    """
+    flat = pixels.select("row", "col", F.col(unit).alias("unit"), F.coalesce(park, F.lit(False)).alias("park"), F.coalesce(old_park, F.lit(False)).alias("old"))
+    beside = F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    reach = lambda rows: rows.select(beside.alias("p")).select("p.row", "p.col").distinct()
+    gate_unit = gate_units.select("unit").distinct()
+    border = flat.join(reach(flat.filter("old")), ["row", "col"], "left_semi").select("unit", F.lit(True).alias("border")).distinct()
+    settled = flat.filter("NOT park")
+    near = settled.join(reach(settled.join(gate_unit, "unit", "left_semi")), ["row", "col"], "left_semi").select("unit", F.lit(True).alias("near_settled")).distinct()
+    spots = settled.select(F.struct("unit", "row", "col").alias("id"), ((F.col("col") + 0.5) * size).alias("x"), ((F.col("row") + 0.5) * size).alias("y"))
+    far = dist_to(spots, gates.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2")), "id").groupBy(F.col("id.unit").alias("unit")).agg(F.min("distance").alias("gate_km"))
+    out = flat.select("unit").distinct()
+    for one in (border, near, far, gate_unit.withColumn("gate", F.lit(True))):
+        out = out.join(one, "unit", "left")
+    return out.select("unit", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("border", "gate", "near_settled")], "gate_km")
+
+
 def spatial_block(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Fixed blocks as cluster ids, counted from the least coordinates."""
     least = df.agg(F.min(x).alias("__x"), F.min(y).alias("__y"))  # one row

@@ -102,6 +102,16 @@ def _(t):
     return G.treatment_groups(u, 45.0).select("unit", "group", "clean_control")
 
 
+@query("geo_10_flags", f"""WITH {_PIX}, f AS (SELECT *, coalesce(cover < 15, false) AS park, cover < 5 AS old FROM lab), st AS (SELECT * FROM f WHERE NOT park), b AS (SELECT DISTINCT a.unit FROM f a JOIN f o ON o.old AND abs(a.row - o.row) <= 1 AND abs(a.col - o.col) <= 1),
+n AS (SELECT DISTINCT a.unit FROM st a JOIN st g ON g.unit = 7 AND abs(a.row - g.row) <= 1 AND abs(a.col - g.col) <= 1), d AS (SELECT unit, min(sqrt(pow(col + 0.5 - 40, 2) + pow(row + 0.5 - 20, 2))) AS km FROM st GROUP BY unit)
+SELECT DISTINCT f.unit, f.unit IN (SELECT unit FROM b) AS border, f.unit = 7 AS gate, f.unit IN (SELECT unit FROM n) AS near_settled, round(km, 6) AS gate_km FROM f LEFT JOIN d USING (unit)""")
+def _(t):
+    labelled = pixels(t).withColumn("unit", (F.floor(C("col") / 20) + 5 * F.floor(C("row") / 20)).cast("int"))
+    gate_units, gates = t["nation"].filter("n_nationkey = 7").select(C("n_nationkey").alias("unit")), t["nation"].filter("n_nationkey = 7").select(F.lit(40.0).alias("x"), F.lit(20.0).alias("y"))
+    flags = G.treatment_flags(labelled, "unit", C("cover") < 15, C("cover") < 5, gate_units, gates, 1.0)
+    return flags.withColumn("gate_km", F.round("gate_km", 6))
+
+
 @query("geo_11_block", f"WITH {_PTS}, m AS (SELECT min(x) AS mx, min(y) AS my FROM pts) SELECT floor((x - mx) / 20)::BIGINT || '_' || floor((y - my) / 20)::BIGINT AS block, count(*)::BIGINT AS n FROM pts, m GROUP BY 1")
 def _(t):
     return G.spatial_block(points(t), 20.0).groupBy("block").agg(F.count("*").alias("n"))

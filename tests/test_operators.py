@@ -315,3 +315,20 @@ def test_draws_and_selection(spark):
     assert abs(report.weighted_gap) < 1e-3 and 0 < report.ess_treated <= 120 and report.ess_control <= 240
     areas = E.l1_logit_cv(df, "d", ["z"], "u", (0.5,), 3, forced=["y"]).first()
     assert areas.auc > 0.5 and 0 < areas.pr_auc <= 1
+
+
+def test_nearest_of_many_segments(spark):
+    rnd = np.random.default_rng(8)
+    segments = [(x, y, x + dx, y + dy) for x, y, dx, dy in rnd.random((60, 4)) * [100, 100, 5, 5]] + [(0.0, 0.0, 100.0, 3.0), (50.0, 50.0, 50.0, 50.0)]
+    segments = [tuple(map(float, s)) for s in segments]
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(rnd.random((80, 2)) * 140 - 20)] + [(90, 500.0, -400.0)]
+
+    def far(x, y, s):
+        dx, dy = s[2] - s[0], s[3] - s[1]
+        k = min(max(((x - s[0]) * dx + (y - s[1]) * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
+        return np.hypot(x - s[0] - k * dx, y - s[1] - k * dy)
+
+    points, lines = spark.createDataFrame(spots, "id int, x double, y double"), spark.createDataFrame(segments, "x1 double, y1 double, x2 double, y2 double")
+    for most in (1000, 10):
+        got = {r.id: r.distance for r in G.dist_to(points, lines, "id", most).collect()}
+        assert len(got) == len(spots) and all(got[i] == pytest.approx(min(far(x, y, s) for s in segments)) for i, x, y in spots)
