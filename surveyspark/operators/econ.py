@@ -336,54 +336,65 @@ ENUMERATE = 12
 def wild_p(m: DataFrame, names: list[str], terms: list[str], draws: int = 9999, weights: str = "webb", seed: int = 1, rank: int = 0) -> DataFrame:
     """(term, t, p, draws): wild cluster bootstrap with the null imposed, from cluster moments alone.
 
-    Draws are rows of a distributed table against the moments (a row a cluster, in all tasks). With Rademacher weights and few
-    clusters every sign vector is taken once.
+    Clusters stay distributed, each in one task with all draws. For a term let h be its row of (X'X)^-1; a cluster has the null
+    score r, q = h'r, u = X'X_g h and a draw's weight w. The draw moves the coefficients by d = (X'X)^-1 sum(w r), and the middle
+    of the term's variance is sum(w^2 q^2) - 2 d'sum(w q u) + d'sum(u u')d. So 2k + 1 sums a draw and term are all that tasks
+    hold, add up and shuffle. With Rademacher weights and few clusters every sign vector is taken once.
     """
-    k = len(names)
-    rows = sorted(m.collect(), key=lambda r: str(r["cluster"]))  # G rows of k * k numbers
-    a = np.stack([_square(r, k) for r in rows])
-    c = np.array([[r[f"c_{i}"] for i in range(k)] for r in rows])
-    n, g, ids = sum(r["n"] for r in rows), len(rows), [r["cluster"] for r in rows]
-    total, full = a.sum(axis=0), weights == "rademacher" and len(rows) <= ENUMERATE
-    inverse = np.linalg.inv(total)
+    k, spark = len(names), m.sparkSession
+    inverse, b, n, g = solve(m, k)
     factor = g / (g - 1) * (n - 1) / max(1, n - rank - k)
-
-    def t_of(b, scores, j):
-        v = factor * inverse @ (scores.T @ scores) @ inverse
-        return b[j] / math.sqrt(v[j, j]) if v[j, j] > 0 else math.inf
-
-    b = inverse @ c.sum(axis=0)
-    observed = {x: t_of(b, c - a @ b, names.index(x)) for x in terms}
-
-    fits = {}  # the model without the term, in cluster moments
+    full = weights == "rademacher" and g <= ENUMERATE
+    place = {str(r[0]): i for i, r in enumerate(m.select(F.col("cluster").cast("string")).collect())} if full else {}  # at most ENUMERATE rows
+    number = 2**g if full else draws
+    spread = cluster_vcov(m, inverse, b, "CR1", n, g, rank)
+    observed, null, cross = [], [], []
     for x in terms:
-        rest = [i for i in range(k) if i != names.index(x)]
-        br = np.zeros(k)
-        if rest:
-            br[rest] = np.linalg.solve(total[np.ix_(rest, rest)], c.sum(axis=0)[rest])
-        fits[x] = a @ br
-
-    def run(batches):
+        j = names.index(x)
+        observed.append(b[j] / math.sqrt(spread[j, j]) if spread[j, j] > 0 else math.inf)
+        null.append(b - inverse[:, j] / inverse[j, j] * b[j])  # least squares without the term
+        u = [reduce(lambda p, q: p + q, [F.col(f"a_{min(i, o)}_{max(i, o)}") * float(inverse[j, o]) for o in range(k)]) for i in range(k)]
+        row = m.select(*[c.alias(f"u_{i}") for i, c in enumerate(u)]).agg(*[F.sum(F.col(f"u_{i}") * F.col(f"u_{o}")).alias(f"a_{i}_{o}") for i in range(k) for o in range(i, k)]).first()
+        cross.append(_square(row, k))
+
+    def signs(ids) -> np.ndarray:
+        """draws x clusters"""
+        if full:
+            return 1.0 - 2.0 * (np.arange(number)[:, None] >> np.array([place[x] for x in ids]) & 1)
+        drawn = np.array([[hash_draw(seed, d, x) for x in ids] for d in range(number)])
+        return 2.0 * (drawn & 1) - 1.0 if weights == "rademacher" else WEBB[drawn % 6]
+
+    def add(batches):
+        sums = np.zeros((len(terms), number, 2 * k + 1))
         for batch in batches:
-            out = []
-            for d in batch["id"]:
-                d = int(d)
-                if full:
-                    wt = np.array([1.0 if d >> i & 1 else -1.0 for i in range(g)])
-                elif weights == "rademacher":
-                    wt = np.array([1.0 if hash_draw(seed, d, x) & 1 else -1.0 for x in ids])
-                else:
-                    wt = WEBB[[hash_draw(seed, d, x) % 6 for x in ids]]
-                for x in terms:
-                    j, fit = names.index(x), fits[x]
-                    xy = fit + wt[:, None] * (c - fit)
-                    bs = inverse @ xy.sum(axis=0)
-                    out.append((x, abs(t_of(bs, xy - a @ bs, j)) >= abs(observed[x]) * (1 - 1e-12)))
-            yield pd.DataFrame(out, columns=["term", "exceeds"])
+            for start in range(0, len(batch), 64):
+                part = batch.iloc[start : start + 64]
+                a = np.stack([np.stack([part[f"a_{min(i, o)}_{max(i, o)}"] for o in range(k)], 1) for i in range(k)], 1)
+                c, wt = np.stack([part[f"c_{i}"] for i in range(k)], 1), signs([str(x) for x in part["cluster"]])
+                for i, x in enumerate(terms):
+                    h = inverse[names.index(x)]
+                    r, u = c - a @ null[i], a @ h
+                    q = r @ h
+                    sums[i] += np.concatenate([wt @ r, (wt * wt) @ (q * q)[:, None], wt @ (q[:, None] * u)], 1)
+        for i in range(len(terms)):
+            yield pd.DataFrame({"i": i, "draw": np.arange(number), **{f"s_{o}": sums[i, :, o] for o in range(2 * k + 1)}})
 
-    number = 2**g if full else draws
-    hits = m.sparkSession.range(number).mapInPandas(run, "term string, exceeds boolean").groupBy("term").agg(F.avg(F.col("exceeds").cast("double")).alias("p"), F.count("*").alias("draws"))
-    return hits.join(m.sparkSession.createDataFrame([(x, float(v)) for x, v in observed.items()], "term string, t double"), "term").select("term", "t", "p", "draws")
+    def exceeds(batches):
+        for batch in batches:
+            s = batch[cells].to_numpy()
+            for i in np.unique(batch["i"]):
+                j, at = names.index(terms[i]), s[(batch["i"] == i).to_numpy()]
+                d = at[:, :k] @ inverse
+                v = factor * (at[:, k] - 2 * (d * at[:, k + 1 :]).sum(1) + ((d @ cross[i]) * d).sum(1))
+                t = np.where(v > 0, np.abs(d[:, j]) / np.sqrt(np.where(v > 0, v, 1.0)), math.inf)
+                yield pd.DataFrame({"i": i, "exceeds": (t >= abs(observed[i]) * (1 - 1e-9)).astype(float)})
+
+    cells = [f"s_{o}" for o in range(2 * k + 1)]
+    tasks = max(1, min(g, spark.sparkContext.defaultParallelism))
+    dealt = m.withColumn("cluster", F.col("cluster").cast("string")).repartition(tasks, "cluster")
+    summed = dealt.mapInPandas(add, "i int, draw long, " + ", ".join(f"{c} double" for c in cells)).groupBy("i", "draw").agg(*[F.sum(c).alias(c) for c in cells])
+    hits = summed.mapInPandas(exceeds, "i int, exceeds double").groupBy("i").agg(F.avg("exceeds").alias("p"), F.count("*").alias("draws"))
+    return hits.join(spark.createDataFrame([(i, x, float(t)) for i, (x, t) in enumerate(zip(terms, observed))], "i int, term string, t double"), "i").select("term", "t", "p", "draws")
 
 
 def relabelled(units: DataFrame, unit: str, draws: int, k: int, seed: int) -> DataFrame:

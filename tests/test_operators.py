@@ -234,12 +234,12 @@ def test_wild_bootstrap_is_the_row_form(spark, panel):
     y, g = np.array([r[3] for r in panel]), np.array([r[2] for r in panel])
     X, y = X - X.mean(axis=0), y - y.mean()
 
-    def t_of(yy):
+    def t_of(yy, j=1):
         bread = np.linalg.inv(X.T @ X)
         b = bread @ X.T @ yy
         e = yy - X @ b
         meat = sum(np.outer(s, s) for s in (X[g == k].T @ e[g == k] for k in range(5)))
-        return b[1] / math.sqrt((bread @ meat @ bread)[1, 1])
+        return b[j] / math.sqrt((bread @ meat @ bread)[j, j])
 
     b0 = (X[:, 0] @ y) / (X[:, 0] @ X[:, 0])
     u = y - X[:, 0] * b0
@@ -247,6 +247,14 @@ def test_wild_bootstrap_is_the_row_form(spark, panel):
     p = np.mean([abs(t_of(X[:, 0] * b0 + np.array(s)[g] * u)) >= abs(t_of(y)) * (1 - 1e-12) for s in signs])
     assert got.draws == 32 and got.p == pytest.approx(p)
 
+    # drawn weights, two terms, clusters dealt over several tasks
+    rows = {r.term: r for r in E.wild_p(m.repartition(3), ["x", "z"], ["x", "z"], draws=40, rank=1).collect()}
+    for j, x in enumerate(["x", "z"]):
+        o = X[:, 1 - j]
+        fit = o * ((o @ y) / (o @ o))
+        drawn = [np.array([E.WEBB[E.hash_draw(1, d, k) % 6] for k in range(5)])[g] for d in range(40)]
+        assert rows[x].draws == 40 and rows[x].p == pytest.approx(np.mean([abs(t_of(fit + w * (y - fit), j)) >= abs(t_of(y, j)) for w in drawn]))
+
 
 def test_tails_and_adjustments(spark):
     assert E.t_tail(2.0, 10) == pytest.approx(0.0733880, abs=1e-6) and E.t_tail(1.0, 1) == pytest.approx(0.5)
