@@ -428,8 +428,7 @@ def ri_block_p(df: DataFrame, y: str, unit: str, treat: str, adjacency: DataFram
     units = materialize(df.groupBy(unit).agg(F.avg(y).alias("__y"), F.max(F.col(treat).cast("int")).alias("__d")), "units")
     size = int(units.agg(F.sum("__d")).first()[0])
     best = lambda rows: rows.withColumn("__r", F.row_number().over(Window.partitionBy("draw").orderBy(draw(seed, F.col("draw"), F.col(unit)), unit))).filter("__r = 1").select("draw", unit)
-    numbers = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    blob = materialize(best(numbers.join(F.broadcast(units.select(unit)))), "blob")
+    blob = materialize(relabelled(units.select(unit), unit, draws, 1, seed).select("draw", unit), "blob")
     for _ in range(size - 1):
         near = blob.withColumnRenamed(unit, "src").join(adjacency, "src").select("draw", F.col("dst").alias(unit)).distinct().join(blob, ["draw", unit], "left_anti")
         blob = materialize(blob.unionAll(best(near)), "blob")

@@ -146,14 +146,13 @@ def bracket_join(df: DataFrame, knots: DataFrame, on: list[str], t: str, value:
 
 def complete_grid(units: DataFrame, periods: DataFrame) -> DataFrame:
     """All units by all periods; both are dimension tables."""
-    return units.crossJoin(F.broadcast(periods))
+    return units.crossJoin(periods)
 
 
-def pairwise(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(a, b, distance) between all units of a dimension table, each pair once."""
-    side = lambda s: df.select(F.col(key).alias(s), F.col(x).alias(f"{s}_x"), F.col(y).alias(f"{s}_y"))
-    a, b = side("a"), F.broadcast(side("b"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")).alias("distance"))
+def pairwise(df: DataFrame, key: str, x: str, y: str, blocks: int = 16) -> DataFrame:
+    """(a, b, distance) between all units of a dimension table, each pair once; blocks of units meet by an equi join on both blocks' numbers."""
+    side = lambda s, other: df.select(F.col(key).alias(s), F.col(x).alias(f"{s}_x"), F.col(y).alias(f"{s}_y"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"__{s}"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(f"__{other}"))
+    return side("a", "b").join(side("b", "a"), ["__a", "__b"]).filter("a < b").select("a", "b", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")).alias("distance"))
 
 
 def overlap_pairs(df: DataFrame, key: list[str], source: str, value: str) -> DataFrame:

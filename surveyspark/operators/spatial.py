@@ -224,7 +224,7 @@ def moran(df: DataFrame, adj: DataFrame, unit: str, x: str, perms: int = 0, seed
     if not perms:
         return value
     ids = base.select(unit, "z").withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)))
-    deals = df.sparkSession.range(perms).withColumnRenamed("id", "draw").join(F.broadcast(ids.select(unit, "r")))
+    deals = base.select(unit, F.explode(F.sequence(F.lit(0), F.lit(perms - 1))).alias("draw"))
     deals = deals.withColumn("to", F.row_number().over(Window.partitionBy("draw").orderBy(draw(seed, F.col("draw"), F.col(unit)), unit)))
     dealt = deals.join(ids.select(F.col("r").alias("to"), "z"), "to").select("draw", unit, "z")
     lag = adj.join(dealt.withColumnRenamed(unit, "dst"), "dst").groupBy("draw", F.col("src").alias(unit)).agg(F.avg("z").alias("lag"))

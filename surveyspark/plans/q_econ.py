@@ -68,6 +68,12 @@ def _(t):
     return out.crossJoin(F.broadcast(whole)).filter("cells = 25 * 6 * 12").select("term", r("coef", 4).alias("coef"))
 
 
+@query("eco_07_seasonal_any")
+def _(t):
+    df = monthly(t)
+    return E.seasonal(df.withColumn("unit", F.concat_ws("_", "sector", "wave")), "rain", "month", 1, ["unit"], "sector").select("term", r("coef", 4).alias("coef"))
+
+
 @query("eco_08_wls", "WITH @panel, res AS (SELECT y, x, n AS w, dist AS g FROM panel), c AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM res), d AS (SELECT y - my AS y, x - mx AS x, w, g FROM res, c), b AS (SELECT sum(w * x * y) / sum(w * x * x) AS b, sum(w * x * x) AS sxx, count(*) AS n, count(DISTINCT g) AS gs FROM d), m AS (SELECT sum(s * s) AS meat FROM (SELECT g, sum(w * x * (y - b * x)) AS s FROM d, b GROUP BY g)) SELECT 'x' AS term, round(b, 5) AS coef, round(sqrt(gs / (gs - 1.0) * (n - 1.0) / (n - 2) * meat) / sxx, 5) AS se, n::BIGINT AS n, gs::BIGINT AS clusters FROM b, m")
 def _(t):
     return terms(E.wls(t.panel, "y", ["x"], "n", "dist"))

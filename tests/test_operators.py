@@ -256,6 +256,20 @@ def test_wild_bootstrap_is_the_row_form(spark, panel):
         assert rows[x].draws == 40 and rows[x].p == pytest.approx(np.mean([abs(t_of(fit + w * (y - fit), j)) >= abs(t_of(y, j)) for w in drawn]))
 
 
+def test_seasonal_on_an_incomplete_panel(spark):
+    rows = [(u, m, u % 3, 2.0 * m + u + (u * m) % 5) for u in range(9) for m in range(1, 13) if (u + m) % 4]
+    got = {r.term: r.coef for r in E.seasonal(spark.createDataFrame(rows, "u int, m int, g int, y double"), "y", "m", 1, ["u"], "g").collect()}
+    X = np.array([[float(m == k) for k in range(2, 13)] + [float(u == k) for k in range(9)] for u, m, _, _ in rows])
+    b = np.linalg.lstsq(X, np.array([r[3] for r in rows]), rcond=None)[0]
+    assert got == pytest.approx({f"month_{k}": b[k - 2] for k in range(2, 13)}, abs=1e-6)
+
+
+def test_pairwise_by_blocks(spark):
+    rows = [(i, i * 1.5, (i * 7) % 5 * 1.0) for i in range(12)]
+    got = {(r.a, r.b): r.distance for r in J.pairwise(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y", blocks=3).collect()}
+    assert got == pytest.approx({(p[0], q[0]): math.hypot(p[1] - q[1], p[2] - q[2]) for p in rows for q in rows if p[0] < q[0]})
+
+
 def test_tails_and_adjustments(spark):
     assert E.t_tail(2.0, 10) == pytest.approx(0.0733880, abs=1e-6) and E.t_tail(1.0, 1) == pytest.approx(0.5)
     assert E.f_tail(4.0, 2, 10) == pytest.approx(0.0528, abs=5e-4) and E.chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6) and E.chi2_tail(5.991465, 2) == pytest.approx(0.05, abs=1e-6)
