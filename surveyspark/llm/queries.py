@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, tokens, warc
+from . import decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, runs, tokens, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_runs": runs.op11_runs,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
