@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, runs, tokens, warc
+from . import codes, decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, runs, tokens, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddings.op10_embeddings,
     "op11_runs": runs.op11_runs,
+    "op12_codes": codes.op12_codes,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_jaccard": jaccard.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_embeddings": embeddings.OP10_SQL,
+    "op12_codes": codes.OP12_SQL,
 }
