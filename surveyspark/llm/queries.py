@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, runs, tokens, warc
+from . import chat, codes, decontaminate, embeddings, jaccard, language, mixing, pii, quality, repeats, runs, tokens, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_embeddings": embeddings.op10_embeddings,
     "op11_runs": runs.op11_runs,
     "op12_codes": codes.op12_codes,
+    "op13_chat": chat.op13_chat,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_mixing": mixing.OP8_SQL,
     "op10_embeddings": embeddings.OP10_SQL,
     "op12_codes": codes.OP12_SQL,
+    "op13_chat": chat.OP13_SQL,
 }
