@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_agg, q_econ, q_pipelines, q_quality, q_recode, q_spatial  # noqa: F401
+from . import q_agg, q_concepts, q_econ, q_pipelines, q_quality, q_recode, q_spatial  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
