@@ -11,7 +11,7 @@ have is left out and documented as missing; concepts that need each other are an
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from graphlib import TopologicalSorter
 from operator import and_, or_
@@ -89,14 +89,17 @@ def value_of(rule: ConceptRule, of: dict[str, Column]) -> Column:
 
 
 def usable(rules: list[ConceptRule], columns: set[str]) -> list[ConceptRule]:
-    """Rules with all that they need; of yes and no rules those items that are there."""
-    concepts, out = {r.concept for r in rules}, []
-    for r in rules:
-        have = tuple(s for s in r.sources if s in columns or s in concepts)
-        if r.how in ("yes", "no") and have:
-            r = ConceptRule(r.waves, r.concept, r.how, have, r.rule, r.quality, r.note, r.condition)
-        if r.how != "none" and have and all(s in columns or s in concepts for s in r.needs):
-            out.append(r)
+    """Rules with all that they need; of yes and no rules those items that are there. A concept is there if one of its rules is."""
+    known, before = set(columns) | {r.concept for r in rules}, None
+    while known != before:
+        before, out = known, []
+        for r in rules:
+            have = tuple(s for s in r.sources if s in known)
+            if r.how in ("yes", "no"):
+                r = replace(r, sources=have)
+            if r.how != "none" and have and all(s in known for s in r.needs):
+                out.append(r)
+        known = set(columns) | {r.concept for r in out}
     return out
 
 
