@@ -335,9 +335,9 @@ def _(t):
     return S.duplicate_keys(t.person, ["hhid", "pid"], "wave")
 
 
-@query("set_05_missing_from", """SELECT DISTINCT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+@query("set_05_missing_from", """SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996""")
 def _(t):
-    return S.missing_from(t["customer"].select("c_custkey"), t["orders"].select(C("o_custkey").alias("c_custkey")))
+    return S.missing_from(t["customer"].select("c_custkey"), t["orders"].filter(F.year("o_orderdate") == 1996).select(C("o_custkey").alias("c_custkey")))
 
 
 @query("set_06_ranking", """WITH @panel SELECT sector, wave, rank() OVER (PARTITION BY wave ORDER BY n DESC)::INTEGER AS rank FROM panel""")

@@ -59,16 +59,25 @@ def _(t):
     return E.wild_p(m, ["x", "z"], ["x", "z"], draws=999, rank=30)
 
 
-@query("eco_07_seasonal", """WITH @person, monthly AS (SELECT sector, wave, month, round(sum(wt), 4) AS rain FROM person WHERE wave BETWEEN 1995 AND 2000 GROUP BY 1, 2, 3)
-SELECT 'month_' || month AS term, round(avg(rain) - (SELECT avg(rain) FROM monthly WHERE month = 1), 4) AS coef FROM monthly WHERE month > 1 AND (SELECT count(*) FROM monthly) = 25 * 6 * 12 GROUP BY month""")
+def _seasonal_sql() -> str:
+    """Normal equations of eleven month dummies and the outcome (column 13) within units, solved pivot by pivot."""
+    steps = ["m1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM dm a JOIN dm b USING (id) GROUP BY a.i, b.i)"]
+    for k in range(2, 13):
+        m = f"m{k - 1}"
+        steps.append(f"m{k} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v FROM {m} a JOIN {m} r ON r.i = {k} AND r.j = a.j JOIN {m} c ON c.i = a.i AND c.j = {k} JOIN {m} p ON p.i = {k} AND p.j = {k})")
+    return f"""WITH @person, monthly AS (SELECT sector, wave, month, round(sum(wt), 4) AS rain FROM person WHERE wave BETWEEN 1995 AND 2000 GROUP BY 1, 2, 3),
+r AS (SELECT row_number() OVER () AS id, sector, wave, month, rain FROM monthly), l AS (SELECT id, sector, wave, i, CASE WHEN i = 13 THEN rain ELSE (month = i)::INTEGER END AS v FROM r, range(2, 14) t(i)),
+dm AS MATERIALIZED (SELECT id, i, v - avg(v) OVER (PARTITION BY sector, wave, i) AS v FROM l), {", ".join(steps)}
+SELECT 'month_' || i AS term, round(v, 4) AS coef FROM m12 WHERE j = 13 AND i < 13"""
+
+
+@query("eco_07_seasonal", _seasonal_sql())
 def _(t):
     df = monthly(t)
-    out = E.seasonal(df.withColumn("unit", F.concat_ws("_", "sector", "wave")), "rain", "month", 1, ["unit"], "sector")
-    whole = df.agg(F.count("*").alias("cells"))  # the closed form holds on a complete panel
-    return out.crossJoin(F.broadcast(whole)).filter("cells = 25 * 6 * 12").select("term", r("coef", 4).alias("coef"))
+    return E.seasonal(df.withColumn("unit", F.concat_ws("_", "sector", "wave")), "rain", "month", 1, ["unit"], "sector").select("term", r("coef", 4).alias("coef"))
 
 
-@query("eco_07_seasonal_any")
+@query("eco_07_seasonal_any", _seasonal_sql())
 def _(t):
     df = monthly(t)
     return E.seasonal(df.withColumn("unit", F.concat_ws("_", "sector", "wave")), "rain", "month", 1, ["unit"], "sector").select("term", r("coef", 4).alias("coef"))
@@ -175,12 +184,25 @@ def _(t):
     return E.conley(df, "y", ["x"], "px", "py", [20.0, 40.0], ["dist"]).select("cutoff", "term", r("coef", 5).alias("coef"), r("se", 5).alias("se"))
 
 
-@query("eco_17_overlap_weights", """WITH @panel SELECT 'x' AS feature, true AS balanced UNION ALL SELECT 'z', true""")
+def _logit_sql(rounds: int = 12) -> str:
+    """Newton steps of a logit on two standardised columns, each a three by three system by determinants."""
+    steps = ["b0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    for k in range(rounds):
+        steps.append(f"""h{k} AS MATERIALIZED (SELECT sum(p * (1 - p)) AS a, sum(p * (1 - p) * x) AS b, sum(p * (1 - p) * z) AS c, sum(p * (1 - p) * x * x) AS e, sum(p * (1 - p) * x * z) AS f, sum(p * (1 - p) * z * z) AS i, sum(d - p) AS u, sum((d - p) * x) AS v, sum((d - p) * z) AS w, max(b0) AS b0, max(b1) AS b1, max(b2) AS b2
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x + b2 * z))) AS p FROM q, b{k})),
+b{k + 1} AS MATERIALIZED (SELECT b0 + (u * (e * i - f * f) - b * (v * i - f * w) + c * (v * f - e * w)) / det AS b0, b1 + (a * (v * i - f * w) - u * (b * i - f * c) + c * (b * w - v * c)) / det AS b1, b2 + (a * (e * w - v * f) - b * (b * w - v * c) + u * (b * f - e * c)) / det AS b2
+  FROM (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM h{k}))""")
+    return f"""WITH @panel, q AS (SELECT (sector % 3 = 0)::INTEGER AS d, x AS rx, z AS rz, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (z - avg(z) OVER ()) / stddev_samp(z) OVER () AS z FROM panel), {", ".join(steps)},
+o AS (SELECT d, rx, rz, abs(d - 1 / (1 + exp(-(b0 + b1 * x + b2 * z)))) AS w FROM q, b{rounds}),
+m AS (SELECT d, sum(w * rx) / sum(w) AS x, sum(w * rz) / sum(w) AS z FROM o GROUP BY d)
+SELECT unnest(['x', 'z']) AS feature, round(unnest([t.x, t.z]), 5) AS treated, round(unnest([c.x, c.z]), 5) AS control FROM m t, m c WHERE t.d = 1 AND c.d = 0"""
+
+
+@query("eco_17_overlap_weights", _logit_sql())
 def _(t):
     df = E.overlap_weights(t.panel.withColumn("treat", (C("sector") % 3 == 0).cast("int")), ["x", "z"], "treat")
     mean = lambda c, d: F.sum(F.when(C("treat") == d, C(c) * C("overlap_weight"))) / F.sum(F.when(C("treat") == d, C("overlap_weight")))
-    gaps = df.agg(*[(F.abs(mean(c, 1) - mean(c, 0)) < 1e-4).alias(c) for c in ("x", "z")])
-    return gaps.unpivot([], ["x", "z"], "feature", "balanced")
+    return df.agg(*[F.struct(F.lit(c).alias("feature"), F.round(mean(c, 1), 5).alias("treated"), F.round(mean(c, 0), 5).alias("control")).alias(c) for c in ("x", "z")]).select(F.inline(F.array("x", "z")))
 
 
 @query("eco_17_overlap_report")
@@ -234,13 +256,17 @@ def order_components(o):
     return E.components(edges, "a", "b")
 
 
-@query("eco_22_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || (o_orderkey % 5000 + (o_orderkey % 7) * 100000) AS b FROM orders WHERE o_orderkey % 11 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT a AS node, a AS x FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON u.a = reach.x) SELECT node, min(x) AS component FROM reach GROUP BY node""")
+_COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || (o_orderkey % 5000 + (o_orderkey % 7) * 100000) AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a UNION (SELECT c.node, min(o.component) FROM recurring.c AS c JOIN u ON u.a = c.node JOIN c AS o ON o.node = u.b WHERE o.component < c.component GROUP BY c.node))
+SELECT node, component FROM c"""
+
+
+@query("eco_22_components", _COMPONENTS)
 def _(t):
-    return order_components(t["orders"].filter("o_orderkey % 11 = 0"))
+    return order_components(t["orders"])
 
 
-@query("eco_22_components_all")
+@query("eco_22_components_all", _COMPONENTS)
 def _(t):
     return order_components(t["orders"])
 

@@ -118,9 +118,9 @@ def _(t):
     return Q.check_grid(t.panel, "sector", "wave", {"z": (0.0, 0.05)})
 
 
-@query("qc_07_gaps", """WITH @person, s AS (SELECT brand, wave FROM person WHERE wave <> 1997 OR sector < 12 GROUP BY 1, 2 HAVING count(*) > 0) SELECT a.brand, y AS wave FROM (SELECT brand, min(wave) AS a, max(wave) AS b FROM s GROUP BY brand) a, range(1990, 2010) t(y) WHERE y BETWEEN a AND b AND NOT EXISTS (SELECT 1 FROM s WHERE s.brand = a.brand AND s.wave = y)""")
+@query("qc_07_gaps", """WITH @person, s AS (SELECT custkey, wave FROM person GROUP BY 1, 2) SELECT a.custkey, y AS wave FROM (SELECT custkey, min(wave) AS a, max(wave) AS b FROM s GROUP BY custkey) a, range(1990, 2010) t(y) WHERE y BETWEEN a AND b AND NOT EXISTS (SELECT 1 FROM s WHERE s.custkey = a.custkey AND s.wave = y)""")
 def _(t):
-    return Q.period_gaps(t.person.filter("wave <> 1997 OR sector < 12").select("brand", "wave"), "brand", "wave")
+    return Q.period_gaps(t.person.select("custkey", "wave"), "custkey", "wave")
 
 
 @query("qc_08_rank_agreement", """WITH @panel, k AS (SELECT wave, (rank() OVER (PARTITION BY wave ORDER BY y) + (count(*) OVER (PARTITION BY wave, y) - 1) / 2.0) AS a, (rank() OVER (PARTITION BY wave ORDER BY x) + (count(*) OVER (PARTITION BY wave, x) - 1) / 2.0) AS b FROM panel), c AS (SELECT min(q) AS low FROM (SELECT corr(a, b) AS q FROM k GROUP BY wave))
@@ -204,9 +204,10 @@ def _(t):
     return V.classify_level(t["lineitem"], "l_orderkey", "l_linenumber")
 
 
-@query("ver_08_audit", "SELECT 'x' AS variable, 0 AS wave_a, 0 AS wave_b WHERE false")
+@query("ver_08_audit", """WITH @person, w AS (SELECT DISTINCT wave FROM person) SELECT 'brand' AS variable, a.wave AS wave_a, b.wave AS wave_b FROM w a, w b WHERE a.wave < 2000 AND b.wave >= 2000""")
 def _(t):
-    return V.audit_versions(catalogue(t), seen(t), decisions(t)).select("variable", "wave_a", "wave_b")
+    forced = catalogue(t).select("variable", "wave").distinct().withColumn("pooled_column", C("variable"))  # all waves in one column: what must not be pooled is found
+    return V.audit_versions(catalogue(t), seen(t), forced).unionAll(V.audit_versions(catalogue(t), seen(t), decisions(t))).select("variable", "wave_a", "wave_b")
 
 
 RULES = [
