@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from surveyspark.sources.scratch import materialize
 
+from . import order
+
 
 def weighted_pivot(df: DataFrame, by: list[str], on: str, values: list, w: str) -> DataFrame:
     """Weighted counts by group, a column for each of ``values``, zero where there is none."""
@@ -29,14 +31,8 @@ def wratio(num: Column, den: Column, w: Column) -> Column:
 
 
 def wquantile(df: DataFrame, by: list[str], x: str, w: str, q: float = 0.5) -> DataFrame:
-    """Smallest value whose cumulative weight reaches ``q`` of the total: one row a group.
-
-    Equal values are summed first, so that a group's window holds its distinct values only.
-    """
-    values = df.filter(F.col(x).isNotNull() & F.col(w).isNotNull()).groupBy(*by, x).agg(F.sum(w).alias("__w"))
-    up = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("__cum", F.sum("__w").over(up)).withColumn("__all", F.sum("__w").over(Window.partitionBy(*by)))
-    return values.groupBy(*by).agg(F.min(F.when(F.col("__cum") >= q * F.col("__all"), F.col(x))).alias("wquantile"))
+    """Smallest value whose cumulative weight reaches ``q`` of the total: one row a group, groups of any size."""
+    return order.weighted_quantile(df, by, x, w, q)
 
 
 def wshare(flag: Column, w: Column) -> Column:
@@ -51,9 +47,8 @@ def share_of(df: DataFrame, value: str, by: list[str], out: str = "share") -> Da
 def describe_by(df: DataFrame, by: list[str], col: str, probs: tuple = (0.1, 0.5, 0.9)) -> DataFrame:
     """Mean, deviation and exact quantiles of finite values by group."""
     finite = F.when(~F.isnan(col) & (F.abs(col) != float("inf")), F.col(col))
-    quantiles = F.percentile(finite, F.array(*[F.lit(p) for p in probs]))
-    out = df.groupBy(*by).agg(F.avg(finite).alias("mean"), F.stddev_samp(finite).alias("sd"), quantiles.alias("__q"))
-    return out.select(*by, "mean", "sd", *[F.col("__q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(probs)])
+    out = order.describe(df.select(*by, finite.alias("__value")), by, "__value", list(probs))
+    return out.select(*by, "mean", "sd", *[F.col("quantiles")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(probs)])
 
 
 def collapse_constant(df: DataFrame, by: list[str], head: Column, head_cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +81,7 @@ def flows(df: DataFrame, by: list[str], origin: str, dest: str, w: str) -> DataF
 
 def fixed_price_value(df: DataFrame, item: str, price: Column, quantity: Column, w: Column, window: Column, by: list[str]) -> DataFrame:
     """Value at each item's median price over the rows ``window``, and the share of rows that have such a price."""
-    prices = df.filter(window).groupBy(item).agg(F.percentile(price, 0.5).alias("__price"))
+    prices = order.quantiles(df.filter(window).select(item, price.alias("__p")), [item], "__p", [0.5]).select(item, F.col("quantiles")[0].alias("__price"))
     joined = df.join(prices, item, "left")
     return joined.groupBy(*by).agg(F.sum(quantity * w * F.col("__price")).alias("value"), F.avg(F.col("__price").isNotNull().cast("double")).alias("covered"))
 
@@ -162,21 +157,24 @@ def workforce(df: DataFrame, by: list[str], year: str, rules: dict, w: str) -> D
 
 def average_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
     """Rank of values, ties with their average rank. Ranks are counted over distinct values."""
-    values = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__n"))
-    up = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn(out, F.coalesce(F.sum("__n").over(up), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranks, [*by, col], "left")
+    return order.join_groups(df, order.average_ranks(df, by, col, out), [*by, col], "left")
+
+
+def rank_columns(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """(by, cols): every value replaced by its average rank in its column, all columns ranked at once."""
+    rows = materialize(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    long = rows.unpivot([*by, "__row"], cols, "__column", "__value").filter("__value IS NOT NULL")
+    ranked = order.join_groups(long, order.average_ranks(long, [*by, "__column"], "__value", "__rank"), [*by, "__column", "__value"])
+    return ranked.groupBy(*by, "__row").agg(*[F.max(F.when(F.col("__column") == c, F.col("__rank"))).alias(c) for c in cols]).drop("__row")
 
 
 def corr_matrix(df: DataFrame, cols: list[str], by: list[str] = (), method: str = "pearson") -> DataFrame:
     """(by, a, b, r) for all pairs of columns."""
-    by, use = list(by), cols
+    by = list(by)
     if method == "spearman":
-        for c in cols:
-            df = average_rank(df, c, by, f"__r_{c}")
-        use = [f"__r_{c}" for c in cols]
+        df = rank_columns(df, cols, by)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    wide = df.groupBy(*by).agg(*[F.corr(use[cols.index(a)], use[cols.index(b)]).alias(f"{a}|{b}") for a, b in pairs])
+    wide = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot(by, [f"{a}|{b}" for a, b in pairs], "pair", "r")
     return long.select(*by, F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "r")
 
@@ -187,7 +185,7 @@ def trend(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
 
 def binscatter(df: DataFrame, x: str, ys: list[str], n: int, by: list[str], tie: list[str]) -> DataFrame:
     """Means in ``n`` bins of equal count on the rank of ``x`` within ``by``; ties by ``tie``."""
-    rows = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(x, *tie))).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    rows = order.row_numbers(df.select(*dict.fromkeys([*by, x, *tie, *ys])), by, [x, *tie])
     rows = rows.withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col("__r") - 1) * n / (F.col("__n") - 1))).cast("int"))
     return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in (x, *ys)])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import order
 from .agg import first_period
 from .joins import overlap_pairs
 from .window import demean
@@ -30,9 +31,8 @@ def derive_series(df: DataFrame, total: str, pop: str, floor: float) -> DataFram
 
 def quantile_map(joint: DataFrame, src: str, dst: str, n: int = 1001) -> DataFrame:
     """(k, x, y): ``n`` quantiles of both instruments over pixels that both see; y never falls. n rows."""
-    probs = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    both = joint.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).agg(F.percentile(src, probs).alias("x"), F.percentile(dst, probs).alias("y"))
-    rows = both.select(F.posexplode(F.arrays_zip("x", "y")).alias("k", "q")).select("k", "q.x", "q.y")
+    both = joint.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(src, dst)
+    rows = order.quantile_grid(both, src, n).withColumnRenamed("value", "x").join(order.quantile_grid(both, dst, n).withColumnRenamed("value", "y"), "k")
     up = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("y", F.max("y").over(up))
 

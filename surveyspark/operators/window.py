@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyspark.sources.scratch import materialize
+
+from . import order
 from .agg import average_rank
 from .joins import bracket_join
 
@@ -76,18 +79,18 @@ def interp_log(df: DataFrame, knots: DataFrame, on: list[str], t: str, value: st
     return rows.withColumn(value, F.when(F.col("t0").isNull(), None).when(F.col("t1").isNull(), after).otherwise(inside)).select(*on, t, value)
 
 
-def _limits(df: DataFrame, x: str, by: list[str], lo: float, hi: float) -> DataFrame:
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(lo), F.lit(hi))).alias("__q"))
-    return df.join(q, by, "left")
+def tails(df: DataFrame, x: str, by: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
+    """(by, __q): the two exact quantiles of each group, for ``winsorise`` and ``trim``."""
+    return materialize(order.quantiles(df, by, x, [lo, hi], "__q"), "tails")
 
 
-def winsorise(df: DataFrame, x: str, by: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    q = _limits(df, x, by, lo, hi)
+def winsorise(df: DataFrame, x: str, by: list[str], lo: float = 0.01, hi: float = 0.99, limits: DataFrame | None = None) -> DataFrame:
+    q = order.join_groups(df, tails(df, x, by, lo, hi) if limits is None else limits, by, "left")
     return q.withColumn(x, F.least(F.greatest(F.col(x), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
 
 
-def trim(df: DataFrame, x: str, by: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    q = _limits(df, x, by, lo, hi)
+def trim(df: DataFrame, x: str, by: list[str], lo: float = 0.01, hi: float = 0.99, limits: DataFrame | None = None) -> DataFrame:
+    q = order.join_groups(df, tails(df, x, by, lo, hi) if limits is None else limits, by, "left")
     return q.filter(F.col(x).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
@@ -103,7 +106,8 @@ def demean(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
 
 def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
     """high/low quadrant by the medians of two variables."""
-    mid = df.agg(F.percentile(x, 0.5).alias("__mx"), F.percentile(y, 0.5).alias("__my"))  # one row
+    middle = lambda c, name: order.quantiles(df, [], c, [0.5]).select(F.col("quantiles")[0].alias(name))
+    mid = middle(x, "__mx").crossJoin(middle(y, "__my"))  # one row
     side = lambda c, m: F.when(F.col(c) >= F.col(m), "high").otherwise("low")
     return df.crossJoin(F.broadcast(mid)).withColumn("quadrant", F.concat_ws("-", side(x, "__mx"), side(y, "__my"))).drop("__mx", "__my")
 

@@ -283,8 +283,9 @@ def _(t):
 
 @query("win_09_winsorise", """WITH @person, q AS (SELECT type, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM person GROUP BY type) SELECT type, round(sum(least(greatest(value, lo), hi)), 0) AS total, count(*) FILTER (value BETWEEN lo AND hi)::BIGINT AS n_trimmed FROM person JOIN q USING (type) GROUP BY type""")
 def _(t):
-    kept = W.trim(t.person, "value", ["type"]).groupBy("type").agg(F.count("*").alias("n_trimmed"))
-    return W.winsorise(t.person, "value", ["type"]).groupBy("type").agg(r(F.sum("value"), 0).alias("total")).join(kept, "type")
+    limits = W.tails(t.person, "value", ["type"])
+    kept = W.trim(t.person, "value", ["type"], limits=limits).groupBy("type").agg(F.count("*").alias("n_trimmed"))
+    return W.winsorise(t.person, "value", ["type"], limits=limits).groupBy("type").agg(r(F.sum("value"), 0).alias("total")).join(kept, "type")
 
 
 @query("win_10_fill_group_mean", """WITH @panel, g AS (SELECT sector, dist, wave, CASE WHEN n > 78 AND dist <> 2 THEN y END AS y FROM panel) SELECT sector, wave, round(coalesce(y, avg(y) OVER (PARTITION BY wave, dist), avg(y) OVER (PARTITION BY wave)), 6) AS y FROM g""")
