@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from surveyspark.functions import recode as R
+from surveyspark.operators import assembly as Y
 from surveyspark.operators import spatial as G
 
 from . import pipelines as P
@@ -161,3 +162,59 @@ def _(t):
 def _(t):
     models = {"pooled": (["x"], []), "district": (["x"], ["dist"]), "two-way": (["x"], ["dist", "wave"]), "controls": (["x", "z", "log_n"], ["dist"])}
     return P.district_models(t.panel, "dist", "wave", (C("y"), C("n")), ["x", "n"], ["z"], models, ("n",))
+
+
+#: Modules of one wave: a base and a dwelling file a household, a roster and a work file a person, plots with several rows, parts without a household.
+_WAVE = """base AS (SELECT o_orderkey AS hhid, c_nationkey AS dist, 1 + o_orderkey % 5 AS wt, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS roof FROM orders JOIN customer ON o_custkey = c_custkey),
+dwelling AS (SELECT 7 * o_orderkey + 1 AS hhid, o_orderpriority AS roof, o_totalprice AS rent FROM orders WHERE o_orderkey % 4 < 3),
+link AS (SELECT o_orderkey AS hhid, 7 * o_orderkey + 1 AS oldkey FROM orders),
+roster AS (SELECT l_orderkey AS hhid, l_linenumber AS pid, min(l_partkey) AS age, max(l_returnflag) AS sex FROM lineitem GROUP BY 1, 2),
+work AS (SELECT l_orderkey AS hhid, l_linenumber AS pid, max(l_suppkey) AS job, max(l_returnflag || '.') AS sex FROM lineitem WHERE l_linenumber < 4 GROUP BY 1, 2)"""
+
+
+def wave_modules(t):
+    first = lambda *cols: t["lineitem"].groupBy(C("l_orderkey").alias("hhid"), C("l_linenumber").alias("pid")).agg(*cols)
+    orders = t["orders"]
+    return {
+        "base": orders.join(t["customer"], C("o_custkey") == C("c_custkey")).select(C("o_orderkey").alias("hhid"), C("c_nationkey").alias("dist"), (1 + C("o_orderkey") % 5).alias("wt"), F.when(C("o_orderkey") % 3 > 0, C("o_orderpriority")).alias("roof")),
+        "dwelling": orders.filter("o_orderkey % 4 < 3").select((7 * C("o_orderkey") + 1).alias("hhid"), C("o_orderpriority").alias("roof"), C("o_totalprice").alias("rent")),
+        "link": orders.select(C("o_orderkey").alias("hhid"), (7 * C("o_orderkey") + 1).alias("oldkey")),
+        "roster": first(F.min("l_partkey").alias("age"), F.max("l_returnflag").alias("sex")),
+        "work": first(F.max(F.when(C("l_linenumber") < 4, C("l_suppkey"))).alias("job"), F.max(F.concat("l_returnflag", F.lit("."))).alias("sex")).filter("pid < 4"),
+        "plots": t["lineitem"].select(C("l_orderkey").alias("hhid"), C("l_linenumber").alias("pid"), C("l_quantity").alias("area")),
+        "parts": t["part"].select(C("p_partkey").alias("item"), C("p_size").alias("size")),
+    }
+
+
+def assembled(t):
+    return Y.assemble_wave(wave_modules(t), "hhid", "pid", ["base"], "roster", ["dist", "wt"], crosswalk=("link", "oldkey"), head=(C("pid") == 1, ["age", "sex"]))
+
+
+@query("pip_16_household_file", f"""WITH {_WAVE}, m AS (SELECT hhid, count(*) AS hhsize, max(age) FILTER (pid = 1) AS head_age, max(sex) FILTER (pid = 1) AS head_sex FROM roster GROUP BY hhid)
+SELECT b.hhid, dist, wt, coalesce(b.roof, d.roof) AS roof, rent, oldkey, hhsize::BIGINT AS hhsize, head_age, head_sex FROM base b LEFT JOIN dwelling d ON d.hhid = 7 * b.hhid + 1 LEFT JOIN link l ON l.hhid = b.hhid LEFT JOIN m ON m.hhid = b.hhid""")
+def _(t):
+    return assembled(t).household.select("hhid", "dist", "wt", "roof", "rent", "oldkey", "hhsize", "head_age", "head_sex")
+
+
+@query("pip_16_person_file", f"""WITH {_WAVE} SELECT hhid, pid, age, r.sex, dist, wt, job, w.sex AS sex_work FROM roster r JOIN base USING (hhid) LEFT JOIN work w USING (hhid, pid)""")
+def _(t):
+    return assembled(t).person.select("hhid", "pid", "age", "sex", "dist", "wt", "job", "sex_work")
+
+
+@query("pip_16_modules", f"""WITH {_WAVE}, p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT 'base' AS module, 'household' AS level, (SELECT count(*) FROM base)::BIGINT AS n, 'hhid' AS "key", 1.0::DOUBLE AS match_rate UNION ALL SELECT 'dwelling', 'household', (SELECT count(*) FROM dwelling), 'hhid', 1.0 UNION ALL SELECT 'link', 'household', (SELECT count(*) FROM link), 'hhid', 1.0
+UNION ALL SELECT 'roster', 'person', (SELECT count(*) FROM roster), 'hhid+pid', 1.0 UNION ALL SELECT 'work', 'person', (SELECT count(*) FROM work), 'hhid+pid', 1.0 UNION ALL SELECT 'plots', 'multi', (SELECT count(*) FROM lineitem), NULL, 1.0 UNION ALL SELECT 'parts', 'other', (SELECT count(*) FROM part), NULL, NULL""")
+def _(t):
+    return assembled(t).report()
+
+
+@query("pip_16_checks", f"""WITH {_WAVE}, h AS (SELECT count(*)::DOUBLE AS n FROM base), p AS (SELECT count(*)::DOUBLE AS n FROM roster) SELECT 'wave' AS section, unnest(['households', 'persons', 'sizes', 'household weights', 'person weights']) AS name, unnest([h.n, p.n, p.n, 0, 0])::DOUBLE AS ours, unnest([h.n, p.n, p.n, 0, 0])::DOUBLE AS reference, 'ok' AS result FROM h, p""")
+def _(t):
+    return Y.check_wave(assembled(t), "hhid", "pid", "wt")
+
+
+@query("pip_16_dependencies", """WITH g AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS a, count(DISTINCT l_returnflag) AS b, 1 AS c FROM lineitem GROUP BY 1)
+SELECT unnest(['pid', 'flag', 'parity']) AS "column", count(*)::BIGINT AS n_groups, unnest([count(*) FILTER (a > 1), count(*) FILTER (b > 1), 0])::BIGINT AS n_varying, unnest([count(*) FILTER (a > 1) = 0, count(*) FILTER (b > 1) = 0, true]) AS depends FROM g""")
+def _(t):
+    rows = t["lineitem"].select(C("l_orderkey").alias("hhid"), C("l_linenumber").alias("pid"), C("l_returnflag").alias("flag"), (C("l_orderkey") % 2).alias("parity"))
+    return Y.dependencies(rows, ["hhid"])
