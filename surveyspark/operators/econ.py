@@ -423,20 +423,53 @@ def ri_p(df: DataFrame, y: str, unit: str, treat: str, draws: int, seed: int = 1
     return hits.select("statistic", ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws")
 
 
-def ri_block_p(df: DataFrame, y: str, unit: str, treat: str, adjacency: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """Randomisation over connected blobs of as many units as are treated: in every draw the blob grows by the neighbour of best hash, one a round."""
+def ri_block_p(df: DataFrame, y: str, unit: str, treat: str, adjacency: DataFrame, draws: int, seed: int = 1, tries: int = 80) -> DataFrame:
+    """(statistic, p, draws, failed, pieces): randomisation over placebos of the treatment's own shape.
+
+    The treated units fall into connected pieces of ``adjacency`` (src, dst). A draw grows as many connected blobs of the same sizes,
+    none over another: each blob starts at the unit of least hash and in every round takes the neighbour of least hash that no
+    blob of the draw has; of blobs that want the same unit the larger piece gets it. A blob that starts on a taken unit or has no
+    free neighbour left starts again with other hashes; a draw whose blob has started ``tries`` times is left out and counted in
+    ``failed``. All draws grow at once, a unit a blob and round; each round is written.
+    """
     units = materialize(df.groupBy(unit).agg(F.avg(y).alias("__y"), F.max(F.col(treat).cast("int")).alias("__d")), "units")
-    size = int(units.agg(F.sum("__d")).first()[0])
-    best = lambda rows: rows.withColumn("__r", F.row_number().over(Window.partitionBy("draw").orderBy(draw(seed, F.col("draw"), F.col(unit)), unit))).filter("__r = 1").select("draw", unit)
-    blob = materialize(relabelled(units.select(unit), unit, draws, 1, seed).select("draw", unit), "blob")
-    for _ in range(size - 1):
-        near = blob.withColumnRenamed(unit, "src").join(adjacency, "src").select("draw", F.col("dst").alias(unit)).distinct().join(blob, ["draw", unit], "left_anti")
-        blob = materialize(blob.unionAll(best(near)), "blob")
-    sums = blob.join(units, unit).groupBy("draw").agg(F.sum("__y").alias("s"), F.count("*").alias("n"))
+    names = units.select(F.col(unit).alias("dst"))
+    near = adjacency.select("src", "dst").union(adjacency.select("dst", "src")).filter("src <> dst").distinct().join(names, "dst", "left_semi")
+    near = materialize(near.join(names.withColumnRenamed("dst", "src"), "src", "left_semi"), "near")
+    on = units.filter("__d = 1").select(F.col(unit).alias("node"))
+    inner = near.join(on.withColumnRenamed("node", "src"), "src", "left_semi").join(on.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    piece = on.join(components(inner, "src", "dst"), "node", "left").groupBy(F.coalesce("component", "node").alias("piece")).count()
+    sizes = sorted((r["count"] for r in piece.collect()), reverse=True)  # a row a piece of the treatment
+    key = ["draw", "blob"]
+    shape = df.sparkSession.createDataFrame([(i, int(k)) for i, k in enumerate(sizes)], "blob int, size long")
+    wanted = materialize(shape.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("attempt", F.lit(0)), "wanted")
+    placed = materialize(wanted.select(*key, F.lit(None).cast(names.schema["dst"].dataType).alias(unit)).limit(0), "placed")
+    least = lambda rows: rows.groupBy(*key, "attempt").agg(F.min(F.struct(draw(seed, F.col("draw"), F.col("blob"), F.col("attempt"), F.col(unit)).alias("h"), F.col(unit).alias("u")))["u"].alias(unit))
+    while True:
+        state = materialize(wanted.join(placed.groupBy(*key).count(), key, "left").fillna(0, ["count"]).filter("count < size"), "state")
+        if not state.limit(1).count():
+            break
+        waiting = state.filter("count = 0").agg(F.collect_list(F.struct(*key, "attempt")).alias("all"))  # a row a draw and blob
+        starts = units.select(unit).crossJoin(F.broadcast(waiting)).select(unit, F.inline("all"))  # one row
+        around = state.filter("count > 0").select(*key, "attempt").join(placed, key).select(*key, "attempt", F.col(unit).alias("src")).join(near, "src").select(*key, "attempt", F.col("dst").alias(unit)).distinct()
+        free = around.join(placed.select("draw", unit), ["draw", unit], "left_anti")
+        asked = least(starts).unionByName(least(free)).join(placed.select("draw", unit), ["draw", unit], "left_anti")
+        got = materialize(asked.groupBy("draw", unit).agg(F.min("blob").alias("blob")).select(*key, unit), "got")
+        # Who asked for nothing that is free starts again; who only lost a neighbour to a larger piece asks again.
+        has = got.select(*key, F.lit(True).alias("__got"))
+        asks = free.select(*key).distinct().withColumn("__asks", F.lit(True))
+        again = state.join(has, key, "left").join(asks, key, "left").filter("__got IS NULL AND __asks IS NULL").select(*key, F.lit(1).alias("__more"))
+        again = materialize(again, "again")
+        lost = wanted.join(again, key).filter(F.col("attempt") + 1 >= tries).select("draw").distinct()
+        following = materialize(wanted.join(again, key, "left").withColumn("attempt", F.col("attempt") + F.coalesce("__more", F.lit(0))).drop("__more").join(lost, "draw", "left_anti"), "wanted")
+        grown = materialize(placed.unionByName(got).join(again, key, "left_anti").join(lost, "draw", "left_anti"), "placed")
+        drop_scratch(wanted, placed, state, got, again)
+        wanted, placed = following, grown
+    sums = placed.join(units, unit).groupBy("draw").agg(F.sum("__y").alias("s"), F.count("*").alias("n"))
     all_ = units.agg(F.sum("__y").alias("all_y"), F.count("*").alias("all_n"), (F.avg(F.when(F.col("__d") == 1, F.col("__y"))) - F.avg(F.when(F.col("__d") == 0, F.col("__y")))).alias("statistic"))
     stats = sums.crossJoin(F.broadcast(all_)).withColumn("g", F.col("s") / F.col("n") - (F.col("all_y") - F.col("s")) / (F.col("all_n") - F.col("n")))
     hits = stats.agg(F.first("statistic").alias("statistic"), F.count_if(F.abs("g") >= F.abs("statistic") - 1e-12).alias("hits"), F.count("*").alias("draws"))
-    return hits.select("statistic", ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws")
+    return hits.select("statistic", ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws", (F.lit(draws) - F.col("draws")).alias("failed"), F.lit(len(sizes)).alias("pieces"))
 
 
 def pretrend(df: DataFrame, y: str, treat: str, unit: str, t: str, periods: list, ref, before, cluster: str) -> DataFrame:
@@ -447,42 +480,125 @@ def pretrend(df: DataFrame, y: str, treat: str, unit: str, t: str, periods: list
     return df.sparkSession.createDataFrame([(stat, len(at), chi2_tail(stat, len(at)))], "chi2 double, df int, p double")
 
 
-def pretrend_ri(df: DataFrame, y: str, treat: str, unit: str, t: str, ref, before, draws: int, seed: int = 1) -> DataFrame:
-    """(chi2, df, p, draws): the pre-trend statistic against its distribution under relabelled units.
+class EffectCells:
+    """Cells of units and periods, on which any column of treated-by-period dummies is known: projections run on cells, not on rows.
 
-    On a balanced panel the coefficient of a period is the treated less the control mean of the unit's change from ``ref``, and the
-    statistic is that vector's quadratic form in its covariance over units (the two groups' covariances added). Units are relabelled by
-    the rank of their hash within a draw; sums of changes and of their products by draw are all that is gathered.
+    ``unit`` and ``cell`` (group by period) number the two absorbed effects of each cell, ``period`` its period; ``n`` rows have the mean ``y``.
     """
-    periods = [r[0] for r in df.select(t).distinct().orderBy(t).collect() if r[0] < before and r[0] != ref]  # a row a period
-    at = lambda p: F.max(F.when(F.col(t) == p, F.col(y)))
-    units = df.groupBy(unit).agg(*[(at(p) - at(ref)).cast("double").alias(f"__c{i}") for i, p in enumerate(periods)], F.max(F.col(treat).cast("int")).alias("__d")).na.drop()
-    units = materialize(units, "units")
-    k = len(periods)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = lambda on, tag: [F.sum(F.when(on, v)).alias(f"{tag}_{n}") for n, v in [("n", F.lit(1.0)), *[(f"s{i}", F.col(f"__c{i}")) for i in range(k)], *[(f"q{i}_{j}", F.col(f"__c{i}") * F.col(f"__c{j}")) for i, j in pairs]]]
-    all_ = units.agg(*sums(F.lit(True), "a"), F.sum("__d").alias("__k")).first()  # a number a pair of periods
-
-    def statistic(one: dict) -> float:
-        gap, v = np.zeros(k), np.zeros((k, k))
-        for sign, part in ((1, {n: one[f"t_{n}"] for n in ("n", *[f"s{i}" for i in range(k)], *[f"q{i}_{j}" for i, j in pairs])}), (-1, None)):
-            part = part or {n[2:]: all_[n] - one[f"t_{n[2:]}"] for n in all_.asDict() if n.startswith("a_")}
-            n, m = part["n"], np.array([part[f"s{i}"] / part["n"] for i in range(k)])
-            q = np.zeros((k, k))
-            for i, j in pairs:
-                q[i, j] = q[j, i] = part[f"q{i}_{j}"] / n - m[i] * m[j]
-            gap, v = gap + sign * m, v + q / max(1.0, n - 1)
-        return float(gap @ np.linalg.pinv(v) @ gap)
-
-    observed = statistic(units.agg(*sums(F.col("__d") == 1, "t")).first().asDict())
-    by_draw = relabelled(units, unit, draws, int(all_["__k"]), seed).groupBy("draw").agg(*sums(F.lit(True), "t"))
 
-    def exceeds(batches):
+    def __init__(self, unit: np.ndarray, cell: np.ndarray, period: np.ndarray, n: np.ndarray, y: np.ndarray, use: list[int], pre: list[int]) -> None:
+        self.unit, self.cell, self.period, self.n, self.use, self.pre = unit, cell, period, n.astype(float), use, pre
+        self.y = self.absorb(y[:, None])[:, 0]
+
+    def _sums(self, of: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(of, m[:, j]) for j in range(m.shape[1])], axis=1)
+
+    def absorb(self, m: np.ndarray, tol: float = 1e-11, most: int = 5000) -> np.ndarray:
+        m, weights = m.astype(float), [np.bincount(of, self.n) for of in (self.unit, self.cell)]
+        limit = tol * max(1.0, float(np.abs(m).max(initial=0.0)))
+        for _ in range(most):
+            moved = 0.0
+            for of, w in zip((self.unit, self.cell), weights, strict=True):
+                mean = self._sums(of, m * self.n[:, None]) / w[:, None]
+                moved = max(moved, float(np.abs(mean).max(initial=0.0)))
+                m = m - mean[of]
+            if moved < limit:
+                return m
+        raise RuntimeError("effects did not settle")
+
+    def wald(self, label: np.ndarray) -> float:
+        """The statistic of the periods before, with ``label`` the treated units; not a number if a column has no variation left."""
+        x = self.absorb(label[self.unit][:, None] * (self.period[:, None] == np.array(self.use)))
+        a = x.T @ (x * self.n[:, None])
+        if np.linalg.matrix_rank(a, tol=1e-9 * max(1e-300, np.abs(a).max())) < len(self.use):
+            return math.nan
+        inverse = np.linalg.inv(a)
+        b = inverse @ (x.T @ (self.n * self.y))
+        score = self._sums(self.unit, x * (self.n * (self.y - x @ b))[:, None])
+        g = len(np.unique(self.unit))
+        v = inverse @ (score.T @ score) @ inverse * (g / max(g - 1.0, 1.0))
+        return float(b[self.pre] @ np.linalg.pinv(v[np.ix_(self.pre, self.pre)]) @ b[self.pre])
+
+
+#: Cells of units and periods that a task may hold, about 100 bytes each with one draw's columns.
+CELLS = 2_000_000
+
+
+def pretrend_ri(df: DataFrame, y: str, treat: str, unit: str, t: str, ref, before, draws: int, seed: int = 1, group: str | None = None, held: str | None = None) -> DataFrame:
+    """(chi2, df, p_chi2, p, draws, median): the joint pre-trend statistic against its distribution under relabelled units.
+
+    The event study absorbs unit and (``group`` by) period effects and clusters by unit; every draw refits it with as many units
+    labelled at random, out of the treated and the controls. Units of ``held`` (another treated group) are never relabelled but stay
+    in the sample. Only rows without an outcome, a unit or a period are left out; units need not be complete. Draws whose columns have no variation
+    left do not count.
+
+    Rows are first collapsed to cells of unit and period: the treated-by-period columns enter through these alone. Tasks take
+    batches of draws and hold the cells, whose number is checked; more than CELLS are refitted draw by draw on the rows.
+    """
+    at = lambda c: F.col(c).cast("string") if c else F.lit("")
+    flag = lambda c: F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))) if c else F.lit(0)
+    rows = df.filter(F.col(y).isNotNull() & F.col(unit).isNotNull() & F.col(t).isNotNull())
+    cells = rows.groupBy(F.col(unit).cast("string").alias("u"), F.col(t).alias("t"), at(group).alias("g")).agg(F.avg(y).cast("double").alias("y"), F.count("*").alias("n"), flag(treat).alias("d"), flag(held).alias("h"))
+    cells = materialize(cells, "cells")
+    if cells.count() > CELLS:
+        return _pretrend_by_rows(rows, cells, y, unit, t, ref, before, draws, seed, group)
+    held_cells = cells.toPandas()  # at most CELLS rows
+    held_cells = held_cells.sort_values(["u", "t", "g"], ignore_index=True)
+    code = lambda *c: pd.factorize(pd.MultiIndex.from_frame(held_cells[list(c)]) if len(c) > 1 else held_cells[c[0]])[0]
+    periods = sorted(held_cells["t"].unique())
+    use = [i for i, p in enumerate(periods) if p != ref]
+    pre = [k for k, i in enumerate(use) if periods[i] < before]
+    number = code("u")
+    per_unit = held_cells.groupby(number)[["d", "h"]].max()
+    names = held_cells.groupby(number)["u"].first().to_numpy()
+    label = (per_unit["d"] == 1).to_numpy()
+    pool = np.flatnonzero(label | ((per_unit["d"] == 0) & (per_unit["h"] == 0)).to_numpy())
+    fit = EffectCells(number, code("g", "t"), np.searchsorted(periods, held_cells["t"]), held_cells["n"].to_numpy(), held_cells["y"].to_numpy(float), use, pre)
+    observed, k = fit.wald(label.astype(float)), int(label.sum())
+
+    def refit(batches):
         for batch in batches:
-            yield pd.DataFrame({"hit": [statistic(r) >= observed * (1 - 1e-12) for r in batch.to_dict("records")]})
-
-    hits = by_draw.mapInPandas(exceeds, "hit boolean").agg(F.count_if("hit").alias("hits"), F.count("*").alias("draws"))
-    return hits.select(F.lit(observed).alias("chi2"), F.lit(k).alias("df"), ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws")
+            found = []
+            for d in batch["id"]:
+                drawn = sorted(pool, key=lambda i: (hash_draw(seed, d, names[i]), names[i]))[:k]
+                one = np.zeros(len(names))
+                one[drawn] = 1.0
+                found.append(fit.wald(one))
+            yield pd.DataFrame({"w": found})
+
+    stats = df.sparkSession.range(draws).repartition(max(1, min(draws, df.sparkSession.sparkContext.defaultParallelism))).mapInPandas(refit, "w double").filter(~F.isnan("w"))
+    return _pretrend_table(stats, observed, len(pre))
+
+
+def _pretrend_table(stats: DataFrame, observed: float, df: int) -> DataFrame:
+    hits = stats.agg(F.count_if(F.col("w") >= observed * (1 - 1e-9)).alias("hits"), F.count("*").alias("draws"), F.median("w").alias("median"))  # a number a draw
+    return hits.select(F.lit(observed).alias("chi2"), F.lit(df).alias("df"), F.lit(chi2_tail(observed, df)).alias("p_chi2"), ((1 + F.col("hits")) / (1 + F.col("draws"))).alias("p"), "draws", "median")
+
+
+def _pretrend_by_rows(rows: DataFrame, cells: DataFrame, y: str, unit: str, t: str, ref, before, draws: int, seed: int, group: str | None) -> DataFrame:
+    """The same statistics for any number of cells: a distributed fit for every draw."""
+    spark = rows.sparkSession
+    periods = [r[0] for r in rows.select(t).distinct().orderBy(t).collect()]  # a row a period
+    use = [p for p in periods if p != ref]
+    pre = [i for i, p in enumerate(use) if p < before]
+    per_unit = materialize(cells.groupBy("u").agg(F.max("d").alias("d"), F.max("h").alias("h")), "units")
+    k = per_unit.agg(F.sum("d")).first()[0] or 0
+    drawn = materialize(relabelled(per_unit.filter("d = 1 OR h = 0").select("u"), "u", draws, int(k), seed), "drawn")
+    effect = F.concat_ws("|", F.col(group).cast("string"), F.col(t).cast("string")) if group else F.col(t).cast("string")
+    base = rows.select(F.col(unit).cast("string").alias("u"), F.col(t).alias("t"), effect.alias("__cell"), F.col(y).cast("double").alias("y"))
+
+    def wald(label: DataFrame) -> float:
+        marked = base.join(label.select("u", F.lit(1.0).alias("__l")), "u", "left").fillna(0.0, ["__l"])
+        terms = {f"t{i}": F.col("__l") * (F.col("t") == p).cast("double") for i, p in enumerate(use)}
+        try:
+            _, _, b, v = fe_ols(marked.withColumns(terms), "y", list(terms), ["u", "__cell"], "u", kind="CR1S", extra=True)
+        except ValueError:  # no variation left
+            return math.nan
+        return float(b[pre] @ np.linalg.pinv(v[np.ix_(pre, pre)]) @ b[pre])
+
+    observed = wald(per_unit.filter("d = 1"))
+    found = [wald(drawn.filter(F.col("draw") == d)) for d in range(draws)]
+    return _pretrend_table(spark.createDataFrame([(w,) for w in found if not math.isnan(w)], "w double"), observed, len(pre))
 
 
 def conley(df: DataFrame, y: str, xs: list[str], px: str, py: str, cutoffs: float | list[float], fes: list[str] = ()) -> DataFrame:

@@ -11,9 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from surveyspark.sources.scratch import materialize
-from pyspark.sql.window import Window
+
+from .order import row_numbers
 
 
 def points_in(points: DataFrame, edges: DataFrame, id_: str, unit: str, cell: float) -> DataFrame:
@@ -215,18 +217,48 @@ def spatial_lag(df: DataFrame, adj: DataFrame, unit: str, x: str) -> DataFrame:
     return z.join(lag, "unit", "left").withColumnRenamed("unit", unit)
 
 
-def moran(df: DataFrame, adj: DataFrame, unit: str, x: str, perms: int = 0, seed: int = 1) -> DataFrame:
-    """Moran's I with row-standardised weights and, with ``perms``, a permutation p: values are dealt anew over units by hashes."""
+def keyed_place(number: Column, key: Column, n: Column, seed: int, rounds: int = 6) -> Column:
+    """One step of a keyed bijection on 0 .. a * b - 1, the least such product of about equal sides that holds ``n``.
+
+    The number is split into two digits; in each round one digit moves by a hash of the other, so every round can be undone.
+    """
     from .econ import draw
 
+    a = F.ceil(F.sqrt(n)).cast("long")
+    b = F.ceil(n / a).cast("long")
+    left, right = F.floor(number / b).cast("long"), F.pmod(number, b)
+    for i in range(rounds):
+        if i % 2:
+            right = F.pmod(right + draw(seed, key, F.lit(i), left), b)
+        else:
+            left = F.pmod(left + draw(seed, key, F.lit(i), right), a)
+    return left * b + right
+
+
+def deals(ids: DataFrame, number: str, n: int, perms: int, seed: int) -> DataFrame:
+    """``ids`` once for each draw, with the number ``to`` that a permutation of 0 .. n - 1 gives: arithmetic alone, without any sort or window.
+
+    Numbers that fall outside are taken on until they come back; few do, and fewer each time.
+    """
+    every = ids.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
+    step = lambda rows, c: rows.withColumn("to", keyed_place(F.col(c), F.col("draw"), F.lit(n), seed))
+    now = materialize(step(every, number), "deals")
+    inside, outside = now.filter(F.col("to") < n), now.filter(F.col("to") >= n)
+    while outside.limit(1).count():
+        again = materialize(step(outside, "to"), "deals")
+        inside, outside = inside.unionByName(again.filter(F.col("to") < n)), again.filter(F.col("to") >= n)
+    return inside
+
+
+def moran(df: DataFrame, adj: DataFrame, unit: str, x: str, perms: int = 0, seed: int = 1) -> DataFrame:
+    """Moran's I with row-standardised weights and, with ``perms``, a permutation p: values are dealt anew over units by a keyed bijection."""
     base = spatial_lag(df, adj, unit, x)
     value = base.agg((F.sum(F.col("z") * F.col("lag")) / F.sum(F.col("z") * F.col("z"))).alias("moran"))
     if not perms:
         return value
-    ids = base.select(unit, "z").withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)))
-    deals = base.select(unit, F.explode(F.sequence(F.lit(0), F.lit(perms - 1))).alias("draw"))
-    deals = deals.withColumn("to", F.row_number().over(Window.partitionBy("draw").orderBy(draw(seed, F.col("draw"), F.col(unit)), unit)))
-    dealt = deals.join(ids.select(F.col("r").alias("to"), "z"), "to").select("draw", unit, "z")
+    ids = materialize(row_numbers(base.select(unit, "z"), [], [unit]).select(unit, "z", (F.col("__r") - 1).alias("r")), "numbered")
+    places = deals(ids.select(unit, "r"), "r", ids.count(), perms, seed)
+    dealt = materialize(places.join(ids.select(F.col("r").alias("to"), "z"), "to").select("draw", unit, "z"), "dealt")
     lag = adj.join(dealt.withColumnRenamed(unit, "dst"), "dst").groupBy("draw", F.col("src").alias(unit)).agg(F.avg("z").alias("lag"))
     stats = dealt.join(lag, ["draw", unit]).groupBy("draw").agg((F.sum(F.col("z") * F.col("lag")) / F.sum(F.col("z") * F.col("z"))).alias("i"))
     return value.crossJoin(stats).groupBy("moran").agg(((1 + F.count_if(F.abs("i") >= F.abs("moran"))) / (1 + F.count("*"))).alias("p"))

@@ -141,6 +141,13 @@ def _(t):
     return E.pretrend_ri(treated(t), "y", "treat", "sector", "wave", 1997, 1997, 199)
 
 
+@query("eco_13_pretrend_groups")
+def _(t):
+    """A second treated group is held fixed, periods go by district, and units are not complete."""
+    df = t.panel.withColumns({"near": (C("sector") < 8).cast("int"), "far": C("sector").between(8, 11).cast("int")}).filter((C("sector") + C("wave")) % 7 > 0)
+    return E.pretrend_ri(df, "y", "near", "sector", "wave", 1998, 1998, 99, group="dist", held="far")
+
+
 _RI = """WITH @panel, u AS (SELECT sector, avg(y) AS y, (sector < 8)::INT AS d FROM panel GROUP BY sector), o AS (SELECT avg(y) FILTER (d = 1) - avg(y) FILTER (d = 0) AS s FROM u),
 r AS (SELECT i, y, row_number() OVER (PARTITION BY i ORDER BY ('0x' || substr(md5(concat_ws('|', 1, i, sector)), 1, 8))::BIGINT, sector) <= (SELECT sum(d) FROM u) AS l FROM u, range(0, 199) t(i)), g AS (SELECT i, avg(y) FILTER (l) - avg(y) FILTER (NOT l) AS g FROM r GROUP BY i)
 SELECT round(max(s), 6) AS statistic, round((1 + count(*) FILTER (abs(g) >= abs(s) - 1e-12)) / (1.0 + count(*)), 8)::DOUBLE AS p, count(*)::BIGINT AS draws FROM g, o"""
@@ -162,6 +169,13 @@ def _(t):
     return E.ri_block_p(t.panel.withColumn("treat", (C("sector") < 4).cast("double")), "y", "sector", "treat", ring_graph(t), 99)
 
 
+@query("eco_15_pieces")
+def _(t):
+    """Three pieces of four, two and one sectors."""
+    treat = C("sector").isin(0, 1, 2, 3, 10, 11, 18).cast("double")
+    return E.ri_block_p(t.panel.withColumn("treat", treat), "y", "sector", "treat", ring_graph(t), 99)
+
+
 _CON = """WITH @panel, p AS (SELECT y - avg(y) OVER () AS y, x - avg(x) OVER () AS x, (sector * 37 % 100)::DOUBLE AS px, (sector * 61 % 100)::DOUBLE AS py FROM panel), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM p),
 u AS (SELECT px, py, x * (y - b * x) AS u FROM p, b), k AS (SELECT a.u * c.u * greatest(1 - sqrt((a.px - c.px) * (a.px - c.px) + (a.py - c.py) * (a.py - c.py)) / 30.0, 0) AS v FROM u a, u c)
 SELECT 'x' AS term, round(b, 5) AS coef, round(sqrt(greatest((SELECT sum(v) FROM k), 0)) / sxx, 5) AS se FROM b"""
