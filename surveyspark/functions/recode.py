@@ -130,6 +130,11 @@ def expand_candidates(cols: list[str], by: str | None = None) -> Column:
     return F.array(*[t * F.col(by) if by else t for t in terms])
 
 
+def pairwise(x: Column) -> Column:
+    """Squares and all pairwise products of an array's elements as one array, however many."""
+    return F.flatten(F.transform(x, lambda v, i: F.transform(F.slice(x, i + 1, F.size(x)), lambda u: u * v)))
+
+
 def zscore(df: DataFrame, cols: list[str], where: Column | None = None) -> DataFrame:
     """``c``_z with mean and deviation over the rows ``where`` (all rows otherwise)."""
     on = lambda c: F.when(where, F.col(c)) if where is not None else F.col(c)

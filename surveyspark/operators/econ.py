@@ -765,7 +765,7 @@ def l1_logit_cv(df: DataFrame, y: str, xs: list[str], group: str, penalties: tup
     known = known.withColumns({f"__x{i}": (F.col(c) - float(m[f"m{i}"] or 0)) / float(m[f"s{i}"] or 1) * (FORCE if i >= len(xs) else 1.0) for i, c in enumerate(each)})
     rows = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(each))], outputCol="__x").transform(known)
     rows = materialize(rows.select("__x", "__y", *([w] if w else []), F.pmod(F.xxhash64(group), F.lit(folds)).alias("__fold")), "folds")
-    score = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="rawPrediction")
+    score = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="rawPrediction", numBins=0)
     out = []
     for penalty in penalties:
         model = LogisticRegression(featuresCol="__x", labelCol="__y", elasticNetParam=1.0, regParam=penalty, standardization=False, **({"weightCol": w} if w else {}))

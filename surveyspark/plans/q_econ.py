@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from surveyspark.functions.recode import zscore
+from surveyspark.functions.recode import pairwise, zscore
 from surveyspark.operators import econ as E
+from surveyspark.operators import select as L
 
 from .base import query
 from .q_agg import monthly, r, rounded
@@ -307,6 +308,37 @@ def _(t):
     return E.post_lasso(df, "y", ["age", "disc", "tax", "w"], "sector")
 
 
+def candidates(t):
+    """1,539 candidates of every vector: 54 components, their squares and all their products."""
+    x = F.transform(F.slice("embedding", 1, 54), lambda v: v.cast("double") * 8)
+    rows = t["embeddings"].select("vec_id", C("label").cast("double").alias("y"), F.get("embedding", F.lit(63)).cast("double").alias("d"), (C("vec_id") % 7).alias("wave"), (C("vec_id") % 50).alias("unit"), x.alias("v"))
+    return rows.withColumn("x", F.concat("v", pairwise(C("v"))))
+
+
+@query("eco_23_double_selection")
+def _(t):
+    fit, kept = L.double_selection(candidates(t), "y", "d", "x", "wave", "unit")
+    return fit.withColumn("selected", F.lit(len(kept)))
+
+
+@query("eco_24_logit_path")
+def _(t):
+    df = candidates(t).withColumn("high", (C("y") > 4).cast("int"))
+    return L.logit_path(df, "high", "x", "unit", (0.1, 0.05))[0]
+
+
+@query("eco_24_logit_coefficients")
+def _(t):
+    df = t.person.select("hhid", (C("cls") == "R").cast("int").alias("y"), "wt", "age", "disc", "tax", C("size").cast("double").alias("size"), (C("wave") - 1995).alias("w"))
+    return L.logit_path(df, "y", ["age", "disc", "tax", "size", "w"], "hhid", (0.01, 0.001), folds=3, w="wt", forced=1)[1]
+
+
+@query("eco_25_post_selection")
+def _(t):
+    fit, kept = L.post_selection(candidates(t).withColumn("high", (C("y") > 4).cast("double")), "high", "x", "unit")
+    return fit.withColumn("selected", F.lit(len(kept)))
+
+
 @query("eco_25_average_effects")
 def _(t):
     return E.average_effects(t.panel.withColumn("d", (C("sector") < 8).cast("double")), "y", "d", "z", "sector")

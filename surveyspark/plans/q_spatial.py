@@ -167,13 +167,13 @@ def _deal_sql() -> str:
         steps.append(f"k{i + 1} AS (SELECT unit, draw, {'a, (b + ' + move(i, 'a') + ') % 5 AS b' if i % 2 else '(a + ' + move(i, 'b') + ') % 5 AS a, b'} FROM k{i})")
     return _Z + f""", n AS (SELECT unit, z, row_number() OVER (ORDER BY unit) - 1 AS r FROM z), {", ".join(steps)}, d AS (SELECT k.draw, k.unit, n.z FROM k6 k JOIN n ON n.r = 5 * k.a + k.b),
 g AS (SELECT d.draw, src AS unit, avg(z) AS lag FROM adj JOIN d ON d.unit = dst GROUP BY 1, 2), i AS (SELECT draw, sum(z * lag) / sum(z * z) AS i FROM d JOIN g USING (draw, unit) GROUP BY draw), o AS (SELECT sum(z * lag) / sum(z * z) AS m FROM z JOIN l USING (unit))
-SELECT (1.0::DOUBLE + count(*) FILTER (abs(i) >= abs(m))) / (1 + count(*)) AS p FROM i, o"""
+SELECT round(max(m), 8) AS moran, (1.0::DOUBLE + count(*) FILTER (abs(i) >= abs(m))) / (1 + count(*)) AS p FROM i, o"""
 
 
 @query("geo_16_moran_p", _deal_sql())
 def _(t):
     u = t.panel.groupBy(C("sector").alias("unit")).agg(F.avg("y").alias("y"))
-    return G.moran(u, G.adjacency(edges(t), "unit"), "unit", "y", perms=99)
+    return G.moran(u, G.adjacency(edges(t), "unit"), "unit", "y", perms=99).select(r("moran", 8).alias("moran"), "p")
 
 
 @query("geo_16_lisa", _Z + " SELECT unit, round(z * lag / (SELECT avg(z * z) FROM z), 6) AS local, CASE WHEN z >= 0 THEN 'H' ELSE 'L' END || CASE WHEN lag >= 0 THEN 'H' ELSE 'L' END AS quadrant FROM z JOIN l USING (unit)")
