@@ -8,10 +8,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from surveyspark.functions.text import name_key
+from surveyspark.sources.scratch import drop_scratch, materialize
 
 
 def join_panels(frames: list[DataFrame], on: list[str], how: str = "inner") -> DataFrame:
@@ -88,42 +88,72 @@ def join_on_name(a: DataFrame, b: DataFrame, a_name: str, b_name: str, how: str
     return left.join(right, "__name", how).drop("__name")
 
 
+def _letters(name: Column) -> Column:
+    """The letters of a name with their number of occurrence: two names share as many of these as they share letters."""
+    letters = F.split(name, "")
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i), lambda d: d == c)).cast("string")))
+
+
+def similar_names(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """(block, a, b, score) of all pairs (block, a) and (block, b) whose matching blocks cover at least ``cutoff`` of both.
+
+    Two names of m and n letters at ``cutoff`` share at least t = cutoff * (m + n) / 2 letters, and n is at least m * cutoff / (2 - cutoff). So
+    of the letters of each name in the order of their rarity in the block, the first m - t + 1 for the least such t must meet: an
+    inverted index of these prefixes, an equi join by block and letter, gives candidates; lengths and shared letters are counted
+    before matching blocks are searched for, pair by pair.
+    """
+    least = cutoff / (2 - cutoff)
+    side = lambda df, name: df.select("block", F.col(name).alias("name"), F.length(name).alias("m"), _letters(F.col(name)).alias("letters"))
+    left, right = side(a, "a"), side(b, "b")
+    often = left.select("block", F.explode("letters").alias("letter")).unionAll(right.select("block", F.explode("letters").alias("letter"))).groupBy("block", "letter").agg(F.count("*").alias("often"))
+
+    def prefixes(rows: DataFrame) -> DataFrame:
+        each = rows.select("block", "name", "m", F.explode("letters").alias("letter")).join(often, ["block", "letter"])
+        ranked = each.groupBy("block", "name", "m").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("ranked"))  # a name's letters
+        need = F.ceil(cutoff * (F.col("m") + F.ceil(least * F.col("m") - 1e-9)) / 2 - 1e-9)
+        return ranked.select("block", "name", F.explode(F.slice("ranked", F.lit(1), F.greatest(F.col("m") - need + 1, F.lit(1)).cast("int"))).alias("r")).select("block", "name", F.col("r.letter").alias("letter"))
+
+    met = prefixes(left).withColumnRenamed("name", "a").join(prefixes(right).withColumnRenamed("name", "b"), ["block", "letter"]).select("block", "a", "b").distinct()
+    size, shared = F.length("a") + F.length("b"), F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b"))))
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    close = met.filter((short >= least * long - 1e-9) & (2 * shared >= cutoff * size - 1e-9))
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, q, p).ratio() for p, q in zip(x, y, strict=True)])
+
+    return close.withColumn("score", ratio("a", "b")).filter(F.col("score") >= cutoff)
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0.6, one_to_one: bool = True) -> DataFrame:
     """(block, left_name, right_name, score): names matched within a parent, equal ones first, then the closest by matching blocks at or above ``cutoff``.
 
     ``left`` (block, name) and ``right`` (block, name), compared without case and outer blanks. With ``one_to_one`` no name is used twice:
     equal names are taken by a join, then each other left name, in order, takes the closest name that is left in its parent. Else every left
-    name gets its closest right name. Of equally close names the last in order is taken.
+    name gets its closest right name. Of equally close names the last in order is taken. Empty names match empty ones only.
+
+    One-to-one is settled in rounds: every left name asks for its closest right name; a right name that is asked for is lost to all
+    left names after the first that asks. When nobody loses any more, the requests are the result, the same as taking turns in order.
+    No parent is gathered in a task.
     """
     key = F.upper(F.trim("name"))
-    a = left.filter("name IS NOT NULL").groupBy(block, key.alias("__a")).agg(F.min("name").alias("left_name"))
-    b = right.filter("name IS NOT NULL").groupBy(block, key.alias("__b")).agg(F.min("name").alias("right_name"))
-    equal = a.join(b.withColumnRenamed("__b", "__a"), [block, "__a"])
-    schema = T.StructType([a.schema[block], a.schema["left_name"], b.schema["right_name"], T.StructField("score", T.DoubleType())])
-    exact = equal.select(block, "left_name", "right_name", F.lit(1.0).alias("score"))
-    rest_a = a.join(equal.select(block, "__a"), [block, "__a"], "left_anti")
-    rest_b = b.join(equal.select(block, F.col("__a").alias("__b")), [block, "__b"], "left_anti") if one_to_one else b
-
-    def take(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        names, rows = dict(zip(theirs["__b"], theirs["right_name"], strict=True)), []
-        for r in mine.sort_values("__a").itertuples(index=False):
-            matcher = SequenceMatcher()
-            matcher.set_seq2(r[1])
-            best = None
-            for other in names:
-                matcher.set_seq1(other)
-                if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= max(cutoff, best[0] if best else 0):
-                    found = (matcher.ratio(), other)
-                    best = found if found[0] >= cutoff and (best is None or found > best) else best
-            if best:
-                rows.append((r[0], r[2], names[best[1]], best[0]))
-                if one_to_one:
-                    del names[best[1]]
-        return pd.DataFrame(rows, columns=schema.names)
-
-    theirs = rest_b.select(F.col(block).alias("__block"), "__b", "right_name").groupBy("__block")
-    near = rest_a.select(block, "__a", "left_name").groupBy(block).cogroup(theirs).applyInPandas(take, schema)
-    return exact.unionAll(near)
+    rows = lambda df, name: df.filter("name IS NOT NULL").groupBy(F.col(block).alias("block"), key.alias(name)).agg(F.min("name").alias(f"{name}_name"))
+    a, b = materialize(rows(left, "a"), "left-names"), materialize(rows(right, "b"), "right-names")
+    equal = a.join(b.withColumnRenamed("b", "a"), ["block", "a"]).select("block", "a", "a_name", "b_name", F.lit(1.0).alias("score"))
+    rest_a = a.join(equal, ["block", "a"], "left_anti").filter("a <> ''")
+    rest_b = (b.join(equal.select("block", F.col("a").alias("b")), ["block", "b"], "left_anti") if one_to_one else b).filter("b <> ''")
+    pairs = materialize(similar_names(rest_a, rest_b, cutoff), "pairs")
+    closest = lambda df: df.groupBy("block", "a").agg(F.max(F.struct("score", "b")).alias("best")).select("block", "a", "best.b", "best.score")
+    while one_to_one:
+        first = closest(pairs).groupBy("block", "b").agg(F.min("a").alias("__first"))
+        after = materialize(pairs.join(first, ["block", "b"], "left").filter("__first IS NULL OR a <= __first").drop("__first"), "pairs")
+        settled = after.count() == pairs.count()
+        drop_scratch(pairs)
+        pairs = after
+        if settled:
+            break
+    near = closest(pairs).join(a, ["block", "a"]).join(b, ["block", "b"]).select("block", "a", "a_name", "b_name", "score")
+    return equal.unionAll(near).select(F.col("block").alias(block), F.col("a_name").alias("left_name"), F.col("b_name").alias("right_name"), "score")
 
 
 def match_period(df: DataFrame, period: str, mapping: dict, out: str) -> DataFrame:

@@ -418,6 +418,23 @@ def _(t):
     return rounded(J.fuzzy_match(*_named(t), "block", 0.8, one_to_one=False), 8, "score")
 
 
+@query("jn_08_fuzzy_parts")
+def _(t):
+    """Names of parts within their brand against the same names with two letters changed, one lost or the words turned round."""
+    left = t["part"].select(C("p_brand").alias("block"), F.concat("p_name", F.lit(" "), "p_type").alias("name"))
+    n, kind = F.length("name"), F.pmod(F.crc32("name"), F.lit(4))
+    worn = F.when(kind == 0, F.concat(F.substring("name", 1, 3), F.col("name").substr(F.lit(5), n))).when(kind == 1, F.translate("name", "aeT", "eaD")).when(kind == 2, F.concat_ws(" ", F.reverse(F.split("name", " ")))).otherwise(F.col("name"))
+    return J.fuzzy_match(left, left.select("block", worn.alias("name")), "block", 0.8)
+
+
+@query("jn_08_fuzzy_customers")
+def _(t):
+    """Names of customers within nation and segment against a list that has lost two digits in three."""
+    left = t["customer"].select(F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("block"), C("c_name").alias("name"))
+    right = left.select("block", F.when(F.pmod(F.crc32("name"), F.lit(3)) == 0, C("name")).otherwise(F.concat(F.substring("name", 1, 7), F.substring("name", -4, 4))).alias("name"))
+    return J.fuzzy_match(left, right, "block", 0.75, one_to_one=False)
+
+
 @query("jn_08_fuzzy_one_to_one", _FUZZY)
 def _(t):
     return rounded(J.fuzzy_match(*_named(t), "block", 0.8), 8, "score")
