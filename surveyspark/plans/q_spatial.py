@@ -117,10 +117,45 @@ def _(t):
     return G.spatial_block(points(t), 20.0).groupBy("block").agg(F.count("*").alias("n"))
 
 
-@query("geo_12_length")
+# A line from (x, y) to (0.9 x, 0.9 y): its length in a square is its length times the part of the way that lies between both pairs of sides.
+_LINES = f"""{_PTS}, q AS (SELECT id, x, y, n_nationkey AS unit, 20.0 * (n_nationkey % 5) AS x0, 20.0 * (n_nationkey // 5) AS y0 FROM pts, nation),
+k AS (SELECT unit, 0.1 * sqrt(x * x + y * y) AS len, greatest(0, CASE WHEN x = 0 THEN CASE WHEN x0 = 0 THEN 0 ELSE 9 END ELSE (1 - (x0 + 20) / x) / 0.1 END, CASE WHEN y = 0 THEN CASE WHEN y0 = 0 THEN 0 ELSE 9 END ELSE (1 - (y0 + 20) / y) / 0.1 END) AS a,
+  least(1, CASE WHEN x = 0 THEN CASE WHEN x0 = 0 THEN 1 ELSE 0 END ELSE (1 - x0 / x) / 0.1 END, CASE WHEN y = 0 THEN CASE WHEN y0 = 0 THEN 1 ELSE 0 END ELSE (1 - y0 / y) / 0.1 END) AS b FROM q)"""
+
+
+@query("geo_12_length", f"WITH {_LINES} SELECT unit, round(sum(greatest(b - a, 0) * len), 4) AS length FROM k GROUP BY unit")
 def _(t):
     lines = points(t).select("id", C("x").alias("x1"), C("y").alias("y1"), (C("x") * 0.9).alias("x2"), (C("y") * 0.9).alias("y2"))
-    return G.length_by_unit(lines, edges(t), "id", "unit", 10.0, steps=5)
+    return rounded(G.length_by_unit(lines, edges(t), "id", "unit", 10.0), 4, "length")
+
+
+# Right triangles of suppliers over squares of customers: the part under the slope by sums of squares.
+_TRI = """a AS (SELECT s_suppkey AS supplier, (s_suppkey * 37 % 950) / 10.0 AS x0, (s_suppkey * 53 % 940) / 10.0 AS y0, 4.0 + s_nationkey % 7 AS s FROM supplier),
+b AS (SELECT c_custkey AS customer, (c_custkey * 29 % 970) / 10.0 AS x0, (c_custkey * 61 % 970) / 10.0 AS y0, 1.0 + c_custkey % 3 AS s FROM customer),
+m AS (SELECT supplier, customer, a.x0 + a.y0 + a.s AS c, greatest(a.x0, b.x0) AS p, greatest(a.x0, b.x0 + b.s) AS q, greatest(a.y0, b.y0) AS u, greatest(a.y0, b.y0 + b.s) AS v FROM a JOIN b ON b.x0 < a.x0 + a.s AND a.x0 < b.x0 + b.s AND b.y0 < a.y0 + a.s AND a.y0 < b.y0 + b.s),
+f AS (SELECT supplier, customer, (pow(greatest(c - p - u, 0), 2) - pow(greatest(c - q - u, 0), 2) - pow(greatest(c - p - v, 0), 2) + pow(greatest(c - q - v, 0), 2)) / 2 AS area FROM m)"""
+
+
+def polygons(df, key, x0, y0, s, corners):
+    """Edge rows of the same shape for every row: ``corners`` in units of ``s`` from (x0, y0), in order."""
+    ring = [*corners, corners[0]]
+    e = F.array(*[F.struct((x0 + s * p[0]).alias("x1"), (y0 + s * p[1]).alias("y1"), (x0 + s * q[0]).alias("x2"), (y0 + s * q[1]).alias("y2")) for p, q in zip(ring[:-1], ring[1:], strict=True)])
+    return df.select(C(key[0]).alias(key[1]), F.inline(e))
+
+
+def triangles(t):
+    k = C("s_suppkey")
+    return polygons(t["supplier"], ("s_suppkey", "supplier"), k * 37 % 950 / 10.0, k * 53 % 940 / 10.0, 4.0 + C("s_nationkey") % 7, [(0, 0), (0, 1), (1, 0)])
+
+
+def squares(t):
+    k = C("c_custkey")
+    return polygons(t["customer"], ("c_custkey", "customer"), k * 29 % 970 / 10.0, k * 61 % 970 / 10.0, 1.0 + k % 3, [(0, 0), (1, 0), (1, 1), (0, 1)])
+
+
+@query("geo_12_overlap_area", f"WITH {_TRI} SELECT supplier, customer, round(area, 5) AS area FROM f WHERE round(area, 5) > 0")
+def _(t):
+    return rounded(G.overlap_area(triangles(t), squares(t), "supplier", "customer", 5.0), 5, "area").filter("area > 0")
 
 
 @query("geo_12_overlap", f"WITH {_PIX} SELECT unit, (unit // 5)::BIGINT AS band, round(sum(ha), 6) AS ha FROM lab GROUP BY 1, 2")
