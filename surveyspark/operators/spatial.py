@@ -18,16 +18,63 @@ from surveyspark.sources.scratch import materialize
 from .order import row_numbers
 
 
-def points_in(points: DataFrame, edges: DataFrame, id_: str, unit: str, cell: float) -> DataFrame:
-    """(id, unit) by crossing parity. Points and edges meet in rows of a grid of height ``cell``: an equi join."""
+def in_strips(points: DataFrame, edges: DataFrame, id_: str, unit: str, cell: float, also: list[str] = ()) -> DataFrame:
+    """(id, unit) by crossing parity. Points and edges meet in rows of a grid of height ``cell``: an equi join. With ``also``, points bring columns of these names that edges must match."""
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = edges.filter(F.col("y1") != F.col("y2")).withColumn("__g", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
-    placed = points.select(id_, "x", "y", F.floor(F.col("y") / cell).alias("__g"))
-    met = placed.join(rows, "__g").filter((F.col("y") >= lo) & (F.col("y") < hi))
-    cross = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")) > F.col("x")
+    placed = points.select(id_, *also, "x", "y", F.floor(F.col("y") / cell).alias("__g"))
+    met = placed.join(rows, ["__g", *also]).filter((F.col("y") >= lo) & (F.col("y") < hi))
+    cross = F.col("x1") + (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1")) > F.col("x")
     return met.groupBy(id_, unit).agg(F.count_if(cross).alias("__n")).filter("__n % 2 = 1").drop("__n")
 
 
+def touched_cells(rows: DataFrame, key: list[str], size: float) -> DataFrame:
+    """(key, x1, y1, x2, y2, gx, gy): the cells of a grid that each segment passes, row by row."""
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = rows.select(*key, "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))).alias("gy"))
+    at = lambda y: F.when(hi == lo, F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1")))
+    a, b = at(F.greatest(lo, F.col("gy") * size)), at(F.least(hi, (F.col("gy") + 1) * size))
+    left, right = F.when(hi == lo, F.least("x1", "x2")).otherwise(F.least(a, b)), F.when(hi == lo, F.greatest("x1", "x2")).otherwise(F.greatest(a, b))
+    return rows.withColumn("gx", F.explode(F.sequence(F.floor(left / size - 1e-9), F.floor(right / size + 1e-9))))
+
+
+def cell_cover(edges: DataFrame, unit: str, cell: float, factor: int = 8, levels: int = 2) -> tuple[list[tuple[float, DataFrame]], DataFrame]:
+    """The cells of a hierarchy of grids that lie in a unit, [(size, (unit, gx, gy))] from coarse to fine, and the finest cells that a boundary passes.
+
+    A cell that no edge passes lies in its unit or out of it as a whole, so its centre alone is tested; cells that an edge passes are
+    cut up on the next level.
+    """
+    e = edges.select(F.col(unit).alias("unit"), "x1", "y1", "x2", "y2")
+    frame = e.groupBy("unit").agg(F.min(F.least("x1", "x2")).alias("l"), F.min(F.least("y1", "y2")).alias("d"), F.max(F.greatest("x1", "x2")).alias("r"), F.max(F.greatest("y1", "y2")).alias("u"))
+    inner, border = [], None
+    for level in range(levels):
+        size = cell * factor ** (levels - 1 - level)
+        upto = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))  # noqa: B023, E731
+        if border is None:
+            cells = frame.withColumn("gx", upto("l", "r")).withColumn("gy", upto("d", "u")).select("unit", "gx", "gy")
+        else:
+            inside = lambda c: F.explode(F.sequence(F.col(c) * factor, F.col(c) * factor + factor - 1))
+            cells = border.withColumn("gx", inside("gx")).withColumn("gy", inside("gy"))
+        passed = materialize(touched_cells(e, ["unit"], size).select("unit", "gx", "gy").distinct(), "border")
+        free = cells.join(passed, ["unit", "gx", "gy"], "left_anti")
+        centres = free.select(F.struct("gx", "gy").alias("id"), "unit", ((F.col("gx") + 0.5) * size).alias("x"), ((F.col("gy") + 0.5) * size).alias("y"))
+        inner.append((size, in_strips(centres, e, "id", "unit", size, ["unit"]).select("unit", "id.gx", "id.gy")))
+        border = passed
+    return inner, border
+
+
+def points_in(points: DataFrame, edges: DataFrame, id_: str, unit: str, cell: float) -> DataFrame:
+    """(id, unit) of points in polygons by a hierarchical cell cover: a point in a cell that lies in a unit needs no test, one in a cell that a
+    boundary passes counts crossings with the edges of that unit in its row. Points on a shared edge are in exactly one unit."""
+    inner, border = cell_cover(edges, unit, cell)
+    at = lambda size: points.select(id_, "x", "y", F.floor(F.col("x") / size).alias("gx"), F.floor(F.col("y") / size).alias("gy"))
+    found = [at(size).join(cover, ["gx", "gy"]).select(id_, F.col("unit").alias(unit)) for size, cover in inner]
+    near = at(cell).join(border, ["gx", "gy"]).select(id_, "x", "y", "unit")
+    e = edges.select(F.col(unit).alias("unit"), "x1", "y1", "x2", "y2")
+    found.append(in_strips(near, e, id_, "unit", cell, ["unit"]).select(id_, F.col("unit").alias(unit)))
+    return reduce(DataFrame.unionAll, found)
+
+
 def unit_stats(points: DataFrame, inside: DataFrame, id_: str, unit: str, value: str) -> DataFrame:
     return points.join(inside, id_).groupBy(unit).agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.avg(value).alias("mean"))
 
@@ -174,19 +221,8 @@ def spatial_block(df: DataFrame, size: float, x: str = "x", y: str = "y") -> Dat
 
 def crossings(lines: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     """(line, t): where on its way, from 0 to 1, a segment ``lines`` (line, x1, y1, x2, y2) meets an edge. Both are cut to the rows and cells of a grid that they pass."""
-
-    def placed(rows: DataFrame, key: list[str]) -> DataFrame:
-        lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-        rows = rows.select(*key, "x1", "y1", "x2", "y2", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))).alias("gy"))
-        lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-        at = lambda y: F.when(hi == lo, F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1")))
-        a, b = at(F.greatest(lo, F.col("gy") * cell)), at(F.least(hi, (F.col("gy") + 1) * cell))
-        flat = hi == lo
-        left, right = F.when(flat, F.least("x1", "x2")).otherwise(F.least(a, b)), F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(a, b))
-        return rows.withColumn("gx", F.explode(F.sequence(F.floor(left / cell - 1e-9), F.floor(right / cell + 1e-9))))
-
-    q = placed(edges.select("x1", "y1", "x2", "y2"), []).withColumnsRenamed({c: f"e{c}" for c in ("x1", "y1", "x2", "y2")})
-    met = placed(lines, ["line"]).join(q, ["gx", "gy"])
+    q = touched_cells(edges.select("x1", "y1", "x2", "y2"), [], cell).withColumnsRenamed({c: f"e{c}" for c in ("x1", "y1", "x2", "y2")})
+    met = touched_cells(lines, ["line"], cell).join(q, ["gx", "gy"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ex, ey = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
     det = F.nullif(dx * ey - dy * ex, F.lit(0.0))

@@ -80,3 +80,16 @@ def test_length_by_unit(spark, cell):
             ts = sorted(ts)
             total += sum(v - u for u, v in zip(ts[:-1], ts[1:], strict=True) if inside(x1 + (u + v) / 2 * (x2 - x1), y1 + (u + v) / 2 * (y2 - y1), pts)) * math.hypot(x2 - x1, y2 - y1)
         assert found.get(name, 0.0) == pytest.approx(total)
+
+
+@pytest.mark.parametrize("cell", [0.31, 1.0, 40.0])
+def test_points_in_by_cell_cover(spark, cell):
+    rnd = np.random.default_rng(8)
+    units = {"left": [(0, 0), (4, 0), (4, 4), (0, 4)], "right": [(4, 0), (8, 0), (8, 4), (4, 4)], "kite": [(2, 3), (6, 5), (2, 9), (1, 5)], "big": [(-9, -9), (9, -9), (9, 12), (0, 11), (-9, 12)]}
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(rnd.uniform(-10, 13, (300, 2)))] + [(900, 4.0, 2.0), (901, 0.0, 0.0), (902, 8.0, 4.0), (903, 4.0, 4.0), (904, 2.0, 3.0), (905, None, 1.0)]
+    points = spark.createDataFrame(spots, "id int, x double, y double")
+    got = sorted(map(tuple, G.points_in(points, edges(spark, units, "unit"), "id", "unit", cell).collect()))
+    assert got == sorted((i, name) for i, x, y in spots if x is not None for name, pts in units.items() if inside(x, y, pts))
+    inner, border = G.cell_cover(edges(spark, units, "unit"), "unit", cell)
+    assert cell > 1 or sum(cover.count() for _, cover in inner) > 0
+    assert G.points_in(points.limit(0), edges(spark, units, "unit"), "id", "unit", cell).count() == 0
