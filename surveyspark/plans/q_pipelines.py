@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions import recode as R
 from surveyspark.operators import assembly as Y
+from surveyspark.operators import controls as K
 from surveyspark.operators import spatial as G
 
 from . import pipelines as P
@@ -218,3 +219,65 @@ SELECT unnest(['pid', 'flag', 'parity']) AS "column", count(*)::BIGINT AS n_grou
 def _(t):
     rows = t["lineitem"].select(C("l_orderkey").alias("hhid"), C("l_linenumber").alias("pid"), C("l_returnflag").alias("flag"), (C("l_orderkey") % 2).alias("parity"))
     return Y.dependencies(rows, ["hhid"])
+
+
+# Baseline items with their number of codes, the last of which often means "not stated"; missing in one row of 13.
+_HOME_ITEMS = "household_size 9, head_sex 3, head_age 80, absent 3, residents 7, visitors 2, male 4, female 4, urban 3, settlement 10, dwelling_type 10, tenure 10, lighting_source 10, cooking_energy 10, living_rooms 100, radio_television 10, telephone 10, bicycles 100"
+_PERSON_ITEMS = "age 90, relation_head 11, marital_grouped 10, handicap_type 10, handicap_cause 8, parents_survival 10, residence_duration 100, birth_place 10000, previous_residence 10000, nationality 1000, languages_spoken 100, marital_status 9, religion 8"
+
+
+def _items(text, key):
+    pairs = [x.split() for x in text.split(", ")]
+    return {name: f"CASE WHEN ({key} + {i}) % 13 <> 0 THEN ({key} * {2 * i + 1} + {key} % {i + 5}) % {n} END" for i, (name, n) in enumerate(pairs)}
+
+
+def baseline(t):
+    home = t["orders"].join(t["customer"], C("o_custkey") == C("c_custkey")).select(C("c_nationkey").alias("unit"), (1 + C("o_orderkey") % 5).alias("w"), C("o_orderkey").alias("k"))
+    people = t.person.select(C("sector").alias("unit"), C("wt").alias("w"), (C("hhid") * 5 + C("pid")).alias("k"))
+    with_items = lambda df, text: df.select("unit", "w", *[F.expr(sql).alias(name) for name, sql in _items(text, "k").items()])
+    middle = S.units(t).select("unit", (C("x0") + 10).alias("x"), (C("y0") + 10).alias("y"))
+    near = lambda *spots: F.least(*[F.hypot(C("x") - a, C("y") - b) for a, b in spots]) if len(spots) > 1 else F.hypot(C("x") - spots[0][0], C("y") - spots[0][1])
+    access = middle.select("unit", near((47, 55)).alias("capital"), F.least("x", "y", 100 - C("x"), 100 - C("y")).alias("border"), near((12, 83), (71, 26), (88, 91)).alias("town"))
+    climate = G.rain_climate(monthly(t), "sector", "wave", "month", "rain", 150, 0.95).withColumnRenamed("sector", "unit")
+    given = {"terrain": G.terrain(S.pixels(t), S.labels(t).drop("share"), "unit", 30.0), "access": access, "shape": G.shape_stats(S.edges(t), "unit"), "climate": climate}
+    return K.control_block({"household": with_items(home, _HOME_ITEMS), "person": with_items(people, _PERSON_ITEMS)}, "unit", "w", given)
+
+
+def _share(c, yes, no=None):
+    return f"sum(w * ({yes})::INTEGER) FILTER ({c} IS NOT NULL{f' AND {c} NOT IN ({no})' if no else ''}) / sum(w) FILTER ({c} IS NOT NULL{f' AND {c} NOT IN ({no})' if no else ''})"
+
+
+_HOME = {
+    "hh_size": "sum(household_size * w) / sum(w) FILTER (household_size IS NOT NULL)", "female_head": "sum(w * coalesce(head_sex = 2, false)::INTEGER) / sum(w)", "head_age": "sum(head_age * w) / sum(w) FILTER (head_age IS NOT NULL)",
+    "absent_share": "sum(absent * w) / nullif(sum(residents * w), 0)", "visitor_share": "sum(visitors * w) / nullif(sum(residents * w) + sum(visitors * w), 0)", "sex_ratio": "sum(male * w) / nullif(sum(female * w), 0)",
+    "urban": "sum(w * coalesce(urban = 1, false)::INTEGER) / sum(w)", "planned": _share("settlement", "settlement = 1 OR settlement = 4", "9"), "onehh_house": _share("dwelling_type", "dwelling_type = 1", "9"), "owner": _share("tenure", "tenure = 1", "9"),
+    "electric": _share("lighting_source", "lighting_source IN (1, 2)", "9"), "firewood": _share("cooking_energy", "cooking_energy = 4", "9"), "rooms": "sum(living_rooms * w) FILTER (living_rooms < 90) / sum(w) FILTER (living_rooms < 90)",
+    "radiotv": _share("radio_television", "radio_television IN (1, 2, 3)", "9"), "phone": _share("telephone", "telephone BETWEEN 1 AND 3", "9"), "bicycle": _share("bicycles", "bicycles > 0", "99"),
+}
+_PEOPLE = {
+    "share_u15": "sum(w * coalesce(age < 15, false)::INTEGER) / sum(w)", "share_65p": "sum(w * coalesce(age >= 65, false)::INTEGER) / sum(w)", "extended": _share("relation_head", "relation_head IN (7, 8)", "99"), "nonrelative": _share("relation_head", "relation_head = 9", "99"),
+    "child_head": "sum(w * coalesce(age < 18, false)::INTEGER) FILTER (relation_head = 1) / sum(w) FILTER (relation_head = 1)", "never_married": _share("marital_grouped", "marital_grouped = 1", "99"), "divorced": _share("marital_grouped", "marital_grouped = 8", "99"), "widowed": _share("marital_grouped", "marital_grouped = 9", "99"),
+    "handicap": _share("handicap_type", "handicap_type >= 2 AND handicap_type <= 8", "9"), "war_disab": "sum(w * coalesce(handicap_cause IN (4, 5, 6), false)::INTEGER) / sum(w)", "orphan_double": _share("parents_survival", "parents_survival = 4", "5, 9"), "orphan_any": _share("parents_survival", "parents_survival IN (2, 3, 4)", "5, 9"),
+    "newcomer5": _share("residence_duration", "residence_duration < 5", "98"), "foreign_born": _share("birth_place", "birth_place >= 2000", "9999"), "prev_abroad": _share("previous_residence", "previous_residence >= 2000", "9999"), "foreign_national": _share("nationality", "nationality <> 100", "999"),
+    "english": _share("languages_spoken", "languages_spoken < 32 AND languages_spoken // 8 % 2 = 1", "99"), "french": _share("languages_spoken", "languages_spoken < 32 AND languages_spoken // 2 % 2 = 1", "99"), "swahili": _share("languages_spoken", "languages_spoken < 32 AND languages_spoken // 4 % 2 = 1", "99"),
+    "cohabiting": _share("marital_status", "marital_status = 2", "99"), "polygamous": _share("marital_status", "marital_status BETWEEN 4 AND 7", "99"), "catholic": _share("religion", "religion = 1", "99"), "protestant": _share("religion", "religion = 2", "99"), "muslim": _share("religion", "religion = 6", "99"), "log_pop": "ln(sum(w))",
+}
+_GIVEN = {
+    "elev_mean": "mean", "elev_sd": "sd", "slope_mean": "slope", "log_dist_capital": "ln(sqrt(pow(x - 47, 2) + pow(y - 55, 2)))", "log_area": "ln(400.0)", "compactness": "4 * pi() * 400 / 6400", "log_dist_border": "ln(least(x, y, 100 - x, 100 - y))",
+    "log_dist_town": "ln(least(sqrt(pow(x - 12, 2) + pow(y - 83, 2)), sqrt(pow(x - 71, 2) + pow(y - 26, 2)), sqrt(pow(x - 88, 2) + pow(y - 91, 2))))", "rain_mean": "rmean", "rain_cv": "cv", "dry_months": "dry_months", "drought_freq": "drought_share",
+}
+_BLOCK_SQL = f"""WITH @person, h AS (SELECT c_nationkey AS unit, (1 + o_orderkey % 5)::DOUBLE AS w, {", ".join(f"{q} AS {n}" for n, q in _items(_HOME_ITEMS, "o_orderkey").items())} FROM orders JOIN customer ON o_custkey = c_custkey),
+z AS (SELECT sector AS unit, wt::DOUBLE AS w, hhid * 5 + pid AS k FROM person), p AS (SELECT unit, w, {", ".join(f"{q} AS {n}" for n, q in _items(_PERSON_ITEMS, "k").items())} FROM z),
+hs AS (SELECT unit, {", ".join(f"{q} AS {n}" for n, q in _HOME.items())} FROM h GROUP BY unit), ps AS (SELECT unit, {", ".join(f"{q} AS {n}" for n, q in _PEOPLE.items())} FROM p GROUP BY unit),
+{S._PIX}, sl AS (SELECT l.unit, l.value, degrees(atan(sqrt(pow((e.value - w.value) / 60, 2) + pow((n.value - s.value) / 60, 2)))) AS slope FROM lab l LEFT JOIN px e ON e.row = l.row AND e.col = l.col + 1 LEFT JOIN px w ON w.row = l.row AND w.col = l.col - 1 LEFT JOIN px n ON n.row = l.row - 1 AND n.col = l.col LEFT JOIN px s ON s.row = l.row + 1 AND s.col = l.col),
+te AS (SELECT unit, avg(value) AS mean, stddev_samp(value) AS sd, avg(slope) AS slope FROM sl GROUP BY unit),
+mo AS (SELECT sector, wave, month, round(sum(wt), 4) AS rain FROM person WHERE wave BETWEEN 1995 AND 2000 GROUP BY 1, 2, 3), ye AS (SELECT sector, wave, sum(rain) AS y, count(*) FILTER (rain < 150) AS dry FROM mo GROUP BY 1, 2), me AS (SELECT *, avg(y) OVER (PARTITION BY sector) AS m FROM ye),
+cl AS (SELECT sector AS unit, avg(y) AS rmean, stddev_samp(y) / avg(y) AS cv, avg(dry) AS dry_months, avg((y < 0.95 * m)::INT) AS drought_share FROM me GROUP BY sector),
+ac AS (SELECT n_nationkey AS unit, 20.0 * (n_nationkey % 5) + 10 AS x, 20.0 * (n_nationkey // 5) + 10 AS y FROM nation)
+SELECT unit, {", ".join(f"round({n}, 6) AS {n}" for n in [*_HOME, *_PEOPLE])}, {", ".join(f"round({q}, 6) AS {n}" for n, q in _GIVEN.items())} FROM hs LEFT JOIN ps USING (unit) LEFT JOIN te USING (unit) LEFT JOIN cl USING (unit) LEFT JOIN ac USING (unit)"""
+
+
+@query("pip_08_control_block", _BLOCK_SQL)
+def _(t):
+    df = baseline(t)
+    return rounded(df, 6, *[c for c in df.columns if c != "unit"])
