@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, scratch_path
+from .common import HOT, bounded_batches, materialize, scratch_path
 
 LEAST = 100
 #: Bytes of records in an archive before compression.
@@ -38,13 +38,23 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def page_roles(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with digest, payload_bytes and refers_to, which is null for responses."""
+    """``pages`` (page_id, url, html) with digest, payload_bytes and refers_to, which is null for responses.
+
+    Payloads that more than one in HOT rows have are at most HOT: their first pages are broadcast, so that a common page is
+    not gathered by its digest.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     firsts = sized.filter(F.col("payload_bytes") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # Short payloads have no first page: they do not meet under one digest.
-    key = F.when(F.col("payload_bytes") >= LEAST, F.col("digest")).otherwise(F.concat_ws(":", "digest", F.pmod(F.xxhash64("page_id", "url"), F.lit(4096))))
-    joined = sized.withColumn("key", key).join(firsts.select(F.col("digest").alias("key"), "first"), "key", "left")
+    firsts = materialize(firsts, "firsts")
+    cut = max(100, pages.count() // HOT)
+    hot = firsts.filter(F.col("n") > cut).select("digest", F.col("first").alias("hot_first"))
+    joined = sized.join(F.broadcast(hot), "digest", "left")
+    # Short payloads have no first page and common ones have it already: they do not meet under one digest.
+    meets = (F.col("payload_bytes") >= LEAST) & F.col("hot_first").isNull()
+    key = F.when(meets, F.col("digest")).otherwise(F.concat_ws(":", "digest", F.pmod(F.xxhash64("page_id", "url"), F.lit(4096))))
+    rest = firsts.filter(F.col("n") <= cut).select(F.col("digest").alias("key"), "first")
+    joined = joined.withColumn("key", key).join(rest, "key", "left").withColumn("first", F.coalesce("hot_first", "first"))
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "html", "digest", "payload_bytes", refers.alias("refers_to"))
 
