@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from surveyspark.functions import recode as R
 from surveyspark.operators import agg as A
@@ -180,3 +181,58 @@ def district_models(panel: DataFrame, district: str, period: str, outcome: tuple
     d = panel.groupBy(district, period).agg(A.wratio(*outcome, F.lit(1.0)).alias("rate"), *[F.sum(c).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means])
     d = d.withColumns({f"log_{c}": F.log(c) for c in logs}) if logs else d
     return reduce(DataFrame.unionAll, [E.fe_ols(d, "rate", xs, fes, district).withColumn("model", F.lit(name)) for name, (xs, fes) in models.items()])
+
+
+def gap_by_waves(panel: DataFrame, outcomes: list[str], unit: str, wave: str, treated: Column, base, waves: list, cluster: str) -> DataFrame:
+    """(outcome, wave, coef, se, p, park_base, other_base, park, other): how the gap of treated units has moved since ``base``, one regression with unit and wave
+    effects an outcome, beside both groups' means."""
+    rows = panel.withColumn("__d", treated.cast("double")).withColumns({f"d_{w}": (C(wave) == w).cast("double") * treated.cast("double") for w in waves})
+    mean = lambda c, w, d: F.avg(F.when((C(wave) == w) & (C("__d") == d), C(c)))
+    out = []
+    for c in outcomes:
+        fit = E.fe_ols(rows, c, [f"d_{w}" for w in waves], [unit, wave], cluster).withColumn("wave", F.substring("term", 3, 20).cast("int"))
+        means = rows.agg(mean(c, base, 1).alias("park_base"), mean(c, base, 0).alias("other_base"), F.array(*[F.struct(F.lit(w).alias("wave"), mean(c, w, 1).alias("park"), mean(c, w, 0).alias("other")) for w in waves]).alias("m"))
+        means = means.select("park_base", "other_base", F.inline("m"))
+        out.append(fit.join(means, "wave").select(F.lit(c).alias("outcome"), "wave", "coef", "se", "p", "park_base", "other_base", "park", "other"))
+    return reduce(DataFrame.unionAll, out)
+
+
+def validate_sources(a: DataFrame, b: DataFrame, district: str, wave: str, part: str, base: str, per: float = 100.0) -> DataFrame:
+    """(what, n, correlation, mean_a, mean_b): two surveys' rates by district, wave by wave and as changes between following waves; rates are ratios of sums."""
+    rate = lambda df, name: df.groupBy(district, wave).agg((per * F.sum(part) / F.nullif(F.sum(base), F.lit(0.0))).alias(name))
+    both = rate(a, "a").join(rate(b, "b"), [district, wave])
+    before = Window.partitionBy(district).orderBy(wave)
+    both = both.withColumns({"from": F.lag(wave).over(before), "da": C("a") - F.lag("a").over(before), "db": C("b") - F.lag("b").over(before)})
+    levels = both.groupBy(C(wave).cast("string").alias("what")).agg(F.count("*").alias("n"), F.corr("a", "b").alias("correlation"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    moved = both.filter(C("from").isNotNull()).groupBy(F.concat_ws("-", C("from").cast("string"), C(wave).cast("string")).alias("what"))
+    return levels.unionAll(moved.agg(F.count("*").alias("n"), F.corr("da", "db").alias("correlation"), F.avg("da").alias("mean_a"), F.avg("db").alias("mean_b")))
+
+
+def outcome_regressions(panel: DataFrame, outcomes: dict[str, Column], share: str, people: str, unit: str, district: str, wave: str, base) -> DataFrame:
+    """(outcome, term, coef, se, p, n, clusters, base_mean): each outcome on the services' share and the logarithm of people, with unit and
+    district by wave effects, clustered by district; an outcome's column is null in rows that do not count for it."""
+    rows = panel.withColumns({"share": C(share).cast("double"), "ln_people": F.log(people), "__cell": F.concat_ws("_", district, wave)})
+    out = []
+    for name, column in outcomes.items():
+        one = rows.withColumn("__y", column).filter(C("__y").isNotNull())
+        fit = E.fe_ols(one, "__y", ["share", "ln_people"], [unit, "__cell"], district)
+        mean = one.agg(F.avg(F.when(C(wave) == base, C("__y"))).alias("base_mean"))  # one row
+        out.append(fit.crossJoin(F.broadcast(mean)).select(F.lit(name).alias("outcome"), "term", "coef", "se", "p", "n", "clusters", "base_mean"))
+    return reduce(DataFrame.unionAll, out)
+
+
+def forest_grid(pixels: DataFrame, factor: int, covariates: dict[str, Column], loss_year: str, periods: list) -> DataFrame:
+    """(cell, period, loss_share, covariates): pixels in cells of factor by factor, complete over ``periods``; the loss in a period as a share of the cell's area."""
+    cells = pixels.groupBy(F.floor(C("row") / factor).alias("gy"), F.floor(C("col") / factor).alias("gx")).agg(
+        F.sum("ha").alias("ha"), *[c.alias(n) for n, c in covariates.items()], F.array(*[F.struct(F.lit(p).alias("period"), F.sum(F.when(C(loss_year) == p, C("ha")).otherwise(0.0)).alias("lost")) for p in periods]).alias("__p")
+    )
+    return cells.select(F.concat_ws("_", "gy", "gx").alias("cell"), "gx", "gy", *covariates, "ha", F.inline("__p")).withColumn("loss_share", C("lost") / C("ha")).drop("lost")
+
+
+def cell_infrastructure(cells: DataFrame, points: DataFrame, edges: DataFrame, lines: DataFrame, planted: DataFrame, size: float) -> DataFrame:
+    """``cells`` (unit, km2) with buildings and line kilometres a square kilometre and the planted share of the land, all exact."""
+    built = points.join(G.points_in(points, edges, "id", "unit", size), "id").groupBy("unit").agg(F.count("*").alias("n"))
+    wires = G.length_by_unit(lines, edges, "id", "unit", size)
+    trees = G.overlap_area(edges, planted, "unit", "stand", size).groupBy("unit").agg(F.sum("area").alias("planted"))
+    out = J.join_panels([cells, built, wires, trees], ["unit"], "left").fillna(0)
+    return out.select("unit", (C("n") / C("km2")).alias("building_density"), (C("length") / C("km2")).alias("line_density"), (C("planted") / C("km2")).alias("planted_share"))

@@ -281,3 +281,68 @@ SELECT unit, {", ".join(f"round({n}, 6) AS {n}" for n in [*_HOME, *_PEOPLE])}, {
 def _(t):
     df = baseline(t)
     return rounded(df, 6, *[c for c in df.columns if c != "unit"])
+
+
+@query("pip_02_infrastructure", f"""WITH {S._LINES}, n AS (SELECT (floor(x / 20) + 5 * floor(y / 20))::INTEGER AS unit, count(*) AS n FROM pts GROUP BY 1), l AS (SELECT unit, sum(greatest(b - a, 0) * len) AS length FROM k GROUP BY unit),
+st AS (SELECT (c_custkey * 29 % 970) / 10.0 AS x0, (c_custkey * 61 % 970) / 10.0 AS y0, 1.0 + c_custkey % 3 AS s FROM customer),
+u AS (SELECT n_nationkey AS unit, 20.0 * (n_nationkey % 5) AS x0, 20.0 * (n_nationkey // 5) AS y0 FROM nation), p AS (SELECT unit, sum(greatest(least(u.x0 + 20, st.x0 + s) - greatest(u.x0, st.x0), 0) * greatest(least(u.y0 + 20, st.y0 + s) - greatest(u.y0, st.y0), 0)) AS planted FROM u, st GROUP BY unit)
+SELECT unit, round(coalesce(n, 0) / 400.0, 6) AS building_density, round(coalesce(length, 0) / 400.0, 6) AS line_density, round(coalesce(planted, 0) / 400.0, 6) AS planted_share FROM u LEFT JOIN n USING (unit) LEFT JOIN l USING (unit) LEFT JOIN p USING (unit)""")
+def _(t):
+    pts = S.points(t)
+    lines = pts.select("id", C("x").alias("x1"), C("y").alias("y1"), (C("x") * 0.9).alias("x2"), (C("y") * 0.9).alias("y2"))
+    stands = S.squares(t).withColumnRenamed("customer", "stand")
+    df = P.cell_infrastructure(S.units(t).select("unit", F.lit(400.0).alias("km2")), pts, S.edges(t), lines, stands, 10.0)
+    return rounded(df, 6, "building_density", "line_density", "planted_share")
+
+
+_RATES = "s AS (SELECT sector, dist, wave, sum(wt) AS adults, coalesce(sum(wt) FILTER (cls = 'R'), 0) AS service, coalesce(sum(wt) FILTER (sex = 'F'), 0) AS nonfarm FROM person WHERE wave IN (1996, 1998, 2000) GROUP BY 1, 2, 3), q AS (SELECT *, 100 * service / adults AS service_rate, 100 * nonfarm / adults AS nonfarm_rate FROM s)"
+
+
+def rates(t):
+    cells = t.person.filter(C("wave").isin(1996, 1998, 2000)).groupBy("sector", "dist", "wave").agg(F.sum("wt").alias("adults"), F.coalesce(F.sum(F.when(C("cls") == "R", C("wt"))), F.lit(0)).alias("service"), F.coalesce(F.sum(F.when(C("sex") == "F", C("wt"))), F.lit(0)).alias("nonfarm"))
+    return cells.withColumns({"service_rate": 100 * C("service") / C("adults"), "nonfarm_rate": 100 * C("nonfarm") / C("adults")})
+
+
+@query("pip_15_gap_waves", f"""WITH @person, {_RATES}, l AS (SELECT 'service_rate' AS outcome, sector, wave, service_rate AS v FROM q UNION ALL SELECT 'nonfarm_rate', sector, wave, nonfarm_rate FROM q), m AS (SELECT outcome, wave, avg(v) FILTER (sector < 8) AS park, avg(v) FILTER (sector >= 8) AS other FROM l GROUP BY 1, 2)
+SELECT a.outcome, a.wave, round(a.park - a.other - b.park + b.other, 5) AS coef, round(b.park, 5) AS park_base, round(b.other, 5) AS other_base, round(a.park, 5) AS park, round(a.other, 5) AS other FROM m a JOIN m b ON b.outcome = a.outcome AND b.wave = 1996 WHERE a.wave > 1996""")
+def _(t):
+    df = P.gap_by_waves(rates(t), ["service_rate", "nonfarm_rate"], "sector", "wave", C("sector") < 8, 1996, [1998, 2000], "sector")
+    return rounded(df.drop("se", "p"), 5, "coef", "park_base", "other_base", "park", "other")
+
+
+@query("pip_15_validation", """WITH @person, a AS (SELECT dist, wave, 100 * coalesce(sum(wt) FILTER (cls = 'R'), 0) / sum(wt) AS a, 100 * coalesce(sum(wt) FILTER (cls = 'R' AND pid <= 2), 0) / sum(wt) FILTER (pid <= 2) AS b FROM person WHERE wave IN (1996, 1998, 2000) GROUP BY 1, 2),
+d AS (SELECT *, lag(wave) OVER w AS p, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db FROM a WINDOW w AS (PARTITION BY dist ORDER BY wave))
+SELECT wave::VARCHAR AS what, count(*)::BIGINT AS n, round(corr(a, b), 6) AS correlation, round(avg(a), 5) AS mean_a, round(avg(b), 5) AS mean_b FROM d GROUP BY wave UNION ALL SELECT p || '-' || wave, count(*), round(corr(da, db), 6), round(avg(da), 5), round(avg(db), 5) FROM d WHERE p IS NOT NULL GROUP BY p, wave""")
+def _(t):
+    people = t.person.filter(C("wave").isin(1996, 1998, 2000)).withColumn("service", F.when(C("cls") == "R", C("wt")).otherwise(0))
+    df = P.validate_sources(people, people.filter("pid <= 2"), "dist", "wave", "service", "wt")
+    return rounded(rounded(df, 6, "correlation"), 5, "mean_a", "mean_b")
+
+
+@query("pip_17_outcomes", f"""WITH @person, {_RATES}, v AS (SELECT sector, dist, wave, nonfarm_rate AS y, service_rate AS x, ln(adults) AS z FROM q), r AS (SELECT sector, wave, y - avg(y) OVER s - avg(y) OVER c + avg(y) OVER d AS y, x - avg(x) OVER s - avg(x) OVER c + avg(x) OVER d AS x, z - avg(z) OVER s - avg(z) OVER c + avg(z) OVER d AS z FROM v WINDOW s AS (PARTITION BY sector), c AS (PARTITION BY dist, wave), d AS (PARTITION BY dist)),
+k AS (SELECT sum(x * x) AS a, sum(x * z) AS b, sum(z * z) AS c, sum(x * y) AS u, sum(z * y) AS w, count(*) AS n FROM r), m AS (SELECT avg(y) FILTER (wave = 1996) AS m FROM v)
+SELECT 'nonfarm' AS outcome, unnest(['share', 'ln_people']) AS term, round(unnest([(c * u - b * w) / (a * c - b * b), (a * w - b * u) / (a * c - b * b)]), 5) AS coef, n::BIGINT AS n, round(m, 5) AS base_mean FROM k, m""")
+def _(t):
+    df = P.outcome_regressions(rates(t), {"nonfarm": C("nonfarm_rate")}, "service_rate", "adults", "sector", "dist", "wave", 1996)
+    return rounded(df.select("outcome", "term", "coef", "n", "base_mean"), 5, "coef", "base_mean")
+
+
+def _grid_sql(rounds: int = 12) -> str:
+    """Weights by Newton steps on two standardised covariates of the cells; on a complete grid with weights a cell, a coefficient is a difference of weighted mean changes."""
+    logit = ["b0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    for k in range(rounds):
+        logit.append(f"""h{k} AS MATERIALIZED (SELECT sum(p * (1 - p)) AS a, sum(p * (1 - p) * x) AS b, sum(p * (1 - p) * z) AS c, sum(p * (1 - p) * x * x) AS e, sum(p * (1 - p) * x * z) AS f, sum(p * (1 - p) * z * z) AS i, sum(d - p) AS u, sum((d - p) * x) AS v, sum((d - p) * z) AS w, max(b0) AS b0, max(b1) AS b1, max(b2) AS b2
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x + b2 * z))) AS p FROM q, b{k})),
+b{k + 1} AS MATERIALIZED (SELECT b0 + (u * (e * i - f * f) - b * (v * i - f * w) + c * (v * f - e * w)) / det AS b0, b1 + (a * (v * i - f * w) - u * (b * i - f * c) + c * (b * w - v * c)) / det AS b1, b2 + (a * (e * w - v * f) - b * (b * w - v * c) + u * (b * f - e * c)) / det AS b2
+  FROM (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM h{k}))""")
+    return f"""WITH {S._PIX}, g AS (SELECT row // 5 AS gy, col // 5 AS gx, avg(value) / 10000 AS x, avg(cover) / 100 AS z, sum(ha) AS ha, {", ".join(f"sum(CASE WHEN loss = {p} THEN ha ELSE 0 END) / sum(ha) AS y{p}" for p in range(1, 7))} FROM px GROUP BY 1, 2),
+q AS (SELECT gy, gx, (gx % 3 = 0)::INTEGER AS d, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (z - avg(z) OVER ()) / stddev_samp(z) OVER () AS z, y1, y2, y3, y4, y5, y6 FROM g), {", ".join(logit)},
+o AS (SELECT *, abs(d - 1 / (1 + exp(-(b0 + b1 * x + b2 * z)))) AS wt FROM q, b{rounds}), m AS (SELECT d, {", ".join(f"sum(wt * (y{p} - y3)) / sum(wt) AS m{p}" for p in (1, 2, 4, 5, 6))} FROM o GROUP BY d)
+SELECT unnest(['treat_1', 'treat_2', 'treat_4', 'treat_5', 'treat_6']) AS term, round(unnest([{", ".join(f"a.m{p} - b.m{p}" for p in (1, 2, 4, 5, 6))}]), 5) AS coef FROM m a, m b WHERE a.d = 1 AND b.d = 0"""
+
+
+@query("pip_18_forest_grid", _grid_sql())
+def _(t):
+    grid = P.forest_grid(S.pixels(t), 5, {"x": F.avg("value") / 10000, "z": F.avg("cover") / 100}, "loss", [1, 2, 3, 4, 5, 6])
+    df = P.forest_event_study(grid, "loss_share", "cell", "period", C("gx") % 3 == 0, ["x", "z"], 1, 3, [1, 2, 3, 4, 5, 6])
+    return df.select("term", r("coef", 5).alias("coef"))
