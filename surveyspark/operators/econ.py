@@ -82,27 +82,99 @@ def _sweep(df: DataFrame, cols: list[str], fe: str, w: str | None) -> DataFrame:
     return df.join(means, fe).withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in cols}).withColumn("__move", F.greatest(F.lit(0.0), F.col("__move"), *[F.abs(f"__m_{c}") for c in cols])).drop(*[f"__m_{c}" for c in cols])
 
 
-def absorb(df: DataFrame, cols: list[str], fes: list[str], w: str | None = None, tol: float = 1e-9, most: int = 200) -> DataFrame:
-    """``cols`` less all fixed effects, by alternating projections until no mean moves more than ``tol`` of the largest value.
+#: Levels of all effects together up to which their cross counts are solved on the driver.
+LEVELS = 2_000
 
-    One effect is exact in one pass. Each sweep is written to the shared folder.
+
+def absorb(df: DataFrame, cols: list[str], fes: list[str], w: str | None = None, tol: float = 1e-13, most: int = 2000) -> DataFrame:
+    """``cols`` less all fixed effects. One effect is exact in one pass; rows without a level of an effect are left out.
+
+    With several effects rows are first collapsed to cells, one for each combination of levels. The effects that fit the cells solve
+    a linear system on the graph of levels (two levels are linked by the weight of their common rows), by conjugate gradients
+    scaled by each level's weight; rows are read again only once, to take the effects off. The cross counts of up to LEVELS levels
+    are solved on the driver; of more, the vectors are tables in the shared folder and a step is one pass over the cells.
     """
-    now = df.withColumn("__move", F.lit(0.0))
     if len(fes) < 2:
-        return (_sweep(now, cols, fes[0], w) if fes else now).drop("__move")
-    scale = max([1.0, *[v for v in df.agg(*[F.max(F.abs(c)) for c in cols]).first() if v is not None]])
-    held = None
+        return (_sweep(df.withColumn("__move", F.lit(0.0)), cols, fes[0], w) if fes else df.withColumn("__move", F.lit(0.0))).drop("__move")
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    known = df.filter(reduce(lambda p, q: p & q, [F.col(fe).isNotNull() for fe in fes]))
+    names = [f"__f{i}" for i in range(len(fes))]
+    cells = known.groupBy(*[F.col(fe).cast("string").alias(n) for fe, n in zip(fes, names, strict=True)]).agg(F.sum(weight).alias("__n"), *[F.sum(weight * F.col(c)).alias(f"__c{i}") for i, c in enumerate(cols)])
+    cells = materialize(cells, "cells")
+    counts = cells.agg(*[F.count_distinct(n).alias(n) for n in names]).first()
+    few = sum(counts[n] for n in names) <= LEVELS
+    effects = _effects_of_few(cells, names, len(cols), tol, most) if few else _effects_of_many(cells, names, len(cols), tol, most)
+    out = known
+    for i, fe in enumerate(fes):
+        mine = effects.filter(F.col("fe") == i).select(F.col("level").alias(f"__l{i}"), *[F.col(f"x{j}").alias(f"__e{i}_{j}") for j in range(len(cols))])
+        out = out.join(F.broadcast(mine) if few else mine, F.col(fe).cast("string") == F.col(f"__l{i}"))
+    out = out.withColumns({c: F.col(c) - reduce(lambda p, q: p + q, [F.col(f"__e{i}_{j}") for i in range(len(fes))]) for j, c in enumerate(cols)})
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _sums_by_level(cells: DataFrame, names: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(fe, level, sums) over the cells of each level of each effect, in one pass."""
+    rows = F.inline(F.array(*[F.struct(F.lit(i).alias("fe"), F.col(n).alias("level")) for i, n in enumerate(names)]))
+    return cells.select(rows, *[v.alias(k) for k, v in sums.items()]).groupBy("fe", "level").agg(*[F.sum(k).alias(k) for k in sums])
+
+
+def _effects_of_few(cells: DataFrame, names: list[str], k: int, tol: float, most: int) -> DataFrame:
+    """(fe, level, x0 ..): the effects, from cross counts of at most LEVELS levels."""
+    own = _sums_by_level(cells, names, {"n": F.col("__n"), **{f"c{j}": F.col(f"__c{j}") for j in range(k)}}).orderBy("fe", "level").toPandas()
+    place = {key: i for i, key in enumerate(zip(own["fe"], own["level"], strict=True))}
+    a = np.diag(own["n"].to_numpy(float))
+    for i in range(len(names)):
+        for j in range(i):
+            for r in cells.groupBy(names[i], names[j]).agg(F.sum("__n").alias("n")).collect():  # pairs of levels
+                a[place[i, r[0]], place[j, r[1]]] = a[place[j, r[1]], place[i, r[0]]] = r["n"]
+    x = np.zeros((len(own), k))
+    scale = np.where(np.diag(a) > 0, np.diag(a), 1.0)
+    for j in range(k):
+        r = own[f"c{j}"].to_numpy(float)
+        z = r / scale
+        p, rz, first = z.copy(), float(r @ z), float(r @ z)
+        for _ in range(most):
+            if rz <= tol * tol * first:
+                break
+            ap = a @ p
+            step = rz / float(p @ ap)
+            x[:, j] += step * p
+            r = r - step * ap
+            z = r / scale
+            rz, before = float(r @ z), rz
+            p = z + rz / before * p
+        if rz > 1e-18 * first:
+            raise RuntimeError(f"fixed effects did not settle in {most} steps")
+    rows = [(int(f), str(v), *map(float, e)) for f, v, e in zip(own["fe"], own["level"], x, strict=True)]
+    return cells.sparkSession.createDataFrame(rows, "fe int, level string, " + ", ".join(f"x{j} double" for j in range(k)))
+
+
+def _effects_of_many(cells: DataFrame, names: list[str], k: int, tol: float, most: int) -> DataFrame:
+    """The same for any number of levels: solution, residual and direction of all columns are one table, a row a level."""
+    key, ks = ["fe", "level"], range(k)
+    scaled = lambda j: F.coalesce(F.col(f"r{j}") / F.nullif(F.col("n"), F.lit(0.0)), F.lit(0.0))
+    now = _sums_by_level(cells, names, {"n": F.col("__n"), **{f"r{j}": F.col(f"__c{j}") for j in ks}})
+    now = materialize(now.select(*key, "n", *[x for j in ks for x in (F.lit(0.0).alias(f"x{j}"), F.col(f"r{j}"), scaled(j).alias(f"p{j}"))]), "levels")
+    dot = lambda df: [v or 0.0 for v in df.agg(*[F.sum(F.col(f"r{j}") * scaled(j)) for j in ks]).first()]
+    rz = first = dot(now)
     for _ in range(most):
-        for fe in fes:
-            now = _sweep(now, cols, fe, w)
-        after = materialize(now, "absorb")
-        if held is not None:
-            drop_scratch(held)
-        moved = after.agg(F.max("__move")).first()[0] or 0.0
-        held, now = after, after.withColumn("__move", F.lit(0.0))
-        if moved <= tol * scale:
-            return after.drop("__move")
-    raise RuntimeError(f"fixed effects did not settle in {most} sweeps")
+        if all(rz[j] <= tol * tol * first[j] for j in ks):
+            return now.select(*key, *[f"x{j}" for j in ks])
+        rows = cells
+        for i, name in enumerate(names):
+            mine = now.filter(F.col("fe") == i).select(F.col("level").alias(name), *[F.col(f"p{j}").alias(f"__p{i}_{j}") for j in ks])
+            rows = rows.join(mine, name)
+        ap = _sums_by_level(rows, names, {f"a{j}": F.col("__n") * reduce(lambda p, q: p + q, [F.col(f"__p{i}_{j}") for i in range(len(names))]) for j in ks})
+        both = materialize(now.join(ap, key), "levels")
+        pap = both.agg(*[F.sum(F.col(f"p{j}") * F.col(f"a{j}")) for j in ks]).first()
+        step = [rz[j] / pap[j] if rz[j] > tol * tol * first[j] and pap[j] else 0.0 for j in ks]
+        moved = both.select(*key, "n", *[x for j in ks for x in ((F.col(f"x{j}") + step[j] * F.col(f"p{j}")).alias(f"x{j}"), (F.col(f"r{j}") - step[j] * F.col(f"a{j}")).alias(f"r{j}"), F.col(f"p{j}"))])
+        after = dot(moved)
+        turn = [after[j] / rz[j] if step[j] else 0.0 for j in ks]
+        following = materialize(moved.select(*key, "n", *[x for j in ks for x in (F.col(f"x{j}"), F.col(f"r{j}"), (scaled(j) + turn[j] * F.col(f"p{j}")).alias(f"p{j}"))]), "levels")
+        drop_scratch(now, both)
+        now, rz = following, [after[j] if step[j] else rz[j] for j in ks]
+    raise RuntimeError(f"fixed effects did not settle in {most} steps")
 
 
 def within2(df: DataFrame, unit: str, t: str, cols: list[str]) -> DataFrame:
