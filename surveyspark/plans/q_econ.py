@@ -132,6 +132,18 @@ def _(t):
     return E.twfe(df, "y", ["on"], "sector", "wave", "sector", block="dist")
 
 
+_BLOCKS = """WITH @panel, p AS (SELECT sector, dist, wave, y, CASE WHEN sector // 5 < 2 AND wave >= 1997 + sector // 5 THEN 1.0 ELSE 0.0 END AS o FROM panel), b AS (SELECT 'pooled' AS block, sector, wave, y, o FROM p UNION ALL SELECT dist::VARCHAR, sector, wave, y, o FROM p),
+v AS (SELECT block, sector, y - avg(y) OVER s - avg(y) OVER t + avg(y) OVER k AS y, o - avg(o) OVER s - avg(o) OVER t + avg(o) OVER k AS x FROM b WINDOW s AS (PARTITION BY block, sector), t AS (PARTITION BY block, wave), k AS (PARTITION BY block)),
+c AS (SELECT block, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n, count(DISTINCT sector) AS g FROM v GROUP BY block), m AS (SELECT block, sum(s * s) AS meat FROM (SELECT block, sector, sum(x * (y - b * x)) AS s FROM v JOIN c USING (block) GROUP BY block, sector) GROUP BY block)
+SELECT block, round(b, 4) AS coef, round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - (g + 5) - 1) * meat) / sxx, 4) AS se, n::BIGINT AS n, g::BIGINT AS clusters FROM c JOIN m USING (block)"""
+
+
+@query("eco_12_twfe_by_block", _BLOCKS)
+def _(t):
+    df = t.panel.withColumn("on", ((F.floor(C("sector") / 5) < 2) & (C("wave") >= 1997 + F.floor(C("sector") / 5))).cast("double"))
+    return E.twfe(df, "y", ["on"], "sector", "wave", "sector", block="dist").select("block", r("coef", 4).alias("coef"), r("se", 4).alias("se"), "n", "clusters")
+
+
 @query("eco_13_pretrend")
 def _(t):
     return E.pretrend(treated(t), "y", "treat", "sector", "wave", list(range(1995, 2001)), 1997, 1997, "sector")
@@ -377,7 +389,7 @@ def _(t):
 def _(t):
     units = t.panel.groupBy("sector").agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.avg("z").alias("z"))
     long = zscore(units, ["y", "x", "z"]).select("sector", "y_z", "x_z", "z_z").unpivot(["sector"], ["y_z", "x_z", "z_z"], "outcome", "v")
-    draws = t.spark.range(99).withColumnRenamed("id", "draw").join(long).groupBy("draw", "outcome").agg(F.avg(C("v") * F.when(E.draw(3, C("draw"), C("sector")) % 2 == 0, 1.0).otherwise(-1.0)).alias("t"))
+    draws = long.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(98).cast("long")))).groupBy("draw", "outcome").agg(F.avg(C("v") * F.when(E.draw(3, C("draw"), C("sector")) % 2 == 0, 1.0).otherwise(-1.0)).alias("t"))
     observed = long.groupBy("outcome").agg(F.avg(C("v") * F.when(C("sector") < 12, 1.0).otherwise(-1.0)).alias("t"))
     return E.romano_wolf(draws, observed)
 

@@ -141,6 +141,13 @@ def _(t):
     return P.gate_gradient(t.panel, "y", "sector", "wave", 1.0 + C("sector"), 1998, [0, 5, 12, 100], ["near", "mid", "far"])
 
 
+@query("pip_17_gate_bands", """WITH @panel, q AS (SELECT sector, wave, y, CASE WHEN sector + 1 <= 5 THEN 'near' WHEN sector + 1 <= 12 THEN 'mid' ELSE 'far' END AS band, ln(y) AS v, CASE WHEN wave >= 1998 THEN ln(1.0 + sector) ELSE 0 END AS x FROM panel),
+w AS (SELECT v - avg(v) OVER s - avg(v) OVER t + avg(v) OVER () AS v, x - avg(x) OVER s - avg(x) OVER t + avg(x) OVER () AS x FROM q WINDOW s AS (PARTITION BY sector), t AS (PARTITION BY wave)), g AS (SELECT sum(x * v) / sum(x * x) AS g FROM w) SELECT band, wave, round(avg(y), 5) AS y, round(max(g), 6) AS gradient FROM q, g GROUP BY band, wave""")
+def _(t):
+    df = P.gate_gradient(t.panel, "y", "sector", "wave", 1.0 + C("sector"), 1998, [0, 5, 12, 100], ["near", "mid", "far"])
+    return df.select("band", "wave", r("y", 5).alias("y"), r("gradient").alias("gradient"))
+
+
 @query("pip_18_forest_event_study")
 def _(t):
     return P.forest_event_study(t.panel, "y", "sector", "wave", C("sector") % 3 == 0, ["x", "z"], 1995, 1997, list(range(1995, 2001)))
@@ -165,6 +172,14 @@ def _(t):
     return P.district_models(t.panel, "dist", "wave", (C("y"), C("n")), ["x", "n"], ["z"], models, ("n",))
 
 
+@query("pip_21_model_terms", """WITH @panel, d AS (SELECT dist, wave, sum(y) / sum(n) AS y, sum(x) AS x FROM panel GROUP BY 1, 2), v AS (SELECT 'pooled' AS model, y - avg(y) OVER () AS y, x - avg(x) OVER () AS x FROM d UNION ALL SELECT 'district', y - avg(y) OVER (PARTITION BY dist), x - avg(x) OVER (PARTITION BY dist) FROM d
+UNION ALL SELECT 'two-way', y - avg(y) OVER (PARTITION BY dist) - avg(y) OVER (PARTITION BY wave) + avg(y) OVER (), x - avg(x) OVER (PARTITION BY dist) - avg(x) OVER (PARTITION BY wave) + avg(x) OVER () FROM d) SELECT model, round(1e6 * sum(x * y) / sum(x * x), 4) AS micro FROM v GROUP BY model""")
+def _(t):
+    models = {"pooled": (["x"], []), "district": (["x"], ["dist"]), "two-way": (["x"], ["dist", "wave"])}
+    df = P.district_models(t.panel, "dist", "wave", (C("y"), C("n")), ["x", "n"], ["z"], models, ("n",))
+    return df.select("model", F.round(1e6 * C("coef"), 4).alias("micro"))
+
+
 #: Modules of one wave: a base and a dwelling file a household, a roster and a work file a person, plots with several rows, parts without a household.
 _WAVE = """base AS (SELECT o_orderkey AS hhid, c_nationkey AS dist, 1 + o_orderkey % 5 AS wt, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS roof FROM orders JOIN customer ON o_custkey = c_custkey),
 dwelling AS (SELECT 7 * o_orderkey + 1 AS hhid, o_orderpriority AS roof, o_totalprice AS rent FROM orders WHERE o_orderkey % 4 < 3),

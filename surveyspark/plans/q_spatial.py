@@ -260,10 +260,16 @@ def _(t):
     return N.apply_map(df.filter("a IS NOT NULL"), N.quantile_map(df, "a", "b", 11), "a", "mapped").select("suppkey", "wave", r("mapped", 5).alias("mapped"))
 
 
-@query("ntl_05_compose_maps")
+_COMPOSED = """WITH @person, j AS (SELECT suppkey, wave, round(sum(wt) FILTER (sex = 'F'), 2) AS a, round(sum(wt) FILTER (sex = 'O'), 2) AS b FROM person GROUP BY 1, 2), q AS (SELECT quantile_cont(a, [i / 100.0 for i in range(0, 101)]) AS qa, quantile_cont(b, [i / 100.0 for i in range(0, 101)]) AS qb FROM j WHERE a IS NOT NULL AND b IS NOT NULL),
+l AS (SELECT unnest(range(0, 101)) AS k, unnest(qa) AS a, unnest(qb) AS b FROM q), f AS (SELECT k, a AS x, max(b) OVER (ORDER BY k) AS y FROM l), g AS (SELECT x, max(y) AS y FROM (SELECT b AS x, max(a) OVER (ORDER BY k) AS y FROM l) GROUP BY x),
+v AS (SELECT k, x, y, coalesce((SELECT max(g.x) FROM g WHERE g.x <= f.y), (SELECT min(g.x) FROM g)) AS lo, coalesce((SELECT min(g.x) FROM g WHERE g.x > f.y), (SELECT max(g.x) FROM g)) AS hi FROM f)
+SELECT v.k::INTEGER AS k, round(v.x, 4) AS x, round(a.y + CASE WHEN hi > lo THEN least(greatest((v.y - lo) / (hi - lo), 0), 1) ELSE 0 END * (b.y - a.y), 4) AS y FROM v JOIN g a ON a.x = lo JOIN g b ON b.x = hi"""
+
+
+@query("ntl_05_compose_maps", _COMPOSED)
 def _(t):
     df = joint(t)
-    return N.compose_maps([N.quantile_map(df, "a", "b", 101), N.quantile_map(df, "b", "a", 101)])
+    return rounded(N.compose_maps([N.quantile_map(df, "a", "b", 101), N.quantile_map(df, "b", "a", 101)]), 4, "x", "y").withColumn("k", C("k").cast("int"))
 
 
 @query("ntl_06_retest", """WITH @person, g AS (SELECT sex AS s, wave * 100 + month AS p, month AS m, avg(wt) FILTER (sector < 8) - avg(wt) FILTER (sector >= 8) AS gap FROM person GROUP BY 1, 2, 3), d AS (SELECT *, gap - avg(gap) OVER (PARTITION BY s, m) AS season FROM g),
