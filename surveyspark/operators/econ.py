@@ -211,12 +211,25 @@ def components(edges: DataFrame, src: str, dst: str, most: int = 100) -> DataFra
 
 
 def dummy_rank(df: DataFrame, fes: list[str]) -> int:
-    """Rank of the dummies: levels, less one for each connected part of the two effects' graph (more effects: one each)."""
+    """Rank of the dummies: levels, less one for each connected part of the two effects' graph (more effects: one each). Pairs of up to LEVELS levels are joined on the driver."""
     levels = df.agg(*[F.count_distinct(c).alias(f"__{i}") for i, c in enumerate(fes)]).first() if fes else []
     if len(fes) < 2:
         return sum(levels)
     edge = df.select(F.concat(F.lit("a"), F.col(fes[0]).cast("string")).alias("a"), F.concat(F.lit("b"), F.col(fes[1]).cast("string")).alias("b")).distinct()
-    parts = components(edge, "a", "b").agg(F.count_distinct("component")).first()[0]
+    if sum(levels[:2]) <= LEVELS:
+        parent: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for r in edge.na.drop().collect():  # pairs of levels
+            parent[root(r.a)] = root(r.b)
+        parts = sum(root(x) == x for x in list(parent))
+    else:
+        parts = components(edge, "a", "b").agg(F.count_distinct("component")).first()[0]
     return sum(levels) - parts - max(0, len(fes) - 2)
 
 
