@@ -99,16 +99,19 @@ def absorb(df: DataFrame, cols: list[str], fes: list[str], w: str | None = None,
     weight = F.col(w).cast("double") if w else F.lit(1.0)
     known = df.filter(reduce(lambda p, q: p & q, [F.col(fe).isNotNull() for fe in fes]))
     names = [f"__f{i}" for i in range(len(fes))]
-    cells = known.groupBy(*[F.col(fe).cast("string").alias(n) for fe, n in zip(fes, names, strict=True)]).agg(F.sum(weight).alias("__n"), *[F.sum(weight * F.col(c)).alias(f"__c{i}") for i, c in enumerate(cols)])
+    cells = known.groupBy(*[F.col(fe).cast("string").alias(n) for fe, n in zip(fes, names, strict=True)]).agg(F.sum(weight).alias("__n"), *[x for i, c in enumerate(cols) for x in (F.sum(weight * F.col(c)).alias(f"__c{i}"), F.max(F.abs(c)).cast("double").alias(f"__m{i}"))])
     cells = materialize(cells, "cells")
-    counts = cells.agg(*[F.count_distinct(n).alias(n) for n in names]).first()
+    counts = cells.agg(*[F.count_distinct(n).alias(n) for n in names], *[F.max(f"__m{i}").alias(f"__m{i}") for i in range(len(cols))]).first()
     few = sum(counts[n] for n in names) <= LEVELS
     effects = _effects_of_few(cells, names, len(cols), tol, most) if few else _effects_of_many(cells, names, len(cols), tol, most)
     out = known
     for i, fe in enumerate(fes):
         mine = effects.filter(F.col("fe") == i).select(F.col("level").alias(f"__l{i}"), *[F.col(f"x{j}").alias(f"__e{i}_{j}") for j in range(len(cols))])
         out = out.join(F.broadcast(mine) if few else mine, F.col(fe).cast("string") == F.col(f"__l{i}"))
-    out = out.withColumns({c: F.col(c) - reduce(lambda p, q: p + q, [F.col(f"__e{i}_{j}") for i in range(len(fes))]) for j, c in enumerate(cols)})
+    least = [1e-10 * m if (m := counts[f"__m{j}"] or 0.0) < math.inf else 0.0 for j in range(len(cols))]  # not a number is not below
+    left = {c: F.col(c) - reduce(lambda p, q: p + q, [F.col(f"__e{i}_{j}") for i in range(len(fes))]) for j, c in enumerate(cols)}
+    # What is left under 1e-10 of the largest value is the error of arithmetic: a column that the effects explain becomes 0.
+    out = out.withColumns({c: F.when(F.abs(v) > least[j], v).when(F.col(c).isNotNull(), 0.0) for j, (c, v) in enumerate(left.items())})
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
