@@ -77,9 +77,12 @@ def chi2_tail(x: float, k: int) -> float:
 
 
 def _sweep(df: DataFrame, cols: list[str], fe: str, w: str | None) -> DataFrame:
+    """``cols`` less their means by ``fe``. What is left under 1e-10 of a level's largest value is the error of arithmetic and becomes 0."""
     mean = (lambda c: F.sum(F.col(c) * F.col(w)) / F.sum(w)) if w else F.avg
-    means = df.groupBy(fe).agg(*[mean(c).alias(f"__m_{c}") for c in cols])
-    return df.join(means, fe).withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in cols}).withColumn("__move", F.greatest(F.lit(0.0), F.col("__move"), *[F.abs(f"__m_{c}") for c in cols])).drop(*[f"__m_{c}" for c in cols])
+    means = df.groupBy(fe).agg(*[x for i, c in enumerate(cols) for x in (mean(c).alias(f"__m{i}"), (1e-10 * F.max(F.abs(c))).alias(f"__t{i}"))])
+    left = {c: (F.col(c) - F.col(f"__m{i}"), F.col(f"__t{i}")) for i, c in enumerate(cols)}
+    out = df.join(means, fe).withColumns({c: F.when(v.isNull() | (F.abs(v) > t) | (t == math.inf), v).otherwise(0.0) for c, (v, t) in left.items()})
+    return out.drop(*[f"__{n}{i}" for n in "mt" for i in range(len(cols))])
 
 
 #: Levels of all effects together up to which their cross counts are solved on the driver.
@@ -95,7 +98,7 @@ def absorb(df: DataFrame, cols: list[str], fes: list[str], w: str | None = None,
     are solved on the driver; of more, the vectors are tables in the shared folder and a step is one pass over the cells.
     """
     if len(fes) < 2:
-        return (_sweep(df.withColumn("__move", F.lit(0.0)), cols, fes[0], w) if fes else df.withColumn("__move", F.lit(0.0))).drop("__move")
+        return _sweep(df, cols, fes[0], w) if fes else df
     weight = F.col(w).cast("double") if w else F.lit(1.0)
     known = df.filter(reduce(lambda p, q: p & q, [F.col(fe).isNotNull() for fe in fes]))
     names = [f"__f{i}" for i in range(len(fes))]
@@ -256,9 +259,11 @@ def solve(m: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(X'X inverse, coefficients, n, clusters) from summed moments; a regressor without variation raises."""
     row = m.agg(*[F.sum(c).alias(c) for c in m.columns if c != "cluster"], F.count("*").alias("g")).first()
     a, c = _square(row, k), np.array([row[f"c_{i}"] for i in range(k)], float)
-    if np.linalg.matrix_rank(a, tol=1e-10 * max(1e-300, np.abs(a).max())) < k:
+    # Each regressor is measured by its own size, so that the unit of one does not hide another.
+    size = np.sqrt(np.maximum(np.diag(a), 0.0))
+    if not (size > 0).all() or np.linalg.matrix_rank(unit := a / np.outer(size, size), tol=1e-10) < k:
         raise ValueError("a regressor has no variation left")
-    inverse = np.linalg.inv(a)
+    inverse = np.linalg.inv(unit) / np.outer(size, size)
     return inverse, inverse @ c, int(row["n"]), int(row["g"])
 
 
