@@ -288,16 +288,19 @@ def table(df: DataFrame, names: list[str], b: np.ndarray, v: np.ndarray, n: int,
 def fe_ols(df: DataFrame, y: str, xs: list[str], fes: list[str], cluster: str, w: str | None = None, kind: str = "CR1", extra: bool = False):
     """Least squares with absorbed effects and clustered errors: the table of terms (with ``extra`` also moments, coefficients, covariance).
 
-    Rows with a null in any column used are left out. Without ``fes`` a constant is taken off.
+    Rows with a null in any column used are left out. Without ``fes`` a constant is taken off. The columns used are written once,
+    since rows are read several times, so that what makes ``df`` runs once.
     """
-    used = list(dict.fromkeys([y, *xs, *fes, cluster, *([w] if w else [])]))
-    keep = df.select(*used).na.drop().withColumns({f"__v{i}": F.col(c).cast("double") for i, c in enumerate([y, *xs])})
+    held = list(dict.fromkeys([*fes, cluster, *([w] if w else [])]))
+    keep = df.select(*dict.fromkeys([y, *xs, *held])).na.drop().select(*held, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate([y, *xs])])
+    keep = rows = materialize(keep, "fit")
     effects = fes or ["__all"]
     if not fes:
         keep = keep.withColumn("__all", F.lit(1))
     cols = [f"__v{i}" for i in range(len(xs) + 1)]
     m = materialize(moments(absorb(keep, cols, effects, w), cols[0], cols[1:], cluster, w), "moments")
     rank = dummy_rank(keep, fes) if fes else 1
+    drop_scratch(rows)
     inverse, b, n, g = solve(m, len(xs))
     v = cluster_vcov(m, inverse, b, kind, n, g, rank)
     out = table(df, xs, b, v, n, g)
@@ -337,6 +340,7 @@ def rings_did(df: DataFrame, y: str, distance: str, edges: list[float], unit: st
 
 def twfe(df: DataFrame, y: str, treats: list[str], unit: str, t: str, cluster: str, block: str | None = None) -> DataFrame:
     """Staggered on/off treatment, pooled and, with ``block``, for each block alone."""
+    df = materialize(df.select(*dict.fromkeys([y, *treats, unit, t, cluster, *([block] if block else [])])), "panel")
     out = fe_ols(df, y, treats, [unit, t], cluster).withColumn("block", F.lit("pooled"))
     for r in df.select(block).distinct().orderBy(block).collect() if block else []:  # a few named blocks
         out = out.unionAll(fe_ols(df.filter(F.col(block) == r[0]), y, treats, [unit, t], cluster).withColumn("block", F.lit(str(r[0]))))
@@ -742,6 +746,7 @@ def overlap_weights(df: DataFrame, features: list[str], treat: str, out: str = "
     """1 - propensity for treated rows, propensity for others; features are standardised inside, each value of ``group`` but the first has its own level."""
     from surveyspark.functions.recode import zscore
 
+    df = materialize(df, "weighted")
     rows = zscore(df.withColumn("__d", F.col(treat).cast("double")), features)
     levels = [r[0] for r in df.select(group).na.drop().distinct().orderBy(group).collect()][1:] if group else []  # a coefficient each
     rows = rows.withColumns({f"__g{i}": F.coalesce((F.col(group) == v).cast("double"), F.lit(0.0)) for i, v in enumerate(levels)}) if levels else rows
@@ -831,6 +836,7 @@ def _normal_quantile(p: float) -> float:
 def pds_lasso(df: DataFrame, y: str, d: str, candidates: list[str], fe: str, cluster: str) -> DataFrame:
     """Post-double-selection: candidates picked for the outcome or for the treatment, then least squares with both."""
     cols = [y, d, *candidates]
+    df = materialize(df.select(*dict.fromkeys([fe, cluster, *cols])), "candidates")
     used = df.select(*dict.fromkeys([fe, cluster]), *cols).na.drop().withColumns({c: F.col(c).cast("double") for c in cols})
     flat = materialize(absorb(used, cols, [fe]), "flat")
     g, n = gram(flat, cols)
@@ -872,6 +878,7 @@ def l1_logit_cv(df: DataFrame, y: str, xs: list[str], group: str, penalties: tup
 def post_lasso(df: DataFrame, y: str, candidates: list[str], cluster: str) -> DataFrame:
     """Linear model on the columns that lasso keeps."""
     cols = [y, *candidates]
+    df = materialize(df.select(*dict.fromkeys([cluster, *cols])), "candidates")
     used = df.select(cluster, *cols).na.drop().withColumn("__all", F.lit(1)).withColumns({c: F.col(c).cast("double") for c in cols})
     flat = materialize(absorb(used, cols, ["__all"]), "flat")
     g, n = gram(flat, cols)
@@ -881,6 +888,7 @@ def post_lasso(df: DataFrame, y: str, candidates: list[str], cluster: str) -> Da
 
 def average_effects(df: DataFrame, y: str, d: str, by: str, cluster: str) -> DataFrame:
     """Average effect of ``d`` when it differs with ``by``, at the mean of ``by``, with its delta-method error."""
+    df = materialize(df.select(*dict.fromkeys([y, d, by, cluster])), "panel")
     mean = df.agg(F.avg(by)).first()[0]
     rows = df.withColumn("d_by", F.col(d).cast("double") * (F.col(by) - mean))
     return fe_ols(rows, y, [d, by, "d_by"], [], cluster).filter(F.col("term") == d)
