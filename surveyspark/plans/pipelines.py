@@ -1,4 +1,4 @@
-"""Named pipelines: compositions of the operators into the tables that users ask for. Each is one lazy plan over its inputs."""
+"""Named pipelines: compositions of the operators into the tables that users ask for. Tables that are read several times are written once."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from surveyspark.operators import joins as J
 from surveyspark.operators import sensor as N
 from surveyspark.operators import spatial as G
 from surveyspark.operators import window as W
+from surveyspark.sources.scratch import materialize
 
 C = F.col
 
@@ -134,6 +135,7 @@ def rainfall(monthly: DataFrame, unit: str, year: str, month: str, rain: str) ->
 def park_gap(people: DataFrame, unit: str, period: str, wt: str, outcome: Column, treated: Column, event: int, span: tuple) -> DataFrame:
     """Treated less control share of the outcome by period, with the effect of treatment on it from ``event`` on within ``span``."""
     panel = people.groupBy(unit, period).agg(A.wshare(outcome, C(wt)).alias("share")).withColumn("treat", treated.cast("double"))
+    panel = materialize(panel, "panel")
     gap = panel.groupBy(period).agg((F.avg(F.when(C("treat") == 1, C("share"))) - F.avg(F.when(C("treat") == 0, C("share")))).alias("gap"))
     effect = E.did(panel.filter(C(period).between(*span)), "share", "treat", unit, period, event, unit).select(C("coef").alias("did"), "p")
     return gap.crossJoin(F.broadcast(effect))  # one row
@@ -149,13 +151,14 @@ def survey_wave(people: DataFrame, households: DataFrame, key: list[str], order:
 def gate_gradient(panel: DataFrame, outcome: str, unit: str, period: str, km: Column, event: int, cuts: list, names: list) -> DataFrame:
     """Outcome by distance band and the gradient of its growth from ``event`` on in log distance."""
     rows = panel.withColumns({"__km": km, "__ly": F.log(outcome)}).withColumn("band", R.band(C("__km"), cuts, names))
+    rows = materialize(rows.select(*dict.fromkeys([outcome, unit, period, "__km", "__ly", "band"])), "bands")
     slope = E.fe_ols(rows.withColumn("__lk", F.log("__km") * (C(period) >= event).cast("double")), "__ly", ["__lk"], [unit, period], unit).select(C("coef").alias("gradient"), "p")
     return rows.groupBy("band", period).agg(F.avg(outcome).alias("y")).crossJoin(F.broadcast(slope))  # one row
 
 
 def forest_event_study(panel: DataFrame, outcome: str, unit: str, period: str, treated: Column, covariates: list[str], baseline: int, omitted: int, periods: list[int]) -> DataFrame:
     """Event study with overlap weights from the covariates of the ``baseline`` period, on a grid's cells."""
-    rows = panel.withColumn("treat", treated.cast("int"))
+    rows = materialize(panel.withColumn("treat", treated.cast("int")).select(*dict.fromkeys([outcome, unit, period, *covariates, "treat"])), "grid")
     weights = E.overlap_weights(rows.filter(C(period) == baseline).select(unit, *covariates, "treat"), covariates, "treat").select(unit, "overlap_weight")
     terms = {f"treat_{p}": C("treat").cast("double") * (C(period) == p).cast("double") for p in periods if p != omitted}
     return E.fe_ols(rows.join(weights, unit).withColumns(terms), outcome, list(terms), [unit, period], unit, "overlap_weight")
@@ -179,7 +182,7 @@ def recode_file(df: DataFrame, kind: str) -> DataFrame:
 def district_models(panel: DataFrame, district: str, period: str, outcome: tuple[Column, Column], sums: list[str], means: list[str], models: dict[str, tuple[list, list]], logs: tuple = ()) -> DataFrame:
     """District by period frame (``rate`` is the ratio of the outcome's sums; logs of ``logs`` beside it) and its clustered ``models`` {name: (regressors, fixed effects)}."""
     d = panel.groupBy(district, period).agg(A.wratio(*outcome, F.lit(1.0)).alias("rate"), *[F.sum(c).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means])
-    d = d.withColumns({f"log_{c}": F.log(c) for c in logs}) if logs else d
+    d = materialize(d.withColumns({f"log_{c}": F.log(c) for c in logs}) if logs else d, "districts")
     return reduce(DataFrame.unionAll, [E.fe_ols(d, "rate", xs, fes, district).withColumn("model", F.lit(name)) for name, (xs, fes) in models.items()])
 
 
@@ -187,6 +190,7 @@ def gap_by_waves(panel: DataFrame, outcomes: list[str], unit: str, wave: str, tr
     """(outcome, wave, coef, se, p, park_base, other_base, park, other): how the gap of treated units has moved since ``base``, one regression with unit and wave
     effects an outcome, beside both groups' means."""
     rows = panel.withColumn("__d", treated.cast("double")).withColumns({f"d_{w}": (C(wave) == w).cast("double") * treated.cast("double") for w in waves})
+    rows = materialize(rows.select(*dict.fromkeys([*outcomes, unit, wave, cluster, "__d", *[f"d_{w}" for w in waves]])), "gaps")
     mean = lambda c, w, d: F.avg(F.when((C(wave) == w) & (C("__d") == d), C(c)))
     out = []
     for c in outcomes:
@@ -211,10 +215,11 @@ def validate_sources(a: DataFrame, b: DataFrame, district: str, wave: str, part:
 def outcome_regressions(panel: DataFrame, outcomes: dict[str, Column], share: str, people: str, unit: str, district: str, wave: str, base) -> DataFrame:
     """(outcome, term, coef, se, p, n, clusters, base_mean): each outcome on the services' share and the logarithm of people, with unit and
     district by wave effects, clustered by district; an outcome's column is null in rows that do not count for it."""
-    rows = panel.withColumns({"share": C(share).cast("double"), "ln_people": F.log(people), "__cell": F.concat_ws("_", district, wave)})
+    rows = panel.withColumns({"share": C(share).cast("double"), "ln_people": F.log(people), "__cell": F.concat_ws("_", district, wave), **{f"__y{i}": c for i, c in enumerate(outcomes.values())}})
+    rows = materialize(rows.select(*dict.fromkeys([unit, district, wave, "share", "ln_people", "__cell", *[f"__y{i}" for i in range(len(outcomes))]])), "outcomes")
     out = []
-    for name, column in outcomes.items():
-        one = rows.withColumn("__y", column).filter(C("__y").isNotNull())
+    for i, name in enumerate(outcomes):
+        one = rows.withColumn("__y", C(f"__y{i}")).filter(C("__y").isNotNull())
         fit = E.fe_ols(one, "__y", ["share", "ln_people"], [unit, "__cell"], district)
         mean = one.agg(F.avg(F.when(C(wave) == base, C("__y"))).alias("base_mean"))  # one row
         out.append(fit.crossJoin(F.broadcast(mean)).select(F.lit(name).alias("outcome"), "term", "coef", "se", "p", "n", "clusters", "base_mean"))
