@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyspark.sources.scratch import materialize
+
 from . import order
 from .agg import first_period
 from .joins import overlap_pairs
@@ -32,9 +34,10 @@ def derive_series(df: DataFrame, total: str, pop: str, floor: float) -> DataFram
 def quantile_map(joint: DataFrame, src: str, dst: str, n: int = 1001) -> DataFrame:
     """(k, x, y): ``n`` quantiles of both instruments over pixels that both see; y never falls. n rows."""
     both = joint.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(src, dst)
+    both = materialize(both, "both")
     rows = order.quantile_grid(both, src, n).withColumnRenamed("value", "x").join(order.quantile_grid(both, dst, n).withColumnRenamed("value", "y"), "k")
     up = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("y", F.max("y").over(up))
+    return materialize(rows.withColumn("y", F.max("y").over(up)), "map")
 
 
 def apply_map(df: DataFrame, lut: DataFrame, value: str, out: str) -> DataFrame:

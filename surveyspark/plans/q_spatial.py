@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.operators import sensor as N
 from surveyspark.operators import spatial as G
+from surveyspark.sources.scratch import materialize
 
 from .base import query
 from .q_agg import monthly, r, rounded
@@ -256,7 +257,7 @@ def _(t):
 @query("ntl_05_apply_map", f"""WITH @person, {_Q11}, u AS (SELECT x, max(y) AS y FROM lut GROUP BY x), v AS (SELECT suppkey, wave, a, (SELECT max(x) FROM u WHERE x <= a) AS lo, (SELECT min(x) FROM u WHERE x > a) AS hi FROM j WHERE a IS NOT NULL)
 SELECT suppkey, wave, round(CASE WHEN lo IS NULL THEN (SELECT min_by(y, x) FROM u) WHEN hi IS NULL THEN l.y ELSE l.y + (a - lo) / (hi - lo) * (h.y - l.y) END, 5) AS mapped FROM v LEFT JOIN u l ON l.x = lo LEFT JOIN u h ON h.x = hi""")
 def _(t):
-    df = joint(t)
+    df = materialize(joint(t), "joint")
     return N.apply_map(df.filter("a IS NOT NULL"), N.quantile_map(df, "a", "b", 11), "a", "mapped").select("suppkey", "wave", r("mapped", 5).alias("mapped"))
 
 
@@ -268,7 +269,7 @@ SELECT v.k::INTEGER AS k, round(v.x, 4) AS x, round(a.y + CASE WHEN hi > lo THEN
 
 @query("ntl_05_compose_maps", _COMPOSED)
 def _(t):
-    df = joint(t)
+    df = materialize(joint(t), "joint")
     return rounded(N.compose_maps([N.quantile_map(df, "a", "b", 101), N.quantile_map(df, "b", "a", 101)]), 4, "x", "y").withColumn("k", C("k").cast("int"))
 
 
