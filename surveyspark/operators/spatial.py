@@ -256,8 +256,18 @@ def overlap_area(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, cell: flo
     straight lines over their common heights, which is closed; so an overlap is one sum over pairs of edges, and corners that meet
     or sides that run along each other need no care. Edges are cut to the rows of a grid; within a row they meet once, in the
     cell where both polygons' frames have begun, and only where frames overlap.
+
+    Polygons of a layer with the same edges are one shape: edges meet shape by shape, and pairs of polygons are only listed at the end.
     """
 
+    def shapes(edges: DataFrame, unit: str, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Edges of one polygon of each shape, and (shape, polygon) of all. A shape is known by two hashes of its edges, in any order, and their number."""
+        sides = [F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]
+        known = edges.groupBy(F.col(unit).alias("u")).agg(F.bit_xor(F.xxhash64(*sides)).alias("h"), F.sum(F.shiftright(F.xxhash64(F.lit(tag), *sides), 24)).alias("k"), F.count("*").alias("n"))
+        first = known.groupBy("h", "k", "n").agg(F.min("u").alias(f"{tag}u"))
+        members = materialize(known.join(first, ["h", "k", "n"]).select(F.col("u").alias(f"{tag}m"), f"{tag}u"), "shapes")
+        return edges.join(members.select(F.col(f"{tag}u").alias(unit)).distinct(), unit, "left_semi"), members
+
     def strips(edges: DataFrame, unit: str, tag: str) -> DataFrame:
         frame = edges.groupBy(F.col(unit).alias("u")).agg(F.min(F.least("x1", "x2")).alias("l"), F.max(F.greatest("x1", "x2")).alias("r"))
         up = edges.filter("y1 <> y2").select(F.col(unit).alias("u"), F.when(F.col("y2") > F.col("y1"), 1.0).otherwise(-1.0).alias("s"), *[F.when(F.col("y2") > F.col("y1"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))])
@@ -268,6 +278,7 @@ def overlap_area(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, cell: flo
         first = F.floor(F.col("l") / cell)
         return rows.select(*[F.col(c).alias(f"{tag}{c}") for c in ("u", "s", "l", "r", "c", "m", "lo", "hi")], first.alias(f"{tag}first"), "gy", F.explode(F.sequence(first, F.floor(F.col("r") / cell))).alias("gx"))
 
+    (a, of_a), (b, of_b) = shapes(a, unit_a, "a"), shapes(b, unit_b, "b")
     met = strips(a, unit_a, "a").join(strips(b, unit_b, "b"), ["gx", "gy"])
     met = met.filter((F.col("gx") == F.greatest("afirst", "bfirst")) & (F.col("al") < F.col("br")) & (F.col("bl") < F.col("ar")))
     lo, hi, base = F.greatest("alo", "blo"), F.least("ahi", "bhi"), F.greatest("al", "bl")
@@ -276,8 +287,8 @@ def overlap_area(a: DataFrame, b: DataFrame, unit_a: str, unit_b: str, cell: flo
     cross = (F.col("bc") - F.col("ac")) / F.nullif(F.col("am") - F.col("bm"), F.lit(0.0))
     lesser = lambda p, q: F.when(line("a", (p + q) / 2) <= line("b", (p + q) / 2), whole("a", p, q)).otherwise(whole("b", p, q))
     part = F.when((F.col("am") != F.col("bm")) & (cross > lo) & (cross < hi), lesser(lo, cross) + lesser(cross, hi)).otherwise(lesser(lo, hi))
-    sums = met.filter(hi > lo).groupBy(F.col("au").alias(unit_a), F.col("bu").alias(unit_b)).agg(F.abs(F.sum(F.col("as") * F.col("bs") * part)).alias("area"))
-    return sums.filter("area > 1e-9")
+    sums = met.filter(hi > lo).groupBy("au", "bu").agg(F.abs(F.sum(F.col("as") * F.col("bs") * part)).alias("area")).filter("area > 1e-9")
+    return sums.join(of_a, "au").join(of_b, "bu").select(F.col("am").alias(unit_a), F.col("bm").alias(unit_b), "area")
 
 
 def overlap_by_unit(pixels: DataFrame, a: DataFrame, b: DataFrame, unit_a: str, unit_b: str) -> DataFrame:

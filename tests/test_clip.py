@@ -93,3 +93,13 @@ def test_points_in_by_cell_cover(spark, cell):
     inner, border = G.cell_cover(edges(spark, units, "unit"), "unit", cell)
     assert cell > 1 or sum(cover.count() for _, cover in inner) > 0
     assert G.points_in(points.limit(0), edges(spark, units, "unit"), "id", "unit", cell).count() == 0
+
+
+def test_equal_shapes_meet_once(spark):
+    """Polygons of one shape meet as one and are listed at the end: pairs of polygons come after the sums over pairs of edges."""
+    a = {f"a{i}": [(0, 0), (3, 0), (2.5, 2), (0.5, 3)] for i in range(20)} | {"other": [(0, 0), (3, 0), (2.5, 2), (0.5, 2.5)]}
+    b = {f"b{i}": [(1, 1), (5, 1), (5, 5), (1, 5)] for i in range(15)} | {"small": [(1, 1), (2, 1), (2, 2), (1, 2)]}
+    got = G.overlap_area(edges(spark, a, "a"), edges(spark, b, "b"), "a", "b", 1.5)
+    assert {(r.a, r.b): r.area for r in got.collect()} == pytest.approx({(i, j): clip(p, q) for i, p in a.items() for j, q in b.items()})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Join") < plan.index("Aggregate")
