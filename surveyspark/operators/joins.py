@@ -125,6 +125,10 @@ def similar_names(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     return close.withColumn("score", ratio("a", "b")).filter(F.col("score") >= cutoff)
 
 
+#: Cutoffs at which the closest name is looked for before the one that is asked for.
+STEPS = (0.94, 0.88, 0.82)
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0.6, one_to_one: bool = True) -> DataFrame:
     """(block, left_name, right_name, score): names matched within a parent, equal ones first, then the closest by matching blocks at or above ``cutoff``.
 
@@ -134,7 +138,8 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0
 
     One-to-one is settled in rounds: every left name asks for its closest right name; a right name that is asked for is lost to all
     left names after the first that asks. When nobody loses any more, the requests are the result, the same as taking turns in order.
-    No parent is gathered in a task.
+    No parent is gathered in a task. Without ``one_to_one`` cutoffs fall step by step, and a left name that has found any name at a step
+    is done: all closer names have been seen, and far ones, which are nearly all, never are.
     """
     key = F.upper(F.trim("name"))
     rows = lambda df, name: df.filter("name IS NOT NULL").groupBy(F.col(block).alias("block"), key.alias(name)).agg(F.min("name").alias(f"{name}_name"))
@@ -142,7 +147,17 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0
     equal = a.join(b.withColumnRenamed("b", "a"), ["block", "a"]).select("block", "a", "a_name", "b_name", F.lit(1.0).alias("score"))
     rest_a = a.join(equal, ["block", "a"], "left_anti").filter("a <> ''")
     rest_b = (b.join(equal.select("block", F.col("a").alias("b")), ["block", "b"], "left_anti") if one_to_one else b).filter("b <> ''")
-    pairs = materialize(similar_names(rest_a, rest_b, cutoff), "pairs")
+    if one_to_one:
+        pairs = materialize(similar_names(rest_a, rest_b, cutoff), "pairs")
+    else:
+        rest_a, rest_b = materialize(rest_a, "rest"), materialize(rest_b, "rest")
+        pairs = None
+        for step in [*(c for c in STEPS if c > cutoff), cutoff]:
+            found = materialize(similar_names(rest_a, rest_b, step), "pairs")
+            pairs = found if pairs is None else pairs.unionAll(found)
+            rest_a = materialize(rest_a.join(found.select("block", "a"), ["block", "a"], "left_anti"), "rest")
+            if not rest_a.limit(1).count():
+                break
     closest = lambda df: df.groupBy("block", "a").agg(F.max(F.struct("score", "b")).alias("best")).select("block", "a", "best.b", "best.score")
     while one_to_one:
         first = closest(pairs).groupBy("block", "b").agg(F.min("a").alias("__first"))

@@ -47,3 +47,13 @@ def test_fuzzy_match(spark, cutoff, one_to_one):
     df = lambda rows: spark.createDataFrame(rows, "g string, name string")
     got = [tuple(r) for r in J.fuzzy_match(df(left), df(right), "g", cutoff, one_to_one).collect()]
     assert sorted(got) == sorted(slow(left, right, cutoff, one_to_one))
+
+
+def test_names_that_are_found_are_not_looked_for_again(spark, monkeypatch):
+    seen, search = [], J.similar_names
+    monkeypatch.setattr(J, "similar_names", lambda a, b, cutoff: seen.append((cutoff, a.count())) or search(a, b, cutoff))
+    df = lambda names: spark.createDataFrame([("g", n) for n in names], "g string, name string")
+    left, right = ["abcdefghijklmnopqrst1", "abcdefghij99"], ["abcdefghijklmnopqrst2", "abcdefghij"]
+    got = {r.left_name: r.right_name for r in J.fuzzy_match(df(left), df(right), "g", 0.75, one_to_one=False).collect()}
+    assert got == dict(zip(left, right, strict=True))
+    assert seen[0] == (0.94, 2) and seen[-1][1] == 1
