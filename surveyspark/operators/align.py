@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.recode import compress, resolve_types
 from surveyspark.functions.text import jaccard, same_category, tokens
+from surveyspark.sources.scratch import dealt, materialize
 
 from .sets import pool
 
@@ -94,13 +95,16 @@ def merge_labels(labels: DataFrame, decisions: DataFrame, rank: str = "wave") ->
 
 
 def pool_versions(frames: dict, decisions: list[tuple], keys: list[str]) -> DataFrame:
-    """Waves renamed by ``decisions`` (variable, wave, pooled_column), types resolved, united, keys first, compressed, exact copies dropped."""
+    """Waves renamed by ``decisions`` (variable, wave, pooled_column), types resolved, united, keys first, compressed, exact copies dropped.
+
+    Each wave is written on its own, so that no task makes several waves and drops copies as well.
+    """
     names: dict = {}
     for variable, wave, column in decisions:
         names.setdefault(wave, {})[variable] = column
     renamed = [df.select(*[F.col(c).alias(names.get(w, {}).get(c, c)) for c in df.columns]) for w, df in frames.items()]
-    out = pool(resolve_types(renamed))
-    return compress(out.select(*keys, *[c for c in out.columns if c not in keys]), keep_double=tuple(keys)).dropDuplicates()
+    out = pool(resolve_types([materialize(df, "wave") for df in renamed]))
+    return dealt(compress(out.select(*keys, *[c for c in out.columns if c not in keys]), keep_double=tuple(keys))).dropDuplicates()
 
 
 def pool_modules(modules: dict, canonical: dict, keys: list[str], least: int = 2) -> dict[str, DataFrame]:

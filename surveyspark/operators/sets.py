@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surveyspark.sources.scratch import dealt, materialize
+
 
 def pool(frames: list[DataFrame]) -> DataFrame:
     """Union by name; columns that a frame lacks are null."""
@@ -16,7 +18,7 @@ def pool(frames: list[DataFrame]) -> DataFrame:
 
 def drop_exact_duplicates(df: DataFrame, wave: str, wt: str) -> tuple[DataFrame, DataFrame]:
     """Rows once each, and (wave, n_dropped, wt_dropped)."""
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    counted = dealt(materialize(df, "rows")).groupBy(*df.columns).agg(F.count("*").alias("__n"))
     report = counted.groupBy(wave).agg(F.sum(F.col("__n") - 1).alias("n_dropped"), F.sum((F.col("__n") - 1) * F.col(wt)).alias("wt_dropped"))
     return counted.drop("__n"), report
 
