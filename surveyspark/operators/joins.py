@@ -55,12 +55,12 @@ def attach_keys(df: DataFrame, keys: DataFrame, on: list[str], flag: str = "in_s
     return joined.select(*[c for c in df.columns if c not in cols], *filled, F.coalesce("__hit", F.lit(False)).alias(flag))
 
 
-def map_keys_if_better(df: DataFrame, key: str, keys: DataFrame, xwalk: DataFrame, low: float = 0.5, high: float = 0.99) -> DataFrame:
-    """``xwalk`` (old, new) is applied to ``key`` only if fewer than ``low`` of the rows match ``keys`` as they are and over ``high`` do through it."""
+def map_keys_if_better(df: DataFrame, key: str, keys: DataFrame, xwalk: DataFrame, low: float = 0.5, high: float = 0.99, rate: float | None = None) -> DataFrame:
+    """``xwalk`` (old, new) is applied to ``key`` only if fewer than ``low`` of the rows match ``keys`` as they are and over ``high`` do through it; ``rate`` is the first share, if it is known."""
     known = keys.select(F.col(key).alias("__k")).distinct()
     through = df.join(xwalk.select(F.col("old").alias(key), F.col("new").alias("__new")), key, "left")
-    rate = lambda rows, c: rows.join(known, rows[c] == known["__k"], "left").agg(F.avg(F.col("__k").isNotNull().cast("double"))).first()[0] or 0.0
-    if rate(df, key) < low and rate(through, "__new") > high:
+    match = lambda rows, c: rows.join(known, rows[c] == known["__k"], "left").agg(F.avg(F.col("__k").isNotNull().cast("double"))).first()[0] or 0.0
+    if (match(df, key) if rate is None else rate) < low and match(through, "__new") > high:
         return through.withColumn(key, F.col("__new")).drop("__new").select(*df.columns)
     return df
 
