@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.sources.scratch import drop_scratch, materialize
@@ -31,6 +31,20 @@ from .econ import _normal_quantile, fe_ols
 
 #: Width of a tile, and how many streams sum a tile before the last one does.
 TILE, SALT = 256, 16
+#: Rows and bytes of an Arrow batch, and bytes of cluster sums that a task holds before it passes them on.
+BATCH, BATCH_BYTES, HELD = 256, 16 << 20, 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, since a row holds all candidates or a tile; smaller limits of the session stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _bytes(spark.conf.get(f"spark.sql.execution.arrow.{key}")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def _bytes(size: str) -> int:
+    digits = size.lower().rstrip("bkmgtp")
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[size.lower()[len(digits) :][:1]]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,6 +53,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def with_features(df: DataFrame, features: list[str] | str, keep: list[str], out: str = "x") -> DataFrame:
     """``keep`` and the features as one array of doubles without gaps; rows with a missing value in either are left out."""
+    bounded_batches(df.sparkSession)
     x = F.col(features) if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
     rows = df.select(*keep, x.cast("array<double>").alias(out)).na.drop()
     return rows.filter(F.forall(out, lambda v: v.isNotNull() & ~F.isnan(v)))
@@ -89,9 +104,9 @@ def gram_tiles(rows: DataFrame, x: str = "x", w: str | None = None, fold: str |
     def add(batches):
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                key = r["fold"], r["i"], r["j"]
-                sums[key] = sums.get(key, 0.0) + np.frombuffer(r["v"]).reshape(-1, r["width"])
+            keys = zip(*(batch.column(c).to_pylist() for c in ("fold", "i", "j")), batch.column("width").to_pylist(), strict=True)
+            for (*key, width), v in zip(keys, batch.column("v"), strict=True):
+                sums[tuple(key)] = sums.get(tuple(key), 0.0) + np.frombuffer(v.as_buffer()).reshape(-1, width)
         yield from tiles(sums)
 
     schema = "fold int, i int, j int, width int, v binary"
@@ -140,16 +155,29 @@ def score_squares(rows: DataFrame, cluster: str, coefficients: list[np.ndarray],
     q = len(candidates)
 
     def scores(batches):
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = matrix(batch.column("x"))
             e = np.stack([m[:, t] - m[:, candidates] @ b for t, b in zip(targets, coefficients, strict=True)], axis=1)
             names, place = np.unique(np.array(batch.column("cluster").to_pylist(), dtype=object).astype(str), return_inverse=True)
-            sums = np.zeros((len(names), len(targets) * q))
-            for k in range(len(targets)):
-                np.add.at(sums[:, k * q : (k + 1) * q], place, m[:, candidates] * e[:, k : k + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(names.tolist()), pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))], ["cluster", "s"])
+            by = np.argsort(place, kind="stable")
+            firsts = np.searchsorted(place[by], np.arange(len(names)))
+            mine, e = m[by][:, candidates], e[by]
+            sums = np.concatenate([np.add.reduceat(mine * e[:, k : k + 1], firsts, axis=0) for k in range(len(targets))], axis=1)
+            for name, some in zip(names.tolist(), sums, strict=True):
+                held[name] = held[name] + some if name in held else some.copy()
+            if len(held) * sums.shape[1] * 8 > HELD:
+                yield from listed(held)
+                held = {}
+        yield from listed(held)
+
+    def listed(held: dict):
+        names = list(held)
+        for at in range(0, len(names), BATCH):
+            sums = np.stack([held[name] for name in names[at : at + BATCH]])
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + BATCH]), pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32()), pa.array(sums.ravel()))], ["cluster", "s"])
 
     def squares(batches):
         total = np.zeros(len(targets) * q)
