@@ -1,14 +1,15 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are cut into halves; an independent codebook for each half makes a product grid of cells. Each vector stands
-in the cell of its nearest codewords and searches cells in the order of the multi-sequence traversal (by the sum of both
-halves' distances). How many cells are searched is found from ``QUERIES`` vectors: the least number with which ``RECALL`` of
-their links with all vectors of the table would be found (all of them where they are the whole table), and ``LEAST_CELLS`` at least.
-Every candidate is verified by its cosine.
+in the cell of its nearest codewords. Its search goes through both halves' codewords in the order of the least distance that
+anything in their cells can have from it (multi-sequence traversal) and stops where the sum of both is beyond the distance
+of the least cosine. So no link is lost, whatever the table's size and the codebooks. Every candidate is verified by its cosine.
 
 Codebooks are fitted on at most ``SAMPLE`` vectors; all vectors are indexed and all search. Equal vectors of a label are one
-class first, so that copies cost nothing. A cell's members and its searchers are cut into blocks of bounded size; every
-pair of blocks is a task of its own group, and gives counts and a spanning forest of its links, never all pairs.
+class first, so that copies cost nothing. Neighbouring cells make a region, and the members of a region are cut into blocks of
+bounded size. Every pair of blocks is a group of its own, in which those vectors of either meet that reach the other's
+region; it gives counts and a spanning forest of its links, never all pairs. Where vectors have no structure all regions are
+reached, and the work grows with the square of the largest label.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components, and rows without a label, link
 with nothing; vectors of different lengths are never compared; rows that repeat id and vector link with each other; a null
@@ -27,13 +28,14 @@ from .components import components
 
 COSINE = 0.93
 SAMPLE = 8192
-#: Vectors whose links are all found, to set the number of cells.
-QUERIES = 4096
-RECALL = 0.99
-LEAST_CELLS = 4
 #: Vectors for each cell of the grid, about, and codewords of a book at most.
 PER_CELL, MOST_CODES = 1000, SAMPLE // 8
-MEMBERS, SEARCHERS = 2048, 4096
+#: Vectors of a block, and regions at least.
+BLOCK, LEAST_REGIONS = 4096, 4
+#: Vectors of a block that are multiplied with another at once.
+STRIP = 512
+#: Errors of arithmetic, far above those of double precision on unit vectors.
+SLACK = 1e-11
 
 
 def codebook(rows: np.ndarray, k: int) -> np.ndarray:
@@ -50,157 +52,103 @@ def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(axis=1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(axis=1), 0)
 
 
-def traversal(rows: np.ndarray, books: tuple, n: int) -> np.ndarray:
-    """The ``n`` nearest cells of each row in multi-sequence order; the first is its own cell."""
+def least_distances(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distance of each row from each codeword's cell, or less.
+
+    What is nearer to c than to c' lies beyond the plane between them, which is (|x - c|^2 - |x - c'|^2) / (2 |c - c'|) from x.
+    """
+    d, out = distances(rows, book), np.zeros((len(rows), len(book)))
+    for c, centre in enumerate(book):
+        between = np.maximum(2 * np.linalg.norm(book - centre, axis=1), 1e-300)
+        out[:, c] = ((d[:, c, None] - d - SLACK) / between).max(axis=1)
+    return np.maximum(out, 0) ** 2
+
+
+def traversal(rows: np.ndarray, books: tuple, limit: float):
+    """(rows, cells) of all cells within the squared distance ``limit`` of each row: one codeword of the first half after the other, nearest first."""
     half = rows.shape[1] // 2
-    a, b = distances(rows[:, :half], books[0]), distances(rows[:, half:], books[1])
+    a, b = least_distances(rows[:, :half], books[0]), least_distances(rows[:, half:], books[1])
     oa, ob = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
     a, b = np.take_along_axis(a, oa, 1), np.take_along_axis(b, ob, 1)
-    # The n smallest sums lie where (i + 1) * (j + 1) <= n in the two sorted lists.
-    grid = [(i, j) for i in range(a.shape[1]) for j in range(b.shape[1]) if (i + 1) * (j + 1) <= n]
-    i, j = np.array(grid).T
-    first = np.argsort(a[:, i] + b[:, j], axis=1, kind="stable")[:, :n]
-    return np.take_along_axis(oa, i[first], 1) * b.shape[1] + np.take_along_axis(ob, j[first], 1)
+    for i in range(a.shape[1]):
+        at = np.flatnonzero(a[:, i] + b[:, 0] <= limit)
+        if not len(at):
+            return
+        row, j = np.nonzero(a[at, i, None] + b[at] <= limit)
+        yield at[row], oa[at[row], i] * b.shape[1] + ob[at[row], j]
 
 
-def place_of(rows: np.ndarray, cells: np.ndarray, books: tuple) -> np.ndarray:
-    """Place of each row's given cell in the row's own traversal; of cells equally far it counts as the last."""
+def own_cells(rows: np.ndarray, books: tuple) -> np.ndarray:
     half = rows.shape[1] // 2
-    a, b = distances(rows[:, :half], books[0]), distances(rows[:, half:], books[1])
-    at = np.arange(len(rows))
-    reach = a[at, cells // b.shape[1]] + b[at, cells % b.shape[1]] + 1e-12
-    b = np.sort(b, axis=1)
-    return np.array([np.searchsorted(b[i], reach[i] - a[i], "right").sum() - 1 for i in at], np.int64)
-
-
-def link_ranks(x: np.ndarray, y: np.ndarray, books: tuple) -> np.ndarray:
-    """The fewest cells, less one, with which x finds y or y finds x, row by row."""
-    own = [traversal(v, books, 1)[:, 0] for v in (x, y)]
-    return np.minimum(place_of(x, own[1], books), place_of(y, own[0], books))
-
-
-def query_ranks(mine: DataFrame, queries: pd.DataFrame, books: tuple, cosine: float) -> pd.DataFrame:
-    """(rank, links, weight): ranks of all links of ``queries`` with all rows of ``mine``; a query's links weigh 1 in all."""
-    cids, units = queries["cid"].to_numpy(), np.stack([np.frombuffer(u, np.float64) for u in queries["unit"]])
-    held = mine.sparkSession.sparkContext.broadcast((cids, units, queries.groupby("label").indices))
-
-    def meet(batches):
-        cids, units, of_label = held.value
-        for batch in batches:
-            for label, at in batch.groupby("label").indices.items():
-                if label not in of_label:
-                    continue
-                q, cid = of_label[label], batch["cid"].to_numpy()[at]
-                rows = np.stack([np.frombuffer(u, np.float64) for u in batch["unit"].iloc[at]])
-                i, j = np.nonzero((rows @ units[q].T >= cosine) & (cid[:, None] != cids[q][None, :]))
-                for some in range(0, len(i), 4096):
-                    x, y = i[some : some + 4096], q[j[some : some + 4096]]
-                    found = pd.DataFrame({"query": y.astype(np.int64), "rank": link_ranks(units[y], rows[x], books)})
-                    yield found.groupby(["query", "rank"]).size().reset_index(name="n")
-
-    ranks = mine.select("cid", F.col("label").cast("string").alias("label"), "unit").mapInPandas(meet, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
-    ranks = materialize(ranks, "ranks")
-    whole = ranks.groupBy("query").agg(F.sum("n").alias("total"))
-    out = ranks.join(whole, "query").groupBy("rank").agg(F.sum("n").alias("links"), F.sum(F.col("n") / F.col("total")).alias("weight"))
-    return out.toPandas().sort_values("rank")  # a row for each cell of the grid at most
-
-
-def share_within(ranks: np.ndarray, weight: np.ndarray, share: float) -> int:
-    """The least number of cells with which ``share`` of ``weight`` is found; ``ranks`` ascend."""
-    return int(ranks[min(len(ranks) - 1, np.searchsorted(np.cumsum(weight), share * weight.sum() * (1 - 1e-12)))]) + 1
-
-
-def cells_needed(mine: DataFrame, queries: pd.DataFrame, whole: bool, books: tuple, cosine: float, recall: float) -> dict:
-    """The number of cells with which the share ``recall`` of the links of ``queries`` is found, and the share so found.
-
-    Links count once each, and once more with equal weight for each query, so that large clusters do not hide pairs. Unless the
-    queries are the ``whole`` table, the share is raised by its error; if they link too seldom for that, neighbours at the
-    least cosine are made for them and count as well.
+    return distances(rows[:, :half], books[0]).argmin(axis=1) * len(books[1]) + distances(rows[:, half:], books[1]).argmin(axis=1)
+
+
+def fit(classes: DataFrame, length: int, sample: int) -> dict:
+    """Codebooks for vectors of ``length`` and the region of each cell. The grid grows with the number of vectors, regions with the largest label.
+
+    Regions hold about equal shares of the sampled vectors. They decide what is compared together, not what links.
     """
-    every = len(books[0]) * len(books[1])
-    found = query_ranks(mine, queries, books, cosine)
-    ranks, links, weight = found["rank"].to_numpy(), found["links"].to_numpy(), found["weight"].to_numpy()
-    linked = round(weight.sum())
-    share = recall if whole or not linked else recall + 1.645 * (recall * (1 - recall) / linked) ** 0.5
-    cells = LEAST_CELLS
-    if linked:
-        cells = max(cells, *(share_within(ranks, w, min(1.0, share)) for w in (links, weight)))
-    if not whole and (not linked or share >= 1):
-        x = np.stack([np.frombuffer(u, np.float64) for u in queries["unit"]])
-        aside = np.random.default_rng(1).standard_normal(x.shape)
-        aside -= (aside * x).sum(axis=1)[:, None] * x
-        aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-9)[:, None]
-        made = np.sort(link_ranks(x, cosine * x + max(0.0, 1 - cosine**2) ** 0.5 * aside, books))
-        cells = max(cells, share_within(made, np.ones(len(made)), recall))
-    cells = min(every, cells)
-    return {"cells": cells, "grid": every, "linked": linked, "recall": float(links[ranks < cells].sum() / links.sum()) if linked else None}
-
-
-def fit(classes: DataFrame, length: int, cosine: float, sample: int, recall: float) -> dict:
-    """Codebooks for vectors of ``length`` and the number of cells to search. The grid grows with the number of vectors."""
     mine = classes.filter(F.col("length") == length)
-    n = mine.count()
+    n, largest = mine.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
     k = int(min(MOST_CODES, max(4, (n / PER_CELL) ** 0.5)))
     picked = mine.orderBy("cid").limit(sample).select("unit").toPandas()
     rows = np.stack([np.frombuffer(u, np.float64) for u in picked["unit"]])
     half = length // 2
     k = min(k, len(rows))
     books = (codebook(rows[:, :half], k) if half else np.zeros((1, 0)), codebook(rows[:, half:], k))
-    # Ids of classes are hashes: the last are as good as drawn, and none of a large table's has made the codebooks.
-    queries = mine.orderBy(F.desc("cid")).limit(QUERIES).select("cid", F.col("label").cast("string").alias("label"), "unit").toPandas()
-    return {"books": books} | cells_needed(mine, queries, n <= QUERIES, books, cosine, 1.0 if n <= QUERIES else recall)
-
-
-def block_links(members: pd.DataFrame, searchers: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Counts (class, n) and forest links (class, other) of one block pair."""
-    empty = pd.DataFrame({"cid": pd.Series(dtype=str), "other": pd.Series(dtype=str), "n": pd.Series(dtype="int64")})
-    if members.empty or searchers.empty:
-        return empty
-    cell = int(members["cell"].iloc[0])
-    y = np.stack([np.frombuffer(u, np.float64) for u in members["unit"]])
-    x = np.stack([np.frombuffer(u, np.float64) for u in searchers["unit"]])
-    yc, xc = members["cid"].to_numpy(), searchers["cid"].to_numpy()
-    near = x @ y.T >= cosine
-    near &= xc[:, None] != yc[None, :]
-    at_x, at_y = np.nonzero(near)
-    if not len(at_x):
-        return empty
-    weight_x, weight_y = searchers["m"].to_numpy(), members["m"].to_numpy()
-    n_x = near @ weight_y
-    # A link that the member would find by its own search counts for it there.
-    own = searchers["cells"].map(lambda c: c[0]).to_numpy()
-    finds = {}
-    for i in np.unique(at_y):
-        finds[i] = set(members["cells"].iloc[i])
-    alone = np.array([own[i] not in finds[j] for i, j in zip(at_x, at_y, strict=True)]) if (own[at_x] != cell).any() else np.zeros(len(at_x), bool)
-    n_y = np.bincount(at_y[alone], weights=weight_x[at_x[alone]], minlength=len(y)).astype(np.int64)
-    # The forest: smallest labels run over the links until none moves, then each node keeps a link to an equal label's tree.
-    parent: dict = {}
+    regions = max(LEAST_REGIONS, -(-largest // BLOCK))
+    held = np.bincount(own_cells(rows, books), minlength=len(books[0]) * len(books[1]))
+    return {"books": books, "region": np.minimum((np.cumsum(held) - held) * regions // len(rows), regions - 1), "regions": regions}
+
+
+def block_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Counts (class, n) and forest links (class, other) of one pair of blocks; a block paired with itself has no ``second`` side."""
+    units, weight = np.stack([np.frombuffer(u, np.float64) for u in rows["unit"]]), rows["m"].to_numpy()
+    same = rows["first"].iloc[0] == rows["second"].iloc[0]
+    side = rows["side"].to_numpy()
+    x_at = np.arange(len(rows)) if same else np.flatnonzero(~side)
+    y_at = x_at if same else np.flatnonzero(side)
+    y = units[y_at]
+    n, parent, forest = np.zeros(len(rows), np.int64), list(range(len(rows))), []
 
     def root(u):
-        while parent.setdefault(u, u) != u:
+        while parent[u] != u:
             parent[u] = parent[parent[u]]
             u = parent[u]
         return u
 
-    forest = []
-    star = near.argmax(axis=1)
-    for i in np.flatnonzero(near.any(axis=1)):  # a first link for each searcher joins most at once
-        a, b = root(xc[i]), root(yc[star[i]])
-        if a != b:
-            parent[a] = b
-            forest.append((xc[i], yc[star[i]]))
-    tree_x, tree_y = pd.factorize(np.array([root(c) for c in xc] + [root(c) for c in yc]))[0][: len(xc)], pd.factorize(np.array([root(c) for c in xc] + [root(c) for c in yc]))[0][len(xc) :]
-    for i, j in zip(*(v[tree_x[at_x] != tree_y[at_y]] for v in (at_x, at_y)), strict=True):
-        a, b = root(xc[i]), root(yc[j])
-        if a != b:
-            parent[a] = b
-            forest.append((xc[i], yc[j]))
-    rows = [(c, None, int(n)) for c, n in zip(xc, n_x, strict=True) if n] + [(c, None, int(n)) for c, n in zip(yc, n_y, strict=True) if n] + [(a, b, 0) for a, b in forest]
-    return pd.DataFrame(rows, columns=["cid", "other", "n"])
-
-
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+    def join(some_x, some_y):
+        for u, v in zip(some_x.tolist(), some_y.tolist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[a] = b
+                forest.append((u, v))
+
+    for start in range(0, len(x_at) if len(y_at) else 0, STRIP):
+        strip = x_at[start : start + STRIP]
+        near = units[strip] @ y.T >= cosine
+        if same:
+            near[np.arange(len(strip)), start + np.arange(len(strip))] = False
+        i, j = np.nonzero(near)
+        if not len(i):
+            continue
+        i, j = strip[i], y_at[j]
+        n += np.bincount(i, weights=weight[j], minlength=len(rows)).astype(np.int64)
+        if not same:
+            n += np.bincount(j, weights=weight[i], minlength=len(rows)).astype(np.int64)
+        first = np.unique(i, return_index=True)[1]  # a first link for each row joins most at once
+        join(i[first], j[first])
+        trees = np.array([root(u) for u in range(len(rows))])
+        apart = np.flatnonzero(trees[i] != trees[j])
+        between = np.unique(trees[i[apart]] * len(rows) + trees[j[apart]], return_index=True)[1]
+        join(i[apart[between]], j[apart[between]])
+    cid, some = rows["cid"].to_numpy(), np.flatnonzero(n)
+    counts = pd.DataFrame({"cid": cid[some], "other": None, "n": n[some]})
+    u, v = np.array(forest, np.int64).reshape(-1, 2).T
+    return pd.concat([counts, pd.DataFrame({"cid": cid[u], "other": cid[v], "n": np.int64(0)})])
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """``vectors`` (vec_id, embedding, label) -> vec_id, n_links, component_id; one row a vector."""
     bounded_batches(vectors.sparkSession)
 
@@ -222,7 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     classes = rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("unit").alias("unit"))
     classes = materialize(classes.withColumn("length", (F.octet_length("unit") / 8).cast("int")), "classes")
     lengths = [r.length for r in classes.select("length").distinct().collect()]
-    found = [search(classes.filter(F.col("length") == n), fit(classes, n, cosine, sample, recall), cosine) for n in lengths]
+    found = [search(classes.filter(F.col("length") == n), fit(classes, n, sample), cosine) for n in lengths]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     links = found[0]
@@ -242,25 +190,26 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
 
 def search(classes: DataFrame, model: dict, cosine: float) -> DataFrame:
     """(cid, other, n): counts where ``other`` is null, else links of spanning forests."""
-
-    @F.pandas_udf("array<int>")
-    def cells(units: pd.Series) -> pd.Series:
-        found = traversal(np.stack([np.frombuffer(u, np.float64) for u in units]), model["books"], model["cells"]) if len(units) else []
-        return pd.Series([f.astype(np.int32) for f in found], dtype=object)
-
-    placed = materialize(classes.select("cid", "m", "label", "unit", cells("unit").alias("cells")), "cells")
-    members = placed.withColumn("cell", F.col("cells")[0])
-    searchers = placed.withColumn("cell", F.explode("cells"))
-    blocks = members.groupBy("label", "cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("nm"))
-    blocks = blocks.join(searchers.groupBy("label", "cell").agg(F.ceil(F.count("*") / SEARCHERS).cast("int").alias("ns")), ["label", "cell"])
-    blocks = materialize(blocks, "blocks")  # a row for each occupied cell of each label
-    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = members.join(blocks, ["label", "cell"]).withColumn("mb", own("nm")).withColumn("sb", every("ns"))
-    searchers = searchers.join(blocks, ["label", "cell"]).withColumn("sb", own("ns")).withColumn("mb", every("nm"))
-    key = ["label", "cell", "mb", "sb"]
-    part = lambda df: df.select(*[F.col(c).alias(c) for c in (*key, "cid", "m", "unit", "cells")]).groupBy(*key)
-    return part(members).cogroup(part(searchers)).applyInPandas(lambda a, b: block_links(a, b, cosine), "cid string, other string, n long")
+    limit = 2 - 2 * cosine + 100 * SLACK
+
+    @F.pandas_udf("region int, reached array<int>")
+    def regions(units: pd.Series) -> pd.DataFrame:
+        rows = np.stack([np.frombuffer(u, np.float64) for u in units]) if len(units) else np.zeros((0, 2))
+        seen = np.zeros((len(rows), model["regions"]), bool)
+        for at, cells in traversal(rows, model["books"], limit) if len(rows) else ():
+            seen[at, model["region"][cells]] = True
+        own = model["region"][own_cells(rows, model["books"])] if len(rows) else np.zeros(0)
+        return pd.DataFrame({"region": own.astype(np.int32), "reached": [np.flatnonzero(s).astype(np.int32) for s in seen]})
+
+    placed = materialize(classes.select("cid", "m", "label", "unit", regions("unit").alias("at")).select("cid", "m", "label", "unit", "at.*"), "regions")
+    blocks = materialize(placed.groupBy("label", "region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    place = lambda region, block: F.col(region).cast("long") * (1 << 32) + block
+    here = placed.join(blocks, ["label", "region"]).withColumn("here", place("region", F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+    there = here.select("label", "cid", "m", "unit", "here", F.explode("reached").alias("region")).join(blocks, ["label", "region"])
+    there = there.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("there", place("region", F.col("block")))
+    # Links are seen from both ends: a vector of either block that does not reach the other's region has none there.
+    pairs = there.select("label", F.least("here", "there").alias("first"), F.greatest("here", "there").alias("second"), (F.col("here") > F.col("there")).alias("side"), "cid", "m", "unit")
+    return pairs.groupBy("label", "first", "second").applyInPandas(lambda rows: block_links(rows, cosine), "cid string, other string, n long")
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

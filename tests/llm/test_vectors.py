@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from surveyspark.llm import common, embeddings
 
@@ -23,3 +25,43 @@ def test_a_large_component_and_many_copies(spark, monkeypatch):
     for i, r in enumerate(rows):
         assert found[r[0]][0] == links[i].sum()  # the queries are the whole table, so that every link is found
     assert all(found[i][1] == 10 for i in range(10, 900)) and found[None][1] == 10 and [found[i][1] for i in (5, 6, 7)] == [5, 6, 7]
+
+
+@pytest.mark.parametrize("n", [1000, 6000])
+def test_every_link_is_found_at_every_size(spark, monkeypatch, n):
+    """Single pairs at the least cosine, beside a dense group, in many cells, regions and blocks: the same links as brute force."""
+    monkeypatch.setattr(embeddings, "PER_CELL", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 300, raising=False)
+    rnd = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x = unit(rnd.standard_normal((n, 32)))
+    half = n // 2
+    aside = rnd.standard_normal((half, 32))
+    x[half:] = 0.932 * x[:half] + (1 - 0.932**2) ** 0.5 * unit(aside - (aside * x[:half]).sum(axis=1)[:, None] * x[:half])
+    x[: n // 10] = unit(x[0] + 0.1 * rnd.standard_normal((n // 10, 32)))
+    label = np.arange(n) % half % 3
+    links = (x @ x.T >= embeddings.COSINE) & (label[:, None] == label[None, :])
+    np.fill_diagonal(links, False)
+    least = np.arange(n)
+    while (lower := np.where(links, least[None, :], n).min(axis=1).clip(max=least)).tolist() != least.tolist():
+        least = lower
+    table = pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist(), "label": label})
+    found = embeddings.near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").repartition(5)).toPandas().sort_values("vec_id")
+    assert found["n_links"].tolist() == links.sum(axis=1).tolist() and found["component_id"].tolist() == least.tolist()
+
+
+def test_the_traversal_stops_behind_the_last_cell_with_a_link():
+    """Neighbours at the least cosine stand in reached cells, of clustered vectors few cells are reached, and equal codewords do no harm."""
+    rnd = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    for spread, most in ((10.0, 1.0), (0.1, 0.2)):
+        x = unit(rnd.standard_normal((30, 24))[rnd.integers(0, 30, 1500)] + spread * rnd.standard_normal((1500, 24)) / 24**0.5)
+        books = tuple(np.concatenate([embeddings.codebook(h, 20), h[:1], h[:1], h[:1] + 1e-9]) for h in (x[:, :12], x[:, 12:]))
+        aside = rnd.standard_normal(x.shape)
+        y = 0.93 * x + (1 - 0.93**2) ** 0.5 * unit(aside - (aside * x).sum(axis=1)[:, None] * x)
+        reached = np.zeros((len(x), 23 * 23), bool)
+        for rows, cells in embeddings.traversal(x, books, 2 - 2 * 0.93 + 1e-9):
+            reached[rows, cells] = True
+        at = np.arange(len(x))
+        assert reached[at, embeddings.own_cells(x, books)].all() and reached[at, embeddings.own_cells(y, books)].all()
+        assert reached.mean() <= most
