@@ -6,8 +6,8 @@ anything in their cells can have from it (multi-sequence traversal) and stops wh
 of the least cosine. So no link is lost, whatever the table's size and the codebooks. Every candidate is verified by its cosine.
 
 Codebooks are fitted on at most ``SAMPLE`` vectors; all vectors are indexed and all search. Equal vectors of a label are one
-class first, so that copies cost nothing. Neighbouring cells make a region, and the members of a region are cut into blocks of
-bounded size. Every pair of blocks is a group of its own, in which those vectors of either meet that reach the other's
+class first, so that copies cost nothing. Neighbouring cells make a region, of which a label has the more the more vectors it has;
+the members of a region are cut into blocks of bounded size. Every pair of blocks is a group of its own, in which those vectors of either meet that reach the other's
 region; it gives counts and a spanning forest of its links, never all pairs. Where vectors have no structure all regions are
 reached, and the work grows with the square of the largest label.
 
@@ -30,7 +30,7 @@ COSINE = 0.93
 SAMPLE = 8192
 #: Vectors for each cell of the grid, about, and codewords of a book at most.
 PER_CELL, MOST_CODES = 1000, SAMPLE // 8
-#: Vectors of a block, and regions at least.
+#: Vectors of a block, and regions of a label at least.
 BLOCK, LEAST_REGIONS = 4096, 4
 #: Vectors of a block that are multiplied with another at once.
 STRIP = 512
@@ -84,21 +84,20 @@ def own_cells(rows: np.ndarray, books: tuple) -> np.ndarray:
 
 
 def fit(classes: DataFrame, length: int, sample: int) -> dict:
-    """Codebooks for vectors of ``length`` and the region of each cell. The grid grows with the number of vectors, regions with the largest label.
+    """Codebooks for vectors of ``length`` and the share of sampled vectors ahead of each cell, by which a label's regions are dealt.
 
-    Regions hold about equal shares of the sampled vectors. They decide what is compared together, not what links.
+    The grid grows with the number of vectors. Regions decide what is compared together, not what links.
     """
     mine = classes.filter(F.col("length") == length)
-    n, largest = mine.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    n = mine.count()
     k = int(min(MOST_CODES, max(4, (n / PER_CELL) ** 0.5)))
     picked = mine.orderBy("cid").limit(sample).select("unit").toPandas()
     rows = np.stack([np.frombuffer(u, np.float64) for u in picked["unit"]])
     half = length // 2
     k = min(k, len(rows))
     books = (codebook(rows[:, :half], k) if half else np.zeros((1, 0)), codebook(rows[:, half:], k))
-    regions = max(LEAST_REGIONS, -(-largest // BLOCK))
     held = np.bincount(own_cells(rows, books), minlength=len(books[0]) * len(books[1]))
-    return {"books": books, "region": np.minimum((np.cumsum(held) - held) * regions // len(rows), regions - 1), "regions": regions}
+    return {"n": n, "books": books, "ahead": np.minimum((np.cumsum(held) - held) / len(rows), 1 - 1e-12)}
 
 
 def block_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -136,7 +135,7 @@ def block_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         n += np.bincount(i, weights=weight[j], minlength=len(rows)).astype(np.int64)
         if not same:
             n += np.bincount(j, weights=weight[i], minlength=len(rows)).astype(np.int64)
-        first = np.unique(i, return_index=True)[1]  # a first link for each row joins most at once
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))  # a first link for each row joins most at once
         join(i[first], j[first])
         trees = np.array([root(u) for u in range(len(rows))])
         apart = np.flatnonzero(trees[i] != trees[j])
@@ -193,15 +192,20 @@ def search(classes: DataFrame, model: dict, cosine: float) -> DataFrame:
     limit = 2 - 2 * cosine + 100 * SLACK
 
     @F.pandas_udf("region int, reached array<int>")
-    def regions(units: pd.Series) -> pd.DataFrame:
-        rows = np.stack([np.frombuffer(u, np.float64) for u in units]) if len(units) else np.zeros((0, 2))
-        seen = np.zeros((len(rows), model["regions"]), bool)
-        for at, cells in traversal(rows, model["books"], limit) if len(rows) else ():
-            seen[at, model["region"][cells]] = True
-        own = model["region"][own_cells(rows, model["books"])] if len(rows) else np.zeros(0)
-        return pd.DataFrame({"region": own.astype(np.int32), "reached": [np.flatnonzero(s).astype(np.int32) for s in seen]})
-
-    placed = materialize(classes.select("cid", "m", "label", "unit", regions("unit").alias("at")).select("cid", "m", "label", "unit", "at.*"), "regions")
+    def dealt(units: pd.Series, regions: pd.Series) -> pd.DataFrame:
+        if not len(units):
+            return pd.DataFrame({"region": pd.Series(dtype=np.int32), "reached": pd.Series(dtype=object)})
+        rows, regions = np.stack([np.frombuffer(u, np.float64) for u in units]), regions.to_numpy(np.int64)
+        region = lambda at, cells: (model["ahead"][cells] * regions[at]).astype(np.int32)
+        seen = np.zeros((len(rows), regions.max()), bool)
+        for at, cells in traversal(rows, model["books"], limit):
+            seen[at, region(at, cells)] = True
+        return pd.DataFrame({"region": region(np.arange(len(rows)), own_cells(rows, model["books"])), "reached": [np.flatnonzero(s).astype(np.int32) for s in seen]})
+
+    # A small label has few regions, however large others are.
+    sizes = classes.groupBy("label").agg(F.count("*").alias("__n")).withColumn("regions", F.greatest(F.ceil(F.col("__n") / BLOCK), F.lit(LEAST_REGIONS)).cast("int"))
+    placed = spread_join(classes.select("cid", "m", "label", "unit"), materialize(sizes, "sizes"), "label", model["n"])
+    placed = materialize(placed.withColumn("at", dealt("unit", "regions")).select("cid", "m", "label", "unit", "at.*"), "regions")
     blocks = materialize(placed.groupBy("label", "region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     place = lambda region, block: F.col(region).cast("long") * (1 << 32) + block
     here = placed.join(blocks, ["label", "region"]).withColumn("here", place("region", F.pmod(F.xxhash64("cid"), F.col("blocks"))))

@@ -65,3 +65,20 @@ def test_the_traversal_stops_behind_the_last_cell_with_a_link():
         at = np.arange(len(x))
         assert reached[at, embeddings.own_cells(x, books)].all() and reached[at, embeddings.own_cells(y, books)].all()
         assert reached.mean() <= most
+
+
+def test_small_labels_have_few_regions_beside_a_large_one(spark, monkeypatch):
+    """One label of 3,000 vectors in 30 regions, 1,500 of one pair each: the pairs meet and are not dealt to 30 regions."""
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    rnd = np.random.default_rng(10)
+    x = rnd.standard_normal((6000, 16))
+    x[4500:] = x[3000:4500] + 0.05 * rnd.standard_normal((1500, 16))
+    label = np.concatenate([np.zeros(3000, int), np.tile(np.arange(1, 1501), 2)])
+    dealt, materialize = {}, embeddings.materialize
+    monkeypatch.setattr(embeddings, "materialize", lambda df, name: dealt.setdefault(name, materialize(df, name)))
+    found = embeddings.near_vectors(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist(), "label": label}), "vec_id long, embedding array<double>, label int")).toPandas().sort_values("vec_id")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= embeddings.COSINE) & (label[:, None] == label[None, :])
+    assert found["n_links"].tolist() == (links.sum(axis=1) - 1).tolist()
+    reached = dealt["regions"].selectExpr("label = 0 AS large", "size(reached) AS n").groupBy("large").max("n").collect()
+    assert {r[0]: r[1] <= embeddings.LEAST_REGIONS for r in reached} == {True: False, False: True}
