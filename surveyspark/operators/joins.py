@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import combinations
+from os.path import commonprefix
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from surveyspark.functions.text import name_key
@@ -94,13 +99,81 @@ def _letters(name: Column) -> Column:
     return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i), lambda d: d == c)).cast("string")))
 
 
-def similar_names(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
-    """(block, a, b, score) of all pairs (block, a) and (block, b) whose matching blocks cover at least ``cutoff`` of both.
+def _matched(x: str, y: str) -> int:
+    """Letters in matching blocks, the longest first and of these the first in ``x``, then in ``y``, as ``SequenceMatcher`` counts them in names of under 200 letters."""
+    total, rest = 0, [(x, y)]
+    while rest:
+        x, y = rest.pop()
+        low, high, at = 0, min(len(x), len(y)), 0
+        while low < high:  # the longest size at which a piece of x is in y
+            size = (low + high + 1) // 2
+            for i in range(len(x) - size + 1):
+                if x[i : i + size] in y:
+                    low, at = size, i
+                    break
+            else:
+                high = size - 1
+        if low:
+            j = y.find(x[at : at + low])
+            total += low
+            rest += [(x[:at], y[:j]), (x[at + low :], y[j + low :])]
+    return total
+
+
+#: Ways to leave out letters of a name up to which all are listed; names of a side in a tile; rows of a task, about.
+WAYS, TILE, TASK = 1000, 500, 250_000
+
+
+def _meetings(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """(block, m, n, n_a, n_b, cut, need, ways): lengths of names in a block that may be close enough, how many names there are of each, and how they meet.
+
+    All names of both lengths begin with the same ``cut`` letters, and of what follows two close names have ``need`` letters in the same
+    order; ``ways`` is the larger number of ways to keep so many letters. ``need`` is 0 if all names had better meet: if there are no more
+    pairs than rests, or if so few letters are needed that nearly all names have them.
+    """
 
-    Two names of m and n letters at ``cutoff`` share at least t = cutoff * (m + n) / 2 letters, and n is at least m * cutoff / (2 - cutoff). So
-    of the letters of each name in the order of their rarity in the block, the first m - t + 1 for the least such t must meet: an
-    inverted index of these prefixes, an equi join by block and letter, gives candidates; lengths and shared letters are counted
-    before matching blocks are searched for, pair by pair.
+    @F.pandas_udf("cut int, need int, ways double")
+    def plan(low: pd.Series, high: pd.Series, m: pd.Series, n: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        out = []
+        for first, last, x, y, p, q in zip(low, high, m, n, left, right, strict=True):
+            cut = len(commonprefix([first, last]))
+            need = math.ceil(cutoff * (x + y) / 2 - 1e-9) - cut
+            k = max(x, y) - cut
+            ways = round(math.exp(min(math.lgamma(k + 1) - math.lgamma(need + 1) - math.lgamma(k - need + 1), 99.0))) if need > 2 else 0
+            out.append((cut, need, ways) if p * q > min(ways, WAYS) * (p + q) > 0 else (cut, 0, 0))
+        return pd.DataFrame(out, columns=["cut", "need", "ways"]).astype({"ways": "float64"})
+
+    side = lambda df, name, size: df.groupBy("block", F.length(name).alias(size)).agg(F.min(name).alias(f"low_{name}"), F.max(name).alias(f"high_{name}"), F.count("*").alias(f"n_{name}"))
+    met = side(a, "a", "m").join(side(b, "b", "n").hint("merge"), "block").filter(F.least("m", "n") >= cutoff / (2 - cutoff) * F.greatest("m", "n") - 1e-9)
+    how = plan(F.least("low_a", "low_b"), F.greatest("high_a", "high_b"), "m", "n", "n_a", "n_b")
+    return met.withColumn("how", how).select("block", "m", "n", "n_a", "n_b", "how.*")
+
+
+def _listed(names: DataFrame, name: str, other: str) -> DataFrame:
+    """(block, name, key), ``names`` having the columns of ``_meetings``: what is left of a name when all but ``need`` letters go, in all ways, or its tiles."""
+    tile_size = TILE
+
+    def keys(batches):
+        for batch in batches:
+            out = []
+            for block, x, m, n, cut, need, mine, others in batch.itertuples(index=False):
+                tile, others = crc32(x.encode()) % -(-mine // tile_size), -(-others // tile_size)
+                rest = {"".join(k) for k in combinations(x[cut:], need)} if need else [f"{tile},{i}" if name == "a" else f"{i},{tile}" for i in range(others)]
+                out += [(block, x, f"{m},{n},{k}") for k in rest]
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["block", name, "key"])
+                    out = []
+            yield pd.DataFrame(out, columns=["block", name, "key"])
+
+    rows = names.select("block", name, "m", "n", "cut", "need", f"n_{name}", f"n_{other}")
+    return rows.mapInPandas(keys, StructType([*rows.schema.fields[:2], StructField("key", StringType())]))
+
+
+def _share_letters(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """(block, a, b) of all pairs that share letters enough for ``cutoff``.
+
+    Of the letters of each name in the order of their rarity in the block, the first m - t + 1 must meet, t being the least number that
+    may do: an inverted index of these prefixes, an equi join by block and letter, gives pairs whose lengths and letters are counted.
     """
     least = cutoff / (2 - cutoff)
     side = lambda df, name: df.select("block", F.col(name).alias("name"), F.length(name).alias("m"), _letters(F.col(name)).alias("letters"))
@@ -108,21 +181,51 @@ def similar_names(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
     often = left.select("block", F.explode("letters").alias("letter")).unionAll(right.select("block", F.explode("letters").alias("letter"))).groupBy("block", "letter").agg(F.count("*").alias("often"))
 
     def prefixes(rows: DataFrame) -> DataFrame:
-        each = rows.select("block", "name", "m", F.explode("letters").alias("letter")).join(often, ["block", "letter"])
+        each = rows.select("block", "name", "m", F.explode("letters").alias("letter")).join(often.hint("merge"), ["block", "letter"])
         ranked = each.groupBy("block", "name", "m").agg(F.array_sort(F.collect_list(F.struct("often", "letter"))).alias("ranked"))  # a name's letters
         need = F.ceil(cutoff * (F.col("m") + F.ceil(least * F.col("m") - 1e-9)) / 2 - 1e-9)
         return ranked.select("block", "name", F.explode(F.slice("ranked", F.lit(1), F.greatest(F.col("m") - need + 1, F.lit(1)).cast("int"))).alias("r")).select("block", "name", F.col("r.letter").alias("letter"))
 
-    met = prefixes(left).withColumnRenamed("name", "a").join(prefixes(right).withColumnRenamed("name", "b"), ["block", "letter"]).select("block", "a", "b").distinct()
+    met = prefixes(left).withColumnRenamed("name", "a").join(prefixes(right).withColumnRenamed("name", "b").hint("merge"), ["block", "letter"]).select("block", "a", "b").distinct()
     size, shared = F.length("a") + F.length("b"), F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b"))))
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    close = met.filter((short >= least * long - 1e-9) & (2 * shared >= cutoff * size - 1e-9))
+    return met.filter((short >= least * long - 1e-9) & (2 * shared >= cutoff * size - 1e-9))
+
+
+def similar_names(a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
+    """(block, a, b, score) of all pairs (block, a) and (block, b) whose matching blocks cover at least ``cutoff`` of both.
+
+    Two names of m and n letters at ``cutoff`` have at least t = cutoff * (m + n) / 2 letters in the same order. So when t letters of either are
+    kept in all ways, the two have a rest in common: an equi join by block and rest gives candidates. What all names of these lengths begin
+    with in the block is left out first. Where there are too many ways, candidates come from an index of rare letters; where
+    few names or few letters would meet, all do, in tiles. Matching blocks are searched for pair by pair, once a pair.
+
+    A name is many rows here, which file sizes do not tell: these joins are never broadcast, and tasks are dealt by the rows to come.
+    """
+    how = materialize(_meetings(a, b, cutoff), "meetings")
+    few, many = how.filter(F.col("ways") <= WAYS), how.filter(F.col("ways") > WAYS)
+    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    tasks = how.agg(F.ceil(F.sum(F.when(F.col("need") == 0, n_a * n_b).otherwise(F.least("ways", F.lit(float(WAYS))) * (n_a + n_b))) / TASK)).first()[0]
+    tasks = int(min(max(tasks or 0, 1), 4000))
+    side = lambda df, name, size, how: df.withColumn(size, F.length(name)).join(how.hint("merge"), ["block", size]).repartition(tasks, name)
+    met = _listed(side(a, "a", "m", few), "a", "b").join(_listed(side(b, "b", "n", few), "b", "a").hint("merge"), ["block", "key"]).select("block", "a", "b")
+    if many.limit(1).count():
+        names = lambda df, name, size: side(df, name, size, many.select("block", size).distinct()).select("block", name)
+        met = met.unionAll(_share_letters(names(a, "a", "m"), names(b, "b", "n"), cutoff))
+    each = met.repartition(tasks, "block", "a").distinct()  # a pair may have several rests in common
 
-    @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, q, p).ratio() for p, q in zip(x, y, strict=True)])
+        out = []
+        for p, q in zip(x, y, strict=True):
+            both = len(p) + len(q)
+            if 2 * sum(min(p.count(c), q.count(c)) for c in set(p)) < cutoff * both - 1e-9:
+                out.append(0.0)
+            else:
+                out.append(2.0 * _matched(q, p) / both if len(p) < 200 else SequenceMatcher(None, q, p).ratio())
+        return pd.Series(out, dtype="float64")
 
-    return close.withColumn("score", ratio("a", "b")).filter(F.col("score") >= cutoff)
+    score = F.pandas_udf(ratio, "double").asNondeterministic()  # else the filter goes below the join and counts pairs again and again
+    return each.withColumn("score", score("a", "b")).filter(F.col("score") >= cutoff)
 
 
 #: Cutoffs at which the closest name is looked for before the one that is asked for.
@@ -144,30 +247,31 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: str, cutoff: float = 0
     key = F.upper(F.trim("name"))
     rows = lambda df, name: df.filter("name IS NOT NULL").groupBy(F.col(block).alias("block"), key.alias(name)).agg(F.min("name").alias(f"{name}_name"))
     a, b = materialize(rows(left, "a"), "left-names"), materialize(rows(right, "b"), "right-names")
-    equal = a.join(b.withColumnRenamed("b", "a"), ["block", "a"]).select("block", "a", "a_name", "b_name", F.lit(1.0).alias("score"))
-    rest_a = a.join(equal, ["block", "a"], "left_anti").filter("a <> ''")
-    rest_b = (b.join(equal.select("block", F.col("a").alias("b")), ["block", "b"], "left_anti") if one_to_one else b).filter("b <> ''")
+    large = lambda df: df.hint("merge")  # noqa: E731  files of names are far smaller than the names
+    equal = a.join(large(b.withColumnRenamed("b", "a")), ["block", "a"]).select("block", "a", "a_name", "b_name", F.lit(1.0).alias("score"))
+    rest_a = a.join(large(equal), ["block", "a"], "left_anti").filter("a <> ''")
+    rest_b = (b.join(large(equal.select("block", F.col("a").alias("b"))), ["block", "b"], "left_anti") if one_to_one else b).filter("b <> ''")
+    closest = lambda df: df.groupBy("block", "a").agg(F.max(F.struct("score", "b")).alias("best")).select("block", "a", "best.b", "best.score")
+    rest_a, rest_b = materialize(rest_a.select("block", "a"), "rest"), materialize(rest_b.select("block", "b"), "rest")
     if one_to_one:
         pairs = materialize(similar_names(rest_a, rest_b, cutoff), "pairs")
     else:
-        rest_a, rest_b = materialize(rest_a, "rest"), materialize(rest_b, "rest")
         pairs = None
         for step in [*(c for c in STEPS if c > cutoff), cutoff]:
-            found = materialize(similar_names(rest_a, rest_b, step), "pairs")
+            found = materialize(closest(similar_names(rest_a, rest_b, step)), "pairs")
             pairs = found if pairs is None else pairs.unionAll(found)
-            rest_a = materialize(rest_a.join(found.select("block", "a"), ["block", "a"], "left_anti"), "rest")
+            rest_a = materialize(rest_a.join(large(found.select("block", "a")), ["block", "a"], "left_anti"), "rest")
             if not rest_a.limit(1).count():
                 break
-    closest = lambda df: df.groupBy("block", "a").agg(F.max(F.struct("score", "b")).alias("best")).select("block", "a", "best.b", "best.score")
     while one_to_one:
         first = closest(pairs).groupBy("block", "b").agg(F.min("a").alias("__first"))
-        after = materialize(pairs.join(first, ["block", "b"], "left").filter("__first IS NULL OR a <= __first").drop("__first"), "pairs")
+        after = materialize(pairs.join(large(first), ["block", "b"], "left").filter("__first IS NULL OR a <= __first").drop("__first"), "pairs")
         settled = after.count() == pairs.count()
         drop_scratch(pairs)
         pairs = after
         if settled:
             break
-    near = closest(pairs).join(a, ["block", "a"]).join(b, ["block", "b"]).select("block", "a", "a_name", "b_name", "score")
+    near = (closest(pairs) if one_to_one else pairs).join(large(a), ["block", "a"]).join(large(b), ["block", "b"]).select("block", "a", "a_name", "b_name", "score")
     return equal.unionAll(near).select(F.col("block").alias(block), F.col("a_name").alias("left_name"), F.col("b_name").alias("right_name"), "score")
 
 

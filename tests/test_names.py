@@ -57,3 +57,41 @@ def test_names_that_are_found_are_not_looked_for_again(spark, monkeypatch):
     got = {r.left_name: r.right_name for r in J.fuzzy_match(df(left), df(right), "g", 0.75, one_to_one=False).collect()}
     assert got == dict(zip(left, right, strict=True))
     assert seen[0] == (0.94, 2) and seen[-1][1] == 1
+
+
+def test_matched_letters():
+    rnd = random.Random(5)
+    for letters in ("ab", "abcdef", "aé€ "):
+        for _ in range(400):
+            x, y = ("".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in "xy")
+            assert J._matched(x, y) == sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks())
+
+
+def numbered(seed, n=120):
+    rnd = random.Random(seed)
+    return [("g", f"School {rnd.randrange(10_000):04d}") for _ in range(n)] + [("g", f"School no {rnd.randrange(100):02d}") for _ in range(9)] + [("h", f"School {rnd.randrange(100):02d}") for _ in range(9)]
+
+
+@pytest.mark.parametrize(("ways", "met"), [(1000, {"rests", "tiles"}), (1, {"letters", "tiles"}), (0, {"tiles"})])
+@pytest.mark.parametrize("one_to_one", [True, False])
+def test_ways_to_meet(spark, monkeypatch, ways, met, one_to_one):
+    monkeypatch.setattr(J, "WAYS", ways)
+    monkeypatch.setattr(J, "TILE", 7)
+    left, right = numbered(1), numbered(2)
+    df = lambda rows, name: spark.createDataFrame(rows, f"block string, {name} string").distinct()
+    rows = J._meetings(df(left, "a"), df(right, "b"), 0.9).collect()
+    assert {"tiles" if not r.need else "rests" if r.ways <= ways else "letters" for r in rows} == met
+    assert {r.cut for r in rows if (r.m, r.n) == (11, 11)} == {7}
+    got = [tuple(r) for r in J.fuzzy_match(df(left, "name"), df(right, "name"), "block", 0.9, one_to_one).collect()]
+    assert sorted(got) == sorted(slow(left, right, 0.9, one_to_one))
+
+
+@pytest.mark.parametrize("ways", [1000, 1])
+def test_many_rows_a_name_are_not_broadcast(spark, monkeypatch, ways):
+    monkeypatch.setattr(J, "WAYS", ways, raising=False)
+    df = lambda rows, name: J.materialize(spark.createDataFrame([(g, n.upper()) for g, n in rows], f"block string, {name} string").distinct(), "names")
+    found = J.similar_names(df(numbered(1), "a"), df(numbered(2), "b"), 0.9)
+    assert found.count() == len(found.collect()) > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [" in line and ("key#" in line or "letter#" in line)]
+    assert joins and not any("Broadcast" in line for line in joins), plan
